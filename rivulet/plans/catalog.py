@@ -210,3 +210,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lease_conflicts": lease_conflicts,
     "lease_holders": lease_holders,
 }
+
+from rivulet.plans import stream_queries as _sq  # noqa: E402
+
+QUERIES.update({
+    "ingest_stream": _sq.ingest_stream,
+    "ingest_checkpoints": _sq.ingest_checkpoints,
+    "flush_stream": _sq.flush_stream,
+})

@@ -60,7 +60,7 @@ def comment_streams(spark, sf_dir) -> DataFrame:
     """Registry for the F1 channels: every channel but src19 is registered, id = channel."""
     return (table(spark, sf_dir, "documents").where(F.col("source") != "src19")
             .select(F.col("source").alias("id"), F.col("source").alias("subreddit"))
-            .distinct())
+            .distinct().withColumn("status", F.lit("active")))
 
 
 ERROR_TYPES_BY_MOD11 = ["ConnectionError", "TimeoutError", "TooManyRequests", "RequestException",

@@ -103,6 +103,10 @@ def parse_naive_utc(x: str) -> str:
     return f"(CASE WHEN regexp_full_match({s}, '{p}') THEN TRY_CAST({canonical} AS TIMESTAMP) END)"
 
 
+def validated(src: str) -> str:
+    return VALIDATED.replace("FROM f1_messages", f"FROM {src}")
+
+
 VALIDATED = (f"""SELECT *,
   subreddit IS NULL OR length(subreddit) = 0 OR length(subreddit) > 255 AS bad_subreddit,
   author_id IS NULL OR length(author_id) = 0 OR length(author_id) > 255 AS bad_author,
@@ -259,6 +263,59 @@ FROM f4_requests GROUP BY subreddit""")
 FROM _win w WHERE w.subreddit NOT IN (SELECT subreddit FROM f4_streams)""")
     live_lists = _lists_cte("f2_errors", f"WHERE ts <= {as_of}")
 
+    ingest_ctes = [
+        ("_reg", """SELECT DISTINCT source AS id, source AS subreddit FROM documents
+WHERE source <> 'src19'"""),
+        ("_c", "SELECT f.*, r.id AS stream_id FROM f1_comments f JOIN _reg r ON f.subreddit = r.subreddit"),
+        ("_sp", f"""SELECT c.* FROM _c c
+LEFT JOIN (SELECT stream_id AS ck FROM f1b_checkpoints WHERE last_comment_id IS NOT NULL) k
+  ON c.stream_id = k.ck
+WHERE k.ck IS NOT NULL OR c.arrival_ts >= {_ts(C.SESSION_START)}"""),
+        ("_sk", """SELECT * FROM _sp WHERE NOT EXISTS (SELECT 1 FROM f1b_checkpoints k
+  WHERE k.last_comment_id IS NOT NULL AND k.stream_id = _sp.stream_id
+    AND k.last_comment_id = _sp.comment_id)"""),
+        ("_m", """SELECT stream_id, comment_id, subreddit, arrival_ts,
+  coalesce(author, '[deleted]') AS author_id, body AS text,
+  strftime(arrival_ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp FROM _sk"""),
+        ("_v", validated("_m")),
+        ("_good", """SELECT * FROM _v
+WHERE NOT (bad_subreddit OR bad_author OR bad_text OR bad_timestamp)"""),
+    ]
+    cut = "TIMESTAMP '2024-01-16 00:00:00'"
+    now0, now1 = "TIMESTAMP '2024-02-01 00:00:00'", "TIMESTAMP '2024-02-01 01:00:00'"
+
+    def _merge(where):
+        return merged[1].replace("FROM f3_checkpoint_log GROUP BY",
+                                 f"FROM f3_checkpoint_log {where} GROUP BY")
+
+    def _flush(src, now_lit, where=""):
+        return (flushed[1].replace("FROM _merged", f"FROM {src}")
+                .replace(now, now_lit).replace("WHERE last_processed_at IS NULL OR",
+                                               f"WHERE {where} (last_processed_at IS NULL OR")
+                + (")" if where else "")) if where else \
+            flushed[1].replace("FROM _merged", f"FROM {src}").replace(now, now_lit)
+
+    def _upsert(t, u, now_lit):
+        return f"""SELECT
+  CASE WHEN t.stream_id IS NOT NULL THEN t.id ELSE coalesce(u.id, u.stream_id) END AS id,
+  coalesce(t.stream_id, u.stream_id) AS stream_id,
+  CASE WHEN u.stream_id IS NOT NULL THEN u.last_comment_id ELSE t.last_comment_id END
+    AS last_comment_id,
+  CASE WHEN u.stream_id IS NOT NULL THEN u.last_processed_at ELSE t.last_processed_at END
+    AS last_processed_at,
+  CASE WHEN u.stream_id IS NOT NULL THEN {now_lit} ELSE t.updated_at END AS updated_at
+FROM {t} t FULL OUTER JOIN {u} u ON t.stream_id = u.stream_id"""
+
+    flush_ctes = [
+        ("_m0", _merge(f"WHERE updated_at < {cut}")),
+        ("_f0", _flush("_m0", now0)),
+        ("_t0", _upsert("f3_checkpoint_table", "_f0", now0)),
+        ("_m1", _merge("")),
+        ("_f1", _flush("_m1", now1, "stream_id IN (SELECT stream_id FROM f3_checkpoint_log "
+                                    f"WHERE updated_at >= {cut}) AND")),
+        ("_t1", _upsert("_t0", "_f1", now1)),
+    ]
+
     q = {
         "messages_valid": _with(["f1_messages"], [("v", VALIDATED)], """SELECT comment_id,
   subreddit, author_id, text, timestamp FROM v
@@ -375,4 +432,14 @@ FROM f6_lease_log l JOIN _iv i ON l.subreddit = i.subreddit AND l.ts >= i.held_f
         "lease_holders": _with(["f6_lease_log"], _lease_ctes(), f"""SELECT * FROM _iv
 WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until"""),
     }
+    q["ingest_stream"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, """SELECT
+  stream_id, comment_id, subreddit, author_id, text, timestamp FROM _good""")
+    q["ingest_checkpoints"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, """SELECT
+  stream_id, last_comment_id, last_processed_at, n_processed FROM (
+  SELECT stream_id, comment_id AS last_comment_id, arrival_ts AS last_processed_at,
+    row_number() OVER (PARTITION BY stream_id ORDER BY arrival_ts, comment_id) AS n_processed
+  FROM _good)
+WHERE n_processed % 100 = 0""")
+    q["flush_stream"] = _with(["f3_checkpoint_log", "f3_checkpoint_table"], flush_ctes,
+                              "SELECT * FROM _t1")
     return q

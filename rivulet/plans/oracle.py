@@ -60,7 +60,7 @@ FROM (SELECT DISTINCT user_id AS k FROM events WHERE user_id < 24)""",
   CASE WHEN event_id % 2 = 0 THEN concat('i', event_id % 3) ELSE NULL END AS instance_id
 FROM events""",
     "f4_delete_ids": """SELECT DISTINCT concat('s', user_id % 30) AS id
-FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0""",
+FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0 AND user_id % 3 = 0""",
     "f5_attempts": """SELECT user_id % 5 AS stream_id, event_id AS attempt_id, ts,
   CASE WHEN value > 30 THEN 'ConnectionError' ELSE NULL END AS error_type
 FROM events""",

@@ -20,11 +20,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def time_bucket(ts: str, unit: str = "HOUR") -> Column:
-    """Nondecreasing bucket of a timestamp column (any `date_trunc` unit)."""
-    return F.date_trunc(unit, F.col(ts))
+UNIT_SECONDS = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60}
+
+
+def time_bucket(ts, unit: str = "HOUR") -> Column:
+    """Nondecreasing integer bucket of a timestamp (DAY, HOUR or MINUTE).
+
+    Computed without the session time zone: for TIMESTAMP_NTZ from the wall-clock date and
+    hour/minute fields, for TIMESTAMP from epoch microseconds. (``date_trunc`` on an NTZ
+    value casts it to the session zone first, which is not monotonic across a DST gap.)"""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    unit = unit.upper()
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    if unit == "DAY":
+        return days
+    hours = days * 24 + F.hour(c)
+    if unit == "HOUR":
+        return hours
+    if unit == "MINUTE":
+        return hours * 60 + F.minute(c)
+    raise ValueError(f"unsupported bucket unit {unit}")
+
+
+def _bucket(df: DataFrame, ts: str, unit: str) -> Column:
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        return F.floor(F.unix_micros(F.col(ts)) / (UNIT_SECONDS[unit.upper()] * 1_000_000))
+    return time_bucket(ts, unit)
 
 
 def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
@@ -38,13 +62,15 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
     latest row so far (inclusive) where the condition holds (null if none), and when ``gap`` (an interval string such as
     ``"24 hours"``) is given: ``prev_ts`` (time of the previous row of the key), ``brk``
     (1 when the row starts a new island: first row or more than ``gap`` after the previous)
-    and ``island`` (1-based island number). ``ts`` must be non-null.
+    and ``island`` (1-based island number). ``ts`` and the keys must be non-null (rows
+    with a null key are dropped): the join back uses plain equality so that it keeps the
+    ``(key, bucket)`` partitioning of the big side.
     """
     sums = sums or {}
     maxes = maxes or {}
     last_where = last_where or {}
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
-    b = df.withColumn("_b", time_bucket(ts, unit))
+    b = df.withColumn("_b", _bucket(df, ts, unit))
     for name, c in sums.items():
         b = b.withColumn(f"_sv_{name}", c)
     for name, c in maxes.items():
@@ -100,7 +126,7 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
     summary = summary.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
                              F.col("_b").alias("_kb"), *cols)
 
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    cond = [F.col(k) == F.col(f"_k_{i}") for i, k in enumerate(keys)]
     joined = local.join(summary, cond + [F.col("_b") == F.col("_kb")], "inner")
     out_cols = [F.col(c) for c in df.columns]
     out_cols.append((F.col("_rn0") + F.col("_lrn")).alias(rn))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.scan import keyed_scan
+from rivulet.functions.scan import keyed_scan, time_bucket
 
 # Fixed value: lease time-to-live.
 LEASE_TTL = "60 seconds"
@@ -38,8 +38,7 @@ def lease_intervals(log: DataFrame, ttl: str = LEASE_TTL, unit: str = "HOUR") ->
 
 
 def _hour_buckets(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.date_trunc("HOUR", start), F.date_trunc("HOUR", end),
-                                F.expr("INTERVAL 1 HOUR")))
+    return F.explode(F.sequence(time_bucket(start, "HOUR"), time_bucket(end, "HOUR")))
 
 
 def lease_conflicts(events: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -51,7 +50,7 @@ def lease_conflicts(events: DataFrame, intervals: DataFrame) -> DataFrame:
                           F.col("instance_id").alias("holder_instance"),
                           "held_from", "held_until",
                           _hour_buckets(F.col("held_from"), F.col("held_until")).alias("_hb"))
-    ev = events.withColumn("_eb", F.date_trunc("HOUR", F.col("ts")))
+    ev = events.withColumn("_eb", time_bucket("ts", "HOUR"))
     cond = ((ev["subreddit"] == iv["_iv_sub"]) & (ev["_eb"] == iv["_hb"])
             & (ev["ts"] >= iv["held_from"]) & (ev["ts"] < iv["held_until"])
             & (ev["instance_id"] != iv["holder_instance"]))

@@ -43,15 +43,7 @@ def messages_quarantine(spark, d):
 
 def encode_roundtrip(spark, d):
     good, _ = errors.split(_validated(spark, d))
-    enc = io.encode_message(good.select(*MESSAGE_COLS), fmt="json", keep=["comment_id"])
-    dec = io.decode_message(enc, fmt="json", keep=["comment_id"])
-    orig = good.select(*[F.col(c).alias(f"_o_{c}") for c in MESSAGE_COLS])
-    j = dec.join(orig, dec["comment_id"] == orig["_o_comment_id"], "inner")
-    same = None
-    for c in MESSAGE_COLS[1:]:
-        e = F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-        same = e if same is None else same & e
-    return j.select("comment_id", *MESSAGE_COLS[1:], same.alias("roundtrip_ok"))
+    return io.roundtrip(good.select(*MESSAGE_COLS))
 
 
 def error_classified(spark, d):

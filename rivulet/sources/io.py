@@ -66,6 +66,25 @@ def decode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = No
     return df.select(*(keep or []), rec.alias("m")).select(*(keep or []), "m.*")
 
 
+def roundtrip(df: DataFrame, fmt: str = "json") -> DataFrame:
+    """O5 check in one projection: encode the four fields, decode them again and compare,
+    row by row (no join, the text is never shuffled)."""
+    rec = F.struct(*[F.col(c) for c in MESSAGE_FIELDS])
+    if fmt == "avro":
+        try:
+            from pyspark.sql.avro.functions import from_avro, to_avro
+            back = from_avro(to_avro(rec, MESSAGE_AVRO_SCHEMA), MESSAGE_AVRO_SCHEMA)
+        except Exception as e:  # pragma: no cover
+            raise MissingPackage("Avro needs the spark-avro package") from e
+    else:
+        back = F.from_json(F.to_json(rec), MESSAGE)
+    same = None
+    for c in MESSAGE_FIELDS:
+        e = back.getField(c).eqNullSafe(F.col(c))
+        same = e if same is None else same & e
+    return df.select("*", same.alias("roundtrip_ok"))
+
+
 def kafka_options(bootstrap: str, topic: str, security_protocol: str = "PLAINTEXT",
                   sasl_mechanism: str | None = None, username: str | None = None,
                   password: str | None = None, truststore: str | None = None,

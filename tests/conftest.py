@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from rivulet.session import get_session
-    s = get_session("local[4]", app="rivulet-tests", shuffle_partitions=4)
+    import tempfile
+    s = get_session("local[4]", app="rivulet-tests", shuffle_partitions=4,
+                    extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="rivulet-wh-")})
     yield s
     s.stop()
 

@@ -61,3 +61,11 @@ def new_work_dir(spark: SparkSession, name: str) -> str:
     if path.startswith("/") or path.startswith("file:"):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a table in the shared work folder and reading it
+    back (one job; survives executor loss, unlike a cache)."""
+    path = new_work_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

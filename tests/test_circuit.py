@@ -50,3 +50,34 @@ def test_failure_streaks(spark):
     got = sorted((r.first_attempt_id, r.n_failures, r.threshold_attempt_id, r.reached_threshold)
                  for r in out.collect())
     assert got == [(0, 2, None, False), (3, 6, 7, True), (11, 1, None, False)]
+
+
+def _random_attempts(spark, n=4000, seed=11):
+    import random
+    rnd = random.Random(seed)
+    rows, t = [], {}
+    for i in range(n):
+        sid = 0 if rnd.random() < 0.7 else rnd.randint(1, 3)      # stream 0 is hot
+        t[sid] = t.get(sid, 0) + rnd.choice([1, 2, 5, 20, 90, 400])
+        burst = (t[sid] // 3000) % 2 == 1                           # failure bursts
+        fail = rnd.random() < (0.8 if burst else 0.2)
+        rows.append((sid, i, T0 + dt.timedelta(seconds=t[sid]),
+                     rnd.choice(["ConnectionError", "TooManyRequests"]) if fail else None))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_parallel_timeline_equals_sequential(spark):
+    df = _random_attempts(spark)
+    ref = sorted(tuple(r) for r in circuit.circuit_timeline_sequential(df).collect())
+    st = {}
+    par = sorted(tuple(r) for r in
+                 circuit.circuit_timeline_parallel(df, unit="HOUR", stats=st).collect())
+    assert par == ref and len(ref) == 4000 and st["rounds"] >= 1
+    # one round allowed: the exact ordered completion finishes the rest
+    st = {}
+    cut = sorted(tuple(r) for r in
+                 circuit.circuit_timeline_parallel(df, unit="MINUTE", max_rounds=1,
+                                                   stats=st).collect())
+    assert cut == ref and st["completed_sequentially"]
+    auto = sorted(tuple(r) for r in circuit.circuit_timeline(df, max_rows_per_task=100).collect())
+    assert auto == ref

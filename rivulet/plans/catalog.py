@@ -209,4 +209,5 @@ QUERIES.update({
     "ingest_stream": _sq.ingest_stream,
     "ingest_checkpoints": _sq.ingest_checkpoints,
     "flush_stream": _sq.flush_stream,
+    "circuit_stream": _sq.circuit_stream,
 })

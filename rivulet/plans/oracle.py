@@ -440,6 +440,7 @@ WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until"""
     row_number() OVER (PARTITION BY stream_id ORDER BY arrival_ts, comment_id) AS n_processed
   FROM _good)
 WHERE n_processed % 100 = 0""")
+    q["circuit_stream"] = CIRCUIT_SQL
     q["flush_stream"] = _with(["f3_checkpoint_log", "f3_checkpoint_table"], flush_ctes,
                               "SELECT * FROM _t1")
     return q

@@ -75,3 +75,21 @@ def flush_stream(spark: SparkSession, d: str) -> DataFrame:
             raise q.exception()
     from rivulet.schemas import CHECKPOINTS
     return read_table(spark, f"{work}/table", CHECKPOINTS).drop("bucket")
+
+
+def circuit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """O30 streaming form: breaker state kept in the state store across micro-batches."""
+    from rivulet.schemas import ATTEMPTS
+    from rivulet.streaming.state import circuit_stream as _stream
+    work = new_work_dir(spark, "breaker")
+    att = fx.attempts(spark, d).select(*ATTEMPTS.fieldNames())
+    for i, chunk in enumerate(_two_chunks(att, "ts", fx.ntz("2024-01-16 00:00:00"))):
+        chunk.write.parquet(f"{work}/in/chunk={i}")
+        src = spark.readStream.schema(ATTEMPTS).parquet(f"{work}/in/*")
+        q = (_stream(src).writeStream.format("parquet").option("path", f"{work}/out")
+             .option("checkpointLocation", f"{work}/query").outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return spark.read.parquet(f"{work}/out")

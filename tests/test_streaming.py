@@ -44,3 +44,30 @@ def test_replayed_batch_writes_no_duplicates_and_counter_carries(spark):
     # successes 0..19 without 7: the 4th, 8th, ... across both batches
     assert got == [("0003", 4), ("0008", 8), ("0012", 12), ("0016", 16)]
     assert spark.read.parquet(f"{out}/messages").where(F.col("author_id") == "[deleted]").count() == 4
+
+
+def test_error_lists_stream_emits_closed_lists_like_batch(spark):
+    from rivulet.operators.errors import error_lists
+    from rivulet.streaming.state import error_lists_stream
+    schema = "stream_id string, seq long, ts timestamp_ntz, error_type string, error_message string"
+    h = dt.timedelta(hours=1)
+    base = dt.datetime(2024, 1, 1)
+    offs = {"a": [0, 1, 30, 54, 100, 101], "b": [0, 24, 48, 73, 200]}  # hours; b: exact 24 h gaps
+    rows = [(k, i * 10 + j, base + o * h, "TimeoutError", "x")
+            for i, (k, os_) in enumerate(offs.items()) for j, o in enumerate(os_)]
+    df = spark.createDataFrame(rows, schema)
+    work = new_work_dir(spark, "lists-stream")
+    cut = base + 90 * h
+    for i, part in enumerate([df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut)]):
+        part.write.parquet(f"{work}/in/chunk={i}")
+        src = spark.readStream.schema(schema).parquet(f"{work}/in/*")
+        q = (error_lists_stream(src).writeStream.format("parquet").option("path", f"{work}/out")
+             .option("checkpointLocation", f"{work}/q").outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = sorted((r.stream_id, r.list_start, r.n_pushed)
+                 for r in spark.read.parquet(f"{work}/out").collect())
+    watermark = base + 200 * h
+    want = sorted((r.stream_id, r.list_start, r.n_pushed) for r in error_lists(df).collect()
+                  if r.expires_at < watermark)
+    assert got == want and len(want) >= 4

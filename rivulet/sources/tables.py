@@ -1,9 +1,9 @@
 """Keyed tables stored as parquet partitioned by a hash bucket of the key.
 
 Plain parquet has no MERGE, so a keyed write replaces only the buckets it touches
-(dynamic partition overwrite). The new contents are materialized with ``checkpoint()``
-(a reliable checkpoint in ``spark.checkpoint.dir``) before the overwrite, so a plan never
-reads and overwrites the same files. Re-running a write with the same input gives the
+(dynamic partition overwrite). The new contents are first written as a staging table in
+the shared work folder (``spark.checkpoint.dir``) and read back, so a plan never reads and
+overwrites the same files. Re-running a write with the same input gives the
 same table, which is what a replayed micro-batch needs.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from rivulet.functions.expr import bucket_of
 from rivulet.schemas import TABLE_BUCKETS
+from rivulet.session import materialize
 
 BUCKET = "bucket"
 
@@ -46,6 +47,6 @@ def overwrite_buckets(df: DataFrame, path: str, key: str,
                       buckets: int = TABLE_BUCKETS) -> None:
     """Replace exactly the buckets present in ``df`` (dynamic partition overwrite)."""
     data = df if BUCKET in df.columns else with_bucket(df, key, buckets)
-    data = data.checkpoint(eager=True)
+    data = materialize(data, "stage")
     (data.repartition(BUCKET).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from rivulet.operators.checkpoints import flush_rows, merge_checkpoints, upsert_checkpoints
 from rivulet.schemas import CHECKPOINT_LOG, CHECKPOINTS
+from rivulet.session import materialize
 from rivulet.sources.tables import BUCKET, overwrite_buckets, touched
 
 STATE_SCHEMA = T.StructType([
@@ -37,9 +38,9 @@ def make_flush_writer(state_path: str, table_path: str,
         as_log = old.select("stream_id", F.lit(-1).cast("long").alias("seq"), "updated_at",
                             "last_comment_id", "last_processed_at")
         # Materialized before any write: the state files it was read from get replaced.
-        merged_all = merge_checkpoints(as_log.unionByName(
+        merged_all = materialize(merge_checkpoints(as_log.unionByName(
             batch.select("stream_id", "seq", "updated_at", "last_comment_id",
-                         "last_processed_at"))).checkpoint(eager=True)
+                         "last_processed_at"))), "flush-merged")
         changed = merged_all.join(keys, "stream_id", "left_semi")
         kept = old.join(keys, "stream_id", "left_anti")
         overwrite_buckets(kept.unionByName(merged_all.select(*STATE_SCHEMA.fieldNames())),

@@ -40,6 +40,11 @@ def iso_z(ts) -> Column:
     return F.date_format(_col(ts), ISO_Z_FORMAT)
 
 
+def utc_now() -> Column:
+    """Processing time as naive UTC (wall clock in UTC, whatever the session zone)."""
+    return F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+
+
 def parse_naive_utc(text) -> Column:
     """Strip trailing 'Z's, parse ISO-8601, drop (not convert) any offset; null when
     the text does not parse. The canonical text is cast straight to TIMESTAMP_NTZ, so the
@@ -58,7 +63,7 @@ def parse_naive_utc(text) -> Column:
 def normalize(comments, ts_col=None):
     """Comment -> message. Deleted author -> '[deleted]', body -> text, stamp = naive
     UTC ISO text with 'Z' (processing time unless a time column is given)."""
-    stamp = iso_z(ts_col) if ts_col is not None else iso_z(F.current_timestamp().cast("timestamp_ntz"))
+    stamp = iso_z(ts_col) if ts_col is not None else iso_z(utc_now())
     return comments.select(
         "*",
         F.coalesce(F.col("author"), F.lit(DELETED_AUTHOR)).alias("author_id"),

@@ -29,7 +29,8 @@ def _ingest(spark: SparkSession, d: str) -> str:
     work = new_work_dir(spark, "ingest")
     comments = fx.comments(spark, d).select(*COMMENT.fieldNames())
     lo, hi = comments.agg(F.min("arrival_ts"), F.max("arrival_ts")).first()
-    cut = F.lit(lo + (hi - lo) / 2).cast("timestamp_ntz") if lo is not None else F.lit(None)
+    cut = (F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp_ntz")
+           if lo is not None else F.lit(None))
     streams = fx.comment_streams(spark, d)
     checkpoints = fx.comment_checkpoints(spark, d)
     for i, chunk in enumerate(_two_chunks(comments, "arrival_ts", cut)):
@@ -63,7 +64,8 @@ def flush_stream(spark: SparkSession, d: str) -> DataFrame:
     log = fx.checkpoint_log(spark, d)
     writer = make_flush_writer(
         f"{work}/state", f"{work}/table",
-        lambda bid: F.lit(FLUSH_NOW + dt.timedelta(hours=bid)).cast("timestamp_ntz"))
+        lambda bid: F.lit((FLUSH_NOW + dt.timedelta(hours=bid)).isoformat(sep=" "))
+        .cast("timestamp_ntz"))
     from rivulet.schemas import CHECKPOINT_LOG
     for i, chunk in enumerate(_two_chunks(log, "updated_at", fx.ntz(FLUSH_CUT))):
         chunk.write.parquet(f"{work}/in/chunk={i}")

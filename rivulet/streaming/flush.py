@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from rivulet.operators.checkpoints import flush_rows, merge_checkpoints, upsert_checkpoints
 from rivulet.schemas import CHECKPOINT_LOG, CHECKPOINTS
+from rivulet.functions.expr import utc_now
 from rivulet.session import materialize
 from rivulet.sources.tables import BUCKET, overwrite_buckets, touched
 
@@ -58,7 +59,6 @@ def run_flush(spark: SparkSession, log_source: str, state_path: str, table_path:
               trigger: dict | None = None, fmt: str = "parquet"):
     log = spark.readStream.schema(CHECKPOINT_LOG).format(fmt).load(log_source)
     writer = make_flush_writer(state_path, table_path,
-                               now_fn or (lambda _bid: F.current_timestamp()
-                                          .cast("timestamp_ntz")))
+                               now_fn or (lambda _bid: utc_now()))
     return (log.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint_dir)
             .trigger(**(trigger or {"availableNow": True})).start())

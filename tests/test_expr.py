@@ -41,6 +41,20 @@ def test_normalize_deleted_author_and_text(spark):
     assert rows[0].timestamp == "2024-01-01T00:00:00.000000Z"
     live = expr.normalize(df).select("timestamp").first()[0]
     assert live.endswith("Z") and "T" in live and "+" not in live
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    stamped = dt.datetime.fromisoformat(live.rstrip("Z"))
+    assert abs((stamped - now).total_seconds()) < 120          # naive UTC, not local time
+
+
+def test_utc_now_ignores_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        got = spark.range(1).select(expr.utc_now()).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    assert abs((got - now).total_seconds()) < 120
 
 
 def test_validate_edge_cases(spark):

@@ -28,6 +28,12 @@ def read_comments(spark: SparkSession, path: str | None = None, fmt: str = "parq
     reader = spark.readStream if streaming else spark.read
     opts = dict(options or {})
     if fmt == "kafka":
+        # O2 in Kafka form: a new query starts at the end of the topic (skip what existed
+        # before the session); a restarted query resumes from its own checkpoint.
+        opts.setdefault("startingOffsets", "latest")
+        if not streaming:
+            opts["startingOffsets"] = options.get("startingOffsets", "earliest") \
+                if options else "earliest"
         df = reader.format("kafka").options(**opts).load()
         df = df.select(F.from_json(F.col("value").cast("string"), COMMENT).alias("c")) \
                .select("c.*")
@@ -110,13 +116,14 @@ def kafka_options(bootstrap: str, topic: str, security_protocol: str = "PLAINTEX
 
 
 def write_messages(batch: DataFrame, target: str, fmt: str = "json",
-                   options: dict | None = None) -> None:
-    """O3 for one micro-batch: value-only records to a topic (no key, no headers) or
-    message rows to files. Called from ``foreachBatch``; file targets are written under a
-    per-batch folder so a replayed batch overwrites instead of duplicating."""
+                   options: dict | None = None, value_format: str = "json") -> None:
+    """O3 for one micro-batch: value-only records to a topic (no key, no headers, so the
+    broker spreads them over partitions) or message rows to files. Called from
+    ``foreachBatch``; file targets are written under a per-batch folder so a replayed
+    batch overwrites instead of duplicating (a topic gets at-least-once delivery)."""
     if fmt == "kafka":
-        (encode_message(batch, "json").write.format("kafka").options(**(options or {}))
-         .save())
+        (encode_message(batch, value_format).write.format("kafka")
+         .options(**(options or {})).save())
     else:
         batch.write.mode("overwrite").format(fmt).options(**(options or {})).save(target)
 

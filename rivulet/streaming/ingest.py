@@ -3,7 +3,8 @@
 comments (O1) -> registry lookup (O15; unregistered channels are not ingested)
 -> start position (O2) -> skip processed (O16) -> normalize (O7) -> validate (O8)
 -> split (O9): messages encoded (O5) and written (O3); invalid rows to the error sink (O4)
--> every-N checkpoints (O24) with the per-stream counter carried across micro-batches.
+-> every-N checkpoints (O24) with the per-stream counter carried across micro-batches
+-> one 'active' status event per stream and batch (the status log O26 reads).
 
 ``foreachBatch`` writes every output under ``batch_id=N`` folders with overwrite, so a
 batch replayed after a failure rewrites the same files instead of adding duplicates. The
@@ -49,7 +50,8 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
                       session_start: Column, every: int = CHECKPOINT_EVERY,
                       ts_col: str | None = "arrival_ts", fmt: str = "json",
-                      sink_options: dict | None = None) -> Callable[[DataFrame, int], None]:
+                      sink_options: dict | None = None,
+                      instance_id: str = "spark") -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         validated = prepare(batch, streams, checkpoints, session_start, ts_col).persist()
@@ -75,6 +77,11 @@ def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
              .select("stream_id", F.col("comment_id").alias("last_comment_id"),
                      F.col("arrival_ts").alias("last_processed_at"), "n_processed")
              .write.mode("overwrite").parquet(f"{out}/checkpoints/batch_id={batch_id}"))
+            (validated.groupBy("stream_id")
+             .agg(F.max("arrival_ts").alias("ts"))
+             .select("stream_id", F.lit(batch_id).cast("long").alias("seq"), "ts",
+                     F.lit("active").alias("status"), F.lit(instance_id).alias("instance_id"))
+             .write.mode("overwrite").parquet(f"{out}/status/batch_id={batch_id}"))
             counts = msgs.groupBy("stream_id").agg(F.count(F.lit(1)).alias("_new"))
             (prior.join(counts, "stream_id", "full_outer")
              .select("stream_id", (F.coalesce(F.col("n_processed"), F.lit(0))

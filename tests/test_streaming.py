@@ -44,6 +44,9 @@ def test_replayed_batch_writes_no_duplicates_and_counter_carries(spark):
     # successes 0..19 without 7: the 4th, 8th, ... across both batches
     assert got == [("0003", 4), ("0008", 8), ("0012", 12), ("0016", 16)]
     assert spark.read.parquet(f"{out}/messages").where(F.col("author_id") == "[deleted]").count() == 4
+    from rivulet.operators.registry import current_streams
+    status = current_streams(spark.read.parquet(f"{out}/status").drop("batch_id")).collect()
+    assert [(r.stream_id, r.status, r.instance_id) for r in status] == [("s-a", "active", "spark")]
 
 
 def test_error_lists_stream_emits_closed_lists_like_batch(spark):

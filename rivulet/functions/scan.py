@@ -127,7 +127,9 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
                              F.col("_b").alias("_kb"), *cols)
 
     cond = [F.col(k) == F.col(f"_k_{i}") for i, k in enumerate(keys)]
-    joined = local.join(summary, cond + [F.col("_b") == F.col("_kb")], "inner")
+    # Every row has its bucket's summary row, so a left join equals an inner one; it keeps
+    # the two branches identical (no inferred filter), letting Spark reuse the shuffle.
+    joined = local.join(summary, cond + [F.col("_b") == F.col("_kb")], "left")
     out_cols = [F.col(c) for c in df.columns]
     out_cols.append((F.col("_rn0") + F.col("_lrn")).alias(rn))
     for name in sums:

@@ -98,15 +98,19 @@ def error_count(errors: DataFrame, as_of: Column, ttl: str = ERROR_TTL,
 def recent_errors(errors: DataFrame, as_of: Column, limit: int = RECENT_LIMIT,
                   ttl: str = ERROR_TTL, key: str = "stream_id", ts: str = "ts",
                   seq: str = "seq") -> DataFrame:
-    """Newest ``limit`` entries of each stream's live list as of ``as_of``."""
+    """Newest ``limit`` entries of each stream's live list as of ``as_of``.
+
+    Only a stream's newest list can be live, so one scan suffices: the newest ``limit``
+    rows per stream (a partial top-n before the shuffle), then, over those few rows, keep
+    the ones in the newest row's list when that list has not expired."""
     tagged = with_lists(errors.where(F.col(ts) <= as_of), ttl, key, ts, seq)
-    live = (tagged.groupBy(key, "list_no").agg(F.max(ts).alias("_last"))
-            .where(F.col("_last") + F.expr(f"INTERVAL {ttl}") >= as_of)
-            .select(key, "list_no"))
-    rows = tagged.join(live, [key, "list_no"], "left_semi")
     w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(seq).desc())
-    return (rows.withColumn("position", F.row_number().over(w))
-            .where(F.col("position") <= limit)
+    top = tagged.withColumn("position", F.row_number().over(w)).where(
+        F.col("position") <= limit)
+    head = (top.withColumn("_head_list", F.first("list_no").over(w))
+            .withColumn("_head_ts", F.first(ts).over(w)))
+    return (head.where((F.col("list_no") == F.col("_head_list"))
+                       & (F.col("_head_ts") + F.expr(f"INTERVAL {ttl}") >= as_of))
             .select(*errors.columns, F.col("position").cast("long").alias("position")))
 
 

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from rivulet.plans import fixtures as fx
 from rivulet.schemas import COMMENT
 from rivulet.session import new_work_dir
-from rivulet.sources.tables import read_table
-from rivulet.streaming.flush import make_flush_writer
 from rivulet.streaming.ingest import run_ingest
 
 SESSION_START = "2024-01-01 05:00:00"
@@ -58,15 +56,15 @@ def ingest_checkpoints(spark: SparkSession, d: str) -> DataFrame:
 
 def flush_stream(spark: SparkSession, d: str) -> DataFrame:
     """Durable checkpoint table after two periodic flushes of the checkpoint log."""
+    from rivulet.schemas import CHECKPOINT_LOG
+    from rivulet.streaming.flush import durable_table, make_flush_writer, seed_table
     work = new_work_dir(spark, "flush")
-    from rivulet.sources.tables import overwrite_buckets
-    overwrite_buckets(fx.checkpoint_table(spark, d), f"{work}/table", "stream_id")
+    seed_table(fx.checkpoint_table(spark, d), f"{work}/table")
     log = fx.checkpoint_log(spark, d)
     writer = make_flush_writer(
-        f"{work}/state", f"{work}/table",
+        f"{work}/table",
         lambda bid: F.lit((FLUSH_NOW + dt.timedelta(hours=bid)).isoformat(sep=" "))
         .cast("timestamp_ntz"))
-    from rivulet.schemas import CHECKPOINT_LOG
     for i, chunk in enumerate(_two_chunks(log, "updated_at", fx.ntz(FLUSH_CUT))):
         chunk.write.parquet(f"{work}/in/chunk={i}")
         q = (spark.readStream.schema(CHECKPOINT_LOG).parquet(f"{work}/in/*")
@@ -75,8 +73,7 @@ def flush_stream(spark: SparkSession, d: str) -> DataFrame:
         q.awaitTermination()
         if q.exception():
             raise q.exception()
-    from rivulet.schemas import CHECKPOINTS
-    return read_table(spark, f"{work}/table", CHECKPOINTS).drop("bucket")
+    return durable_table(spark, f"{work}/table")
 
 
 def circuit_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -60,7 +60,7 @@ LEASE_LOG = _st(("subreddit", S, False), ("instance_id", S, False), ("seq", L, F
 
 # Number of hash buckets used as the partition column of the keyed tables; it plays the
 # role of the reference's secondary indexes (partition pruning on the key).
-TABLE_BUCKETS = 64
+TABLE_BUCKETS = 16
 
 # The three durable tables. Defaults and uniqueness are enforced by the writers.
 DDL = {

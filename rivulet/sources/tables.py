@@ -43,10 +43,12 @@ def touched(spark: SparkSession, path: str, schema: T.StructType, keys: DataFram
     return read_table(spark, path, schema).join(tb, BUCKET, "left_semi")
 
 
-def overwrite_buckets(df: DataFrame, path: str, key: str,
-                      buckets: int = TABLE_BUCKETS) -> None:
-    """Replace exactly the buckets present in ``df`` (dynamic partition overwrite)."""
+def overwrite_buckets(df: DataFrame, path: str, key: str, buckets: int = TABLE_BUCKETS,
+                      stage: bool = True) -> None:
+    """Replace exactly the buckets present in ``df`` (dynamic partition overwrite).
+    ``stage=False`` only when ``df`` does not read the table being written."""
     data = df if BUCKET in df.columns else with_bucket(df, key, buckets)
-    data = materialize(data, "stage")
+    if stage:
+        data = materialize(data, "stage")
     (data.repartition(BUCKET).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))

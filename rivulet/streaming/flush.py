@@ -3,9 +3,10 @@
 Each micro-batch (one flush interval) merges the new partial updates into the keyed
 "latest checkpoint" state (O25, last write wins per field), parses the touched rows
 (O10), skips the ones whose stamp does not parse and upserts the rest into the durable
-table (O17). Both tables are bucketed parquet; only touched buckets are rewritten.
-``trigger(processingTime="10 seconds")`` is the periodic form; one ``availableNow`` run
-is the final flush on shutdown.
+columns (O17). Both live in one bucketed parquet table keyed by stream (the ``raw_*``
+columns are the latest state, the others the durable row); only touched buckets are
+rewritten, once per batch. ``trigger(processingTime="10 seconds")`` is the periodic form;
+one ``availableNow`` run is the final flush on shutdown.
 """
 
 from __future__ import annotations
@@ -16,49 +17,77 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.operators.checkpoints import flush_rows, merge_checkpoints, upsert_checkpoints
-from rivulet.schemas import CHECKPOINT_LOG, CHECKPOINTS
 from rivulet.functions.expr import utc_now
-from rivulet.session import materialize
-from rivulet.sources.tables import BUCKET, overwrite_buckets, touched
+from rivulet.operators.checkpoints import flush_rows, merge_checkpoints
+from rivulet.schemas import CHECKPOINT_LOG, CHECKPOINTS
+from rivulet.sources.tables import BUCKET, overwrite_buckets, read_table, touched
+
+TABLE_SCHEMA = T.StructType(list(CHECKPOINTS.fields) + [
+    T.StructField("raw_last_comment_id", T.StringType()),
+    T.StructField("raw_last_processed_at", T.StringType()),
+    T.StructField("raw_updated_at", T.TimestampNTZType())])
+DURABLE = [f.name for f in CHECKPOINTS.fields]
+
+
+def seed_table(durable: DataFrame, table_path: str) -> None:
+    """Start the table from existing durable rows (no latest state yet)."""
+    rows = durable.select(*DURABLE, F.lit(None).cast("string").alias("raw_last_comment_id"),
+                          F.lit(None).cast("string").alias("raw_last_processed_at"),
+                          F.lit(None).cast("timestamp_ntz").alias("raw_updated_at"))
+    overwrite_buckets(rows, table_path, "stream_id", stage=False)
+
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("stream_id", T.StringType()), T.StructField("last_comment_id", T.StringType()),
-    T.StructField("last_processed_at", T.StringType()),
-    T.StructField("updated_at", T.TimestampNTZType())])
+def durable_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The durable checkpoint rows (streams flushed at least once)."""
+    return read_table(spark, table_path, TABLE_SCHEMA).where(F.col("id").isNotNull()).select(
+        *DURABLE)
 
 
-def make_flush_writer(state_path: str, table_path: str,
+def make_flush_writer(table_path: str,
                       now_fn: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = now_fn(batch_id)
         keys = batch.select("stream_id").distinct()
-        old = touched(spark, state_path, STATE_SCHEMA, keys, "stream_id").drop(BUCKET)
+        cur = touched(spark, table_path, TABLE_SCHEMA, keys, "stream_id").drop(BUCKET)
         # The stored state re-enters the merge as the oldest update of its stream.
-        as_log = old.select("stream_id", F.lit(-1).cast("long").alias("seq"), "updated_at",
-                            "last_comment_id", "last_processed_at")
-        # Materialized before any write: the state files it was read from get replaced.
-        merged_all = materialize(merge_checkpoints(as_log.unionByName(
-            batch.select("stream_id", "seq", "updated_at", "last_comment_id",
-                         "last_processed_at"))), "flush-merged")
-        changed = merged_all.join(keys, "stream_id", "left_semi")
-        kept = old.join(keys, "stream_id", "left_anti")
-        overwrite_buckets(kept.unionByName(merged_all.select(*STATE_SCHEMA.fieldNames())),
-                          state_path, "stream_id")
-        flushed = flush_rows(changed, now)
-        table_old = touched(spark, table_path, CHECKPOINTS, flushed.select("stream_id"),
-                            "stream_id").drop(BUCKET)
-        upserted = upsert_checkpoints(table_old, flushed, now).drop("change")
-        overwrite_buckets(upserted, table_path, "stream_id")
+        old = (cur.where(F.col("raw_updated_at").isNotNull())
+               .select("stream_id", F.lit(-1).cast("long").alias("seq"),
+                       F.col("raw_updated_at").alias("updated_at"),
+                       F.col("raw_last_comment_id").alias("last_comment_id"),
+                       F.col("raw_last_processed_at").alias("last_processed_at")))
+        merged = merge_checkpoints(old.unionByName(batch.select(*CHECKPOINT_LOG.fieldNames())))
+        flushed = flush_rows(merged, now)
+        m = merged.select(F.col("stream_id").alias("_m_sid"),
+                          F.col("last_comment_id").alias("_m_lci"),
+                          F.col("last_processed_at").alias("_m_lpa"),
+                          F.col("updated_at").alias("_m_upd"))
+        f = flushed.select(F.col("stream_id").alias("_f_sid"),
+                           *[F.col(c).alias(f"_f_{c}") for c in
+                             ("id", "last_comment_id", "last_processed_at", "updated_at")])
+        j = (cur.join(m, cur["stream_id"] == m["_m_sid"], "full_outer")
+             .join(f, F.coalesce(cur["stream_id"], m["_m_sid"]) == f["_f_sid"], "left"))
+        has_m, has_f = F.col("_m_sid").isNotNull(), F.col("_f_sid").isNotNull()
+        new = j.select(
+            F.when(has_f, F.coalesce(F.col("id"), F.col("_f_id"))).otherwise(F.col("id"))
+            .alias("id"),
+            F.coalesce(F.col("stream_id"), F.col("_m_sid")).alias("stream_id"),
+            *[F.when(has_f, F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c)
+              for c in ("last_comment_id", "last_processed_at", "updated_at")],
+            F.when(has_m, F.col("_m_lci")).otherwise(F.col("raw_last_comment_id"))
+            .alias("raw_last_comment_id"),
+            F.when(has_m, F.col("_m_lpa")).otherwise(F.col("raw_last_processed_at"))
+            .alias("raw_last_processed_at"),
+            F.when(has_m, F.col("_m_upd")).otherwise(F.col("raw_updated_at"))
+            .alias("raw_updated_at"))
+        overwrite_buckets(new, table_path, "stream_id")
     return write
 
 
-def run_flush(spark: SparkSession, log_source: str, state_path: str, table_path: str,
-              checkpoint_dir: str, now_fn: Callable[[int], Column] | None = None,
-              trigger: dict | None = None, fmt: str = "parquet"):
+def run_flush(spark: SparkSession, log_source: str, table_path: str, checkpoint_dir: str,
+              now_fn: Callable[[int], Column] | None = None, trigger: dict | None = None,
+              fmt: str = "parquet"):
     log = spark.readStream.schema(CHECKPOINT_LOG).format(fmt).load(log_source)
-    writer = make_flush_writer(state_path, table_path,
-                               now_fn or (lambda _bid: utc_now()))
+    writer = make_flush_writer(table_path, now_fn or (lambda _bid: utc_now()))
     return (log.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint_dir)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -23,11 +23,12 @@ COMMENT_ERROR_TYPE = "CommentProcessingError"
 # Text form of a processing-time stamp: naive UTC, microseconds, trailing Z.
 ISO_Z_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
-# Accepted ISO-8601 grammar (extended calendar form): date, optional 'T' or ' ' and time
-# HH[:MM[:SS[.f+]]], optional UTC offset after a time. Groups: 1-3 date, 4-7 time parts.
-# Basic forms (20240105, T1000), week dates and other separators are not accepted.
+# Accepted ISO-8601 grammar (extended calendar form): date, then optionally any single
+# separator character and time HH[:MM[:SS[.f+]]], optional UTC offset after a time.
+# Groups: 1-3 date, 4-7 time parts. Basic forms (20240105, T1000) and week dates are not
+# accepted.
 ISO_PATTERN = (r"^(\d{4})-(\d{2})-(\d{2})"
-               r"(?:[T ]([01]\d|2[0-3])(?::([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,6})\d*)?)?)?"
+               r"(?:.([01]\d|2[0-3])(?::([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,6})\d*)?)?)?"
                r"(?:[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:\.\d{1,6})?)?)?)?)?$")
 
 

@@ -74,3 +74,45 @@ def test_error_lists_stream_emits_closed_lists_like_batch(spark):
     want = sorted((r.stream_id, r.list_start, r.n_pushed) for r in error_lists(df).collect()
                   if r.expires_at < watermark)
     assert got == want and len(want) >= 4
+
+
+def test_crash_after_write_before_commit_replays_exactly_once(spark):
+    """The query dies after batch 1's outputs are written but before Spark commits the
+    batch; the restarted query replays batch 1 from its checkpoint and the outputs are
+    the same as one clean run (no loss, no duplicates, counters not double-counted)."""
+    from rivulet.schemas import COMMENT as COMMENT_SCHEMA
+    from rivulet.sources.io import read_comments
+    work = new_work_dir(spark, "crash")
+    streams, cks = _setup(spark)
+    write = make_batch_writer(f"{work}/out", streams, cks, ntz("2024-01-01 05:00:00"), every=4)
+    crashed = {"done": False}
+
+    def flaky(df, batch_id):
+        write(df, batch_id)
+        if batch_id == 1 and not crashed["done"]:
+            crashed["done"] = True
+            raise RuntimeError("simulated executor loss before commit")
+
+    def run():
+        src = read_comments(spark, f"{work}/in/*", streaming=True)
+        q = (src.writeStream.foreachBatch(flaky).option("checkpointLocation", f"{work}/q")
+             .trigger(availableNow=True).start())
+        try:
+            q.awaitTermination()
+        except Exception:
+            pass
+        return q
+
+    _batch(spark, 0, 10).select(*COMMENT_SCHEMA.fieldNames()).write.parquet(f"{work}/in/c=0")
+    run()
+    _batch(spark, 10, 20).select(*COMMENT_SCHEMA.fieldNames()).write.parquet(f"{work}/in/c=1")
+    assert run().exception() is not None and crashed["done"]
+    run()                                            # restart: batch 1 is replayed
+    msgs = spark.read.parquet(f"{work}/out/messages")
+    assert msgs.count() == 19 and msgs.select("comment_id").distinct().count() == 19
+    got = sorted((r.last_comment_id, r.n_processed)
+                 for r in spark.read.parquet(f"{work}/out/checkpoints").collect())
+    assert got == [("0003", 4), ("0008", 8), ("0012", 12), ("0016", 16)]
+    counters = {r.stream_id: r.n_processed
+                for r in spark.read.parquet(f"{work}/out/counters/batch_id=1").collect()}
+    assert counters == {"s-a": 19}

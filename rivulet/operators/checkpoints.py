@@ -103,3 +103,10 @@ def upsert_checkpoints(table: DataFrame, updates: DataFrame, now: Column) -> Dat
 def flush_checkpoints(log: DataFrame, table: DataFrame, now: Column) -> DataFrame:
     """O28 end to end (batch): merge the log, parse, skip bad rows, upsert."""
     return upsert_checkpoints(table, flush_rows(merge_checkpoints(log), now), now)
+
+
+def flush_checkpoint(log: DataFrame, table: DataFrame, now: Column, stream_id: str) -> DataFrame:
+    """O28 single-stream variant (flush on stop): the same merge, parse and upsert for one
+    stream; the filter reaches the scan, other streams' rows are left as they are."""
+    one = log.where(F.col("stream_id") == F.lit(stream_id))
+    return upsert_checkpoints(table, flush_rows(merge_checkpoints(one), now), now)

@@ -86,3 +86,13 @@ def test_start_position_and_skip_processed(spark):
     sk = ck.skip_processed(comments, cks)
     # equality only: "3" < "4" stays, only "4" is dropped
     assert sorted(r.comment_id for r in sk.collect()) == ["1", "2", "3", "5"]
+
+
+def test_flush_single_stream_on_stop(spark):
+    old = dt.datetime(2023, 12, 31)
+    table = _table(spark, [("s1", "s1", "old", old, old), ("s2", "s2", "old", old, old)])
+    log = spark.createDataFrame([("s1", 1, T0, "new1", "2026-05-05T10:00:00Z"),
+                                 ("s2", 2, T0, "new2", "2026-05-05T10:00:00Z")], LOG)
+    rows = {r.stream_id: r for r in ck.flush_checkpoint(log, table, _now(), "s2").collect()}
+    assert rows["s2"].last_comment_id == "new2" and rows["s2"].change == "updated"
+    assert rows["s1"].last_comment_id == "old" and rows["s1"].change == "unchanged"

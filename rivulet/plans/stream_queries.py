@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rivulet.plans import fixtures as fx
 from rivulet.schemas import COMMENT
-from rivulet.session import new_work_dir
+from rivulet.session import new_work_dir, stream_session
 from rivulet.streaming.ingest import run_ingest
 
 SESSION_START = "2024-01-01 05:00:00"
@@ -24,6 +24,7 @@ def _two_chunks(df: DataFrame, ts: str, cut) -> list[DataFrame]:
 
 
 def _ingest(spark: SparkSession, d: str) -> str:
+    spark = stream_session(spark)
     work = new_work_dir(spark, "ingest")
     comments = fx.comments(spark, d).select(*COMMENT.fieldNames())
     lo, hi = comments.agg(F.min("arrival_ts"), F.max("arrival_ts")).first()
@@ -58,6 +59,7 @@ def flush_stream(spark: SparkSession, d: str) -> DataFrame:
     """Durable checkpoint table after two periodic flushes of the checkpoint log."""
     from rivulet.schemas import CHECKPOINT_LOG
     from rivulet.streaming.flush import durable_table, make_flush_writer, seed_table
+    caller, spark = spark, stream_session(spark)
     work = new_work_dir(spark, "flush")
     seed_table(fx.checkpoint_table(spark, d), f"{work}/table")
     log = fx.checkpoint_log(spark, d)
@@ -73,13 +75,14 @@ def flush_stream(spark: SparkSession, d: str) -> DataFrame:
         q.awaitTermination()
         if q.exception():
             raise q.exception()
-    return durable_table(spark, f"{work}/table")
+    return durable_table(caller, f"{work}/table")
 
 
 def circuit_stream(spark: SparkSession, d: str) -> DataFrame:
     """O30 streaming form: breaker state kept in the state store across micro-batches."""
     from rivulet.schemas import ATTEMPTS
     from rivulet.streaming.state import circuit_stream as _stream
+    caller, spark = spark, stream_session(spark)
     work = new_work_dir(spark, "breaker")
     att = fx.attempts(spark, d).select(*ATTEMPTS.fieldNames())
     for i, chunk in enumerate(_two_chunks(att, "ts", fx.ntz("2024-01-16 00:00:00"))):
@@ -91,4 +94,4 @@ def circuit_stream(spark: SparkSession, d: str) -> DataFrame:
         q.awaitTermination()
         if q.exception():
             raise q.exception()
-    return spark.read.parquet(f"{work}/out")
+    return caller.read.parquet(f"{work}/out")

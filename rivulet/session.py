@@ -69,3 +69,17 @@ def materialize(df, name: str):
     path = new_work_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A child session (same SparkContext, own SQL settings) for a streaming query.
+
+    A stateful query fixes its number of state partitions from
+    ``spark.sql.shuffle.partitions`` at its first start; one per core of the cluster
+    (``defaultParallelism``) keeps every state partition busy without hundreds of idle
+    tasks per micro-batch. The caller's session is left as it is."""
+    child = spark.newSession()
+    child.conf.set("spark.sql.shuffle.partitions",
+                   str(max(1, spark.sparkContext.defaultParallelism)))
+    child.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return child

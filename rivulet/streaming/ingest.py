@@ -49,9 +49,12 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
                       session_start: Column, every: int = CHECKPOINT_EVERY,
-                      ts_col: str | None = "arrival_ts", fmt: str = "json",
-                      sink_options: dict | None = None,
+                      ts_col: str | None = "arrival_ts", sink: str = "files",
+                      sink_options: dict | None = None, value_format: str = "json",
                       instance_id: str = "spark") -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of the ingest query. ``sink`` is ``files`` (message
+    rows as parquet under ``out/messages/batch_id=N``) or ``kafka`` (value-only records,
+    ``value_format`` json or avro, ``sink_options`` from ``sources.io.kafka_options``)."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         validated = prepare(batch, streams, checkpoints, session_start, ts_col).persist()
@@ -59,8 +62,8 @@ def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
             good, bad = split(validated, stream_col="stream_id")
             msgs = good.select("stream_id", "comment_id", "subreddit", "author_id", "text",
                                "timestamp", "arrival_ts")
-            if fmt == "kafka":
-                io.write_messages(msgs, "", "kafka", sink_options)
+            if sink == "kafka":
+                io.write_messages(msgs, "", "kafka", sink_options, value_format)
             else:
                 io.write_messages(msgs.drop("arrival_ts"), f"{out}/messages/batch_id={batch_id}",
                                   "parquet")
@@ -103,8 +106,7 @@ def run_ingest(spark: SparkSession, source: str, out: str, checkpoint_dir: str,
     comments = io.read_comments(spark, source, fmt=fmt, streaming=True,
                                 max_files_per_trigger=max_files_per_trigger)
     writer = make_batch_writer(out, streams, checkpoints, session_start, every, ts_col,
-                               fmt="kafka" if sink == "kafka" else "files",
-                               sink_options=sink_options)
+                               sink=sink, sink_options=sink_options)
     return (comments.writeStream.foreachBatch(writer)
             .option("checkpointLocation", checkpoint_dir)
             .trigger(**(trigger or {"availableNow": True})).start())

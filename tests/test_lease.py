@@ -34,3 +34,21 @@ def test_conflicts_and_holders(spark):
     assert got == [("i1", 2, "i2"), ("i2", 1, "i1")]
     h = lease.holders(iv, ntz("2024-01-01 00:01:15")).collect()
     assert sorted((r.subreddit, r.instance_id) for r in h) == [("p", "i1"), ("q", "i2")]
+
+
+def test_conflicts_over_multi_hour_intervals_equal_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    rows, t = [], 0
+    for n in range(400):
+        t += rnd.choice([60, 600, 1800, 5400])
+        rows.append(("p", f"i{rnd.randint(0, 2)}", n, T0 + dt.timedelta(seconds=t),
+                     "release" if rnd.random() < 0.05 else "refresh"))
+    log = spark.createDataFrame(rows, SCHEMA)
+    iv = lease.lease_intervals(log, ttl="3 hours").drop("n_events")
+    assert iv.where("held_until - held_from > INTERVAL 5 HOURS").count() > 0
+    got = sorted(tuple(r) for r in lease.lease_conflicts(log, iv).collect())
+    ivs = [tuple(r) for r in iv.collect()]
+    want = sorted((s, i, n, ts, a, hi, hf, hu) for (s, i, n, ts, a) in rows
+                  for (hs, hi, hf, hu) in ivs if hs == s and hf <= ts < hu and hi != i)
+    assert got == want and len(want) > 0

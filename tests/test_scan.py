@@ -19,9 +19,13 @@ def _data(n=3000, seed=7):
     return rows
 
 
-def test_keyed_scan_matches_plain_window(spark):
+import pytest
+
+
+@pytest.mark.parametrize("unit", ["MINUTE", "HOUR", "DAY"])
+def test_keyed_scan_matches_plain_window(spark, unit):
     df = spark.createDataFrame(_data(), "k string, seq long, ts timestamp_ntz, flag boolean")
-    got = keyed_scan(df, ["k"], "ts", ["seq"], unit="HOUR",
+    got = keyed_scan(df, ["k"], "ts", ["seq"], unit=unit,
                      sums={"cum": F.col("flag").cast("long")},
                      maxes={"mx": F.col("seq")}, gap="90 minutes",
                      last_where={"last_flag": F.col("flag")})

@@ -4,7 +4,8 @@ comments (O1) -> registry lookup (O15; unregistered channels are not ingested)
 -> start position (O2) -> skip processed (O16) -> normalize (O7) -> validate (O8)
 -> split (O9): messages encoded (O5) and written (O3); invalid rows to the error sink (O4)
 -> every-N checkpoints (O24) with the per-stream counter carried across micro-batches
--> one 'active' status event per stream and batch (the status log O26 reads).
+-> one 'active' status event per stream and batch; 'starting' when the query starts and
+   'stopped' / 'error' when it ends (``finish_ingest``): the status log O26 reads.
 
 ``foreachBatch`` writes every output under ``batch_id=N`` folders with overwrite, so a
 batch replayed after a failure rewrites the same files instead of adding duplicates. The
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rivulet.functions.expr import normalize, validate
+from rivulet.functions.expr import normalize, utc_now, validate
 from rivulet.functions.scan import keyed_scan
 from rivulet.operators.checkpoints import CHECKPOINT_EVERY, skip_processed, start_position
 from rivulet.operators.errors import split
@@ -28,6 +29,16 @@ from rivulet.operators.registry import lookup
 from rivulet.sources import io
 
 COUNTER_SCHEMA = "stream_id string, n_processed long"
+# Order of lifecycle events among a run's status rows (ties on time are broken by seq).
+FIRST_SEQ, LAST_SEQ = -1, 1 << 62
+
+
+def status_events(streams: DataFrame, status: str, instance_id: str, seq: int) -> DataFrame:
+    """Status-log rows (stream_id, seq, ts, status, instance_id) for every registered
+    stream, stamped with the processing time in naive UTC."""
+    return streams.select(F.col("id").alias("stream_id"), F.lit(seq).cast("long").alias("seq"),
+                          utc_now().alias("ts"), F.lit(status).alias("status"),
+                          F.lit(instance_id).alias("instance_id"))
 
 
 def prepare(comments: DataFrame, streams: DataFrame, checkpoints: DataFrame,
@@ -80,10 +91,10 @@ def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
              .select("stream_id", F.col("comment_id").alias("last_comment_id"),
                      F.col("arrival_ts").alias("last_processed_at"), "n_processed")
              .write.mode("overwrite").parquet(f"{out}/checkpoints/batch_id={batch_id}"))
-            (validated.groupBy("stream_id")
-             .agg(F.max("arrival_ts").alias("ts"))
-             .select("stream_id", F.lit(batch_id).cast("long").alias("seq"), "ts",
-                     F.lit("active").alias("status"), F.lit(instance_id).alias("instance_id"))
+            (validated.select("stream_id").distinct()
+             .select("stream_id", F.lit(batch_id).cast("long").alias("seq"),
+                     utc_now().alias("ts"), F.lit("active").alias("status"),
+                     F.lit(instance_id).alias("instance_id"))
              .write.mode("overwrite").parquet(f"{out}/status/batch_id={batch_id}"))
             counts = msgs.groupBy("stream_id").agg(F.count(F.lit(1)).alias("_new"))
             (prior.join(counts, "stream_id", "full_outer")
@@ -100,13 +111,25 @@ def run_ingest(spark: SparkSession, source: str, out: str, checkpoint_dir: str,
                trigger: dict | None = None, fmt: str = "parquet",
                every: int = CHECKPOINT_EVERY, ts_col: str | None = "arrival_ts",
                max_files_per_trigger: int | None = None, sink: str = "files",
-               sink_options: dict | None = None):
+               sink_options: dict | None = None, instance_id: str = "spark"):
     """Start the ingest query. ``trigger`` defaults to ``availableNow`` (process what is
-    there, then stop); pass ``{"processingTime": "10 seconds"}`` for a continuous run."""
+    there, then stop); pass ``{"processingTime": "10 seconds"}`` for a continuous run.
+    Registered streams get a 'starting' status event under ``out/status/batch_id=start``."""
+    (status_events(streams, "starting", instance_id, FIRST_SEQ)
+     .write.mode("append").parquet(f"{out}/status/batch_id=start"))
     comments = io.read_comments(spark, source, fmt=fmt, streaming=True,
                                 max_files_per_trigger=max_files_per_trigger)
     writer = make_batch_writer(out, streams, checkpoints, session_start, every, ts_col,
-                               sink=sink, sink_options=sink_options)
+                               sink=sink, sink_options=sink_options, instance_id=instance_id)
     return (comments.writeStream.foreachBatch(writer)
             .option("checkpointLocation", checkpoint_dir)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def finish_ingest(query, out: str, streams: DataFrame, instance_id: str = "spark") -> str:
+    """After the query ended: 'error' for every registered stream if it failed, else
+    'stopped'. Returns the status written."""
+    status = "error" if query.exception() is not None else "stopped"
+    (status_events(streams, status, instance_id, LAST_SEQ)
+     .write.mode("append").parquet(f"{out}/status/batch_id=end"))
+    return status

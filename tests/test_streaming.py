@@ -116,3 +116,24 @@ def test_crash_after_write_before_commit_replays_exactly_once(spark):
     counters = {r.stream_id: r.n_processed
                 for r in spark.read.parquet(f"{work}/out/counters/batch_id=1").collect()}
     assert counters == {"s-a": 19}
+
+
+def test_status_log_lifecycle_read_by_current_streams(spark):
+    from rivulet.operators.registry import current_streams
+    from rivulet.schemas import COMMENT as COMMENT_SCHEMA
+    from rivulet.streaming.ingest import finish_ingest, run_ingest
+    work = new_work_dir(spark, "life")
+    streams, cks = _setup(spark)
+    _batch(spark, 0, 5).select(*COMMENT_SCHEMA.fieldNames()).write.parquet(f"{work}/in/c=0")
+    q = run_ingest(spark, f"{work}/in/*", f"{work}/out", f"{work}/q", streams, cks,
+                   ntz("2024-01-01 05:00:00"), instance_id="i1")
+    q.awaitTermination()
+    log = spark.read.parquet(f"{work}/out/status").select(
+        "stream_id", "seq", "ts", "status", "instance_id")
+    assert [r.status for r in current_streams(log).collect()] == ["active"]
+    assert finish_ingest(q, f"{work}/out", streams, "i1") == "stopped"
+    log = spark.read.parquet(f"{work}/out/status").select(
+        "stream_id", "seq", "ts", "status", "instance_id")
+    got = [(r.stream_id, r.status, r.instance_id) for r in current_streams(log).collect()]
+    assert got == [("s-a", "stopped", "i1")]
+    assert sorted(r.status for r in log.collect()) == ["active", "starting", "stopped"]

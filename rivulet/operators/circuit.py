@@ -49,7 +49,7 @@ TIMELINE_SCHEMA = ("stream_id long, attempt_id long, state string, admitted bool
 
 # Per-row breaker state as carried between the parallel passes.
 _STATE_COLS = ["state", "failure_count", "success_count", "backoff_seconds", "last_failure_us"]
-_ROW_SCHEMA = ("stream_id long, bucket long, blk long, attempt_id long, ts timestamp_ntz, "
+_ROW_SCHEMA = ("stream_id long, bucket long, attempt_id long, ts timestamp_ntz, "
                "failed boolean, suggested long, state string, admitted boolean, "
                "failure_count long, success_count long, backoff_seconds long, "
                "last_failure_us long")
@@ -124,7 +124,7 @@ class _Order:
 
 
 def _frame(pdf, rows):
-    out = pdf.iloc[:len(rows)][["stream_id", "bucket", "blk", "attempt_id", "ts", "failed",
+    out = pdf.iloc[:len(rows)][["stream_id", "bucket", "attempt_id", "ts", "failed",
                                 "suggested"]].reset_index(drop=True)
     out["state"] = [r[0] for r in rows]
     out["admitted"] = np.array([r[1] for r in rows], dtype=bool)
@@ -214,7 +214,6 @@ def _records(records):
     out = pd.DataFrame({
         "stream_id": [int(r[0]["stream_id"]) for r in records],
         "bucket": [r[1] for r in records],
-        "blk": [int(r[0]["blk"]) for r in records],
         "attempt_id": pd.array([None] * len(records), dtype="Int64"),
         "ts": [r[0]["ts"] for r in records],
         "failed": False, "suggested": 0,
@@ -319,7 +318,6 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
     bucket = time_bucket("ts", unit)
     prepared = attempts.select(
         F.col("stream_id").cast("long").alias("stream_id"), bucket.alias("bucket"),
-        bucket.alias("blk"),
         F.col("attempt_id").cast("long").alias("attempt_id"), "ts",
         F.col("error_type").isNotNull().alias("failed"),
         suggested_backoff("error_type").alias("suggested"))
@@ -329,9 +327,9 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
 
     last = F.struct(*[F.col(c) for c in _STATE_COLS])
     c0 = _c0(recovery)
-    buckets = (spec.groupBy(*keys, "blk")
+    buckets = (spec.groupBy(*keys)
                .agg(F.max_by(last, F.struct(*order)).alias("x"))
-               .select(*keys, "blk", *[F.col(f"x.{c}").alias(f"s_{c}") for c in _STATE_COLS],
+               .select(*keys, *[F.col(f"x.{c}").alias(f"s_{c}") for c in _STATE_COLS],
                        *[F.col(f"x.{c}").alias(f"x_{c}") for c in _STATE_COLS],
                        *[v.alias(f"a_{c}") for c, v in c0.items()]))
     buckets = materialize(buckets, "breaker-buckets")
@@ -346,7 +344,7 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
         entries = buckets.select("*", *[F.when(has_prev, F.lag(f"x_{c}").over(w))
                                         .otherwise(c0[c]).alias(f"e_{c}") for c in _STATE_COLS])
         dirty = materialize(entries.where(~_norm_col("e_").eqNullSafe(_norm_col("a_"))).select(
-            *keys, "blk", *[f"e_{c}" for c in _STATE_COLS]), "breaker-dirty")
+            *keys, *[f"e_{c}" for c in _STATE_COLS]), "breaker-dirty")
         if dirty.isEmpty():
             dirty = None
             break
@@ -355,13 +353,9 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
             stats.setdefault("dirty", []).append(
                 [tuple(r) for r in dirty.orderBy("stream_id", "bucket").limit(6).collect()]
                 + [dirty.count()])
-        first = dirty.groupBy("stream_id", "blk").agg(F.min("bucket").alias("_b0"))
-        starts = dirty.join(first.withColumnRenamed("_b0", "bucket"),
-                            ["stream_id", "blk", "bucket"], "left_semi")
-        todo = (spec.join(starts.withColumnRenamed("bucket", "_b0"), ["stream_id", "blk"])
-                .where(F.col("bucket") >= F.col("_b0")).drop("_b0"))
-        res = materialize(_grouped(todo, ["stream_id", "blk"], order, _resimulate(params),
-                                   _RESIM_SCHEMA), "breaker-resim")
+        todo = spec.join(dirty, keys, "inner")
+        res = materialize(_grouped(todo, keys, order, _resimulate(params), _RESIM_SCHEMA),
+                          "breaker-resim")
         recs = res.where(F.col("kind") == "bucket")
         corrections = materialize(
             corrections.join(recs.select(*keys), keys, "left_anti")
@@ -372,7 +366,7 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
         nb = buckets.join(upd, keys, "left")
         hit = F.col("converged").isNotNull()
         buckets = nb.select(
-            *keys, "blk", *[F.col(f"s_{c}") for c in _STATE_COLS],
+            *keys, *[F.col(f"s_{c}") for c in _STATE_COLS],
             *[F.when(hit & ~F.col("converged"), F.col(f"n_{c}"))
               .when(hit, F.col(f"s_{c}")).otherwise(F.col(f"x_{c}")).alias(f"x_{c}")
               for c in _STATE_COLS],
@@ -385,7 +379,7 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
         stats["completed_sequentially"] = True
         first = dirty.groupBy("stream_id").agg(F.min("bucket").alias("_b0"))
         start = dirty.join(first.withColumnRenamed("_b0", "bucket"), ["stream_id", "bucket"],
-                           "left_semi").drop("bucket", "blk")
+                           "left_semi").drop("bucket")
         rest = (spec.join(first, "stream_id").where(F.col("bucket") >= F.col("_b0"))
                 .drop("_b0").join(start, "stream_id"))
         seq = _grouped(rest, ["stream_id"], order, _sequential(params),
@@ -413,7 +407,6 @@ def circuit_timeline_sequential(attempts: DataFrame, threshold: int = FAILURE_TH
     params = (threshold, recovery, successes, mult, cap)
     prepared = attempts.select(
         F.col("stream_id").cast("long").alias("stream_id"), F.lit(0).cast("long").alias("bucket"),
-        F.lit(0).cast("long").alias("blk"),
         F.col("attempt_id").cast("long").alias("attempt_id"), "ts",
         F.col("error_type").isNotNull().alias("failed"),
         suggested_backoff("error_type").alias("suggested"),

@@ -63,12 +63,21 @@ def new_work_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, with_path: bool = False):
     """Cut lineage by writing ``df`` as a table in the shared work folder and reading it
     back (one job; survives executor loss, unlike a cache)."""
     path = new_work_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (out, path) if with_path else out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder this library wrote (staging tables, superseded snapshots) through
+    the Hadoop file system of the path, so it works on cluster storage too."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stream_session(spark: SparkSession) -> SparkSession:

@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from rivulet.functions.expr import bucket_of
 from rivulet.schemas import TABLE_BUCKETS
-from rivulet.session import materialize
+from rivulet.session import delete_path, materialize
 
 BUCKET = "bucket"
 
@@ -47,7 +47,10 @@ def overwrite_buckets(df: DataFrame, path: str, key: str, buckets: int = TABLE_B
     """Replace exactly the buckets present in ``df`` (dynamic partition overwrite).
     ``stage=False`` only when ``df`` does not read the table being written."""
     data = df if BUCKET in df.columns else with_bucket(df, key, buckets)
+    staged = None
     if stage:
-        data = materialize(data, "stage")
+        data, staged = materialize(data, "stage", with_path=True)
     (data.repartition(BUCKET).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    if staged:
+        delete_path(df.sparkSession, staged)

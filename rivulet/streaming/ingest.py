@@ -26,6 +26,7 @@ from rivulet.functions.scan import keyed_scan
 from rivulet.operators.checkpoints import CHECKPOINT_EVERY, skip_processed, start_position
 from rivulet.operators.errors import split
 from rivulet.operators.registry import lookup
+from rivulet.session import delete_path
 from rivulet.sources import io
 
 COUNTER_SCHEMA = "stream_id string, n_processed long"
@@ -101,6 +102,8 @@ def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
              .select("stream_id", (F.coalesce(F.col("n_processed"), F.lit(0))
                                    + F.coalesce(F.col("_new"), F.lit(0))).alias("n_processed"))
              .write.mode("overwrite").parquet(f"{out}/counters/batch_id={batch_id}"))
+            if batch_id >= 2:  # a replay of this batch reads only batch_id - 1
+                delete_path(spark, f"{out}/counters/batch_id={batch_id - 2}")
         finally:
             validated.unpersist()
     return write

@@ -80,3 +80,16 @@ def test_keyed_table_overwrites_only_touched_buckets(spark):
     overwrite_buckets(new, f"{d}/t", "stream_id")
     got = {r.stream_id: r.last_comment_id for r in read_table(spark, f"{d}/t", schemas.CHECKPOINTS).collect()}
     assert len(got) == 50 and got["s1"] == "y" and got["s2"] == "x"
+
+
+def test_staging_tables_are_removed_after_overwrite(spark):
+    import os
+    from rivulet.session import work_root
+    from rivulet.sources.tables import overwrite_buckets
+    root = work_root(spark).replace("file:", "")
+    before = {n for n in os.listdir(root) if n.startswith("stage-")}
+    d = new_work_dir(spark, "tbl2")
+    t = spark.createDataFrame([("s1", "s1", "x", None, dt.datetime(2024, 1, 1))], schemas.CHECKPOINTS)
+    overwrite_buckets(t, f"{d}/t", "stream_id")
+    after = {n for n in os.listdir(root) if n.startswith("stage-")}
+    assert after == before

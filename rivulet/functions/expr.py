@@ -23,13 +23,22 @@ COMMENT_ERROR_TYPE = "CommentProcessingError"
 # Text form of a processing-time stamp: naive UTC, microseconds, trailing Z.
 ISO_Z_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
-# Accepted ISO-8601 grammar (extended calendar form): date, then optionally any single
-# separator character and time HH[:MM[:SS[.f+]]], optional UTC offset after a time.
-# Groups: 1-3 date, 4-7 time parts. Basic forms (20240105, T1000) and week dates are not
-# accepted.
+# Accepted ISO-8601 grammar (as Python's ``fromisoformat`` for calendar dates): date
+# YYYY-MM-DD or YYYYMMDD, then optionally any single separator character and a time
+# HH[:MM[:SS]] or HH[MM[SS]] with an optional fraction ([.,]digits, of a second) after the
+# last part, then an optional UTC offset written the same way. Colons are used throughout
+# a time (or offset) or not at all. Week dates are not accepted.
+# Basic forms are first rewritten to the extended form (the character after HHMM is kept
+# in the match, so a following colon stops the rewrite); ISO_PATTERN then reads groups
+# 1-3 (date) and 4-7 (hour, minute, second, fraction).
+BASIC_DATE = (r"^(\d{4})(\d{2})(\d{2})", "{1}-{2}-{3}")
+BASIC_HMS = (r"^(\d{4}-\d{2}-\d{2}.)(\d{2})(\d{2})(\d{2})", "{1}{2}:{3}:{4}")
+BASIC_HM = (r"^(\d{4}-\d{2}-\d{2}.)(\d{2})(\d{2})([^:\d]|$)", "{1}{2}:{3}{4}")
+_HH, _MS = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
+_OFFSET = rf"(?:[+-]{_HH}(?::{_MS}(?::{_MS})?|{_MS}(?:{_MS})?)?(?:[.,]\d+)?)"
 ISO_PATTERN = (r"^(\d{4})-(\d{2})-(\d{2})"
-               r"(?:.([01]\d|2[0-3])(?::([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,6})\d*)?)?)?"
-               r"(?:[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:\.\d{1,6})?)?)?)?)?$")
+               rf"(?:.({_HH[3:-1]})(?::({_MS})(?::({_MS}))?)?(?:[.,](\d{{1,6}})\d*)?"
+               rf"{_OFFSET}?)?$")
 
 
 def _col(c) -> Column:
@@ -51,6 +60,8 @@ def parse_naive_utc(text) -> Column:
     the text does not parse. The canonical text is cast straight to TIMESTAMP_NTZ, so the
     session zone plays no part."""
     s = F.regexp_replace(_col(text), "Z+$", "")
+    for pattern, repl in (BASIC_DATE, BASIC_HMS, BASIC_HM):
+        s = F.regexp_replace(s, pattern, repl.replace("{", "$").replace("}", ""))
     g = [F.regexp_extract(s, ISO_PATTERN, i) for i in range(1, 8)]
     part = [F.when(x == "", None).otherwise(x) for x in g]
     canonical = F.concat(g[0], F.lit("-"), g[1], F.lit("-"), g[2], F.lit(" "),

@@ -6,7 +6,7 @@ Column names and types match the Spark results.
 
 from __future__ import annotations
 
-from rivulet.functions.expr import ISO_PATTERN
+from rivulet.functions.expr import BASIC_DATE, BASIC_HM, BASIC_HMS, ISO_PATTERN
 from rivulet.plans import catalog as C
 
 CTE = {
@@ -94,6 +94,9 @@ def _ts(text: str) -> str:
 def parse_naive_utc(x: str) -> str:
     """O10 in SQL: same grammar and canonical text as the Spark expression."""
     s = f"regexp_replace({x}, 'Z+$', '')"
+    for pattern, repl in (BASIC_DATE, BASIC_HMS, BASIC_HM):
+        r = repl.replace("{", "\\").replace("}", "")
+        s = f"regexp_replace({s}, '{pattern}', '{r}')"
     p = ISO_PATTERN.replace("'", "''")
     g = [f"regexp_extract({s}, '{p}', {i})" for i in range(1, 8)]
     part = [f"nullif({e}, '')" for e in g]

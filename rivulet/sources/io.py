@@ -129,5 +129,8 @@ def write_messages(batch: DataFrame, target: str, fmt: str = "json",
 
 
 def append_errors(errors: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append classified error rows to the error table."""
-    errors.write.mode("append").format(fmt).save(path)
+    """Append error rows to the error table, partitioned like its DDL by the hash
+    bucket of ``stream_id`` (reads of one stream prune to one bucket)."""
+    from rivulet.sources.tables import BUCKET, with_bucket
+    rows = errors if BUCKET in errors.columns else with_bucket(errors, "stream_id")
+    rows.write.mode("append").format(fmt).partitionBy(BUCKET).save(path)

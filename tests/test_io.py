@@ -93,3 +93,21 @@ def test_staging_tables_are_removed_after_overwrite(spark):
     overwrite_buckets(t, f"{d}/t", "stream_id")
     after = {n for n in os.listdir(root) if n.startswith("stage-")}
     assert after == before
+
+
+def test_append_errors_appends_with_table_defaults(spark):
+    from pyspark.sql import functions as F
+    from rivulet.operators.errors import with_error_defaults
+    d = new_work_dir(spark, "err")
+    rows = spark.createDataFrame(
+        [("e1", "stream-1", "ConnectionError", "Connection timeout", dt.datetime(2024, 1, 1))],
+        "id string, stream_id string, error_type string, error_message string,"
+        " timestamp timestamp_ntz")
+    shaped = with_error_defaults(rows)
+    io.append_errors(shaped, f"{d}/errors")
+    io.append_errors(shaped, f"{d}/errors")
+    back = spark.read.parquet(f"{d}/errors")
+    assert back.count() == 2
+    r = back.first()
+    assert (r.retry_count, r.is_recoverable) == (0, 1)
+    assert back.where(F.col("bucket") == r.bucket).count() == 2

@@ -35,8 +35,12 @@ def read_comments(spark: SparkSession, path: str | None = None, fmt: str = "parq
             opts["startingOffsets"] = options.get("startingOffsets", "earliest") \
                 if options else "earliest"
         df = reader.format("kafka").options(**opts).load()
-        df = df.select(F.from_json(F.col("value").cast("string"), COMMENT).alias("c")) \
-               .select("c.*")
+        # A comment without its own arrival time gets the record's time, as naive UTC.
+        kts = F.convert_timezone(None, F.lit("UTC"), F.col("timestamp").cast("timestamp_ntz"))
+        df = (df.select(F.from_json(F.col("value").cast("string"), COMMENT).alias("c"),
+                        kts.alias("_kts"))
+              .select(*[F.col(f"c.{n}") for n in COMMENT.fieldNames() if n != "arrival_ts"],
+                      F.coalesce(F.col("c.arrival_ts"), F.col("_kts")).alias("arrival_ts")))
     else:
         reader = reader.schema(COMMENT).format(fmt).options(**opts)
         if streaming and max_files_per_trigger:

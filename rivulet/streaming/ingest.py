@@ -44,7 +44,10 @@ def status_events(streams: DataFrame, status: str, instance_id: str, seq: int) -
 
 def prepare(comments: DataFrame, streams: DataFrame, checkpoints: DataFrame,
             session_start: Column, ts_col: str | None = "arrival_ts") -> DataFrame:
-    """Per-batch shaping shared by the streaming job and its batch equivalent."""
+    """Per-batch shaping shared by the streaming job and its batch equivalent. A comment
+    without an arrival time gets the processing time (the per-stream order needs one)."""
+    comments = comments.withColumn("arrival_ts",
+                                   F.coalesce(F.col("arrival_ts"), utc_now()))
     registered = lookup(comments, streams).where(F.col("stream_id").isNotNull())
     started = start_position(registered, checkpoints, session_start, channel="stream_id")
     fresh = skip_processed(started, checkpoints, channel="stream_id")
@@ -114,13 +117,15 @@ def run_ingest(spark: SparkSession, source: str, out: str, checkpoint_dir: str,
                trigger: dict | None = None, fmt: str = "parquet",
                every: int = CHECKPOINT_EVERY, ts_col: str | None = "arrival_ts",
                max_files_per_trigger: int | None = None, sink: str = "files",
-               sink_options: dict | None = None, instance_id: str = "spark"):
+               sink_options: dict | None = None, instance_id: str = "spark",
+               source_options: dict | None = None):
     """Start the ingest query. ``trigger`` defaults to ``availableNow`` (process what is
     there, then stop); pass ``{"processingTime": "10 seconds"}`` for a continuous run.
     Registered streams get a 'starting' status event under ``out/status/batch_id=start``."""
     (status_events(streams, "starting", instance_id, FIRST_SEQ)
      .write.mode("append").parquet(f"{out}/status/batch_id=start"))
     comments = io.read_comments(spark, source, fmt=fmt, streaming=True,
+                                options=source_options,
                                 max_files_per_trigger=max_files_per_trigger)
     writer = make_batch_writer(out, streams, checkpoints, session_start, every, ts_col,
                                sink=sink, sink_options=sink_options, instance_id=instance_id)

@@ -137,3 +137,11 @@ def test_status_log_lifecycle_read_by_current_streams(spark):
     got = [(r.stream_id, r.status, r.instance_id) for r in current_streams(log).collect()]
     assert got == [("s-a", "stopped", "i1")]
     assert sorted(r.status for r in log.collect()) == ["active", "starting", "stopped"]
+
+
+def test_prepare_fills_missing_arrival_time(spark):
+    from rivulet.streaming.ingest import prepare
+    streams, cks = _setup(spark)
+    df = spark.createDataFrame([("c1", "a", "u", "text", None)], COMMENT)
+    r = prepare(df, streams, cks, ntz("2000-01-01 00:00:00")).first()
+    assert r.arrival_ts is not None and r.is_valid and r.timestamp.endswith("Z")

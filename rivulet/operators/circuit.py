@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.expr import suggested_backoff
 from rivulet.functions.scan import keyed_scan, time_bucket
-from rivulet.session import materialize
+from rivulet.session import delete_path
+from rivulet.session import materialize as _materialize
 
 # Breaker defaults.
 FAILURE_THRESHOLD = 5
@@ -312,9 +313,17 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
        pass from its first unresolved bucket.
 
     Each task gets its rows as time-ordered Arrow batches, so its memory is one batch plus
-    the breaker state. Intermediate results are written tables in the shared work folder."""
+    the breaker state. Intermediate results are written tables in the shared work folder;
+    they are deleted once the result (itself a written table) is complete."""
     params = (threshold, recovery, successes, mult, cap)
     spark = attempts.sparkSession
+    made: list[str] = []
+
+    def materialize(df, name):
+        out, path = _materialize(df, name, with_path=True)
+        made.append(path)
+        return out
+
     bucket = time_bucket("ts", unit)
     prepared = attempts.select(
         F.col("stream_id").cast("long").alias("stream_id"), bucket.alias("bucket"),
@@ -392,10 +401,14 @@ def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRE
                              *[F.col(c).alias(f"f_{c}") for c in
                                ("state", "admitted", "failure_count", "backoff_seconds")])
     out = spec.join(fix, keys + ["attempt_id"], "left")
-    return out.select(
+    result = _materialize(out.select(
         "stream_id", "attempt_id",
         *[F.coalesce(F.col(f"f_{c}"), F.col(c)).alias(c)
-          for c in ("state", "admitted", "failure_count", "backoff_seconds")])
+          for c in ("state", "admitted", "failure_count", "backoff_seconds")]),
+        "breaker-out")
+    for path in made:             # intermediates are no longer read by anything
+        delete_path(spark, path)
+    return result
 
 
 def circuit_timeline_sequential(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,

@@ -210,4 +210,5 @@ QUERIES.update({
     "ingest_checkpoints": _sq.ingest_checkpoints,
     "flush_stream": _sq.flush_stream,
     "circuit_stream": _sq.circuit_stream,
+    "error_lists_stream": _sq.error_lists_stream,
 })

@@ -444,6 +444,9 @@ WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until"""
   FROM _good)
 WHERE n_processed % 100 = 0""")
     q["circuit_stream"] = CIRCUIT_SQL
+    q["error_lists_stream"] = _with(["f2_errors"], _lists_cte("f2_errors"), """SELECT stream_id,
+  list_start, last_push, expires_at, n_pushed, n_kept FROM _lists
+WHERE expires_at < (SELECT max(ts) FROM f2_errors)""")
     q["flush_stream"] = _with(["f3_checkpoint_log", "f3_checkpoint_table"], flush_ctes,
                               "SELECT * FROM _t1")
     return q

@@ -95,3 +95,22 @@ def circuit_stream(spark: SparkSession, d: str) -> DataFrame:
         if q.exception():
             raise q.exception()
     return caller.read.parquet(f"{work}/out")
+
+
+def error_lists_stream(spark: SparkSession, d: str) -> DataFrame:
+    """O20 streaming form: lists emitted by session windows once the watermark (the latest
+    error time seen) has passed their expiry."""
+    from rivulet.streaming.state import error_lists_stream as _stream
+    caller, spark = spark, stream_session(spark)
+    work = new_work_dir(spark, "lists")
+    errs = fx.errors(spark, d)
+    for i, chunk in enumerate(_two_chunks(errs, "ts", fx.ntz(FLUSH_CUT))):
+        chunk.write.parquet(f"{work}/in/chunk={i}")
+        src = spark.readStream.schema(errs.schema).parquet(f"{work}/in/*")
+        q = (_stream(src).writeStream.format("parquet").option("path", f"{work}/out")
+             .option("checkpointLocation", f"{work}/query").outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return caller.read.parquet(f"{work}/out")

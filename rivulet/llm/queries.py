@@ -17,7 +17,23 @@ def op2_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash_groups(table(spark, d, "documents"), shingle=4, max_bits=4)
 
 
+def op5_bpe(spark: SparkSession, d: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from rivulet.llm.bpe_codec import digests
+    return digests(table(spark, d, "documents"), path("byte_bpe_50k.tiktoken"))
+
+
+def op10_packing(spark: SparkSession, d: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from rivulet.llm.packing import pack
+    return pack(table(spark, d, "documents"), path("byte_bpe_50k.json"), size=2048, end_id=1)
+
+
 QUERIES = {
+    "op5_bpe": op5_bpe,
+    "op10_packing": op10_packing,
     "op2_simhash": op2_simhash,
     "op8_exact_dedup": op8_exact_dedup,
 }

@@ -31,7 +31,31 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
+def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.toxicity import toxicity
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from rivulet.llm.suffixes import remove_repeats
+    out = remove_repeats(table(spark, d, "documents"), min_len=50)
+    return out.select("doc_id", "n_bytes",
+                      (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("span_starts").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op1_toxicity": op1_toxicity,
     "op5_bpe": op5_bpe,
     "op10_packing": op10_packing,
     "op2_simhash": op2_simhash,

@@ -52,7 +52,13 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
 
+def op9_licenses(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.licenses import scan, summary
+    return summary(scan(table(spark, d, "documents")))
+
+
 QUERIES = {
+    "op9_licenses": op9_licenses,
     "pipeline": pipeline,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op1_toxicity": op1_toxicity,

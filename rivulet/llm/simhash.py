@@ -62,18 +62,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @lru_cache(maxsize=1)
-def _golay() -> np.ndarray:
-    """The anchor number of each 23-bit word, that is its nearest code word's number."""
-    syndrome = np.arange(1 << 23, dtype=np.uint32)
-    for bit in range(22, 10, -1):
-        syndrome = np.where(syndrome >> bit & 1, syndrome ^ np.uint32(GOLAY << (bit - 11)), syndrome)
+def _golay() -> tuple[list[np.ndarray], np.ndarray]:
+    """Syndromes of the three bytes of a 23-bit word, and the error that each syndrome tells."""
+    def remainder(word: int) -> int:
+        for bit in range(22, 10, -1):
+            if word >> bit & 1:
+                word ^= GOLAY << (bit - 11)
+        return word
+
+    parts = [np.array([remainder(b << at) for b in range(1 << min(8, 23 - at))], dtype=np.uint32)
+             for at in (0, 8, 16)]
     error = np.zeros(1 << 11, dtype=np.uint32)
     for weight in range(4):
         for where in itertools.combinations(range(23), weight):
             e = sum(1 << b for b in where)
-            error[syndrome[e]] = e
-    word = np.arange(1 << 23, dtype=np.uint32) ^ error[syndrome]
-    return (word >> 11).astype(np.uint16)  # twelve bits in a row tell the code word
+            error[remainder(e)] = e
+    return parts, error
+
+
+def _home(word: np.ndarray) -> np.ndarray:
+    """Number of the code word nearest to each 23-bit word: its twelve high bits tell it."""
+    parts, error = _golay()
+    syndrome = (parts[0][word & np.uint32(0xFF)] ^ parts[1][word >> np.uint32(8) & np.uint32(0xFF)]
+                ^ parts[2][word >> np.uint32(16)])
+    return (word ^ error[syndrome]) >> np.uint32(11)
 
 
 def anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +94,10 @@ def anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     flips = [sum(1 << b for b in where) for weight in range(reach + 1)
              for where in itertools.combinations(range(32), weight)]
     flips = np.array(flips, dtype=np.uint32)
-    of_word = _golay()
     keys = []
     for block in range(2):
         points = (fp >> np.uint64(32 * block)).astype(np.uint32)[:, None] ^ flips
-        home = of_word[points & np.uint32(0x7FFFFF)].astype(np.int64)
+        home = _home(points & np.uint32(0x7FFFFF)).astype(np.int64)
         home |= (points >> np.uint32(23)).astype(np.int64) << 12 | block << 21
         keys.append(home)
     keys = np.sort(np.hstack(keys), axis=1)

@@ -57,7 +57,13 @@ def op9_licenses(spark: SparkSession, d: str) -> DataFrame:
     return summary(scan(table(spark, d, "documents")))
 
 
+def op4_topk(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.topk import top_k
+    return top_k(table(spark, d, "embeddings"), k=5, query_modulo=50, scale=256)
+
+
 QUERIES = {
+    "op4_topk": op4_topk,
     "op9_licenses": op9_licenses,
     "pipeline": pipeline,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -69,6 +75,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256

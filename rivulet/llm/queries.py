@@ -62,7 +62,13 @@ def op4_topk(spark: SparkSession, d: str) -> DataFrame:
     return top_k(table(spark, d, "embeddings"), k=5, query_modulo=50, scale=256)
 
 
+def op7_lm(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.lm import lm_scores
+    return lm_scores(table(spark, d, "documents"), folds=10)
+
+
 QUERIES = {
+    "op7_lm": op7_lm,
     "op4_topk": op4_topk,
     "op9_licenses": op9_licenses,
     "pipeline": pipeline,
@@ -76,9 +82,9 @@ QUERIES = {
 
 ORACLES = {
     "op4_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank

@@ -67,7 +67,13 @@ def op7_lm(spark: SparkSession, d: str) -> DataFrame:
     return lm_scores(table(spark, d, "documents"), folds=10)
 
 
+def op6_passages(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.passages import passage_groups
+    return passage_groups(table(spark, d, "documents"), min_words=50, similarity=0.8)
+
+
 QUERIES = {
+    "op6_passages": op6_passages,
     "op7_lm": op7_lm,
     "op4_topk": op4_topk,
     "op9_licenses": op9_licenses,

@@ -269,19 +269,24 @@ def _best_run(match: np.ndarray, odds: float) -> tuple[int, int]:
 
 def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
     """(similarity, begin a, end a, begin b, end b) of the best matching runs of two passages'
-    shingles, or None if they are too short or not similar enough."""
-    odds = similarity / (1 - similarity)
-    x1, x2 = _best_run(np.isin(a, b), odds)
-    if x2 - x1 < width:
-        return None
-    y1, y2 = _best_run(np.isin(b, a[x1:x2]), odds)
-    x1, x2 = _best_run(np.isin(a, b[y1:y2]), odds)
-    if min(x2 - x1, y2 - y1) < width:
-        return None
-    p, q = np.unique(a[x1:x2]), np.unique(b[y1:y2])
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    jaccard = both / (len(p) + len(q) - both)
-    return (jaccard, x1, x2, y1, y2) if jaccard >= similarity else None
+    shingles, or None if none is long and similar enough.
+
+    Runs that share a part p of their shingles have similarity p / (2 - p), which sets what a
+    miss costs at least; dearer misses, up to none at all, look for shorter and purer runs."""
+    for odds in (2 * similarity / (1 - similarity), 8 * similarity / (1 - similarity), len(a)):
+        x1, x2 = _best_run(np.isin(a, b), odds)
+        if x2 - x1 < width:
+            return None
+        y1, y2 = _best_run(np.isin(b, a[x1:x2]), odds)
+        x1, x2 = _best_run(np.isin(a, b[y1:y2]), odds)
+        if min(x2 - x1, y2 - y1) < width:
+            continue
+        p, q = np.unique(a[x1:x2]), np.unique(b[y1:y2])
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        jaccard = both / (len(p) + len(q) - both)
+        if jaccard >= similarity:
+            return jaccard, x1, x2, y1, y2
+    return None
 
 
 _LINKS = ("a string, b string, doc_a long, doc_b long, similarity double, start_a long, "

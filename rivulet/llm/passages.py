@@ -268,15 +268,19 @@ def _best_run(match: np.ndarray, odds: float) -> tuple[int, int]:
 
 
 def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
-    """(similarity, begin a, end a, begin b, end b) of the best matching runs of two passages'
-    shingles, or None if none is long and similar enough.
+    """(similarity, begin a, end a, begin b, end b) of well matching runs of two passages'
+    shingles, or None if no tried run is long and similar enough.
 
-    Runs that share a part p of their shingles have similarity p / (2 - p), which sets what a
-    miss costs at least; dearer misses, up to none at all, look for shorter and purer runs."""
-    for odds in (2 * similarity / (1 - similarity), 8 * similarity / (1 - similarity), len(a)):
-        x1, x2 = _best_run(np.isin(a, b), odds)
+    A run is the one of highest sum when a match counts 1 and a miss costs some odds: cheap
+    misses bridge a changed word, dear ones (up to none at all) cut off what matches loosely."""
+    in_b = np.isin(a, b)
+    if in_b.sum() < width * 2 * similarity / (1 + similarity) - 1:  # too few in common
+        return None
+    base = similarity / (1 - similarity)
+    for odds in (base, base / 2, 2 * base, 8 * base, len(a), base / 4):
+        x1, x2 = _best_run(in_b, odds)
         if x2 - x1 < width:
-            return None
+            continue
         y1, y2 = _best_run(np.isin(b, a[x1:x2]), odds)
         x1, x2 = _best_run(np.isin(a, b[y1:y2]), odds)
         if min(x2 - x1, y2 - y1) < width:

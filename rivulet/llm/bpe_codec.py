@@ -69,9 +69,11 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
 
     @F.arrow_udf("binary")
     def join(ids: pa.Array) -> pa.Array:
-        piece = pieces.value
-        return pa.array([None if row is None else b"".join([piece[i] for i in row])
-                         for row in ids.to_pylist()], type=pa.binary())
+        piece, flat = pieces.value, ids.values.to_numpy(zero_copy_only=False)
+        ends, known = ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+        return pa.array([b"".join([piece[i] for i in flat[a:b].tolist()]) if ok else None
+                         for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), known)],
+                        type=pa.binary())
 
     return encoded.withColumn("decoded", join(F.col(ids_col)))
 

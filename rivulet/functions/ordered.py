@@ -1,0 +1,44 @@
+"""One ordered pass per key, for rules that are sequential by definition.
+
+Rows are dealt out by key and sorted inside their partition; a task then sees each key's rows
+in order as a stream of Arrow batches and carries a small state from one to the next. A task
+never holds more than one batch, however long a key's history is. The plan is the same at
+every size: one shuffle, one sort, one pass.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def ordered_pass(df: DataFrame, key: str, order: list[str], schema: str,
+                 new_state: Callable, advance: Callable, finish: Callable | None = None
+                 ) -> DataFrame:
+    """``advance(rows, state) -> frame`` is called for consecutive rows of one key, in
+    ``order``, with the key's state (``new_state()`` at its first row), which it may change.
+    ``finish(key, state) -> frame`` adds rows after a key's last row."""
+    def run(batches):
+        held = state = None
+        started = False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k = pdf[key].to_numpy()
+            cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+            out = []
+            for lo, hi in zip([0, *cut], [*cut, len(pdf)]):
+                if not started or k[lo] != held:
+                    if started and finish:
+                        out.append(finish(held, state))
+                    held, state, started = k[lo], new_state(), True
+                out.append(advance(pdf.iloc[lo:hi], state))
+            yield pd.concat(out, ignore_index=True)
+        if started and finish:
+            yield finish(held, state)
+
+    return (df.where(df[key].isNotNull()).repartition(key)
+            .sortWithinPartitions(key, *order).mapInPandas(run, schema))

@@ -62,14 +62,15 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
     latest row so far (inclusive) where the condition holds (null if none), and when ``gap`` (an interval string such as
     ``"24 hours"``) is given: ``prev_ts`` (time of the previous row of the key), ``brk``
     (1 when the row starts a new island: first row or more than ``gap`` after the previous)
-    and ``island`` (1-based island number). ``ts`` and the keys must be non-null (rows
-    with a null key are dropped): the join back uses plain equality so that it keeps the
-    ``(key, bucket)`` partitioning of the big side.
+    and ``island`` (1-based island number). Rows with a null key or time have no place in
+    the order and are dropped before they are counted: the join back uses plain equality so
+    that it keeps the ``(key, bucket)`` partitioning of the big side.
     """
     sums = sums or {}
     maxes = maxes or {}
     last_where = last_where or {}
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
+    df = df.dropna(subset=[*keys, ts])
     b = df.withColumn("_b", _bucket(df, ts, unit))
     for name, c in sums.items():
         b = b.withColumn(f"_sv_{name}", c)

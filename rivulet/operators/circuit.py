@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.expr import suggested_backoff
-from rivulet.functions.scan import keyed_scan, time_bucket
-from rivulet.session import delete_path
-from rivulet.session import materialize as _materialize
+from rivulet.functions.ordered import ordered_pass
+from rivulet.functions.scan import keyed_scan
 
 # Breaker defaults.
 FAILURE_THRESHOLD = 5
@@ -22,6 +20,8 @@ SUCCESS_THRESHOLD = 2
 BACKOFF_MULTIPLIER = 2.0
 MAX_BACKOFF = 3600
 
+CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
+
 
 def failure_streaks(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,
                     key: str = "stream_id", ts: str = "ts", seq: str = "attempt_id",
@@ -45,390 +45,130 @@ def failure_streaks(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,
             .withColumn("reached_threshold", F.col("n_failures") >= threshold))
 
 
-TIMELINE_SCHEMA = ("stream_id long, attempt_id long, state string, admitted boolean, "
-                   "failure_count long, backoff_seconds long")
-
-# Per-row breaker state as carried between the parallel passes.
-_STATE_COLS = ["state", "failure_count", "success_count", "backoff_seconds", "last_failure_us"]
-_ROW_SCHEMA = ("stream_id long, bucket long, attempt_id long, ts timestamp_ntz, "
-               "failed boolean, suggested long, state string, admitted boolean, "
-               "failure_count long, success_count long, backoff_seconds long, "
-               "last_failure_us long")
-_ROW_COLS = [c.split()[0] for c in _ROW_SCHEMA.split(", ")]
-_RESIM_SCHEMA = (_ROW_SCHEMA + ", kind string, converged boolean, e_state string, "
-                 "e_failure_count long, e_success_count long, e_backoff_seconds long, "
-                 "e_last_failure_us long")
-
-
-class _Machine:
-    """The breaker's transition function. State: (state, failures, successes, backoff,
-    last failure in epoch microseconds)."""
-
-    def __init__(self, threshold, recovery, successes, mult, cap):
-        self.p = (threshold, recovery, successes, mult, cap)
-        self.set("closed", 0, 0, recovery, None)
-
-    def set(self, st, fc, sc, bo, lf):
-        self.st, self.fc, self.sc, self.bo, self.lf = st, int(fc), int(sc), int(bo), lf
-
-    def step(self, t, failed, sug) -> bool:
-        threshold, recovery, successes, mult, cap = self.p
-        if self.st == "open":
-            if self.lf is None or t - self.lf >= self.bo * 1_000_000:
-                self.st, self.sc = "half_open", 0
-            else:
-                return False
-        if failed:
-            self.fc += 1
-            self.lf = t
-            self.sc = 0
-            if self.st == "half_open" or self.fc >= threshold:
-                self.bo = int(min(max(self.bo * mult, sug), cap))
-                self.st = "open"
-        else:
-            self.fc = 0
-            if self.st == "half_open":
-                self.sc += 1
-                if self.sc >= successes:
-                    self.st, self.bo = "closed", recovery
-        return True
-
-    def norm(self):
-        return _norm(self.st, self.fc, self.sc, self.bo, self.lf)
-
-
-def _norm(st, fc, sc, bo, lf):
-    """State with the fields that can no longer matter blanked: the success count only
-    matters while half-open, the last failure time only while open."""
-    if st == "closed":
-        return (st, fc, 0, bo, None)
-    if st == "open":
-        return (st, fc, 0, bo, lf)
-    return (st, fc, sc, bo, None)
-
-
-def _arrays(pdf):
-    t = pdf["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-    return (t, pdf["attempt_id"].to_numpy(dtype=np.int64), pdf["failed"].to_numpy(dtype=bool),
-            pdf["suggested"].to_numpy(dtype=np.int64))
-
-
-class _Order:
-    def __init__(self):
-        self.last = None
-
-    def check(self, t, a):
-        cur = (int(t), int(a))
-        if self.last is not None and cur < self.last:
-            raise ValueError("attempts reached the breaker out of (ts, attempt_id) order")
-        self.last = cur
-
-
-def _frame(pdf, rows):
-    out = pdf.iloc[:len(rows)][["stream_id", "bucket", "attempt_id", "ts", "failed",
-                                "suggested"]].reset_index(drop=True)
-    out["state"] = [r[0] for r in rows]
-    out["admitted"] = np.array([r[1] for r in rows], dtype=bool)
-    out["failure_count"] = np.array([r[2] for r in rows], dtype=np.int64)
-    out["success_count"] = np.array([r[3] for r in rows], dtype=np.int64)
-    out["backoff_seconds"] = np.array([r[4] for r in rows], dtype=np.int64)
-    out["last_failure_us"] = pd.array([r[5] for r in rows], dtype="Int64")
-    return out
-
-
-def _speculate(params):
-    """Pass 1, per (stream, bucket): run from the canonical closed state."""
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, order = _Machine(*params), _Order()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            t, a, f, g = _arrays(pdf)
-            rows = []
-            for i in range(len(pdf)):
-                order.check(t[i], a[i])
-                adm = m.step(t[i], f[i], g[i])
-                rows.append((m.st, adm, m.fc, m.sc, m.bo, m.lf))
-            yield _frame(pdf, rows)
-    return run
-
-
-def _resimulate(params, converge: bool = True):
-    """Pass 2, per dirty bucket: run from the bucket's true entry state until the state
-    equals the speculative run (from then on both agree). Emits the corrected rows (kind
-    'row') and one record per bucket passed (kind 'bucket': entry state, exit state,
-    converged). With ``converge=False`` the whole group, which may span several buckets,
-    is run (the exact ordered pass)."""
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, order = _Machine(*params), _Order()
-        started, done = False, False
-        cur_b, entry, meta = None, None, None
-        records = []
-
-        def record(converged):
-            records.append((meta, cur_b, entry, (m.st, m.fc, m.sc, m.bo, m.lf), converged))
-
-        for pdf in batches:
-            if pdf.empty or done:
-                continue
-            if not started:
-                r0 = pdf.iloc[0]
-                lf = r0["e_last_failure_us"]
-                m.set(r0["e_state"], r0["e_failure_count"], r0["e_success_count"],
-                      r0["e_backoff_seconds"], None if pd.isna(lf) else int(lf))
-                started = True
-            t, a, f, g = _arrays(pdf)
-            bk = pdf["bucket"].to_numpy(dtype=np.int64)
-            spec = list(zip(pdf["state"], pdf["admitted"], pdf["failure_count"],
-                            pdf["success_count"], pdf["backoff_seconds"], pdf["last_failure_us"]))
-            rows = []
-            for i in range(len(pdf)):
-                order.check(t[i], a[i])
-                if bk[i] != cur_b:
-                    if cur_b is not None:
-                        record(False)
-                    cur_b, entry = int(bk[i]), (m.st, m.fc, m.sc, m.bo, m.lf)
-                    meta = pdf.iloc[i]
-                adm = m.step(t[i], f[i], g[i])
-                rows.append((m.st, adm, m.fc, m.sc, m.bo, m.lf))
-                if not converge:
-                    continue
-                s = spec[i]
-                slf = None if pd.isna(s[5]) else int(s[5])
-                if bool(s[1]) == adm and _norm(s[0], int(s[2]), int(s[3]), int(s[4]), slf) == m.norm():
-                    done = True
-                    break
-            out = _frame(pdf, rows)
-            out["kind"], out["converged"] = "row", False
-            out["e_state"] = None
-            for c in ("e_failure_count", "e_success_count", "e_backoff_seconds",
-                      "e_last_failure_us"):
-                out[c] = pd.array([None] * len(out), dtype="Int64")
-            yield out
-        if started:
-            record(done)
-            yield _records(records)
-    return run
-
-
-def _records(records):
-    out = pd.DataFrame({
-        "stream_id": [int(r[0]["stream_id"]) for r in records],
-        "bucket": [r[1] for r in records],
-        "attempt_id": pd.array([None] * len(records), dtype="Int64"),
-        "ts": [r[0]["ts"] for r in records],
-        "failed": False, "suggested": 0,
-        "state": [r[3][0] for r in records],
-        "admitted": True,
-        "failure_count": [r[3][1] for r in records],
-        "success_count": [r[3][2] for r in records],
-        "backoff_seconds": [r[3][3] for r in records],
-        "last_failure_us": pd.array([r[3][4] for r in records], dtype="Int64"),
-        "kind": "bucket",
-        "converged": [bool(r[4]) for r in records],
-        "e_state": [r[2][0] for r in records],
-        "e_failure_count": [r[2][1] for r in records],
-        "e_success_count": [r[2][2] for r in records],
-        "e_backoff_seconds": [r[2][3] for r in records],
-        "e_last_failure_us": pd.array([r[2][4] for r in records], dtype="Int64"),
-    })
-    return out
-
-
-def _sequential(params):
-    """Exact completion for streams still unresolved after the rounds: one ordered pass
-    from the stream's first unresolved bucket (rows arrive as an iterator of batches)."""
-    inner = _resimulate(params, converge=False)
-
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in inner(key, batches):
-            if (out["kind"] == "row").all():
-                yield out
-    return run
-
-
-def _grouped(df, keys, order, fn, schema):
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
-            .groupBy(*keys).applyInPandas(fn, schema))
-
-
-def _c0(recovery):
-    return {"state": F.lit("closed"), "failure_count": F.lit(0).cast("long"),
-            "success_count": F.lit(0).cast("long"),
-            "backoff_seconds": F.lit(recovery).cast("long"),
-            "last_failure_us": F.lit(None).cast("long")}
-
-
-def _norm_col(prefix):
-    st = F.col(f"{prefix}state")
-    return F.struct(st, F.col(f"{prefix}failure_count"),
-                    F.when(st == "half_open", F.col(f"{prefix}success_count")).otherwise(0),
-                    F.col(f"{prefix}backoff_seconds"),
-                    F.when(st == "open", F.col(f"{prefix}last_failure_us")))
-
-
-# Streams with at most this many attempts are run as one ordered pass each; larger ones
-# use the parallel bucketed form.
-MAX_ROWS_PER_TASK = 2_000_000
-
-
-def circuit_timeline(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,
-                     recovery: int = RECOVERY_TIMEOUT, successes: int = SUCCESS_THRESHOLD,
-                     mult: float = BACKOFF_MULTIPLIER, cap: int = MAX_BACKOFF,
-                     max_rows_per_task: int = MAX_ROWS_PER_TASK, unit: str = "DAY",
-                     stats: dict | None = None) -> DataFrame:
+# Breaker state between two rows of a stream; ``opened`` is the time (epoch microseconds) of
+# the failure that opened it.
+STATE_FIELDS = ("state string, failure_count long, successes long, backoff_seconds long, "
+                "opened long")
+
+
+def _run(params):
+    threshold, recovery, successes, mult, cap = params
+
+    def new_state():
+        return SimpleNamespace(mode=CLOSED, failures=0, good=0, backoff=recovery, opened=None)
+
+    def longer(backoff: int, suggested: int) -> int:
+        return int(min(max(backoff * mult, suggested), cap))
+
+    def advance(rows: pd.DataFrame, s) -> pd.DataFrame:
+        if pd.notna(rows["stored_state"].iat[0]):  # a stored state comes before its rows
+            r = rows.iloc[0]
+            s.mode, s.failures, s.good = r["stored_state"], int(r["stored_failures"]), int(r["stored_good"])
+            s.backoff = int(r["stored_backoff"])
+            s.opened = None if pd.isna(r["stored_opened"]) else int(r["stored_opened"])
+            rows = rows.iloc[1:]
+        n = len(rows)
+        t = rows["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64)
+        failed = rows["failed"].to_numpy(dtype=bool)
+        suggested = rows["suggested"].to_numpy()
+        # Length of the run of failures that ends at each row; the first run of the batch
+        # goes on from the failures before it.
+        at = np.arange(n)
+        last_good = np.maximum.accumulate(np.where(failed, -1, at)) if n else at
+        run = np.where(last_good < 0, at + 1 + s.failures, at - last_good)
+        trips = np.flatnonzero(failed & (run == threshold))
+        mode = np.empty(n, dtype=object)
+        admitted = np.ones(n, dtype=bool)
+        failures, backoff = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        i = 0
+        while i < n:  # one turn per stay in a state, not per row
+            if s.mode == CLOSED:
+                k = np.searchsorted(trips, i)
+                j = int(trips[k]) if k < len(trips) else n
+                mode[i:j], backoff[i:j] = CLOSED, s.backoff
+                failures[i:j] = np.where(failed[i:j], run[i:j], 0)
+                if j > i:
+                    s.failures = int(failures[j - 1])
+                if j < n:
+                    s.mode, s.failures, s.opened = OPEN, threshold, int(t[j])
+                    s.backoff = longer(s.backoff, suggested[j])
+                    mode[j], failures[j], backoff[j] = OPEN, threshold, s.backoff
+                i = j + 1
+            elif s.mode == OPEN:
+                j = max(i, int(np.searchsorted(t, s.opened + s.backoff * 1_000_000)))
+                mode[i:j], admitted[i:j] = OPEN, False
+                failures[i:j], backoff[i:j] = s.failures, s.backoff
+                if j < n:
+                    s.mode, s.good = HALF_OPEN, 0
+                i = j
+            else:  # trial calls: enough successes in a row close, one failure opens again
+                left = successes - s.good
+                trial = failed[i:i + left]
+                wins = int(trial.argmax()) if trial.any() else len(trial)
+                s.good += wins
+                mode[i:i + wins], backoff[i:i + wins] = HALF_OPEN, s.backoff
+                if wins:
+                    s.failures = 0
+                i += wins
+                if s.good >= successes:
+                    s.mode, s.backoff = CLOSED, recovery
+                    mode[i - 1], backoff[i - 1] = CLOSED, recovery
+                elif i < n:
+                    s.mode, s.failures, s.opened = OPEN, s.failures + 1, int(t[i])
+                    s.backoff, s.good = longer(s.backoff, suggested[i]), 0
+                    mode[i], failures[i], backoff[i] = OPEN, s.failures, s.backoff
+                    i += 1
+        return pd.DataFrame({"stream_id": rows["stream_id"].to_numpy(),
+                             "attempt_id": rows["attempt_id"].to_numpy(), "state": mode,
+                             "admitted": admitted, "failure_count": failures,
+                             "successes": np.zeros(n, np.int64), "backoff_seconds": backoff,
+                             "opened": pd.array([None] * n, dtype="Int64")})
+
+    def finish(key, s) -> pd.DataFrame:
+        return pd.DataFrame({"stream_id": [key], "attempt_id": [None], "state": [s.mode],
+                             "admitted": [None], "failure_count": [s.failures],
+                             "successes": [s.good], "backoff_seconds": [s.backoff],
+                             "opened": pd.array([s.opened], dtype="Int64")})
+
+    return new_state, advance, finish
+
+
+def circuit_run(attempts: DataFrame, stored: DataFrame | None = None,
+                threshold: int = FAILURE_THRESHOLD, recovery: int = RECOVERY_TIMEOUT,
+                successes: int = SUCCESS_THRESHOLD, mult: float = BACKOFF_MULTIPLIER,
+                cap: int = MAX_BACKOFF) -> DataFrame:
+    """O30 with states: one row per attempt (``attempt_id`` set), and one per stream
+    (``attempt_id`` null, ``admitted`` null) with the state after its last attempt. ``stored``
+    holds such state rows from an earlier run; streams without new attempts pass through.
+
+    The breaker is sequential within a stream, so a stream is one ordered pass; the pass goes
+    from one change of state to the next by run lengths and time search, and holds one batch
+    of rows. Ids keep their type. Attempts without a stream, id or time take no part."""
+    kinds = {c: attempts.schema[c].dataType.simpleString() for c in ("stream_id", "attempt_id")}
+    src = (attempts.where("stream_id IS NOT NULL AND attempt_id IS NOT NULL AND ts IS NOT NULL")
+           .select("stream_id", "attempt_id", "ts", F.col("error_type").isNotNull().alias("failed"),
+                   suggested_backoff("error_type").cast("long").alias("suggested"),
+                   F.lit(None).cast("string").alias("stored_state"),
+                   *[F.lit(None).cast("long").alias(f"stored_{c}")
+                     for c in ("failures", "good", "backoff", "opened")]))
+    if stored is not None:
+        src = src.unionByName(stored.select(
+            "stream_id", F.lit(None).cast(kinds["attempt_id"]).alias("attempt_id"),
+            F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("boolean").alias("failed"),
+            F.lit(None).cast("long").alias("suggested"), F.col("state").alias("stored_state"),
+            F.col("failure_count").alias("stored_failures"), F.col("successes").alias("stored_good"),
+            F.col("backoff_seconds").alias("stored_backoff"), F.col("opened").alias("stored_opened")))
+    schema = (f"stream_id {kinds['stream_id']}, attempt_id {kinds['attempt_id']}, state string, "
+              "admitted boolean, failure_count long, successes long, backoff_seconds long, opened long")
+    return ordered_pass(src, "stream_id", ["ts", "attempt_id"], schema,
+                        *_run((threshold, recovery, successes, mult, cap)))
+
+
+TIMELINE = ["stream_id", "attempt_id", "state", "admitted", "failure_count", "backoff_seconds"]
+
+
+def circuit_timeline(attempts: DataFrame, **params) -> DataFrame:
     """Breaker state after every attempt of every stream. An attempt while open and
     inside the backoff is not admitted and changes nothing; the first opening already
-    multiplies the backoff (floor: the error's suggested backoff; cap ``cap``).
-
-    The size of the largest stream (one small aggregate) picks the plan: streams that fit
-    a task are run as one ordered pass each; otherwise the parallel bucketed form splits
-    every stream by time so no stream is bound to one task. Both give identical results."""
-    biggest = (attempts.groupBy("stream_id").count()
-               .agg(F.max("count").alias("m")).first()["m"]) or 0
-    if stats is not None:
-        stats["largest_stream"] = biggest
-    if biggest <= max_rows_per_task:
-        return circuit_timeline_sequential(attempts, threshold, recovery, successes, mult, cap)
-    return circuit_timeline_parallel(attempts, threshold, recovery, successes, mult, cap,
-                                     unit=unit, stats=stats)
-
-
-def circuit_timeline_parallel(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,
-                              recovery: int = RECOVERY_TIMEOUT,
-                              successes: int = SUCCESS_THRESHOLD,
-                              mult: float = BACKOFF_MULTIPLIER, cap: int = MAX_BACKOFF,
-                              unit: str = "DAY", max_rounds: int = 16,
-                              stats: dict | None = None) -> DataFrame:
-    """O30 without binding a stream to one task:
-
-    1. every (stream, time bucket) is simulated in parallel from the canonical closed state
-       (an admitted success while closed always leads to that state, whatever came before);
-    2. a bucket's true entry state is the previous bucket's exit. Buckets whose entry
-       differs from the state they were run with are re-run from the true entry, in
-       parallel, only until their state meets the speculative run (from then on the two
-       agree); a bucket that never meets it passes its new exit to the next bucket in the
-       next round. Rounds repeat until nothing changes;
-    3. after ``max_rounds`` any stream still changing is finished exactly by one ordered
-       pass from its first unresolved bucket.
-
-    Each task gets its rows as time-ordered Arrow batches, so its memory is one batch plus
-    the breaker state. Intermediate results are written tables in the shared work folder;
-    they are deleted once the result (itself a written table) is complete."""
-    params = (threshold, recovery, successes, mult, cap)
-    spark = attempts.sparkSession
-    made: list[str] = []
-
-    def materialize(df, name):
-        out, path = _materialize(df, name, with_path=True)
-        made.append(path)
-        return out
-
-    bucket = time_bucket("ts", unit)
-    prepared = attempts.select(
-        F.col("stream_id").cast("long").alias("stream_id"), bucket.alias("bucket"),
-        F.col("attempt_id").cast("long").alias("attempt_id"), "ts",
-        F.col("error_type").isNotNull().alias("failed"),
-        suggested_backoff("error_type").alias("suggested"))
-    keys, order = ["stream_id", "bucket"], ["ts", "attempt_id"]
-    spec = materialize(_grouped(prepared, keys, order, _speculate(params), _ROW_SCHEMA),
-                       "breaker-spec")
-
-    last = F.struct(*[F.col(c) for c in _STATE_COLS])
-    c0 = _c0(recovery)
-    buckets = (spec.groupBy(*keys)
-               .agg(F.max_by(last, F.struct(*order)).alias("x"))
-               .select(*keys, *[F.col(f"x.{c}").alias(f"s_{c}") for c in _STATE_COLS],
-                       *[F.col(f"x.{c}").alias(f"x_{c}") for c in _STATE_COLS],
-                       *[v.alias(f"a_{c}") for c, v in c0.items()]))
-    buckets = materialize(buckets, "breaker-buckets")
-    corrections = spark.createDataFrame([], _ROW_SCHEMA)
-    w = Window.partitionBy("stream_id").orderBy("bucket")
-    has_prev = F.lag("x_state").over(w).isNotNull()
-
-    dirty = None
-    stats = stats if stats is not None else {}
-    stats.update(rounds=0, completed_sequentially=False)
-    for _ in range(max_rounds):
-        entries = buckets.select("*", *[F.when(has_prev, F.lag(f"x_{c}").over(w))
-                                        .otherwise(c0[c]).alias(f"e_{c}") for c in _STATE_COLS])
-        dirty = materialize(entries.where(~_norm_col("e_").eqNullSafe(_norm_col("a_"))).select(
-            *keys, *[f"e_{c}" for c in _STATE_COLS]), "breaker-dirty")
-        if dirty.isEmpty():
-            dirty = None
-            break
-        stats["rounds"] += 1
-        if stats.get("trace"):
-            stats.setdefault("dirty", []).append(
-                [tuple(r) for r in dirty.orderBy("stream_id", "bucket").limit(6).collect()]
-                + [dirty.count()])
-        todo = spec.join(dirty, keys, "inner")
-        res = materialize(_grouped(todo, keys, order, _resimulate(params), _RESIM_SCHEMA),
-                          "breaker-resim")
-        recs = res.where(F.col("kind") == "bucket")
-        corrections = materialize(
-            corrections.join(recs.select(*keys), keys, "left_anti")
-            .unionByName(res.where(F.col("kind") == "row").select(*_ROW_COLS)),
-            "breaker-fix")
-        upd = recs.select(*keys, "converged", *[F.col(c).alias(f"n_{c}") for c in _STATE_COLS],
-                          *[F.col(f"e_{c}") for c in _STATE_COLS])
-        nb = buckets.join(upd, keys, "left")
-        hit = F.col("converged").isNotNull()
-        buckets = nb.select(
-            *keys, *[F.col(f"s_{c}") for c in _STATE_COLS],
-            *[F.when(hit & ~F.col("converged"), F.col(f"n_{c}"))
-              .when(hit, F.col(f"s_{c}")).otherwise(F.col(f"x_{c}")).alias(f"x_{c}")
-              for c in _STATE_COLS],
-            *[F.when(hit, F.col(f"e_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}")
-              for c in _STATE_COLS])
-        buckets = materialize(buckets, "breaker-buckets")
-
-    if dirty is not None:
-        # Exact completion: from each unresolved stream's first dirty bucket onward.
-        stats["completed_sequentially"] = True
-        first = dirty.groupBy("stream_id").agg(F.min("bucket").alias("_b0"))
-        start = dirty.join(first.withColumnRenamed("_b0", "bucket"), ["stream_id", "bucket"],
-                           "left_semi").drop("bucket")
-        rest = (spec.join(first, "stream_id").where(F.col("bucket") >= F.col("_b0"))
-                .drop("_b0").join(start, "stream_id"))
-        seq = _grouped(rest, ["stream_id"], order, _sequential(params),
-                       _RESIM_SCHEMA).select(*_ROW_COLS)
-        tail = rest.select("stream_id", "bucket").distinct()
-        corrections = materialize(corrections.join(tail, keys, "left_anti").unionByName(seq),
-                                  "breaker-fix")
-
-    fix = corrections.select(*keys, "attempt_id",
-                             *[F.col(c).alias(f"f_{c}") for c in
-                               ("state", "admitted", "failure_count", "backoff_seconds")])
-    out = spec.join(fix, keys + ["attempt_id"], "left")
-    result = _materialize(out.select(
-        "stream_id", "attempt_id",
-        *[F.coalesce(F.col(f"f_{c}"), F.col(c)).alias(c)
-          for c in ("state", "admitted", "failure_count", "backoff_seconds")]),
-        "breaker-out")
-    for path in made:             # intermediates are no longer read by anything
-        delete_path(spark, path)
-    return result
-
-
-def circuit_timeline_sequential(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,
-                                recovery: int = RECOVERY_TIMEOUT,
-                                successes: int = SUCCESS_THRESHOLD,
-                                mult: float = BACKOFF_MULTIPLIER,
-                                cap: int = MAX_BACKOFF) -> DataFrame:
-    """O30 as one ordered pass per stream (reference form used by the tests)."""
-    params = (threshold, recovery, successes, mult, cap)
-    prepared = attempts.select(
-        F.col("stream_id").cast("long").alias("stream_id"), F.lit(0).cast("long").alias("bucket"),
-        F.col("attempt_id").cast("long").alias("attempt_id"), "ts",
-        F.col("error_type").isNotNull().alias("failed"),
-        suggested_backoff("error_type").alias("suggested"),
-        *[v.alias(f"e_{c}") for c, v in _c0(recovery).items()],
-        F.lit("closed").alias("state"), F.lit(True).alias("admitted"),
-        *[F.lit(0).cast("long").alias(c) for c in
-          ("failure_count", "success_count", "backoff_seconds")],
-        F.lit(None).cast("long").alias("last_failure_us"))
-    seq = _grouped(prepared, ["stream_id"], ["ts", "attempt_id"], _sequential(params),
-                   _RESIM_SCHEMA)
-    return seq.select("stream_id", "attempt_id", "state", "admitted", "failure_count",
-                      "backoff_seconds")
+    multiplies the backoff (floor: the error's suggested backoff; cap ``cap``)."""
+    return circuit_run(attempts, **params).where(F.col("attempt_id").isNotNull()).select(*TIMELINE)

@@ -84,34 +84,40 @@ def error_lists(errors: DataFrame, ttl: str = ERROR_TTL, cap: int = ERROR_LIST_M
                     .alias("n_kept")))
 
 
+def live_entries(errors: DataFrame, as_of: Column, ttl: str = ERROR_TTL,
+                 cap: int = ERROR_LIST_MAX, key: str = "stream_id", ts: str = "ts",
+                 seq: str = "seq") -> DataFrame:
+    """Entries of each stream's live list as of ``as_of``, ``position`` 1 = newest.
+
+    Only the newest list can be live, and it holds at most ``cap`` entries. So the newest
+    ``cap`` pushes are taken first (a partial top-n before the shuffle, whatever the history),
+    and over those few rows the list is what comes before the first gap over ``ttl``."""
+    top = keep_last(errors.where(F.col(ts) <= as_of), cap, key, ts, seq)
+    w = Window.partitionBy(key).orderBy("position")
+    later = F.coalesce(F.lag(ts).over(w), as_of)
+    gap = (later > F.col(ts) + F.expr(f"INTERVAL {ttl}")).cast("int")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (top.withColumn("_gap", gap).withColumn("_gaps", F.sum("_gap").over(run))
+            .where(F.col("_gaps") == 0).drop("_gap", "_gaps"))
+
+
 def error_count(errors: DataFrame, as_of: Column, ttl: str = ERROR_TTL,
                 cap: int = ERROR_LIST_MAX, streams: DataFrame | None = None,
                 key: str = "stream_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Live list length per stream as of ``as_of`` (0 when expired or never pushed)."""
-    lists = error_lists(errors.where(F.col(ts) <= as_of), ttl, cap, key, ts, seq)
-    live = lists.where(F.col("expires_at") >= as_of).select(key, F.col("n_kept").alias("n"))
+    live = (live_entries(errors, as_of, ttl, cap, key, ts, seq).groupBy(key)
+            .agg(F.count(F.lit(1)).alias("n")))
     base = streams if streams is not None else errors.select(key).distinct()
     return (base.join(live, key, "left")
             .select(key, F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("error_count")))
 
 
 def recent_errors(errors: DataFrame, as_of: Column, limit: int = RECENT_LIMIT,
-                  ttl: str = ERROR_TTL, key: str = "stream_id", ts: str = "ts",
-                  seq: str = "seq") -> DataFrame:
-    """Newest ``limit`` entries of each stream's live list as of ``as_of``.
-
-    Only a stream's newest list can be live, so one scan suffices: the newest ``limit``
-    rows per stream (a partial top-n before the shuffle), then, over those few rows, keep
-    the ones in the newest row's list when that list has not expired."""
-    tagged = with_lists(errors.where(F.col(ts) <= as_of), ttl, key, ts, seq)
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(seq).desc())
-    top = tagged.withColumn("position", F.row_number().over(w)).where(
-        F.col("position") <= limit)
-    head = (top.withColumn("_head_list", F.first("list_no").over(w))
-            .withColumn("_head_ts", F.first(ts).over(w)))
-    return (head.where((F.col("list_no") == F.col("_head_list"))
-                       & (F.col("_head_ts") + F.expr(f"INTERVAL {ttl}") >= as_of))
-            .select(*errors.columns, F.col("position").cast("long").alias("position")))
+                  ttl: str = ERROR_TTL, cap: int = ERROR_LIST_MAX, key: str = "stream_id",
+                  ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """Newest ``limit`` entries of each stream's live list as of ``as_of``; never more
+    than the list holds."""
+    return live_entries(errors, as_of, ttl, cap, key, ts, seq).where(F.col("position") <= limit)
 
 
 def clear_errors(errors: DataFrame, clears: DataFrame, key: str = "stream_id",

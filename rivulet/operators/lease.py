@@ -1,63 +1,91 @@
-"""Lease log analytics: held intervals (O31), conflicts and holders."""
+"""Leases from a log of lock calls: outcomes and held intervals (O31), conflicts and holders
+(O32). A lease is exclusive: a channel has at most one holder at any time."""
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.functions.scan import keyed_scan, time_bucket
-
-# Fixed value: lease time-to-live.
-LEASE_TTL = "60 seconds"
-RELEASE = "release"
-
-
-def lease_intervals(log: DataFrame, ttl: str = LEASE_TTL, unit: str = "HOUR") -> DataFrame:
-    """Per (channel, instance), grant/refresh events merge into held intervals
-    [first, last + ttl); a release ends the interval early and the next grant starts a new
-    one; a release without a hold does nothing; empty intervals are dropped.
-
-    Two ordered scans, neither of which puts a hot channel into one task: the first numbers
-    release epochs, the second sessionizes the grants within an epoch."""
-    keys = ["subreddit", "instance_id"]
-    is_rel = (F.col("action") == RELEASE).cast("long")
-    epochs = (keyed_scan(log, keys, "ts", ["seq"], unit=unit, sums={"_nrel": is_rel})
-              .withColumn("epoch", F.col("_nrel") - (F.col("action") == RELEASE).cast("long"))
-              .drop("_nrel", "rn"))
-    grants = epochs.where(F.col("action") != RELEASE)
-    sessions = (keyed_scan(grants, keys + ["epoch"], "ts", ["seq"], unit=unit, gap=ttl)
-                .groupBy(*keys, "epoch", "island")
-                .agg(F.min("ts").alias("held_from"), F.max("ts").alias("_last"),
-                     F.count(F.lit(1)).alias("n_events")))
-    releases = (epochs.where(F.col("action") == RELEASE)
-                .select(*keys, "epoch", F.col("ts").alias("_rel")))
-    j = sessions.join(releases, keys + ["epoch"], "left")
-    until = F.least(F.col("_last") + F.expr(f"INTERVAL {ttl}"), F.col("_rel"))
-    return (j.select(*keys, "held_from", until.alias("held_until"), "n_events")
-            .where(F.col("held_until") > F.col("held_from")))
-
-
-def _hour_buckets(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(time_bucket(start, "HOUR"), time_bucket(end, "HOUR")))
-
-
-def lease_conflicts(events: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Events that met a lease held by another instance of the same channel
-    (held_from <= ts < held_until). A bucketed range join: each interval is listed under
-    every hour it covers and joined on (channel, hour), so no channel-wide cross product
-    is formed and every match is exact."""
-    iv = intervals.select(F.col("subreddit").alias("_iv_sub"),
-                          F.col("instance_id").alias("holder_instance"),
-                          "held_from", "held_until",
-                          _hour_buckets(F.col("held_from"), F.col("held_until")).alias("_hb"))
-    ev = events.withColumn("_eb", time_bucket("ts", "HOUR"))
-    cond = ((ev["subreddit"] == iv["_iv_sub"]) & (ev["_eb"] == iv["_hb"])
-            & (ev["ts"] >= iv["held_from"]) & (ev["ts"] < iv["held_until"])
-            & (ev["instance_id"] != iv["holder_instance"]))
-    return ev.join(iv, cond, "inner").select(*events.columns, "holder_instance", "held_from",
-                                            "held_until")
-
-
-def holders(intervals: DataFrame, as_of: Column) -> DataFrame:
-    """Who holds each channel's lease at ``as_of`` (no row = free)."""
-    return intervals.where((F.col("held_from") <= as_of) & (as_of < F.col("held_until")))
+from rivulet.functions.ordered import ordered_pass
+
+# Lease time-to-live, call names.
+LEASE_TTL_SECONDS = 60
+ACQUIRE, REFRESH, RELEASE = "acquire", "refresh", "release"
+
+
+def lease_calls(log: DataFrame, ttl: int = LEASE_TTL_SECONDS) -> DataFrame:
+    """Outcome of every call, in (ts, seq) order of its channel. Adds ``granted``, ``lease_no``
+    (the lease that the call opened, kept or ended; null if denied), ``holder_instance``,
+    ``held_since`` and ``held_until`` (the live lease that the call met, null if none).
+
+    An acquire is granted if no lease is live, even to its last holder; it lives ``ttl``
+    seconds. A refresh is granted to the holder of the live lease and lets it live ``ttl``
+    seconds from then; a release by that holder ends it. All other calls are denied and change
+    nothing. Calls without channel, instance or time take no part. Which calls are granted
+    depends on the calls before, so a channel is one ordered pass of one batch at a time."""
+    span = ttl * 1_000_000
+
+    def new_state():
+        return SimpleNamespace(holder=None, since=0, until=0, number=0)
+
+    def advance(rows: pd.DataFrame, s) -> pd.DataFrame:
+        t = rows["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64).tolist()
+        granted, number, holder, since, until = [], [], [], [], []
+        for at, who, what in zip(t, rows["instance_id"].tolist(), rows["action"].tolist()):
+            live = s.holder is not None and at < s.until
+            holder.append(s.holder if live else None)
+            since.append(s.since if live else None)
+            until.append(s.until if live else None)
+            mine = live and s.holder == who
+            ok = not live if what == ACQUIRE else mine and what in (REFRESH, RELEASE)
+            if ok and what == ACQUIRE:
+                s.number += 1
+                s.holder, s.since = who, at
+            if ok:
+                s.until = at if what == RELEASE else at + span
+            granted.append(ok)
+            number.append(s.number if ok else None)
+        out = rows.copy()
+        out["granted"] = granted
+        out["lease_no"] = pd.array(number, dtype="Int64")
+        out["holder_instance"] = holder
+        for name, values in (("held_since", since), ("held_until", until)):
+            out[name] = pd.to_datetime(pd.Series(values, index=out.index, dtype="Int64"), unit="us")
+        return out
+
+    cols = ["subreddit", "instance_id", "seq", "ts", "action"]
+    src = log.where("instance_id IS NOT NULL AND ts IS NOT NULL").select(*cols)
+    kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in cols)
+    return ordered_pass(src, "subreddit", ["ts", "seq"],
+                        f"{kinds}, granted boolean, lease_no long, holder_instance string, "
+                        "held_since timestamp_ntz, held_until timestamp_ntz", new_state, advance)
+
+
+def lease_intervals(calls: DataFrame, ttl: int = LEASE_TTL_SECONDS) -> DataFrame:
+    """One row per lease, from the outcomes of ``lease_calls``: [held_from, held_until),
+    ended by its release or ``ttl`` seconds after its last granted acquire or refresh."""
+    last = F.max(F.when(F.col("action") != RELEASE, F.col("ts")))
+    ended = F.max(F.when(F.col("action") == RELEASE, F.col("ts")))
+    return (calls.where("granted").groupBy("subreddit", "lease_no")
+            .agg(F.max(F.when(F.col("action") == ACQUIRE, F.col("instance_id"))).alias("instance_id"),
+                 F.min("ts").alias("held_from"),
+                 F.least(last + F.expr(f"INTERVAL {ttl} SECONDS"), ended).alias("held_until"),
+                 F.count(F.lit(1)).alias("n_calls")))
+
+
+def lease_conflicts(calls: DataFrame) -> DataFrame:
+    """Calls that met a live lease of another instance; at most one row per call."""
+    return calls.where(F.col("holder_instance") != F.col("instance_id")).select(
+        "subreddit", "instance_id", "seq", "ts", "action", "holder_instance", "held_since",
+        "held_until")
+
+
+def holders(log: DataFrame, as_of: Column, ttl: int = LEASE_TTL_SECONDS) -> DataFrame:
+    """Who holds each channel's lease at ``as_of`` (no row = free), at most one row per
+    channel. Calls after ``as_of`` are not read: the filter reaches the scan."""
+    past = lease_intervals(lease_calls(log.where(F.col("ts") <= as_of), ttl), ttl)
+    return past.where((F.col("held_from") <= as_of) & (as_of < F.col("held_until")))

@@ -35,21 +35,24 @@ def get_stream(streams: DataFrame, stream_id: str) -> DataFrame:
 
 
 def create_streams(streams: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claim each channel once. Within the batch the earliest request wins
-    (requested_at, then id); a channel already in the registry is not claimed again.
-    Returns (created rows, conflicting requests with the id holding the claim).
+    """Claim each channel once, for the instance that asks. Within the batch the earliest
+    request wins (requested_at, then id); a channel already in the registry is not claimed
+    again, and a request without a channel claims nothing. Returns (created rows, conflicting
+    requests with the id holding the claim).
 
     The per-channel winner is a min over a struct, a partial aggregate, so a channel with a
     third of all requests is pre-reduced before the shuffle."""
+    requests = requests.where(F.col("subreddit").isNotNull())
     win = (requests.groupBy("subreddit")
-           .agg(F.min(F.struct("requested_at", "id", "config")).alias("w"))
+           .agg(F.min(F.struct("requested_at", "id", "instance_id", "config")).alias("w"))
            .select("subreddit", F.col("w.id").alias("id"),
                    F.col("w.requested_at").alias("requested_at"),
+                   F.col("w.instance_id").alias("instance_id"),
                    F.col("w.config").alias("config")))
     existing = streams.select("subreddit", F.col("id").alias("holder_id"))
     created = (win.join(existing, "subreddit", "left_anti")
                .select("id", "subreddit", F.lit(CREATED_STATUS).alias("status"),
-                       F.lit(None).cast("string").alias("instance_id"),
+                       "instance_id",
                        F.coalesce(F.col("config"), F.lit("{}")).alias("config"),
                        F.col("requested_at").alias("created_at"),
                        F.col("requested_at").alias("updated_at")))
@@ -68,14 +71,18 @@ def lookup(df: DataFrame, streams: DataFrame, channel: str = "subreddit") -> Dat
     return (df.join(reg, df[channel] == F.col("_r_sub"), "left").drop("_r_sub"))
 
 
-def delete_streams(streams: DataFrame, checkpoints: DataFrame,
-                   ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove the streams, their checkpoints and (implicitly) their channel claims;
-    unknown ids are a no-op."""
-    gone = ids.select(F.col("id").alias("_del_id"))
+def delete_streams(streams: DataFrame, checkpoints: DataFrame, ids: DataFrame,
+                   leases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Remove the registered streams among ``ids`` with their checkpoints, their leases
+    (rows by ``subreddit``) and so their channel claims. An id that is not registered is a
+    no-op: a checkpoint under it stays. Returns what remains of each table."""
+    gone = (ids.join(streams.select(F.col("id"), F.col("subreddit").alias("_del_channel")), "id")
+            .select(F.col("id").alias("_del_id"), "_del_channel").distinct())
     s = streams.join(gone, streams["id"] == F.col("_del_id"), "left_anti")
     c = checkpoints.join(gone, checkpoints["stream_id"] == F.col("_del_id"), "left_anti")
-    return s, c
+    held = None if leases is None else leases.join(
+        gone, leases["subreddit"] == F.col("_del_channel"), "left_anti")
+    return s, c, held
 
 
 def current_streams(status_log: DataFrame, key: str = "stream_id", ts: str = "ts",
@@ -93,10 +100,9 @@ def current_streams(status_log: DataFrame, key: str = "stream_id", ts: str = "ts
             .where(F.col("_dead") == 0).drop("_dead"))
 
 
-def sweep_dead(streams: DataFrame, checkpoints: DataFrame
-               ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Streams in a dead status are deleted with their checkpoints and claims.
-    Returns (swept rows, remaining streams, remaining checkpoints)."""
+def sweep_dead(streams: DataFrame, checkpoints: DataFrame, leases: DataFrame | None = None
+               ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Streams in a dead status are deleted with their checkpoints, leases and claims.
+    Returns (swept rows, remaining streams, remaining checkpoints, remaining leases)."""
     swept = streams.where(F.col("status").isin(DEAD_STATUSES))
-    s, c = delete_streams(streams, checkpoints, swept.select("id"))
-    return swept, s, c
+    return swept, *delete_streams(streams, checkpoints, swept.select("id"), leases)

@@ -22,7 +22,9 @@ NOW = "2024-02-01 00:00:00"
 ERRORS_AS_OF = "2024-01-31 00:00:00"
 SESSION_START = "2024-01-01 05:00:00"
 LEASE_AS_OF = "2024-01-15 12:00:00"
-LEASE_TTL = "1 hour"
+LEASE_TTL = 3600  # seconds
+# A first recovery time short enough for an error's suggested backoff to act as the floor.
+BREAKER = {"recovery": 10}
 
 MESSAGE_COLS = ["comment_id", "subreddit", "author_id", "text", "timestamp"]
 
@@ -42,8 +44,12 @@ def messages_quarantine(spark, d):
 
 
 def encode_roundtrip(spark, d):
+    """O5 through storage: messages are encoded, written, read back and decoded."""
+    from rivulet.session import new_work_dir
     good, _ = errors.split(_validated(spark, d))
-    return io.roundtrip(good.select(*MESSAGE_COLS))
+    path = f"{new_work_dir(spark, 'encode')}/values"
+    io.write_messages(good, path, "parquet", value_format="json", keep=["comment_id"])
+    return io.decode_message(spark.read.parquet(path), keep=["comment_id"])
 
 
 def error_classified(spark, d):
@@ -81,6 +87,20 @@ def errors_recent(spark, d):
     return errors.recent_errors(fx.errors(spark, d), fx.ntz(ERRORS_AS_OF))
 
 
+def error_count_dense(spark, d):
+    return errors.error_count(fx.errors_dense(spark, d), fx.ntz(ERRORS_AS_OF))
+
+
+def errors_recent_dense(spark, d):
+    return errors.recent_errors(fx.errors_dense(spark, d), fx.ntz(ERRORS_AS_OF))
+
+
+def errors_recent_cleared(spark, d):
+    """O23 then O22: what a reader sees after the lists were cleared."""
+    left = errors.clear_errors(fx.errors(spark, d), fx.clears(spark, d))
+    return errors.recent_errors(left, fx.ntz(ERRORS_AS_OF))
+
+
 def errors_after_clear(spark, d):
     return errors.clear_errors(fx.errors(spark, d), fx.clears(spark, d))
 
@@ -137,15 +157,38 @@ def streams_current(spark, d):
     return registry.current_streams(fx.status_log(spark, d))
 
 
+def _deleted(spark, d):
+    return registry.delete_streams(fx.streams(spark, d), fx.registry_checkpoints(spark, d),
+                                   fx.delete_ids(spark, d), fx.registry_leases(spark, d))
+
+
+def _swept(spark, d):
+    return registry.sweep_dead(fx.streams(spark, d), fx.registry_checkpoints(spark, d),
+                               fx.registry_leases(spark, d))
+
+
 def streams_delete(spark, d):
-    s, _ = registry.delete_streams(fx.streams(spark, d), fx.checkpoint_table(spark, d),
-                                   fx.delete_ids(spark, d))
-    return s
+    return _deleted(spark, d)[0]
+
+
+def streams_delete_checkpoints(spark, d):
+    return _deleted(spark, d)[1]
+
+
+def streams_delete_leases(spark, d):
+    return _deleted(spark, d)[2]
 
 
 def streams_sweep(spark, d):
-    swept, _, _ = registry.sweep_dead(fx.streams(spark, d), fx.checkpoint_table(spark, d))
-    return swept
+    return _swept(spark, d)[0]
+
+
+def streams_sweep_remaining(spark, d):
+    """The cascade side: remaining streams, checkpoints and leases as (kind, id)."""
+    _, s, c, held = _swept(spark, d)
+    return (s.select(F.lit("stream").alias("kind"), "id")
+            .unionByName(c.select(F.lit("checkpoint").alias("kind"), F.col("stream_id").alias("id")))
+            .unionByName(held.select(F.lit("lease").alias("kind"), F.col("subreddit").alias("id"))))
 
 
 def failure_streaks(spark, d):
@@ -153,21 +196,24 @@ def failure_streaks(spark, d):
 
 
 def circuit_timeline(spark, d):
-    return circuit.circuit_timeline(fx.attempts(spark, d))
+    return circuit.circuit_timeline(fx.attempts(spark, d), **BREAKER)
 
 
 def lease_intervals(spark, d):
-    return lease.lease_intervals(fx.lease_log(spark, d), ttl=LEASE_TTL)
+    return lease.lease_intervals(lease.lease_calls(fx.lease_log(spark, d), LEASE_TTL), LEASE_TTL)
+
+
+def lease_calls(spark, d):
+    return lease.lease_calls(fx.lease_log(spark, d), LEASE_TTL).select(
+        "subreddit", "seq", "granted", "lease_no")
 
 
 def lease_conflicts(spark, d):
-    log = fx.lease_log(spark, d)
-    return lease.lease_conflicts(log, lease.lease_intervals(log, ttl=LEASE_TTL).drop("n_events"))
+    return lease.lease_conflicts(lease.lease_calls(fx.lease_log(spark, d), LEASE_TTL))
 
 
 def lease_holders(spark, d):
-    iv = lease.lease_intervals(fx.lease_log(spark, d), ttl=LEASE_TTL)
-    return lease.holders(iv, fx.ntz(LEASE_AS_OF))
+    return lease.holders(fx.lease_log(spark, d), fx.ntz(LEASE_AS_OF), LEASE_TTL)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -182,6 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_lists_dense": error_lists_dense,
     "error_count_live": error_count_live,
     "errors_recent": errors_recent,
+    "error_count_dense": error_count_dense,
+    "errors_recent_dense": errors_recent_dense,
+    "errors_recent_cleared": errors_recent_cleared,
     "errors_after_clear": errors_after_clear,
     "checkpoint_every": checkpoint_every,
     "checkpoint_merge": checkpoint_merge,
@@ -195,9 +244,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "streams_list": streams_list,
     "streams_current": streams_current,
     "streams_delete": streams_delete,
+    "streams_delete_checkpoints": streams_delete_checkpoints,
+    "streams_delete_leases": streams_delete_leases,
     "streams_sweep": streams_sweep,
+    "streams_sweep_remaining": streams_sweep_remaining,
     "failure_streaks": failure_streaks,
     "circuit_timeline": circuit_timeline,
+    "lease_calls": lease_calls,
     "lease_intervals": lease_intervals,
     "lease_conflicts": lease_conflicts,
     "lease_holders": lease_holders,
@@ -208,6 +261,7 @@ from rivulet.plans import stream_queries as _sq  # noqa: E402
 QUERIES.update({
     "ingest_stream": _sq.ingest_stream,
     "ingest_checkpoints": _sq.ingest_checkpoints,
+    "ingest_flush": _sq.ingest_flush,
     "flush_stream": _sq.flush_stream,
     "circuit_stream": _sq.circuit_stream,
     "error_lists_stream": _sq.error_lists_stream,

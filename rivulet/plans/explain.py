@@ -15,10 +15,10 @@ SHOWCASE = {
     "errors_keep_last_dense": "top-100 per stream: partial WindowGroupLimit before the "
                               "exchange, so each hot stream ships at most 100 rows per partition",
     "streams_create": "first-wins per channel as a partial aggregate (min over a struct)",
-    "lease_conflicts": "range join on (channel, hour bucket) plus the exact range predicate",
+    "lease_conflicts": "one exchange and sort by channel, one ordered pass; no join",
     "start_position": "only doc_id and source are read (the text column is pruned); the "
                       "join side is chosen by measured size",
-    "circuit_timeline": "one exchange and sort, then the grouped iterator function",
+    "circuit_timeline": "one exchange and sort by stream, one ordered pass of Arrow batches",
 }
 
 

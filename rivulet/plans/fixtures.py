@@ -69,8 +69,8 @@ ERROR_TYPES_BY_MOD11 = ["ConnectionError", "TimeoutError", "TooManyRequests", "R
 
 
 def errors(spark, sf_dir) -> DataFrame:
-    """one error per 'error' event, stream = user, type cycles over 11 classes."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    """one error per event, stream = user, type cycles over 11 classes."""
+    e = table(spark, sf_dir, "events")
     m = F.col("event_id") % 11
     t = F.lit(ERROR_TYPES_BY_MOD11[-1])
     for i, name in reversed(list(enumerate(ERROR_TYPES_BY_MOD11[:-1]))):
@@ -89,8 +89,7 @@ def errors_dense(spark, sf_dir) -> DataFrame:
 def clears(spark, sf_dir) -> DataFrame:
     """Error-list clears, latest per stream."""
     e = table(spark, sf_dir, "events")
-    return (e.where((F.col("event_type") == "signup") & (F.col("event_id") % 4 == 0))
-            .groupBy("user_id").agg(F.max("ts").alias("clear_ts"))
+    return (e.groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 10 DAYS")).alias("clear_ts"))
             .select(_u("user_id").alias("stream_id"), "clear_ts"))
 
 
@@ -118,38 +117,61 @@ def checkpoint_table(spark, sf_dir) -> DataFrame:
 
 
 def requests(spark, sf_dir) -> DataFrame:
-    """F4 requests: create-stream calls, many per channel."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
-    return e.select(F.concat(F.lit("st"), F.col("event_id").cast("string")).alias("id"),
-                    F.concat(F.lit("c"), (F.col("user_id") % 60).cast("string")).alias("subreddit"),
-                    F.col("ts").alias("requested_at"), F.col("props").alias("config"))
+    """F4 requests: create-stream calls, many per channel; those of even events ask for
+    channels that are not registered, every 37th names no channel, every 5th has no config."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("st"), i.cast("string")).alias("id"),
+        F.when(i % 37 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string"), F.when(
+            i % 2 == 0, F.lit("x")).otherwise(F.lit("")))).alias("subreddit"),
+        F.col("ts").alias("requested_at"),
+        F.concat(F.lit("i"), (i % 3).cast("string")).alias("instance_id"),
+        F.when(i % 5 != 0, F.col("props")).alias("config"))
 
 
 STATUS_BY_MOD6 = ["inactive", "starting", "active", "paused", "stopped", "error"]
 
 
 def streams(spark, sf_dir) -> DataFrame:
-    """F4 registry: channels c0..c23 with every status; every 4th config is bad JSON."""
+    """F4 registry: a channel of every user, with every status; configs are good, bad JSON,
+    empty or null."""
     k = F.col("k")
     st = F.lit(STATUS_BY_MOD6[-1])
     for i, name in reversed(list(enumerate(STATUS_BY_MOD6[:-1]))):
         st = F.when(k % 6 == i, F.lit(name)).otherwise(st)
-    ks = (table(spark, sf_dir, "events").where(F.col("user_id") < 24)
-          .select(F.col("user_id").alias("k")).distinct())
+    ks = table(spark, sf_dir, "events").select(F.col("user_id").alias("k")).distinct()
     return ks.select(F.concat(F.lit("s"), k.cast("string")).alias("id"),
                      F.concat(F.lit("c"), k.cast("string")).alias("subreddit"),
                      st.alias("status"),
-                     F.when(k % 4 == 0, F.lit("{bad")).otherwise(F.lit('{"limit": 100}'))
-                      .alias("config"))
+                     F.when(k % 4 == 0, F.lit("{bad")).when(k % 7 == 0, F.lit(""))
+                      .when(k % 9 != 0, F.lit('{"limit": 100}')).alias("config"))
+
+
+def registry_checkpoints(spark, sf_dir) -> DataFrame:
+    """F4 checkpoints of the registry's streams, and of as many that are not registered."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("k")).distinct()
+    ids = users.select(F.explode(F.array(
+        F.concat(F.lit("s"), F.col("k").cast("string")),
+        F.concat(F.lit("ghost"), F.col("k").cast("string")))).alias("id"))
+    return ids.select("id", F.col("id").alias("stream_id"), F.lit("x").alias("last_comment_id"),
+                      ntz("2023-12-31 00:00:00").alias("last_processed_at"),
+                      ntz("2023-12-31 00:00:00").alias("updated_at"))
+
+
+def registry_leases(spark, sf_dir) -> DataFrame:
+    """F4 leases: one per registered channel."""
+    return streams(spark, sf_dir).select("subreddit", F.concat(
+        F.lit("i"), F.length("id").cast("string")).alias("instance_id"))
 
 
 def status_log(spark, sf_dir) -> DataFrame:
-    """F4 status log: one status write per event; instance only on even events."""
+    """F4 status log: one status write per event; instance only on even events; every 997th
+    write is a tombstone."""
     e = table(spark, sf_dir, "events")
     t = F.col("event_type")
-    status = (F.when(t == "signup", "starting").when(t == "purchase", "stopped")
-              .when(t == "error", "error").otherwise("active"))
     i = F.col("event_id")
+    status = (F.when(i % 997 == 0, "deleted").when(t == "signup", "starting")
+              .when(t == "purchase", "stopped").when(t == "error", "error").otherwise("active"))
     return e.select(_u("user_id").alias("stream_id"), i.alias("seq"), "ts",
                     status.alias("status"),
                     F.when(i % 2 == 0, F.concat(F.lit("i"), (i % 3).cast("string")))
@@ -157,25 +179,30 @@ def status_log(spark, sf_dir) -> DataFrame:
 
 
 def delete_ids(spark, sf_dir) -> DataFrame:
-    """Ids to delete: every third registry id s0..s27 (s24, s27 unknown, a no-op)."""
-    e = table(spark, sf_dir, "events")
-    return (e.where((F.col("event_type") == "purchase") & (F.col("event_id") % 7 == 0)
-                    & (F.col("user_id") % 3 == 0))
-            .select(F.concat(F.lit("s"), (F.col("user_id") % 30).cast("string")).alias("id"))
-            .distinct())
+    """Ids to delete: of every user k, s of 3k (beyond the last user it is unknown, a no-op)
+    and ghost k (a checkpoint without a stream, a no-op too)."""
+    k = F.col("user_id")
+    return (table(spark, sf_dir, "events").select(k).distinct().select(F.explode(F.array(
+        F.concat(F.lit("s"), (k * 3).cast("string")),
+        F.concat(F.lit("ghost"), k.cast("string")))).alias("id")))
 
 
 def attempts(spark, sf_dir) -> DataFrame:
-    """call attempts of five streams; value > 30 is a failed call."""
+    """call attempts of five streams; value > 30 is a failed call, of four classes."""
+    i = F.col("event_id") % 4
+    kind = (F.when(i == 0, "ConnectionError").when(i == 1, "TooManyRequests")
+            .when(i == 2, "RateLimitError").otherwise("TimeoutError"))
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 5).alias("stream_id"), F.col("event_id").alias("attempt_id"), "ts",
-        F.when(F.col("value") > 30, F.lit("ConnectionError")).alias("error_type"))
+        F.concat(F.lit("b"), (F.col("user_id") % 5).cast("string")).alias("stream_id"),
+        F.col("event_id").alias("attempt_id"), "ts",
+        F.when(F.col("value") > 30, kind).alias("error_type"))
 
 
 def lease_log(spark, sf_dir) -> DataFrame:
-    """lease refresh/release events per (channel, instance)."""
+    """lock calls per channel: acquire, refresh and release by three instances."""
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("subreddit"),
         F.concat(F.lit("i"), (F.col("user_id") % 3).cast("string")).alias("instance_id"),
         F.col("event_id").alias("seq"), "ts",
-        F.when(F.col("event_id") % 50 == 0, "release").otherwise("refresh").alias("action"))
+        F.when(F.col("event_id") % 50 == 0, "release").when(F.col("event_id") % 3 == 0, "acquire")
+         .otherwise("refresh").alias("action"))

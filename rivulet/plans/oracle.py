@@ -30,11 +30,11 @@ FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source""",
     WHEN 5 THEN 'ResponseException' WHEN 6 THEN 'RateLimitError' WHEN 7 THEN 'NotFound'
     WHEN 8 THEN 'Forbidden' WHEN 9 THEN 'ValueError' ELSE 'KeyError' END AS error_type,
   props AS error_message
-FROM events WHERE event_type = 'error'""",
+FROM events""",
     "f2b_errors_dense": """SELECT event_type AS stream_id, event_id AS seq, ts,
   'TimeoutError' AS error_type, props AS error_message FROM events""",
-    "f2c_clears": """SELECT concat('u', user_id) AS stream_id, max(ts) AS clear_ts
-FROM events WHERE event_type = 'signup' AND event_id % 4 = 0 GROUP BY user_id""",
+    "f2c_clears": """SELECT concat('u', user_id) AS stream_id,
+  min(ts) + INTERVAL 10 DAY AS clear_ts FROM events GROUP BY user_id""",
     "f3_checkpoint_log": """SELECT concat('u', user_id) AS stream_id, event_id AS seq,
   ts AS updated_at,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS last_comment_id,
@@ -46,27 +46,41 @@ FROM events""",
   'old' AS last_comment_id, TIMESTAMP '2023-12-31 00:00:00' AS last_processed_at,
   TIMESTAMP '2023-12-31 00:00:00' AS updated_at
 FROM (SELECT DISTINCT user_id + 75 AS user_id FROM events)""",
-    "f4_requests": """SELECT concat('st', event_id) AS id, concat('c', user_id % 60) AS subreddit,
-  ts AS requested_at, props AS config
-FROM events WHERE event_type = 'signup'""",
+    "f4_requests": """SELECT concat('st', event_id) AS id,
+  CASE WHEN event_id % 37 <> 0 THEN concat('c', user_id, CASE WHEN event_id % 2 = 0 THEN 'x'
+    ELSE '' END) END AS subreddit, ts AS requested_at, concat('i', event_id % 3) AS instance_id,
+  CASE WHEN event_id % 5 <> 0 THEN props END AS config
+FROM events""",
     "f4_streams": """SELECT concat('s', k) AS id, concat('c', k) AS subreddit,
   CASE k % 6 WHEN 0 THEN 'inactive' WHEN 1 THEN 'starting' WHEN 2 THEN 'active'
     WHEN 3 THEN 'paused' WHEN 4 THEN 'stopped' ELSE 'error' END AS status,
-  CASE WHEN k % 4 = 0 THEN '{bad' ELSE '{"limit": 100}' END AS config
-FROM (SELECT DISTINCT user_id AS k FROM events WHERE user_id < 24)""",
+  CASE WHEN k % 4 = 0 THEN '{bad' WHEN k % 7 = 0 THEN '' WHEN k % 9 <> 0
+    THEN '{"limit": 100}' END AS config
+FROM (SELECT DISTINCT user_id AS k FROM events)""",
+    "f4_checkpoints": """SELECT id, id AS stream_id, 'x' AS last_comment_id,
+  TIMESTAMP '2023-12-31 00:00:00' AS last_processed_at,
+  TIMESTAMP '2023-12-31 00:00:00' AS updated_at
+FROM (SELECT DISTINCT concat('s', user_id) AS id FROM events
+      UNION ALL SELECT DISTINCT concat('ghost', user_id) FROM events)""",
+    "f4_leases": """SELECT DISTINCT concat('c', user_id) AS subreddit,
+  concat('i', length(concat('s', user_id))) AS instance_id FROM events""",
     "f4_status_log": """SELECT concat('u', user_id) AS stream_id, event_id AS seq, ts,
-  CASE event_type WHEN 'signup' THEN 'starting' WHEN 'purchase' THEN 'stopped'
-    WHEN 'error' THEN 'error' ELSE 'active' END AS status,
+  CASE WHEN event_id % 997 = 0 THEN 'deleted' WHEN event_type = 'signup' THEN 'starting'
+    WHEN event_type = 'purchase' THEN 'stopped' WHEN event_type = 'error' THEN 'error'
+    ELSE 'active' END AS status,
   CASE WHEN event_id % 2 = 0 THEN concat('i', event_id % 3) ELSE NULL END AS instance_id
 FROM events""",
-    "f4_delete_ids": """SELECT DISTINCT concat('s', user_id % 30) AS id
-FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0 AND user_id % 3 = 0""",
-    "f5_attempts": """SELECT user_id % 5 AS stream_id, event_id AS attempt_id, ts,
-  CASE WHEN value > 30 THEN 'ConnectionError' ELSE NULL END AS error_type
+    "f4_delete_ids": """SELECT DISTINCT concat('s', user_id * 3) AS id FROM events
+UNION ALL SELECT DISTINCT concat('ghost', user_id) FROM events""",
+    "f5_attempts": """SELECT concat('b', user_id % 5) AS stream_id, event_id AS attempt_id, ts,
+  CASE WHEN value > 30 THEN CASE event_id % 4 WHEN 0 THEN 'ConnectionError'
+    WHEN 1 THEN 'TooManyRequests' WHEN 2 THEN 'RateLimitError' ELSE 'TimeoutError' END END
+    AS error_type
 FROM events""",
     "f6_lease_log": """SELECT event_type AS subreddit, concat('i', user_id % 3) AS instance_id,
   event_id AS seq, ts,
-  CASE WHEN event_id % 50 = 0 THEN 'release' ELSE 'refresh' END AS action
+  CASE WHEN event_id % 50 = 0 THEN 'release' WHEN event_id % 3 = 0 THEN 'acquire'
+    ELSE 'refresh' END AS action
 FROM events""",
 }
 
@@ -168,41 +182,54 @@ FROM _tagged GROUP BY stream_id, list_no"""),
     ]
 
 
-def _lease_ctes() -> list[tuple[str, str]]:
-    return [
-        ("_ep", """SELECT *, CAST(sum(CASE WHEN action = 'release' THEN 1 ELSE 0 END)
-    OVER (PARTITION BY subreddit, instance_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)
-    - CASE WHEN action = 'release' THEN 1 ELSE 0 END AS BIGINT) AS epoch
-FROM f6_lease_log"""),
-        ("_gl", """SELECT *, lag(ts) OVER (PARTITION BY subreddit, instance_id, epoch
-    ORDER BY ts, seq) AS prev_ts
-FROM _ep WHERE action <> 'release'"""),
-        ("_gs", """SELECT *, sum(CASE WHEN prev_ts IS NULL OR ts > prev_ts + INTERVAL 1 HOUR
-    THEN 1 ELSE 0 END) OVER (PARTITION BY subreddit, instance_id, epoch ORDER BY ts, seq
-    ROWS UNBOUNDED PRECEDING) AS island
-FROM _gl"""),
-        ("_sess", """SELECT subreddit, instance_id, epoch, island, min(ts) AS held_from,
-  max(ts) AS last_ts, count(*) AS n_events
-FROM _gs GROUP BY subreddit, instance_id, epoch, island"""),
-        ("_rel", """SELECT subreddit, instance_id, epoch, ts AS rel_ts FROM _ep
-WHERE action = 'release'"""),
-        ("_iv", """SELECT * FROM (
-  SELECT s.subreddit, s.instance_id, s.held_from,
-    CASE WHEN r.rel_ts IS NOT NULL AND r.rel_ts < s.last_ts + INTERVAL 1 HOUR THEN r.rel_ts
-         ELSE s.last_ts + INTERVAL 1 HOUR END AS held_until, s.n_events
-  FROM _sess s LEFT JOIN _rel r
-    ON s.subreddit = r.subreddit AND s.instance_id = r.instance_id AND s.epoch = r.epoch)
-WHERE held_until > held_from"""),
-    ]
-
-
-CIRCUIT_SQL = """WITH RECURSIVE r AS (
-  SELECT user_id % 5 AS stream_id, event_id, ts, value > 30 AS failed,
-    row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS rn
-  FROM events),
+# Lock calls in order, one at a time: the live holder, since and until when, lease number.
+LEASE_SQL = """WITH RECURSIVE r AS (
+  SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY ts, seq) AS rn
+  FROM (__F6__) __WHERE__),
+ c AS (
+  SELECT subreddit, 0::BIGINT AS rn, NULL::VARCHAR AS instance_id, NULL::BIGINT AS seq,
+    NULL::TIMESTAMP AS ts, NULL::VARCHAR AS action, false AS granted, false AS live,
+    NULL::VARCHAR AS holder, NULL::TIMESTAMP AS since, NULL::TIMESTAMP AS until,
+    0::BIGINT AS lease_no, NULL::VARCHAR AS met, NULL::TIMESTAMP AS met_since,
+    NULL::TIMESTAMP AS met_until
+  FROM (SELECT DISTINCT subreddit FROM r)
+  UNION ALL
+  SELECT r.subreddit, r.rn, r.instance_id, r.seq, r.ts, r.action, x.ok, x.live,
+    CASE WHEN x.ok AND r.action = 'acquire' THEN r.instance_id ELSE p.holder END,
+    CASE WHEN x.ok AND r.action = 'acquire' THEN r.ts ELSE p.since END,
+    CASE WHEN x.ok AND r.action = 'release' THEN r.ts
+         WHEN x.ok THEN r.ts + INTERVAL 3600 SECOND ELSE p.until END,
+    CASE WHEN x.ok AND r.action = 'acquire' THEN p.lease_no + 1 ELSE p.lease_no END,
+    CASE WHEN x.live THEN p.holder END, CASE WHEN x.live THEN p.since END,
+    CASE WHEN x.live THEN p.until END
+  FROM c p JOIN r ON r.subreddit = p.subreddit AND r.rn = p.rn + 1,
+  LATERAL (SELECT coalesce(r.ts < p.until, false) AS live,
+    CASE WHEN r.action = 'acquire' THEN NOT coalesce(r.ts < p.until, false)
+         ELSE coalesce(r.ts < p.until, false) AND p.holder = r.instance_id END AS ok) x
+ ),
+ calls AS (SELECT * FROM c WHERE rn > 0),
+ leases AS (SELECT subreddit, lease_no,
+    max(CASE WHEN action = 'acquire' THEN instance_id END) AS instance_id,
+    min(ts) AS held_from,
+    least(max(CASE WHEN action <> 'release' THEN ts END) + INTERVAL 3600 SECOND,
+          max(CASE WHEN action = 'release' THEN ts END)) AS held_until, count(*) AS n_calls
+  FROM calls WHERE granted GROUP BY subreddit, lease_no)
+""".replace("__F6__", CTE["f6_lease_log"])
+
+
+def _lease(body: str, where: str = "") -> str:
+    return LEASE_SQL.replace("__WHERE__", where) + body
+
+
+CIRCUIT_SQL = f"""WITH RECURSIVE f5_attempts AS ({CTE['f5_attempts']}),
+ r AS (
+  SELECT stream_id, attempt_id AS event_id, ts, error_type IS NOT NULL AS failed,
+    CASE error_type WHEN 'TooManyRequests' THEN 60 WHEN 'RateLimitError' THEN 30 ELSE 5 END AS sug,
+    row_number() OVER (PARTITION BY stream_id ORDER BY ts, attempt_id) AS rn
+  FROM f5_attempts),
  f AS (
   SELECT stream_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 'closed'::VARCHAR AS state,
-    0::BIGINT AS fc, 0::BIGINT AS sc, 60::BIGINT AS backoff, NULL::TIMESTAMP AS lf,
+    0::BIGINT AS fc, 0::BIGINT AS sc, 10::BIGINT AS backoff, NULL::TIMESTAMP AS lf,
     true AS admitted
   FROM (SELECT DISTINCT stream_id FROM r)
   UNION ALL
@@ -217,8 +244,8 @@ CIRCUIT_SQL = """WITH RECURSIVE r AS (
         WHEN x.st = 'half_open' THEN x.sc + 1 ELSE x.sc END,
    CASE WHEN NOT x.adm THEN p.backoff
         WHEN r.failed AND (x.st = 'half_open' OR p.fc + 1 >= 5)
-          THEN least(greatest(p.backoff * 2, 5), 3600)
-        WHEN NOT r.failed AND x.st = 'half_open' AND x.sc + 1 >= 2 THEN 60
+          THEN least(greatest(p.backoff * 2, r.sug), 3600)
+        WHEN NOT r.failed AND x.st = 'half_open' AND x.sc + 1 >= 2 THEN 10
         ELSE p.backoff END,
    CASE WHEN x.adm AND r.failed THEN r.ts ELSE p.lf END,
    x.adm
@@ -258,13 +285,33 @@ FROM _merged
 WHERE last_processed_at IS NULL OR last_processed_at = ''
    OR {parse_naive_utc('last_processed_at')} IS NOT NULL""")
     winners = ("_win", """SELECT subreddit, arg_min(id, (requested_at, id)) AS id,
-  min(requested_at) AS requested_at, arg_min(config, (requested_at, id)) AS config
-FROM f4_requests GROUP BY subreddit""")
+  min(requested_at) AS requested_at,
+  arg_min(struct_pack(v := instance_id), (requested_at, id)).v AS instance_id,
+  arg_min(struct_pack(v := config), (requested_at, id)).v AS config
+FROM f4_requests WHERE subreddit IS NOT NULL GROUP BY subreddit""")
     created = ("_created", """SELECT w.id, w.subreddit, 'starting' AS status,
-  CAST(NULL AS VARCHAR) AS instance_id, coalesce(w.config, '{}') AS config,
+  w.instance_id, coalesce(w.config, '{}') AS config,
   w.requested_at AS created_at, w.requested_at AS updated_at
 FROM _win w WHERE w.subreddit NOT IN (SELECT subreddit FROM f4_streams)""")
-    live_lists = _lists_cte("f2_errors", f"WHERE ts <= {as_of}")
+    cleared = """SELECT e.* FROM f2_errors e
+LEFT JOIN (SELECT stream_id, max(clear_ts) AS clear_ts FROM f2c_clears GROUP BY stream_id) c
+  ON e.stream_id = c.stream_id
+WHERE c.clear_ts IS NULL OR e.ts > c.clear_ts"""
+
+    def live_count(src):
+        return _with([src], _lists_cte(src, f"WHERE ts <= {as_of}"), f"""SELECT s.stream_id,
+  coalesce(l.n_kept, 0) AS error_count
+FROM (SELECT DISTINCT stream_id FROM {src}) s
+LEFT JOIN (SELECT * FROM _lists WHERE expires_at >= {as_of}) l ON s.stream_id = l.stream_id""")
+
+    def live_recent(names, src, extra=()):
+        return _with(names, [*extra, *_lists_cte(src, f"WHERE ts <= {as_of}")], f"""SELECT
+  stream_id, seq, ts, error_type, error_message, position FROM (
+  SELECT t.*, row_number() OVER (PARTITION BY t.stream_id ORDER BY t.ts DESC, t.seq DESC)
+    AS position
+  FROM _tagged t JOIN _lists l ON t.stream_id = l.stream_id AND t.list_no = l.list_no
+  WHERE l.expires_at >= {as_of})
+WHERE position <= 10""")
 
     ingest_ctes = [
         ("_reg", """SELECT DISTINCT source AS id, source AS subreddit FROM documents
@@ -329,7 +376,7 @@ WHERE NOT (bad_subreddit OR bad_author OR bad_text OR bad_timestamp)"""),
   1 AS is_recoverable, arrival_ts AS timestamp
 FROM v WHERE bad_subreddit OR bad_author OR bad_text OR bad_timestamp"""),
         "encode_roundtrip": _with(["f1_messages"], [("v", VALIDATED)], """SELECT comment_id,
-  subreddit, author_id, text, timestamp, true AS roundtrip_ok FROM v
+  subreddit, author_id, text, timestamp FROM v
 WHERE NOT (bad_subreddit OR bad_author OR bad_text OR bad_timestamp)"""),
         "error_classified": _with(["f2_errors"], [], f"""SELECT stream_id, seq, error_type,
 {CLASSIFY}
@@ -343,21 +390,13 @@ FROM c"""),
         "error_lists": _with(["f2_errors"], _lists_cte("f2_errors"), "SELECT * FROM _lists"),
         "error_lists_dense": _with(["f2b_errors_dense"], _lists_cte("f2b_errors_dense"),
                                    "SELECT * FROM _lists"),
-        "error_count_live": _with(["f2_errors"], live_lists, f"""SELECT s.stream_id,
-  coalesce(l.n_kept, 0) AS error_count
-FROM (SELECT DISTINCT stream_id FROM f2_errors) s
-LEFT JOIN (SELECT * FROM _lists WHERE expires_at >= {as_of}) l ON s.stream_id = l.stream_id"""),
-        "errors_recent": _with(["f2_errors"], live_lists, f"""SELECT stream_id, seq, ts,
-  error_type, error_message, position FROM (
-  SELECT t.*, row_number() OVER (PARTITION BY t.stream_id ORDER BY t.ts DESC, t.seq DESC)
-    AS position
-  FROM _tagged t JOIN _lists l ON t.stream_id = l.stream_id AND t.list_no = l.list_no
-  WHERE l.expires_at >= {as_of})
-WHERE position <= 10"""),
-        "errors_after_clear": _with(["f2_errors", "f2c_clears"], [], """SELECT e.* FROM f2_errors e
-LEFT JOIN (SELECT stream_id, max(clear_ts) AS clear_ts FROM f2c_clears GROUP BY stream_id) c
-  ON e.stream_id = c.stream_id
-WHERE c.clear_ts IS NULL OR e.ts > c.clear_ts"""),
+        "error_count_live": live_count("f2_errors"),
+        "error_count_dense": live_count("f2b_errors_dense"),
+        "errors_recent": live_recent(["f2_errors"], "f2_errors"),
+        "errors_recent_dense": live_recent(["f2b_errors_dense"], "f2b_errors_dense"),
+        "errors_recent_cleared": live_recent(
+            ["f2_errors", "f2c_clears"], "_left", [("_left", cleared)]),
+        "errors_after_clear": _with(["f2_errors", "f2c_clears"], [], cleared),
         "checkpoint_every": """SELECT stream_id, CAST(seq AS VARCHAR) AS last_comment_id,
   ts AS last_processed_at, n_processed FROM (
   SELECT event_type AS stream_id, event_id AS seq, ts,
@@ -402,7 +441,8 @@ FROM f4_requests r LEFT JOIN f4_streams s ON r.subreddit = s.subreddit"""),
         "streams_list": _with(["f4_streams"], [("_cfg", """SELECT id, subreddit, status,
   CASE WHEN config IS NULL OR config = '' THEN config WHEN json_valid(config) THEN config
        ELSE '{}' END AS config FROM f4_streams""")], """SELECT id, subreddit, status, config,
-  TRY_CAST(json_extract_string(config, '$.limit') AS BIGINT) AS config_limit FROM _cfg"""),
+  CASE WHEN config <> '' THEN TRY_CAST(json_extract_string(nullif(config, ''), '$.limit')
+    AS BIGINT) END AS config_limit FROM _cfg"""),
         "streams_current": _with(["f4_status_log"], [], """SELECT stream_id,
   arg_max(status, (ts, seq)) AS status,
   arg_max(instance_id, (ts, seq)) FILTER (WHERE instance_id IS NOT NULL) AS instance_id,
@@ -411,6 +451,20 @@ FROM f4_status_log GROUP BY stream_id
 HAVING max(CASE WHEN status = 'deleted' THEN 1 ELSE 0 END) = 0"""),
         "streams_delete": _with(["f4_streams", "f4_delete_ids"], [], """SELECT * FROM f4_streams
 WHERE id NOT IN (SELECT id FROM f4_delete_ids)"""),
+        "streams_delete_checkpoints": _with(["f4_streams", "f4_delete_ids", "f4_checkpoints"], [],
+                                            """SELECT * FROM f4_checkpoints
+WHERE stream_id NOT IN (SELECT id FROM f4_delete_ids WHERE id IN (SELECT id FROM f4_streams))"""),
+        "streams_delete_leases": _with(["f4_streams", "f4_delete_ids", "f4_leases"], [],
+                                       """SELECT * FROM f4_leases WHERE subreddit NOT IN (
+  SELECT subreddit FROM f4_streams WHERE id IN (SELECT id FROM f4_delete_ids))"""),
+        "streams_sweep_remaining": _with(["f4_streams", "f4_checkpoints", "f4_leases"], [
+            ("_dead", """SELECT * FROM f4_streams
+WHERE status IN ('stopped', 'error', 'inactive')""")], """SELECT 'stream' AS kind, id
+FROM f4_streams WHERE id NOT IN (SELECT id FROM _dead)
+UNION ALL SELECT 'checkpoint', stream_id FROM f4_checkpoints
+WHERE stream_id NOT IN (SELECT id FROM _dead)
+UNION ALL SELECT 'lease', subreddit FROM f4_leases
+WHERE subreddit NOT IN (SELECT subreddit FROM _dead)"""),
         "streams_sweep": _with(["f4_streams"], [], """SELECT * FROM f4_streams
 WHERE status IN ('stopped', 'error', 'inactive')"""),
         "failure_streaks": _with(["f5_attempts"], [
@@ -426,27 +480,34 @@ WHERE status IN ('stopped', 'error', 'inactive')"""),
   count(*) >= 5 AS reached_threshold
 FROM _f GROUP BY stream_id, streak_no"""),
         "circuit_timeline": CIRCUIT_SQL,
-        "lease_intervals": _with(["f6_lease_log"], _lease_ctes(), "SELECT * FROM _iv"),
-        "lease_conflicts": _with(["f6_lease_log"], _lease_ctes(), """SELECT l.subreddit,
-  l.instance_id, l.seq, l.ts, l.action, i.instance_id AS holder_instance, i.held_from,
-  i.held_until
-FROM f6_lease_log l JOIN _iv i ON l.subreddit = i.subreddit AND l.ts >= i.held_from
-  AND l.ts < i.held_until AND l.instance_id <> i.instance_id"""),
-        "lease_holders": _with(["f6_lease_log"], _lease_ctes(), f"""SELECT * FROM _iv
-WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until"""),
+        "lease_calls": _lease("""SELECT subreddit, seq, granted,
+  CASE WHEN granted THEN lease_no END AS lease_no FROM calls"""),
+        "lease_intervals": _lease("SELECT * FROM leases"),
+        "lease_conflicts": _lease("""SELECT subreddit, instance_id, seq, ts, action,
+  met AS holder_instance, met_since AS held_since, met_until AS held_until
+FROM calls WHERE met <> instance_id"""),
+        "lease_holders": _lease(f"""SELECT * FROM leases
+WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until""",
+                                f"WHERE ts <= {_ts(C.LEASE_AS_OF)}"),
     }
     q["ingest_stream"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, """SELECT
   stream_id, comment_id, subreddit, author_id, text, timestamp FROM _good""")
-    q["ingest_checkpoints"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, """SELECT
-  stream_id, last_comment_id, last_processed_at, n_processed FROM (
-  SELECT stream_id, comment_id AS last_comment_id, arrival_ts AS last_processed_at,
-    row_number() OVER (PARTITION BY stream_id ORDER BY arrival_ts, comment_id) AS n_processed
+    every = ("_every", """SELECT stream_id, seq, updated_at, last_comment_id,
+  strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS last_processed_at FROM (
+  SELECT stream_id, comment_id AS last_comment_id, arrival_ts AS updated_at,
+    row_number() OVER (PARTITION BY stream_id ORDER BY arrival_ts, comment_id) AS seq
   FROM _good)
-WHERE n_processed % 100 = 0""")
+WHERE seq % 10 = 0""")
+    q["ingest_checkpoints"] = _with(["f1_comments", "f1b_checkpoints"], [*ingest_ctes, every],
+                                    "SELECT * FROM _every")
+    q["ingest_flush"] = _with(["f1_comments", "f1b_checkpoints"], [*ingest_ctes, every], """SELECT
+  stream_id AS id, stream_id, arg_max(last_comment_id, seq) AS last_comment_id,
+  max(updated_at) AS last_processed_at, TIMESTAMP '2024-02-01 00:00:00' AS updated_at
+FROM _every GROUP BY stream_id""")
     q["circuit_stream"] = CIRCUIT_SQL
     q["error_lists_stream"] = _with(["f2_errors"], _lists_cte("f2_errors"), """SELECT stream_id,
   list_start, last_push, expires_at, n_pushed, n_kept FROM _lists
-WHERE expires_at < (SELECT max(ts) FROM f2_errors)""")
+WHERE expires_at < (SELECT max(ts) - INTERVAL 1 HOUR FROM f2_errors)""")
     q["flush_stream"] = _with(["f3_checkpoint_log", "f3_checkpoint_table"], flush_ctes,
                               "SELECT * FROM _t1")
     return q

@@ -17,6 +17,8 @@ from rivulet.streaming.ingest import run_ingest
 SESSION_START = "2024-01-01 05:00:00"
 FLUSH_CUT = "2024-01-16 00:00:00"
 FLUSH_NOW = dt.datetime(2024, 2, 1)
+EVERY = 10  # checkpoint interval of the ingest queries
+LIST_DELAY = "1 hour"
 
 
 def _two_chunks(df: DataFrame, ts: str, cut) -> list[DataFrame]:
@@ -35,7 +37,7 @@ def _ingest(spark: SparkSession, d: str) -> str:
     for i, chunk in enumerate(_two_chunks(comments, "arrival_ts", cut)):
         chunk.write.parquet(f"{work}/in/chunk={i}")
         q = run_ingest(spark, f"{work}/in/*", f"{work}/out", f"{work}/query", streams,
-                       checkpoints, fx.ntz(SESSION_START))
+                       checkpoints, fx.ntz(SESSION_START), every=EVERY)
         q.awaitTermination()
         if q.exception():
             raise q.exception()
@@ -49,12 +51,24 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    """O27 + O24: checkpoints the streaming ingest stored (every 100th success per stream,
-    counted across micro-batches)."""
+    """O27 + O24: checkpoints the streaming ingest stored (every 10th success per stream,
+    counted across micro-batches), as rows of the checkpoint log."""
     work = _ingest(spark, d)
     return spark.read.parquet(f"{work}/out/checkpoints").drop("batch_id")
 
 
+def ingest_flush(spark: SparkSession, d: str) -> DataFrame:
+    """O27, O24, O25 and O28 as one chain: the flush reads the log that the ingest wrote."""
+    from rivulet.streaming.flush import durable_table, run_flush
+    work = _ingest(spark, d)
+    q = run_flush(stream_session(spark), f"{work}/out/checkpoints/*", f"{work}/table",
+                  f"{work}/flush", lambda _: F.lit(FLUSH_NOW.isoformat(sep=" ")).cast("timestamp_ntz"))
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return durable_table(spark, f"{work}/table")
+
+
 def flush_stream(spark: SparkSession, d: str) -> DataFrame:
     """Durable checkpoint table after two periodic flushes of the checkpoint log."""
     from rivulet.schemas import CHECKPOINT_LOG
@@ -79,22 +93,21 @@ def flush_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def circuit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """O30 streaming form: breaker state kept in the state store across micro-batches."""
+    """O30 streaming form: breaker states carried across micro-batches."""
+    from rivulet.plans.catalog import BREAKER
     from rivulet.schemas import ATTEMPTS
-    from rivulet.streaming.state import circuit_stream as _stream
+    from rivulet.streaming.state import read_timeline, run_circuit
     caller, spark = spark, stream_session(spark)
     work = new_work_dir(spark, "breaker")
     att = fx.attempts(spark, d).select(*ATTEMPTS.fieldNames())
     for i, chunk in enumerate(_two_chunks(att, "ts", fx.ntz("2024-01-16 00:00:00"))):
         chunk.write.parquet(f"{work}/in/chunk={i}")
         src = spark.readStream.schema(ATTEMPTS).parquet(f"{work}/in/*")
-        q = (_stream(src).writeStream.format("parquet").option("path", f"{work}/out")
-             .option("checkpointLocation", f"{work}/query").outputMode("append")
-             .trigger(availableNow=True).start())
+        q = run_circuit(src, f"{work}/out", f"{work}/query", **BREAKER)
         q.awaitTermination()
         if q.exception():
             raise q.exception()
-    return caller.read.parquet(f"{work}/out")
+    return read_timeline(caller, f"{work}/out")
 
 
 def error_lists_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +120,7 @@ def error_lists_stream(spark: SparkSession, d: str) -> DataFrame:
     for i, chunk in enumerate(_two_chunks(errs, "ts", fx.ntz(FLUSH_CUT))):
         chunk.write.parquet(f"{work}/in/chunk={i}")
         src = spark.readStream.schema(errs.schema).parquet(f"{work}/in/*")
-        q = (_stream(src).writeStream.format("parquet").option("path", f"{work}/out")
+        q = (_stream(src, LIST_DELAY).writeStream.format("parquet").option("path", f"{work}/out")
              .option("checkpointLocation", f"{work}/query").outputMode("append")
              .trigger(availableNow=True).start())
         q.awaitTermination()

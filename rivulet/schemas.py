@@ -53,7 +53,7 @@ STATUS_LOG = _st(("stream_id", S, False), ("seq", L, False), ("ts", NTZ, False),
                  ("status", S, True), ("instance_id", S, True))
 CHECKPOINT_LOG = _st(("stream_id", S, False), ("seq", L, False), ("updated_at", NTZ, False),
                      ("last_comment_id", S, True), ("last_processed_at", S, True))
-ATTEMPTS = _st(("stream_id", L, False), ("attempt_id", L, False), ("ts", NTZ, False),
+ATTEMPTS = _st(("stream_id", S, False), ("attempt_id", L, False), ("ts", NTZ, False),
                ("error_type", S, True))
 LEASE_LOG = _st(("subreddit", S, False), ("instance_id", S, False), ("seq", L, False),
                 ("ts", NTZ, False), ("action", S, False))
@@ -62,7 +62,8 @@ LEASE_LOG = _st(("subreddit", S, False), ("instance_id", S, False), ("seq", L, F
 # role of the reference's secondary indexes (partition pruning on the key).
 TABLE_BUCKETS = 16
 
-# The three durable tables. Defaults and uniqueness are enforced by the writers.
+# The three durable tables (fixed values: their names and columns). Defaults and
+# uniqueness are enforced by the writers.
 DDL = {
     "streams": """CREATE TABLE IF NOT EXISTS {db}.streams (
         id STRING, subreddit STRING, status STRING, instance_id STRING, config STRING,

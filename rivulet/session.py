@@ -41,13 +41,16 @@ def work_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, stream checkpoints and written tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file system).
-    Only when it is unset (local tests) a private temporary folder is made and registered.
+    Only when it is unset and the master is local (tests) a private temporary folder is made
+    and registered; on a cluster such a folder would differ on every machine, so it raises.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="rivulet-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
@@ -80,6 +83,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, through its Hadoop file system; none if it does not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def stream_session(spark: SparkSession) -> SparkSession:
     """A child session (same SparkContext, own SQL settings) for a streaming query.
 

@@ -8,6 +8,8 @@ error instead of failing deep inside a query.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,23 @@ class MissingPackage(RuntimeError):
     pass
 
 
+@contextlib.contextmanager
+def _needs_avro():
+    """Only a missing package is reported as one; other errors pass."""
+    try:
+        yield
+    except TypeError as e:  # how py4j reports a JVM class that is not there
+        raise MissingPackage("Avro needs the spark-avro package") from e
+
+
 def read_comments(spark: SparkSession, path: str | None = None, fmt: str = "parquet",
                   streaming: bool = True, options: dict | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """O1: all channels as one (streaming) DataFrame with a ``subreddit`` column; null
-    items (no id) are dropped. ``fmt='kafka'`` expects JSON comment values on a topic."""
+    """O1: all channels as one (streaming) DataFrame with a ``subreddit`` column. Null items
+    (no id) of a file source are dropped, as the reader of a channel skips them.
+    ``fmt='kafka'`` expects JSON comment values on a topic; a value that is not one comes out
+    as a comment whose id is its topic position, without channel and author, so that it
+    fails validation and is quarantined like any bad record."""
     reader = spark.readStream if streaming else spark.read
     opts = dict(options or {})
     if fmt == "kafka":
@@ -37,10 +51,9 @@ def read_comments(spark: SparkSession, path: str | None = None, fmt: str = "parq
         df = reader.format("kafka").options(**opts).load()
         # A comment without its own arrival time gets the record's time, as naive UTC.
         kts = F.convert_timezone(None, F.lit("UTC"), F.col("timestamp").cast("timestamp_ntz"))
-        df = (df.select(F.from_json(F.col("value").cast("string"), COMMENT).alias("c"),
-                        kts.alias("_kts"))
-              .select(*[F.col(f"c.{n}") for n in COMMENT.fieldNames() if n != "arrival_ts"],
-                      F.coalesce(F.col("c.arrival_ts"), F.col("_kts")).alias("arrival_ts")))
+        return parse_records(df.select(
+            F.col("value").cast("string").alias("value"), kts.alias("record_ts"),
+            F.concat_ws("-", F.lit("record"), "topic", "partition", "offset").alias("record_id")))
     else:
         reader = reader.schema(COMMENT).format(fmt).options(**opts)
         if streaming and max_files_per_trigger:
@@ -49,15 +62,26 @@ def read_comments(spark: SparkSession, path: str | None = None, fmt: str = "parq
     return df.where(F.col("comment_id").isNotNull())
 
 
+def parse_records(records: DataFrame) -> DataFrame:
+    """JSON comment records (``value``, ``record_ts``, ``record_id``) as comments. A record
+    that does not parse, or has no id, keeps its record id and its text as the body."""
+    c = F.from_json(F.col("value"), COMMENT)
+    bad = F.col("c.comment_id").isNull()
+    return records.select("*", c.alias("c")).select(
+        F.coalesce("c.comment_id", "record_id").alias("comment_id"),
+        F.when(~bad, F.col("c.subreddit")).alias("subreddit"),
+        F.when(~bad, F.col("c.author")).alias("author"),
+        F.when(bad, F.col("value")).otherwise(F.col("c.body")).alias("body"),
+        F.coalesce("c.arrival_ts", "record_ts").alias("arrival_ts"))
+
+
 def encode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = None) -> DataFrame:
     """The four message fields -> one ``value`` column (JSON text or Avro bytes)."""
     rec = F.struct(*[F.col(c) for c in MESSAGE_FIELDS])
     if fmt == "avro":
-        try:
-            from pyspark.sql.avro.functions import to_avro
+        from pyspark.sql.avro.functions import to_avro
+        with _needs_avro():
             value = to_avro(rec, MESSAGE_AVRO_SCHEMA)
-        except Exception as e:  # pragma: no cover - depends on cluster packages
-            raise MissingPackage("Avro encoding needs the spark-avro package") from e
     else:
         value = F.to_json(rec)
     return df.select(*(keep or []), value.alias("value"))
@@ -66,35 +90,14 @@ def encode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = No
 def decode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = None) -> DataFrame:
     """O5 inverse: ``value`` -> the four message fields."""
     if fmt == "avro":
-        try:
-            from pyspark.sql.avro.functions import from_avro
+        from pyspark.sql.avro.functions import from_avro
+        with _needs_avro():
             rec = from_avro(F.col("value"), MESSAGE_AVRO_SCHEMA)
-        except Exception as e:  # pragma: no cover
-            raise MissingPackage("Avro decoding needs the spark-avro package") from e
     else:
         rec = F.from_json(F.col("value").cast("string"), MESSAGE)
     return df.select(*(keep or []), rec.alias("m")).select(*(keep or []), "m.*")
 
 
-def roundtrip(df: DataFrame, fmt: str = "json") -> DataFrame:
-    """O5 check in one projection: encode the four fields, decode them again and compare,
-    row by row (no join, the text is never shuffled)."""
-    rec = F.struct(*[F.col(c) for c in MESSAGE_FIELDS])
-    if fmt == "avro":
-        try:
-            from pyspark.sql.avro.functions import from_avro, to_avro
-            back = from_avro(to_avro(rec, MESSAGE_AVRO_SCHEMA), MESSAGE_AVRO_SCHEMA)
-        except Exception as e:  # pragma: no cover
-            raise MissingPackage("Avro needs the spark-avro package") from e
-    else:
-        back = F.from_json(F.to_json(rec), MESSAGE)
-    same = None
-    for c in MESSAGE_FIELDS:
-        e = back.getField(c).eqNullSafe(F.col(c))
-        same = e if same is None else same & e
-    return df.select("*", same.alias("roundtrip_ok"))
-
-
 def kafka_options(bootstrap: str, topic: str, security_protocol: str = "PLAINTEXT",
                   sasl_mechanism: str | None = None, username: str | None = None,
                   password: str | None = None, truststore: str | None = None,
@@ -120,14 +123,19 @@ def kafka_options(bootstrap: str, topic: str, security_protocol: str = "PLAINTEX
 
 
 def write_messages(batch: DataFrame, target: str, fmt: str = "json",
-                   options: dict | None = None, value_format: str = "json") -> None:
+                   options: dict | None = None, value_format: str | None = None,
+                   keep: list[str] | None = None) -> None:
     """O3 for one micro-batch: value-only records to a topic (no key, no headers, so the
-    broker spreads them over partitions) or message rows to files. Called from
+    broker spreads them over partitions) or files. Files hold the message rows, or with
+    ``value_format`` the encoded ``value`` next to the ``keep`` columns. Called from
     ``foreachBatch``; file targets are written under a per-batch folder so a replayed
     batch overwrites instead of duplicating (a topic gets at-least-once delivery)."""
     if fmt == "kafka":
-        (encode_message(batch, value_format).write.format("kafka")
+        (encode_message(batch, value_format or "json").write.format("kafka")
          .options(**(options or {})).save())
+    elif value_format:
+        (encode_message(batch, value_format, keep).write.mode("overwrite").format(fmt)
+         .options(**(options or {})).save(target))
     else:
         batch.write.mode("overwrite").format(fmt).options(**(options or {})).save(target)
 

@@ -10,6 +10,7 @@ same table, which is what a replayed micro-batch needs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -30,7 +31,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     full = T.StructType(fields + [T.StructField(BUCKET, T.IntegerType())])
     try:
         return spark.read.schema(full).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a table never written is empty
+            raise
         return spark.createDataFrame([], full)
 
 
@@ -48,9 +51,29 @@ def overwrite_buckets(df: DataFrame, path: str, key: str, buckets: int = TABLE_B
     ``stage=False`` only when ``df`` does not read the table being written."""
     data = df if BUCKET in df.columns else with_bucket(df, key, buckets)
     staged = None
-    if stage:
-        data, staged = materialize(data, "stage", with_path=True)
-    (data.repartition(BUCKET).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
-    if staged:
-        delete_path(df.sparkSession, staged)
+    try:
+        if stage:
+            data, staged = materialize(data, "stage", with_path=True)
+        (data.repartition(BUCKET).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    finally:
+        if staged:
+            delete_path(df.sparkSession, staged)
+
+
+def delete_keys(spark: SparkSession, path: str, schema: T.StructType, keys: DataFrame, key: str,
+                buckets: int = TABLE_BUCKETS) -> None:
+    """Delete the rows of ``keys`` from the table. Touched buckets are rewritten without them;
+    a bucket that loses its last row loses its folder, which an overwrite cannot express.
+    Keys that the table does not hold are a no-op."""
+    gone = keys.select(F.col(key).alias("_gone")).distinct()
+    rows, staged = materialize(touched(spark, path, schema, keys, key, buckets)
+                               .join(gone, F.col(key) == F.col("_gone"), "left"), "delete",
+                               with_path=True)
+    try:
+        overwrite_buckets(rows.where("_gone IS NULL").drop("_gone"), path, key, buckets, stage=False)
+        left = rows.groupBy(BUCKET).agg(F.count_if(F.col("_gone").isNull()).alias("n"))
+        for r in left.where("n = 0").collect():  # at most ``buckets`` rows
+            delete_path(spark, f"{path}/{BUCKET}={r[BUCKET]}")
+    finally:
+        delete_path(spark, staged)

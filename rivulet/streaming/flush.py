@@ -1,12 +1,17 @@
 """The periodic checkpoint flush as a streaming query over the checkpoint log.
 
 Each micro-batch (one flush interval) merges the new partial updates into the keyed
-"latest checkpoint" state (O25, last write wins per field), parses the touched rows
-(O10), skips the ones whose stamp does not parse and upserts the rest into the durable
-columns (O17). Both live in one bucketed parquet table keyed by stream (the ``raw_*``
-columns are the latest state, the others the durable row); only touched buckets are
-rewritten, once per batch. ``trigger(processingTime="10 seconds")`` is the periodic form;
-one ``availableNow`` run is the final flush on shutdown.
+"latest checkpoint" state (O25, last write wins per field), parses the touched rows (O10),
+skips the ones whose stamp does not parse and upserts the rest into the durable columns
+(O17). The state keeps the (time, seq) of each field's last write, so an update that arrives
+late changes only the fields it is the newest for, as in the batch form.
+
+The table is a log of versions: batch N appends its touched rows under ``batch_id=N`` and
+reads only what came before, so a replayed batch writes the same files again and readers
+never see half a rewrite. Every ``COMPACT`` batches the newest versions are also written as
+``snapshot_id=N``, from which readers start; versions before the previous snapshot go.
+``trigger(processingTime="10 seconds")`` is the periodic form; one ``availableNow`` run is the
+final flush on shutdown.
 """
 
 from __future__ import annotations
@@ -18,69 +23,103 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.expr import utc_now
-from rivulet.operators.checkpoints import flush_rows, merge_checkpoints
+from rivulet.operators.checkpoints import flush_rows
 from rivulet.schemas import CHECKPOINT_LOG, CHECKPOINTS
-from rivulet.sources.tables import BUCKET, overwrite_buckets, read_table, touched
+from rivulet.session import delete_path, list_names
 
-TABLE_SCHEMA = T.StructType(list(CHECKPOINTS.fields) + [
-    T.StructField("raw_last_comment_id", T.StringType()),
-    T.StructField("raw_last_processed_at", T.StringType()),
-    T.StructField("raw_updated_at", T.TimestampNTZType())])
+FIELDS = ("last_comment_id", "last_processed_at")
 DURABLE = [f.name for f in CHECKPOINTS.fields]
+STATE = [f"{f}_{part}" for f in FIELDS for part in ("raw", "ts", "seq")]
+TABLE_SCHEMA = T.StructType(
+    [T.StructField(f.name, f.dataType) for f in CHECKPOINTS.fields]
+    + [T.StructField(n, {"raw": T.StringType(), "ts": T.TimestampNTZType(),
+                         "seq": T.LongType()}[n.rsplit("_", 1)[1]]) for n in STATE])
+COMPACT = 32
 
 
 def seed_table(durable: DataFrame, table_path: str) -> None:
     """Start the table from existing durable rows (no latest state yet)."""
-    rows = durable.select(*DURABLE, F.lit(None).cast("string").alias("raw_last_comment_id"),
-                          F.lit(None).cast("string").alias("raw_last_processed_at"),
-                          F.lit(None).cast("timestamp_ntz").alias("raw_updated_at"))
-    overwrite_buckets(rows, table_path, "stream_id", stage=False)
+    blank = [F.lit(None).cast(TABLE_SCHEMA[n].dataType).alias(n) for n in STATE]
+    durable.select(*DURABLE, *blank).write.mode("overwrite").parquet(
+        f"{table_path}/snapshot_id=-1")
+
+
+def _numbers(spark: SparkSession, table_path: str, kind: str) -> list[int]:
+    prefix = f"{kind}_id="
+    return sorted(int(n[len(prefix):]) for n in list_names(spark, table_path)
+                  if n.startswith(prefix))
+
+
+def read_state(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame:
+    """The newest version of every row, as of the batches before ``before`` (all if None)."""
+    def early(n):
+        return before is None or n < before
+    snapshot = max((n for n in _numbers(spark, table_path, "snapshot") if early(n)), default=None)
+    parts = [] if snapshot is None else [(snapshot, f"{table_path}/snapshot_id={snapshot}")]
+    parts += [(n, f"{table_path}/batch_id={n}") for n in _numbers(spark, table_path, "batch")
+              if early(n) and (snapshot is None or n > snapshot)]
+    if not parts:
+        return spark.createDataFrame([], TABLE_SCHEMA)
+    rows = None
+    for n, path in parts:
+        one = spark.read.schema(TABLE_SCHEMA).parquet(path).withColumn("_n", F.lit(n).cast("long"))
+        rows = one if rows is None else rows.unionByName(one)
+    cols = [c for c in TABLE_SCHEMA.fieldNames() if c != "stream_id"]
+    return (rows.groupBy("stream_id").agg(F.max_by(F.struct(*cols), "_n").alias("r"))
+            .select(*[F.col("stream_id") if c == "stream_id" else F.col(f"r.{c}").alias(c)
+                      for c in TABLE_SCHEMA.fieldNames()]))
 
 
 def durable_table(spark: SparkSession, table_path: str) -> DataFrame:
     """The durable checkpoint rows (streams flushed at least once)."""
-    return read_table(spark, table_path, TABLE_SCHEMA).where(F.col("id").isNotNull()).select(
-        *DURABLE)
+    return read_state(spark, table_path).where(F.col("id").isNotNull()).select(*DURABLE)
+
+
+def _merge(current: DataFrame, log: DataFrame) -> DataFrame:
+    """Latest raw value of each field with its (time, seq): stored ones and new updates."""
+    updates = log.select("stream_id", *[
+        F.when(F.col(f).isNotNull(), F.struct(F.col("updated_at").alias("ts"), F.col("seq"),
+                                              F.col(f).alias("raw"))).alias(f) for f in FIELDS])
+    stored = current.select("stream_id", *[
+        F.when(F.col(f"{f}_raw").isNotNull(), F.struct(F.col(f"{f}_ts").alias("ts"), F.col(
+            f"{f}_seq").alias("seq"), F.col(f"{f}_raw").alias("raw"))).alias(f) for f in FIELDS])
+    best = (updates.unionByName(stored).groupBy("stream_id")
+            .agg(*[F.max(f).alias(f) for f in FIELDS]))
+    return best.select("stream_id", *[F.col(f"{f}.{p}").alias(f"{f}_{p}")
+                                      for f in FIELDS for p in ("raw", "ts", "seq")])
 
 
-def make_flush_writer(table_path: str,
-                      now_fn: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
+def make_flush_writer(table_path: str, now_fn: Callable[[int], Column],
+                      compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = now_fn(batch_id)
-        keys = batch.select("stream_id").distinct()
-        cur = touched(spark, table_path, TABLE_SCHEMA, keys, "stream_id").drop(BUCKET)
-        # The stored state re-enters the merge as the oldest update of its stream.
-        old = (cur.where(F.col("raw_updated_at").isNotNull())
-               .select("stream_id", F.lit(-1).cast("long").alias("seq"),
-                       F.col("raw_updated_at").alias("updated_at"),
-                       F.col("raw_last_comment_id").alias("last_comment_id"),
-                       F.col("raw_last_processed_at").alias("last_processed_at")))
-        merged = merge_checkpoints(old.unionByName(batch.select(*CHECKPOINT_LOG.fieldNames())))
-        flushed = flush_rows(merged, now)
-        m = merged.select(F.col("stream_id").alias("_m_sid"),
-                          F.col("last_comment_id").alias("_m_lci"),
-                          F.col("last_processed_at").alias("_m_lpa"),
-                          F.col("updated_at").alias("_m_upd"))
-        f = flushed.select(F.col("stream_id").alias("_f_sid"),
-                           *[F.col(c).alias(f"_f_{c}") for c in
-                             ("id", "last_comment_id", "last_processed_at", "updated_at")])
-        j = (cur.join(m, cur["stream_id"] == m["_m_sid"], "full_outer")
-             .join(f, F.coalesce(cur["stream_id"], m["_m_sid"]) == f["_f_sid"], "left"))
-        has_m, has_f = F.col("_m_sid").isNotNull(), F.col("_f_sid").isNotNull()
-        new = j.select(
-            F.when(has_f, F.coalesce(F.col("id"), F.col("_f_id"))).otherwise(F.col("id"))
-            .alias("id"),
-            F.coalesce(F.col("stream_id"), F.col("_m_sid")).alias("stream_id"),
-            *[F.when(has_f, F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c)
-              for c in ("last_comment_id", "last_processed_at", "updated_at")],
-            F.when(has_m, F.col("_m_lci")).otherwise(F.col("raw_last_comment_id"))
-            .alias("raw_last_comment_id"),
-            F.when(has_m, F.col("_m_lpa")).otherwise(F.col("raw_last_processed_at"))
-            .alias("raw_last_processed_at"),
-            F.when(has_m, F.col("_m_upd")).otherwise(F.col("raw_updated_at"))
-            .alias("raw_updated_at"))
-        overwrite_buckets(new, table_path, "stream_id")
+        log = batch.select(*CHECKPOINT_LOG.fieldNames())
+        keys = log.select("stream_id").distinct()
+        cur = read_state(spark, table_path, batch_id).join(keys, "stream_id", "left_semi")
+        merged = _merge(cur, log)
+        flushed = flush_rows(merged.where(" OR ".join(f"{f}_raw IS NOT NULL" for f in FIELDS))
+                             .select("stream_id", *[F.col(f"{f}_raw").alias(f) for f in FIELDS]),
+                             now_fn(batch_id))
+        new = flushed.select(F.col("stream_id").alias("_sid"),
+                             *[F.col(c).alias(f"_{c}") for c in DURABLE if c != "stream_id"])
+        old = cur.select(F.col("stream_id").alias("_oid"),
+                         *[F.col(c).alias(f"_o_{c}") for c in DURABLE if c != "stream_id"])
+        j = (merged.join(new, merged["stream_id"] == new["_sid"], "left")
+             .join(old, merged["stream_id"] == old["_oid"], "left"))
+        hit = F.col("_sid").isNotNull()
+        out = j.select(
+            F.when(hit, F.coalesce("_o_id", "_id")).otherwise(F.col("_o_id")).alias("id"),
+            "stream_id",
+            *[F.when(hit, F.col(f"_{c}")).otherwise(F.col(f"_o_{c}")).alias(c)
+              for c in ("last_comment_id", "last_processed_at", "updated_at")], *STATE)
+        out.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        if (batch_id + 1) % compact == 0:
+            read_state(spark, table_path, batch_id + 1).write.mode("overwrite").parquet(
+                f"{table_path}/snapshot_id={batch_id}")
+            for kind in ("snapshot", "batch"):  # a replay needs the previous snapshot on
+                for n in _numbers(spark, table_path, kind):
+                    if n < batch_id - compact or (kind == "batch" and n <= batch_id - compact):
+                        delete_path(spark, f"{table_path}/{kind}_id={n}")
     return write
 
 

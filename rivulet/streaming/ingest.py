@@ -19,17 +19,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from rivulet.functions.expr import normalize, utc_now, validate
+from rivulet.functions.expr import iso_z, normalize, utc_now, validate
 from rivulet.functions.scan import keyed_scan
 from rivulet.operators.checkpoints import CHECKPOINT_EVERY, skip_processed, start_position
-from rivulet.operators.errors import split
+from rivulet.operators.errors import split, with_error_defaults
 from rivulet.operators.registry import lookup
 from rivulet.session import delete_path
 from rivulet.sources import io
+from rivulet.sources.tables import with_bucket
 
 COUNTER_SCHEMA = "stream_id string, n_processed long"
+UNPARSED = "unparsed"  # stream of the error rows of records without a channel
 # Order of lifecycle events among a run's status rows (ties on time are broken by seq).
 FIRST_SEQ, LAST_SEQ = -1, 1 << 62
 
@@ -45,57 +46,70 @@ def status_events(streams: DataFrame, status: str, instance_id: str, seq: int) -
 def prepare(comments: DataFrame, streams: DataFrame, checkpoints: DataFrame,
             session_start: Column, ts_col: str | None = "arrival_ts") -> DataFrame:
     """Per-batch shaping shared by the streaming job and its batch equivalent. A comment
-    without an arrival time gets the processing time (the per-stream order needs one)."""
+    without an arrival time gets the processing time (the per-stream order needs one). A
+    comment without a channel (a record that did not parse) goes on to fail validation."""
     comments = comments.withColumn("arrival_ts",
                                    F.coalesce(F.col("arrival_ts"), utc_now()))
-    registered = lookup(comments, streams).where(F.col("stream_id").isNotNull())
+    known = lookup(comments, streams).withColumn("stream_id", F.coalesce(
+        "stream_id", F.when(F.col("subreddit").isNull(), F.lit(UNPARSED))))
+    registered = known.where(F.col("stream_id").isNotNull())
     started = start_position(registered, checkpoints, session_start, channel="stream_id")
     fresh = skip_processed(started, checkpoints, channel="stream_id")
     shaped = normalize(fresh, ts_col=F.col(ts_col) if ts_col else None)
     return validate(shaped)
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
                       session_start: Column, every: int = CHECKPOINT_EVERY,
                       ts_col: str | None = "arrival_ts", sink: str = "files",
-                      sink_options: dict | None = None, value_format: str = "json",
-                      instance_id: str = "spark") -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function of the ingest query. ``sink`` is ``files`` (message
-    rows as parquet under ``out/messages/batch_id=N``) or ``kafka`` (value-only records,
-    ``value_format`` json or avro, ``sink_options`` from ``sources.io.kafka_options``)."""
+                      sink_options: dict | None = None, value_format: str | None = None,
+                      instance_id: str = "spark",
+                      streams_fn: Callable[[SparkSession], DataFrame] | None = None
+                      ) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of the ingest query. ``sink`` is ``files`` (under
+    ``out/messages/batch_id=N``: message rows, or with ``value_format`` json or avro their
+    encoded ``value``) or ``kafka`` (value-only records, json unless ``value_format`` says
+    otherwise, ``sink_options`` from ``sources.io.kafka_options``). ``streams_fn`` reads the
+    registry anew for every batch, so that streams registered during a run are ingested.
+
+    Error rows have the columns of the error table (O4). Checkpoints are rows of the
+    checkpoint log that the flush (O28) reads: ``seq`` is the stream's count of messages."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        validated = prepare(batch, streams, checkpoints, session_start, ts_col).persist()
+        known = streams_fn(spark) if streams_fn else streams
+        validated = prepare(batch, known, checkpoints, session_start, ts_col)
+        # Only ids, times and the error rows are kept; messages, with their texts, are
+        # written straight from the plan.
+        narrow = validated.select(
+            "stream_id", "comment_id", "arrival_ts", "is_valid", "reasons").persist()
         try:
-            good, bad = split(validated, stream_col="stream_id")
-            msgs = good.select("stream_id", "comment_id", "subreddit", "author_id", "text",
-                               "timestamp", "arrival_ts")
+            good, _ = split(validated, stream_col="stream_id")
             if sink == "kafka":
-                io.write_messages(msgs, "", "kafka", sink_options, value_format)
+                io.write_messages(good, "", "kafka", sink_options, value_format)
             else:
-                io.write_messages(msgs.drop("arrival_ts"), f"{out}/messages/batch_id={batch_id}",
-                                  "parquet")
-            bad.write.mode("overwrite").parquet(f"{out}/errors/batch_id={batch_id}")
-
-            prior = _read_or_empty(spark, f"{out}/counters/batch_id={batch_id - 1}",
-                                   COUNTER_SCHEMA)
+                cols = ["stream_id", "comment_id"] + ([] if value_format else io.MESSAGE_FIELDS)
+                io.write_messages(good if value_format else good.select(*cols),
+                                  f"{out}/messages/batch_id={batch_id}", "parquet",
+                                  value_format=value_format, keep=cols)
+            msgs, bad = split(narrow, stream_col="stream_id")
+            with_bucket(with_error_defaults(bad), "stream_id").write.mode("overwrite").parquet(
+                f"{out}/errors/batch_id={batch_id}")
+
+            prior = (spark.read.schema(COUNTER_SCHEMA).parquet(
+                f"{out}/counters/batch_id={batch_id - 1}") if batch_id > 0
+                else spark.createDataFrame([], COUNTER_SCHEMA))
             pos = keyed_scan(msgs.select("stream_id", "comment_id", "arrival_ts"),
                              ["stream_id"], "arrival_ts", ["comment_id"], rn="_pos")
             pos = (pos.join(prior.withColumnRenamed("n_processed", "_prior"), "stream_id", "left")
                    .withColumn("n_processed", F.col("_pos") + F.coalesce(F.col("_prior"),
                                                                          F.lit(0))))
             (pos.where(F.col("n_processed") % every == 0)
-             .select("stream_id", F.col("comment_id").alias("last_comment_id"),
-                     F.col("arrival_ts").alias("last_processed_at"), "n_processed")
+             .select("stream_id", F.col("n_processed").alias("seq"),
+                     F.col("arrival_ts").alias("updated_at"),
+                     F.col("comment_id").alias("last_comment_id"),
+                     iso_z(F.col("arrival_ts")).alias("last_processed_at"))
              .write.mode("overwrite").parquet(f"{out}/checkpoints/batch_id={batch_id}"))
-            (validated.select("stream_id").distinct()
+            (narrow.select("stream_id").distinct()
              .select("stream_id", F.lit(batch_id).cast("long").alias("seq"),
                      utc_now().alias("ts"), F.lit("active").alias("status"),
                      F.lit(instance_id).alias("instance_id"))
@@ -108,7 +122,7 @@ def make_batch_writer(out: str, streams: DataFrame, checkpoints: DataFrame,
             if batch_id >= 2:  # a replay of this batch reads only batch_id - 1
                 delete_path(spark, f"{out}/counters/batch_id={batch_id - 2}")
         finally:
-            validated.unpersist()
+            narrow.unpersist()
     return write
 
 
@@ -118,7 +132,8 @@ def run_ingest(spark: SparkSession, source: str, out: str, checkpoint_dir: str,
                every: int = CHECKPOINT_EVERY, ts_col: str | None = "arrival_ts",
                max_files_per_trigger: int | None = None, sink: str = "files",
                sink_options: dict | None = None, instance_id: str = "spark",
-               source_options: dict | None = None):
+               source_options: dict | None = None, value_format: str | None = None,
+               streams_fn: Callable[[SparkSession], DataFrame] | None = None):
     """Start the ingest query. ``trigger`` defaults to ``availableNow`` (process what is
     there, then stop); pass ``{"processingTime": "10 seconds"}`` for a continuous run.
     Registered streams get a 'starting' status event under ``out/status/batch_id=start``."""
@@ -128,7 +143,8 @@ def run_ingest(spark: SparkSession, source: str, out: str, checkpoint_dir: str,
                                 options=source_options,
                                 max_files_per_trigger=max_files_per_trigger)
     writer = make_batch_writer(out, streams, checkpoints, session_start, every, ts_col,
-                               sink=sink, sink_options=sink_options, instance_id=instance_id)
+                               sink=sink, sink_options=sink_options, value_format=value_format,
+                               instance_id=instance_id, streams_fn=streams_fn)
     return (comments.writeStream.foreachBatch(writer)
             .option("checkpointLocation", checkpoint_dir)
             .trigger(**(trigger or {"availableNow": True})).start())

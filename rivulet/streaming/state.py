@@ -1,11 +1,10 @@
 """Streaming forms of the stateful operators.
 
-``circuit_stream`` (O30): the breaker state per stream lives in the state store; each
-micro-batch's attempts of a stream are applied in (ts, attempt_id) order after the stored
-state. Rows arriving later than ones already applied are applied in arrival order (a
-micro-batch is the unit of ordering), which matches the batch form whenever input arrives
-in time order. Memory per key is one micro-batch's rows of that stream (bounded by the
-source's per-trigger limits).
+``run_circuit`` (O30): each micro-batch runs the batch operator over its attempts and the
+states stored by the batch before; the timeline rows and the new states are written under
+``batch_id=N``, so a replayed batch rewrites the same files. Within a micro-batch attempts
+apply in (ts, attempt_id) order, whatever order they arrived in; attempts of a later batch
+apply after it. A task holds one Arrow batch of rows, not a stream's whole micro-batch.
 
 ``error_lists_stream`` (O20): session windows with the list TTL as gap over a watermarked
 event time; append mode emits a list once the watermark passes its expiry.
@@ -13,75 +12,45 @@ event time; append mode emits a list once the watermark passes its expiry.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rivulet.functions.expr import suggested_backoff
-from rivulet.operators.circuit import (BACKOFF_MULTIPLIER, FAILURE_THRESHOLD, MAX_BACKOFF,
-                                       RECOVERY_TIMEOUT, SUCCESS_THRESHOLD, TIMELINE_SCHEMA,
-                                       _Machine)
+from rivulet.operators.circuit import TIMELINE, circuit_run
 from rivulet.operators.errors import ERROR_LIST_MAX, ERROR_TTL
 
-_STATE_SCHEMA = ("state string, failure_count long, success_count long, backoff_seconds long, "
-                 "last_failure_us long")
+
+def make_circuit_writer(out: str, **params):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = None
+        if batch_id > 0:
+            stored = spark.read.parquet(f"{out}/run/batch_id={batch_id - 1}").where(
+                F.col("attempt_id").isNull())
+        circuit_run(batch, stored, **params).write.mode("overwrite").parquet(
+            f"{out}/run/batch_id={batch_id}")
+    return write
 
 
-def _breaker_state_fn(params):
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame],
-            state: GroupState) -> Iterator[pd.DataFrame]:
-        m = _Machine(*params)
-        if state.exists:
-            st, fc, sc, bo, lf = state.get
-            m.set(st, fc, sc, bo, None if lf is None or pd.isna(lf) else int(lf))
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["ts", "attempt_id"], kind="stable")
-        t = pdf["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-        f = pdf["failed"].to_numpy(dtype=bool)
-        g = pdf["suggested"].to_numpy(dtype=np.int64)
-        rows = []
-        for i in range(len(pdf)):
-            adm = m.step(t[i], f[i], g[i])
-            rows.append((m.st, adm, m.fc, m.bo))
-        state.update((m.st, m.fc, m.sc, m.bo, m.lf))
-        yield pd.DataFrame({
-            "stream_id": np.full(len(pdf), key[0], dtype=np.int64),
-            "attempt_id": pdf["attempt_id"].to_numpy(dtype=np.int64),
-            "state": [r[0] for r in rows],
-            "admitted": np.array([r[1] for r in rows], dtype=bool),
-            "failure_count": np.array([r[2] for r in rows], dtype=np.int64),
-            "backoff_seconds": np.array([r[3] for r in rows], dtype=np.int64)})
-    return run
+def run_circuit(attempts: DataFrame, out: str, checkpoint_dir: str, trigger: dict | None = None,
+                **params):
+    """O30 as a streaming query over ``attempts`` (a streaming DataFrame)."""
+    return (attempts.writeStream.foreachBatch(make_circuit_writer(out, **params))
+            .option("checkpointLocation", checkpoint_dir)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def circuit_stream(attempts: DataFrame, threshold: int = FAILURE_THRESHOLD,
-                   recovery: int = RECOVERY_TIMEOUT, successes: int = SUCCESS_THRESHOLD,
-                   mult: float = BACKOFF_MULTIPLIER, cap: int = MAX_BACKOFF) -> DataFrame:
-    """O30 on a streaming DataFrame of attempts; output mode append."""
-    params = (threshold, recovery, successes, mult, cap)
-    prepared = attempts.select(
-        F.col("stream_id").cast("long").alias("stream_id"),
-        F.col("attempt_id").cast("long").alias("attempt_id"), "ts",
-        F.col("error_type").isNotNull().alias("failed"),
-        suggested_backoff("error_type").alias("suggested"))
-    return prepared.groupBy("stream_id").applyInPandasWithState(
-        _breaker_state_fn(params), TIMELINE_SCHEMA, _STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+def read_timeline(spark: SparkSession, out: str) -> DataFrame:
+    """The timeline rows written so far."""
+    return spark.read.parquet(f"{out}/run").where(F.col("attempt_id").isNotNull()).select(*TIMELINE)
 
 
-def error_lists_stream(errors: DataFrame, ttl: str = ERROR_TTL, cap: int = ERROR_LIST_MAX,
-                       delay: str = "0 seconds", key: str = "stream_id",
+def error_lists_stream(errors: DataFrame, delay: str, ttl: str = ERROR_TTL,
+                       cap: int = ERROR_LIST_MAX, key: str = "stream_id",
                        ts: str = "ts") -> DataFrame:
     """O20 on a streaming DataFrame; a list is emitted when the watermark passes its expiry.
-    Watermarks need a zoned timestamp, so the naive UTC time is read as UTC (no session
-    zone involved)."""
+    ``delay`` is how late an error may arrive and still count: Spark drops later ones, so the
+    caller has to choose it (``late_errors`` finds them). Watermarks need a zoned timestamp, so
+    the naive UTC time is read as UTC (no session zone involved)."""
     ev = errors.withColumn("_ets", F.expr(
         f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}))"))
     g = (ev.withWatermark("_ets", delay)
@@ -92,3 +61,12 @@ def error_lists_stream(errors: DataFrame, ttl: str = ERROR_TTL, cap: int = ERROR
                     (F.col("last_push") + F.expr(f"INTERVAL {ttl}")).alias("expires_at"),
                     "n_pushed",
                     F.least(F.col("n_pushed"), F.lit(cap).cast("long")).alias("n_kept"))
+
+
+def late_errors(errors: DataFrame, newest_before: DataFrame, delay: str,
+                ts: str = "ts") -> DataFrame:
+    """The side output of a micro-batch: errors older than the newest time of the batches
+    before (``newest_before``: one row, one column ``newest``) less ``delay``, which the session
+    windows no longer take. For ``foreachBatch`` next to the list query."""
+    return (errors.join(F.broadcast(newest_before.limit(1)), on=F.expr(
+        f"{ts} < newest - INTERVAL {delay}"), how="inner").drop("newest"))

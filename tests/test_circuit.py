@@ -3,12 +3,12 @@ import datetime as dt
 
 from rivulet.operators import circuit
 
-SCHEMA = "stream_id long, attempt_id long, ts timestamp_ntz, error_type string"
+SCHEMA = "stream_id string, attempt_id long, ts timestamp_ntz, error_type string"
 T0 = dt.datetime(2024, 1, 1)
 
 
 def _run(spark, steps, **kw):
-    rows = [(1, i, T0 + dt.timedelta(seconds=s), e) for i, (s, e) in enumerate(steps)]
+    rows = [("s-1", i, T0 + dt.timedelta(seconds=s), e) for i, (s, e) in enumerate(steps)]
     out = circuit.circuit_timeline(spark.createDataFrame(rows, SCHEMA), **kw)
     return [(r.state, r.admitted, r.failure_count, r.backoff_seconds)
             for r in out.orderBy("attempt_id").collect()]
@@ -45,7 +45,7 @@ def test_half_open_successes_close_and_reset_backoff(spark):
 
 def test_failure_streaks(spark):
     errs = ["E", "E", None, "E", "E", "E", "E", "E", "E", None, None, "E"]
-    rows = [(7, i, T0 + dt.timedelta(minutes=i * 17), e) for i, e in enumerate(errs)]
+    rows = [("s-7", i, T0 + dt.timedelta(minutes=i * 17), e) for i, e in enumerate(errs)]
     out = circuit.failure_streaks(spark.createDataFrame(rows, SCHEMA), threshold=5)
     got = sorted((r.first_attempt_id, r.n_failures, r.threshold_attempt_id, r.reached_threshold)
                  for r in out.collect())
@@ -61,23 +61,78 @@ def _random_attempts(spark, n=4000, seed=11):
         t[sid] = t.get(sid, 0) + rnd.choice([1, 2, 5, 20, 90, 400])
         burst = (t[sid] // 3000) % 2 == 1                           # failure bursts
         fail = rnd.random() < (0.8 if burst else 0.2)
-        rows.append((sid, i, T0 + dt.timedelta(seconds=t[sid]),
+        rows.append((f"s-{sid}", i, T0 + dt.timedelta(seconds=t[sid]),
                      rnd.choice(["ConnectionError", "TooManyRequests"]) if fail else None))
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_parallel_timeline_equals_sequential(spark):
+def one_by_one(rows, threshold=5, recovery=60, successes=2, mult=2.0, cap=3600):
+    """The rules applied call by call."""
+    floor = {"TooManyRequests": 60, "RateLimitError": 30}
+    out, streams = [], {}
+    for sid, aid, ts, err in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        b = streams.setdefault(sid, {"state": "closed", "fails": 0, "good": 0, "wait": recovery, "at": None})
+        trial = b["state"] == "half_open"
+        if b["state"] == "open" and (ts - b["at"]).total_seconds() >= b["wait"]:
+            trial, b["good"], b["state"] = True, 0, "half_open"
+        admitted = b["state"] != "open"
+        if admitted and err is None:
+            b["fails"], b["good"] = 0, b["good"] + trial
+            if trial and b["good"] >= successes:
+                b.update(state="closed", wait=recovery)
+        elif admitted:
+            b.update(fails=b["fails"] + 1, at=ts)
+            if trial or b["fails"] >= threshold:
+                b.update(state="open", wait=int(min(max(b["wait"] * mult, floor.get(err, 5)), cap)))
+        out.append((sid, aid, b["state"], admitted, b["fails"], b["wait"]))
+    return sorted(out)
+
+
+def test_timeline_equals_the_rules_call_by_call(spark):
     df = _random_attempts(spark)
-    ref = sorted(tuple(r) for r in circuit.circuit_timeline_sequential(df).collect())
-    st = {}
-    par = sorted(tuple(r) for r in
-                 circuit.circuit_timeline_parallel(df, unit="HOUR", stats=st).collect())
-    assert par == ref and len(ref) == 4000 and st["rounds"] >= 1
-    # one round allowed: the exact ordered completion finishes the rest
-    st = {}
-    cut = sorted(tuple(r) for r in
-                 circuit.circuit_timeline_parallel(df, unit="MINUTE", max_rounds=1,
-                                                   stats=st).collect())
-    assert cut == ref and st["completed_sequentially"]
-    auto = sorted(tuple(r) for r in circuit.circuit_timeline(df, max_rows_per_task=100).collect())
-    assert auto == ref
+    rows = [tuple(r) for r in df.collect()]
+    for kw in ({}, {"recovery": 10}, {"threshold": 1, "successes": 3}, {"cap": 100}):
+        got = sorted(tuple(r) for r in circuit.circuit_timeline(df, **kw).collect())
+        assert got == one_by_one(rows, **kw)
+
+
+def test_state_is_carried_over_batch_boundaries(spark):
+    df = _random_attempts(spark, n=1500, seed=3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in circuit.circuit_timeline(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == one_by_one([tuple(r) for r in df.collect()])
+
+
+def test_stored_states_continue_a_run(spark):
+    from pyspark.sql import functions as F
+    df = _random_attempts(spark, n=1200, seed=4)
+    cut = F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")
+    one = circuit.circuit_run(df.where(F.col("ts") < cut))
+    states = spark.createDataFrame(one.where("attempt_id IS NULL").collect(), one.schema)
+    two = circuit.circuit_run(df.where(F.col("ts") >= cut), states)
+    got = sorted(tuple(r) for part in (one, two)
+                 for r in part.where("attempt_id IS NOT NULL").select(*circuit.TIMELINE).collect())
+    assert got == one_by_one([tuple(r) for r in df.collect()])
+
+
+def test_streaming_timeline_with_string_ids(spark):
+    from pyspark.sql import functions as F
+
+    from rivulet.schemas import ATTEMPTS
+    from rivulet.session import new_work_dir
+    from rivulet.streaming.state import read_timeline, run_circuit
+    df = _random_attempts(spark, n=600, seed=8)
+    work = new_work_dir(spark, "breaker-test")
+    cut = F.lit("2024-01-01 20:00:00").cast("timestamp_ntz")
+    for i, part in enumerate([df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut)]):
+        part.write.parquet(f"{work}/in/chunk={i}")
+        q = run_circuit(spark.readStream.schema(ATTEMPTS).parquet(f"{work}/in/*"), f"{work}/out",
+                        f"{work}/q")
+        q.awaitTermination()
+        assert q.exception() is None
+    got = sorted(tuple(r) for r in read_timeline(spark, f"{work}/out").collect())
+    assert got == one_by_one([tuple(r) for r in df.collect()])

@@ -51,6 +51,19 @@ def test_recent_and_clear(spark):
     assert sorted(r.seq for r in after) == [26, 27, 28, 29]
 
 
+def test_recent_never_returns_more_than_the_list_holds(spark):
+    df = _errs(spark, [dt.timedelta(seconds=i) for i in range(150)])
+    assert errors.recent_errors(df, ntz("2024-01-01 01:00:00"), limit=200).count() == 100
+
+
+def test_live_list_ends_at_the_first_gap(spark):
+    day = dt.timedelta(hours=24)
+    df = _errs(spark, [dt.timedelta(0), day + dt.timedelta(seconds=1), 2 * day, 2 * day])
+    as_of = ntz("2024-01-03 12:00:00")
+    assert errors.error_count(df, as_of).first().error_count == 3
+    assert sorted(r.seq for r in errors.recent_errors(df, as_of, limit=2).collect()) == [2, 3]
+
+
 def test_split_quarantines_invalid_rows(spark):
     from rivulet.functions.expr import validate
     df = spark.createDataFrame([("1", "python", "a", "", "2024-01-01T00:00:00Z", T0),

@@ -1,5 +1,6 @@
-"""Lease intervals, conflicts and holders."""
+"""Leases (O31, O32): an exclusive lock, its calls in order."""
 import datetime as dt
+import random
 
 from rivulet.operators import lease
 from rivulet.plans.fixtures import ntz
@@ -8,47 +9,69 @@ SCHEMA = "subreddit string, instance_id string, seq long, ts timestamp_ntz, acti
 T0 = dt.datetime(2024, 1, 1)
 
 
+def s(x):
+    return T0 + dt.timedelta(seconds=x)
+
+
 def _log(spark, rows):
-    return spark.createDataFrame([(s, i, n, T0 + dt.timedelta(seconds=t), a)
-                                  for n, (s, i, t, a) in enumerate(rows)], SCHEMA)
-
-
-def test_refreshes_merge_and_release_ends_early(spark):
-    log = _log(spark, [("p", "i1", 0, "refresh"), ("p", "i1", 30, "refresh"),
-                       ("p", "i1", 60, "refresh"), ("p", "i1", 70, "release"),
-                       ("p", "i1", 80, "refresh"),            # re-grant after release
-                       ("p", "i1", 500, "refresh"),           # expired in between
-                       ("p", "i1", 900, "release")])          # no hold: no-op
-    got = [(r.held_from, r.held_until, r.n_events)
-           for r in lease.lease_intervals(log, ttl="60 seconds").orderBy("held_from").collect()]
-    s = lambda x: T0 + dt.timedelta(seconds=x)
-    assert got == [(s(0), s(70), 3), (s(80), s(140), 1), (s(500), s(560), 1)]
-
-
-def test_conflicts_and_holders(spark):
-    log = _log(spark, [("p", "i1", 0, "refresh"), ("p", "i2", 10, "refresh"),
-                       ("p", "i1", 30, "refresh"), ("q", "i2", 20, "refresh")])
-    iv = lease.lease_intervals(log, ttl="60 seconds")
-    conf = lease.lease_conflicts(log, iv.drop("n_events")).collect()
-    got = sorted((r.instance_id, r.seq, r.holder_instance) for r in conf)
-    assert got == [("i1", 2, "i2"), ("i2", 1, "i1")]
-    h = lease.holders(iv, ntz("2024-01-01 00:01:15")).collect()
-    assert sorted((r.subreddit, r.instance_id) for r in h) == [("p", "i1"), ("q", "i2")]
-
-
-def test_conflicts_over_multi_hour_intervals_equal_brute_force(spark):
-    import random
+    return spark.createDataFrame([(c, i, n, s(t), a) for n, (c, i, t, a) in enumerate(rows)], SCHEMA)
+
+
+def _outcomes(spark, rows):
+    return [r.granted for r in lease.lease_calls(_log(spark, rows)).orderBy("seq").collect()]
+
+
+def test_acquire_is_exclusive_and_refresh_needs_a_live_lease(spark):
+    assert _outcomes(spark, [("p", "i1", 0, "acquire"), ("p", "i2", 10, "acquire"),
+                             ("p", "i2", 20, "refresh"), ("p", "i1", 50, "refresh"),
+                             ("p", "i1", 100, "acquire"),       # held, even by itself
+                             ("p", "i1", 110, "refresh"),       # 60 s after 50: just expired
+                             ("p", "i2", 110, "acquire"), ("p", "i1", 111, "release"),
+                             ("p", "i2", 112, "release"), ("p", "i1", 112, "acquire")]) == [
+        True, False, False, True, False, False, True, False, True, True]
+
+
+def test_refresh_never_opens_a_lease(spark):
+    assert _outcomes(spark, [("p", "i1", 0, "refresh"), ("p", "i1", 1, "release")]) == [False, False]
+
+
+def test_intervals_conflicts_and_holders(spark):
+    log = _log(spark, [("p", "i1", 0, "acquire"), ("p", "i2", 10, "refresh"), ("p", "i1", 30, "refresh"),
+                       ("q", "i2", 20, "acquire"), ("q", "i2", 25, "release"), ("p", "i1", 95, "refresh"),
+                       ("p", "i2", 200, "acquire")])
+    calls = lease.lease_calls(log)
+    got = sorted((r.subreddit, r.instance_id, r.held_from, r.held_until, r.n_calls)
+                 for r in lease.lease_intervals(calls).collect())
+    assert got == [("p", "i1", s(0), s(90), 2), ("p", "i2", s(200), s(260), 1), ("q", "i2", s(20), s(25), 2)]
+    conf = [(r.instance_id, r.seq, r.holder_instance, r.held_until)
+            for r in lease.lease_conflicts(calls).collect()]
+    assert conf == [("i2", 1, "i1", s(60))]
+    # At 00:00:20 the refresh at 30 s has not happened yet: the lease ends at 60 s.
+    h = lease.holders(log, ntz("2024-01-01 00:00:20")).collect()
+    assert sorted((r.subreddit, r.instance_id, r.held_until) for r in h) == [
+        ("p", "i1", s(60)), ("q", "i2", s(80))]
+
+
+def test_random_calls_equal_call_by_call(spark):
     rnd = random.Random(5)
     rows, t = [], 0
-    for n in range(400):
-        t += rnd.choice([60, 600, 1800, 5400])
-        rows.append(("p", f"i{rnd.randint(0, 2)}", n, T0 + dt.timedelta(seconds=t),
-                     "release" if rnd.random() < 0.05 else "refresh"))
-    log = spark.createDataFrame(rows, SCHEMA)
-    iv = lease.lease_intervals(log, ttl="3 hours").drop("n_events")
-    assert iv.where("held_until - held_from > INTERVAL 5 HOURS").count() > 0
-    got = sorted(tuple(r) for r in lease.lease_conflicts(log, iv).collect())
-    ivs = [tuple(r) for r in iv.collect()]
-    want = sorted((s, i, n, ts, a, hi, hf, hu) for (s, i, n, ts, a) in rows
-                  for (hs, hi, hf, hu) in ivs if hs == s and hf <= ts < hu and hi != i)
-    assert got == want and len(want) > 0
+    for n in range(1500):
+        t += rnd.choice([1, 10, 40, 70])
+        rows.append((f"c{rnd.randint(0, 2)}", f"i{rnd.randint(0, 2)}", n, s(t),
+                     rnd.choice(["acquire", "refresh", "refresh", "release"])))
+    want, held = {}, {}
+    for c, i, n, ts, a in rows:
+        holder, until = held.get(c, (None, T0))
+        live = holder is not None and ts < until
+        want[n] = not live if a == "acquire" else live and holder == i
+        if want[n]:
+            held[c] = (i, ts if a == "release" else ts + dt.timedelta(seconds=60))
+    calls = lease.lease_calls(spark.createDataFrame(rows, SCHEMA))
+    assert {r.seq: r.granted for r in calls.collect()} == want
+    iv = lease.lease_intervals(calls).collect()
+    by = {}
+    for r in sorted(iv, key=lambda r: r.held_from):
+        if r.subreddit in by:
+            assert by[r.subreddit] <= r.held_from     # one holder at a time
+        by[r.subreddit] = r.held_until
+    assert lease.lease_conflicts(calls).count() <= len(rows)

@@ -50,3 +50,14 @@ def test_keyed_scan_plan_spreads_hot_key(spark):
     plan = keyed_scan(df, ["k"], "ts", ["seq"])._jdf.queryExecution().executedPlan().toString()
     # the big side is exchanged on (key, bucket), never on the key alone
     assert "hashpartitioning(k#" in plan and "_b#" in plan
+
+
+def test_rows_without_time_or_key_are_not_counted(spark):
+    import datetime as dt
+
+    from rivulet.operators.checkpoints import checkpoint_every
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("s", 1, t), ("s", 2, None), (None, 3, t)],
+                               "stream_id string, seq long, ts timestamp_ntz")
+    got = [(r.last_comment_id, r.n_processed) for r in checkpoint_every(df, n=1).collect()]
+    assert got == [("1", 1)]

@@ -38,8 +38,9 @@ def test_replayed_batch_writes_no_duplicates_and_counter_carries(spark):
     assert msgs.where(F.col("subreddit") == "unregistered").count() == 0
     assert msgs.select("comment_id").distinct().count() == 19
     errs = spark.read.parquet(f"{out}/errors").collect()
-    assert [(e.comment_id, e.error_message) for e in errs] == [("0007", "invalid text")]
-    got = sorted((r.last_comment_id, r.n_processed)
+    assert [(e.stream_id, e.error_message, e.retry_count) for e in errs] == [
+        ("s-a", "invalid text", 0)]
+    got = sorted((r.last_comment_id, r.seq)
                  for r in spark.read.parquet(f"{out}/checkpoints").collect())
     # successes 0..19 without 7: the 4th, 8th, ... across both batches
     assert got == [("0003", 4), ("0008", 8), ("0012", 12), ("0016", 16)]
@@ -64,7 +65,7 @@ def test_error_lists_stream_emits_closed_lists_like_batch(spark):
     for i, part in enumerate([df.where(F.col("ts") < cut), df.where(F.col("ts") >= cut)]):
         part.write.parquet(f"{work}/in/chunk={i}")
         src = spark.readStream.schema(schema).parquet(f"{work}/in/*")
-        q = (error_lists_stream(src).writeStream.format("parquet").option("path", f"{work}/out")
+        q = (error_lists_stream(src, "0 seconds").writeStream.format("parquet").option("path", f"{work}/out")
              .option("checkpointLocation", f"{work}/q").outputMode("append")
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -110,7 +111,7 @@ def test_crash_after_write_before_commit_replays_exactly_once(spark):
     run()                                            # restart: batch 1 is replayed
     msgs = spark.read.parquet(f"{work}/out/messages")
     assert msgs.count() == 19 and msgs.select("comment_id").distinct().count() == 19
-    got = sorted((r.last_comment_id, r.n_processed)
+    got = sorted((r.last_comment_id, r.seq)
                  for r in spark.read.parquet(f"{work}/out/checkpoints").collect())
     assert got == [("0003", 4), ("0008", 8), ("0012", 12), ("0016", 16)]
     counters = {r.stream_id: r.n_processed
@@ -145,3 +146,76 @@ def test_prepare_fills_missing_arrival_time(spark):
     df = spark.createDataFrame([("c1", "a", "u", "text", None)], COMMENT)
     r = prepare(df, streams, cks, ntz("2000-01-01 00:00:00")).first()
     assert r.arrival_ts is not None and r.is_valid and r.timestamp.endswith("Z")
+
+
+def test_records_that_do_not_parse_become_error_rows(spark):
+    from rivulet.sources.io import parse_records
+    out = new_work_dir(spark, "bad-records")
+    streams, cks = _setup(spark)
+    records = spark.createDataFrame(
+        [('{"comment_id": "c1", "subreddit": "a", "author": "u", "body": "t"}', T0, "record-t-0-1"),
+         ("not json", T0, "record-t-0-2"), ('{"subreddit": "a"}', T0, "record-t-0-3")],
+        "value string, record_ts timestamp_ntz, record_id string")
+    comments = parse_records(records)
+    make_batch_writer(out, streams, cks, ntz("2024-01-01 05:00:00"))(comments, 0)
+    assert spark.read.parquet(f"{out}/messages").count() == 1
+    errs = spark.read.parquet(f"{out}/errors").collect()
+    assert [(e.stream_id, e.error_message) for e in errs] == [("unparsed", "invalid subreddit")] * 2
+    assert len({e.id for e in errs}) == 2
+
+
+def test_messages_are_written_encoded_and_registry_is_read_per_batch(spark):
+    from rivulet.sources.io import decode_message
+    out = new_work_dir(spark, "ingest-encoded")
+    streams, cks = _setup(spark)
+    late = streams.unionByName(spark.createDataFrame([("s-b", "unregistered", "active")], streams.schema))
+    seen = []
+    write = make_batch_writer(out, streams, cks, ntz("2024-01-01 05:00:00"), value_format="json",
+                              streams_fn=lambda s: late if seen else (seen.append(1) or streams))
+    write(_batch(spark, 0, 5), 0)
+    write(_batch(spark, 5, 7), 1)
+    rows = spark.read.parquet(f"{out}/messages")
+    assert {"value", "stream_id", "comment_id"} <= set(rows.columns)
+    back = decode_message(rows, keep=["comment_id"]).collect()
+    assert len(back) == 8 and {r.subreddit for r in back} == {"a", "unregistered"}
+
+
+LOG = "stream_id string, seq long, updated_at timestamp_ntz, last_comment_id string, last_processed_at string"
+
+
+def test_flush_keeps_the_newest_write_of_each_field(spark):
+    """Updates that arrive late change only the fields they are the newest for."""
+    from rivulet.operators.checkpoints import flush_rows, merge_checkpoints
+    from rivulet.streaming.flush import durable_table, make_flush_writer
+    table = new_work_dir(spark, "flush-late") + "/t"
+    m = lambda k: T0 + dt.timedelta(minutes=k)
+    b = [[("s", 1, m(5), None, "2024-01-01T00:05:00Z"), ("s", 2, m(10), "c10", None)],
+         [("s", 3, m(7), "c7", "2024-01-01T00:07:00Z"), ("u", 4, m(1), "x", None)],
+         [("u", 5, m(2), None, "bad")], [("s", 6, m(7), None, "2024-01-01T00:09:00Z")]]
+    now = ntz("2024-02-01 00:00:00")
+    write = make_flush_writer(table, lambda _: now, compact=2)
+    for i, rows in enumerate(b):
+        write(spark.createDataFrame(rows, LOG), i)
+        write(spark.createDataFrame(rows, LOG), i)       # a replay changes nothing
+    cols = ["id", "stream_id", "last_comment_id", "last_processed_at", "updated_at"]
+    got = sorted(tuple(r) for r in durable_table(spark, table).select(*cols).collect())
+    log = spark.createDataFrame([r for rows in b for r in rows], LOG)
+    want = {r["stream_id"]: tuple(r) for r in flush_rows(merge_checkpoints(log), now).select(*cols).collect()}
+    assert got[0] == want["s"] and got[0][2:4] == ("c10", dt.datetime(2024, 1, 1, 0, 9))
+    # The stamp of u stopped parsing: its row stays as last flushed.
+    assert got[1][:4] == ("u", "u", "x", None)
+
+
+def test_ingest_log_feeds_the_flush(spark):
+    from rivulet.streaming.flush import durable_table, run_flush
+    work = new_work_dir(spark, "chain")
+    streams, cks = _setup(spark)
+    write = make_batch_writer(f"{work}/out", streams, cks, ntz("2024-01-01 05:00:00"), every=4)
+    write(_batch(spark, 0, 10), 0)
+    write(_batch(spark, 10, 20), 1)
+    q = run_flush(spark, f"{work}/out/checkpoints/*", f"{work}/table", f"{work}/q")
+    q.awaitTermination()
+    assert q.exception() is None
+    r = durable_table(spark, f"{work}/table").collect()
+    assert [(x.stream_id, x.last_comment_id, x.last_processed_at) for x in r] == [
+        ("s-a", "0016", T0 + dt.timedelta(seconds=16))]

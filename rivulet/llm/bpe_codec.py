@@ -33,9 +33,10 @@ def _carry(docs: DataFrame, pieces: list[bytes]):
     return docs.sparkSession.sparkContext.broadcast(pieces)  # one entry per vocabulary piece
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>), one row per input row, in no other order than the input's.
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+           with_decoded: bool = False) -> DataFrame:
+    """(id_col, ids array<int>), one row per input row, in no other order than the input's;
+    ``with_decoded`` adds what ``decode`` gives for the ids, without a second Python worker.
 
     ``vocabulary``: path of a ``.tiktoken`` rank file, read on the driver. No special tokens:
     their spelling in a text is ordinary text. Null and empty texts give an empty array; bytes
@@ -54,12 +55,23 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 ids = list(enc.encode(texts[a:b]))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=[id_col, "ids"])
+                cols = [batch.column(0).slice(a, b - a),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if with_decoded:
+                    cols.append(_join(cols[1], pieces.value))
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "decoded"][:len(cols)])
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>"
+                          + ", decoded binary" * with_decoded)
+
+
+def _join(ids: pa.ListArray, piece: list[bytes]) -> pa.Array:
+    """The pieces of each row's ids, one after another; a null row stays null."""
+    flat = ids.values.to_numpy(zero_copy_only=False)
+    ends, known = ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+    return pa.array([b"".join([piece[i] for i in flat[a:b].tolist()]) if ok else None
+                     for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), known)],
+                    type=pa.binary())
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -69,11 +81,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
 
     @F.arrow_udf("binary")
     def join(ids: pa.Array) -> pa.Array:
-        piece, flat = pieces.value, ids.values.to_numpy(zero_copy_only=False)
-        ends, known = ids.offsets.to_numpy(), ids.is_valid().to_pylist()
-        return pa.array([b"".join([piece[i] for i in flat[a:b].tolist()]) if ok else None
-                         for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), known)],
-                        type=pa.binary())
+        return _join(ids, pieces.value)
 
     return encoded.withColumn("decoded", join(F.col(ids_col)))
 
@@ -82,7 +90,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """Per row: ``n_tokens``, ``ids_sha256`` (of decimal ids joined by a space) and
     ``decoded_sha256``, all from the operator's ids."""
-    ids = decode(encode(docs, vocabulary, id_col, text_col), vocabulary)
+    ids = encode(docs, vocabulary, id_col, text_col, with_decoded=True)
     return ids.select(id_col, F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
                       .alias("ids_sha256"),

@@ -15,6 +15,7 @@ at most, whatever the size of the corpus. Scoring reads every whole text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,8 +28,9 @@ from rivulet.llm.common import binary_text, fold, materialize
 
 MAX_TRAIN = 20_000     # labelled rows that fit the models
 MAX_TERMS = 400        # lexicon entries
-MIN_DOCS = 6           # toxic rows that a lexicon entry must be seen in
-MIN_SHARE = 0.9        # of its rows that must be toxic (lower bound)
+MIN_CONTEXTS = 4       # different neighbours that a lexicon entry must be seen with
+MIN_SHARE = 0.9        # of its rows that must be toxic
+MIN_LIFT = 20          # times as likely in a toxic row as in a clean one
 OPENINGS = (4, 5, 6)   # bytes of a word that may be a lexicon entry of their own
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SHOUT = re.compile(rb"[A-Z]{4,}")
@@ -46,29 +48,48 @@ def terms_of(text: bytes) -> Counter:
     return out
 
 
+def contexts_of(text: bytes) -> dict[bytes, set[int]]:
+    """The neighbours that each term of a text stands between, as hashes. Copies of a text
+    bring no new ones, so what only a much copied text says is no lexicon entry."""
+    words = [b"", *_WORD.findall(text.lower()), b""]
+    out: dict[bytes, set[int]] = {}
+    for before, w, after in zip(words, words[1:], words[2:]):
+        at = zlib.crc32(before + b" " + after)
+        for term in [w, *(w[:k] + b"*" for k in OPENINGS if len(w) > k)]:
+            out.setdefault(term, set()).add(at)
+    return out
+
+
 def style(text: bytes) -> list[float]:
     """Patterns of writing: shares of exclamation marks and of shouted words."""
     n = max(1, len(text))
     return [100.0 * text.count(b"!") / n, 100.0 * len(_SHOUT.findall(text)) / n]
 
 
-def _lower_bound(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Wilson lower bound (95 %) of a share."""
-    z = 1.96
-    p = hits / total
-    return ((p + z * z / (2 * total) - z * np.sqrt(p * (1 - p) / total + z * z / (4 * total ** 2)))
-            / (1 + z * z / total))
+def _choose(terms: list[bytes], rows: np.ndarray) -> list[bytes]:
+    """Of a word and its openings one entry: the longest that has most of the rows of the
+    shortest, else the opening, which then stands for many words."""
+    count = dict(zip(terms, rows.tolist()))
+    kept: list[bytes] = []
+    for t in sorted(terms, key=lambda t: (t.endswith(b"*"), -len(t), t)):
+        if t.endswith(b"*"):
+            inside = [w for w in kept if w.startswith(t[:-1])]
+            if any(count[w] >= 0.8 * count[t] for w in inside):
+                continue
+            kept = [w for w in kept if w not in inside]
+        kept.append(t)
+    return sorted(kept, key=lambda t: (-count[t], t))[:MAX_TERMS]
 
 
 @dataclass
 class Model:
     """What scoring needs; a few kilobytes."""
     words: dict = field(default_factory=dict)     # term -> column
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
     bias: float = -4.0
 
     def features(self, text: bytes) -> np.ndarray:
-        """Distinct lexicon hits, hits a hundred words (square root), and the patterns."""
+        """Any lexicon hit, distinct hits, hits a hundred words (square root), the patterns."""
         words = _WORD.findall(text.lower())
         kinds, hits = set(), 0
         find = self.words
@@ -82,7 +103,7 @@ class Model:
                     kinds.add(at)
                     hits += 1
                     break
-        return np.array([min(len(kinds), 8), np.sqrt(100.0 * hits / max(1, len(words))),
+        return np.array([min(len(kinds), 1), min(len(kinds), 8), np.sqrt(100.0 * hits / max(1, len(words))),
                          *style(text)])
 
     def score(self, text: bytes) -> float:
@@ -90,23 +111,29 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50):
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None,
+                rounds: int = 50):
     """Posterior P(toxic) of rows from votes (-1 clean, 0 nothing, 1 toxic), the voters' vote
-    probabilities by class, and their correlation given the class.
+    probabilities by class, and their correlation given the class. ``prior`` is the share of
+    toxic rows to start from; ``start`` may give each voter's probability of a
+    toxic vote in (clean, toxic) rows to start from.
 
-    Voters that go together beyond what the class explains count as one: a voter's log
-    likelihood is divided by the sum of its squared correlations with all voters."""
+    A voter that says nothing gives no evidence. Voters that vote on a row and go together
+    beyond what the class explains count as fewer: k votes on a row weigh k divided by the sum
+    of their squared correlations, so a lone vote weighs one and k equal votes 1/k each."""
     n, m = votes.shape
-    share = np.ones(m)
+    share = np.ones(n)
     table = np.empty((2, 3, m))                       # class, vote + 1, voter
     table[1] = np.array([0.1, 0.4, 0.5])[:, None]     # a start that knows which way votes point
     table[0] = np.array([0.5, 0.4, 0.1])[:, None]
+    if start is not None:
+        table[:, 2, :start.shape[1]] = start
     seen = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)   # vote, row, voter
     corr = np.eye(m)
     post = np.full(n, prior)
     for turn in range(rounds):
-        like = [np.einsum("vij,vj->i", seen, np.log(table[c]) * share) for c in (0, 1)]
-        odds = like[1] - like[0] + np.log(prior / (1 - prior))
+        weight = np.log(table[1]) - np.log(table[0])
+        odds = (seen[0] @ weight[0] + seen[2] @ weight[2]) * share + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done = turn > 3 and np.abs(new - post).max() < 1e-6
         post = new
@@ -120,12 +147,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50):
             left = votes - mean
             scale = np.sqrt((left ** 2).mean(axis=0)) + 1e-9
             corr = (left / scale).T @ (left / scale) / n
-            share = 1 / np.maximum(1.0, (corr ** 2).sum(axis=1))
-        prior = float(np.clip(post.mean(), 0.01, 0.99))
+            says = (votes != 0).astype(float)
+            share = says.sum(axis=1) / np.maximum(((says @ corr ** 2) * says).sum(axis=1), 1e-9)
+            share = np.clip(share, 0.0, 1.0)
+        prior = float(np.clip(post.mean(), 0.001, 0.999))
     return post, table, corr
 
 
-def linear_fit(x: np.ndarray, p: np.ndarray, ridge: float = 1e-2, steps: int = 60):
+def linear_fit(x: np.ndarray, p: np.ndarray, ridge: float = 1e-4, steps: int = 60):
     """Logistic regression on soft labels by Newton steps; (weights, bias)."""
     scale = np.abs(x).max(axis=0) + 1e-9
     a = np.hstack([x / scale, np.ones((len(x), 1))])
@@ -157,21 +186,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
 
     def count(batches):
-        by: dict[bytes, list[int]] = {}
+        """(term, neighbours, first): first is 1 once for each row and term."""
         for pdf in batches:
-            for t, y in zip(pdf["__t"], pdf["__y"]):
-                for term in terms_of(t):
-                    by.setdefault(term, [0, 0])[int(y > 0)] += 1
-            if len(by) > 300_000:
-                yield _counts(by)
-                by = {}
-        yield _counts(by)
+            for at in range(0, len(pdf), 200):
+                out = [(term, c, int(i == 0)) for t in pdf["__t"].iloc[at:at + 200]
+                       for term, found in contexts_of(t).items() for i, c in enumerate(found)]
+                yield pd.DataFrame(out, columns=["term", "at", "first"])
 
     # Terms of toxic rows first: they bound what has to be counted in the others.
-    often = (rows.where("__y > 0").mapInPandas(count, "term binary, clean long, toxic long")
-             .groupBy("term").agg(F.sum("toxic").alias("toxic"))
-             .where(F.col("toxic") >= MIN_DOCS)
-             .orderBy(F.desc("toxic"), "term").limit(50 * MAX_TERMS).toPandas())
+    often = (rows.where("__y > 0").mapInPandas(count, "term binary, at long, first int")
+             .groupBy("term").agg(F.sum("first").alias("toxic"),
+                                  F.count_distinct("at").alias("contexts"))
+             .where(F.col("contexts") >= MIN_CONTEXTS)
+             .orderBy(F.desc("contexts"), "term").limit(50 * MAX_TERMS).toPandas())
     wanted = {bytes(t): i for i, t in enumerate(often["term"])}
 
     def count_clean(batches):
@@ -189,17 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                  .groupBy("i").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False)):
         in_clean[i] = n
     in_toxic = often["toxic"].to_numpy(dtype=float)
-    even = in_toxic * (clean / toxic)   # as if both classes were as many
-    bound = _lower_bound(in_toxic, in_toxic + in_clean * (toxic / clean))
-    lift = even / (in_clean + 0.5)
-    good = np.flatnonzero((bound >= 0.5) & (in_toxic / (in_toxic + in_clean) >= MIN_SHARE)
-                          & (lift >= 20))
-    terms = [bytes(often["term"][i]) for i in good]
-    # An entry that a shorter one covers adds nothing.
-    have = set(terms)
-    terms = [t for t in terms if not any(
-        len(t.rstrip(b"*")) > k and t[:k] + b"*" in have and t != t[:k] + b"*" for k in OPENINGS)]
-    terms = terms[:MAX_TERMS]
+    good = np.flatnonzero((in_toxic >= MIN_SHARE * (in_toxic + in_clean)) & (in_toxic > 1)
+                          & (in_toxic / toxic >= MIN_LIFT * (in_clean + 0.5) / clean))
+    terms = _choose([bytes(often["term"][i]) for i in good], in_toxic[good])
+    at = [wanted[t] for t in terms]
+    start = np.stack([(in_clean[at] + 0.5) / (clean + 1), (in_toxic[at] + 0.5) / (toxic + 1)])
     model = Model({t: i for i, t in enumerate(terms)})
     names = sorted(model.words, key=model.words.get)
 
@@ -223,17 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k in range(2):  # patterns: much of it says toxic, none of it clean
         high = np.quantile(s[:, k], 0.95)
         votes_of[:, m + 1 + k] = np.where((s[:, k] > high) & (s[:, k] > 0), 1, 0)
-    post, _, _ = label_model(votes_of, float(np.clip(toxic / (toxic + clean), 0.01, 0.5)))
+    post, _, _ = label_model(votes_of, float(np.clip(toxic / (toxic + clean), 0.01, 0.5)), start)
     model.weights, model.bias = linear_fit(x, post)
     return model
 
 
-def _counts(by: dict) -> pd.DataFrame:
-    return pd.DataFrame({"term": list(by), "clean": [v[0] for v in by.values()],
-                         "toxic": [v[1] for v in by.values()]},
-                        columns=["term", "clean", "toxic"])
-
-
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """Score (0 to 1) of a text; null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes

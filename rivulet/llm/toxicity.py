@@ -119,10 +119,10 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None
     toxic vote in (clean, toxic) rows to start from.
 
     A voter that says nothing gives no evidence. Voters that vote on a row and go together
-    beyond what the class explains count as fewer: k votes on a row weigh k divided by the sum
-    of their squared correlations, so a lone vote weighs one and k equal votes 1/k each."""
+    beyond what the class explains count as fewer: a vote is divided by the sum of its squared
+    correlations with the votes on its row, so a lone vote weighs one, k equal votes 1/k each."""
     n, m = votes.shape
-    share = np.ones(n)
+    share = np.ones((n, m))
     table = np.empty((2, 3, m))                       # class, vote + 1, voter
     table[1] = np.array([0.1, 0.4, 0.5])[:, None]     # a start that knows which way votes point
     table[0] = np.array([0.5, 0.4, 0.1])[:, None]
@@ -133,7 +133,8 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None
     post = np.full(n, prior)
     for turn in range(rounds):
         weight = np.log(table[1]) - np.log(table[0])
-        odds = (seen[0] @ weight[0] + seen[2] @ weight[2]) * share + np.log(prior / (1 - prior))
+        odds = ((seen[0] * weight[0] + seen[2] * weight[2]) * share).sum(axis=1)
+        odds += np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done = turn > 3 and np.abs(new - post).max() < 1e-6
         post = new
@@ -148,8 +149,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray | None = None
             scale = np.sqrt((left ** 2).mean(axis=0)) + 1e-9
             corr = (left / scale).T @ (left / scale) / n
             says = (votes != 0).astype(float)
-            share = says.sum(axis=1) / np.maximum(((says @ corr ** 2) * says).sum(axis=1), 1e-9)
-            share = np.clip(share, 0.0, 1.0)
+            share = 1 / np.maximum(says @ corr ** 2, 1.0)
         prior = float(np.clip(post.mean(), 0.001, 0.999))
     return post, table, corr
 

@@ -237,7 +237,7 @@ def _candidates(width: int):
             doc = np.searchsorted(s.begin, c1, side="right") - 1
             by = np.lexsort((l, doc))
             l, r, h, doc = l[by], r[by], h[by], doc[by]
-            reach = np.maximum.accumulate(r + 0)
+            reach = np.maximum.accumulate(r)
             new = np.ones(len(l), dtype=bool)
             new[1:] = l[1:] > reach[:-1]
             group = np.cumsum(new) - 1

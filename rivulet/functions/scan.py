@@ -4,7 +4,8 @@ Many operators need "position of this row in its key's order": the every-N check
 counter, failure streaks, error lists (sessions), lease epochs. A plain
 ``Window.partitionBy(key).orderBy(ts)`` sends all rows of a key to one task, and one stream
 may hold a third of all rows. Instead each key is cut into buckets that are contiguous in
-its order (a truncated time), and the scan runs in three steps:
+its order (a truncated time, cut finer where a measured count says so), and the scan runs in
+three steps:
 
 1. a window over ``(key, bucket)``, in parallel for every bucket (one shuffle of the data);
 2. a per-bucket summary (count, sums, max, first/last time), an aggregate over the same
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 
 
 UNIT_SECONDS = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60}
+SPLIT_OVER = 1_000_000   # rows of a (key, bucket) beyond which it is cut finer
+MAX_SPLITS = 1 << 20     # spans that one bucket is cut into at most
 
 
 def time_bucket(ts, unit: str = "HOUR") -> Column:
@@ -51,10 +54,37 @@ def _bucket(df: DataFrame, ts: str, unit: str) -> Column:
     return time_bucket(ts, unit)
 
 
+def _within(df: DataFrame, ts: str, unit: str) -> Column:
+    """Microseconds since the start of the row's bucket, without the session time zone."""
+    size = UNIT_SECONDS[unit.upper()] * 1_000_000
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        return F.pmod(F.unix_micros(F.col(ts)), F.lit(size))
+    of_day = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (
+        F.date_part(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long")
+    return F.pmod(of_day, F.lit(size))
+
+
+def _split_buckets(df: DataFrame, keys: list[str], ts: str, unit: str, split_over: int) -> DataFrame:
+    """``df`` with ``_b``. A (key, bucket) of more than ``split_over`` rows is cut into equal
+    spans, as many as its count asks for. The counts are one partial aggregate, and those over
+    the limit number at most rows / split_over, which bounds what is broadcast."""
+    raw = df.withColumn("_b", _bucket(df, ts, unit))
+    hot = (raw.groupBy(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)],
+                       F.col("_b").alias("_hb")).agg(F.count(F.lit(1)).alias("_hn"))
+           .where(F.col("_hn") > split_over)
+           .withColumn("_hn", F.least(F.ceil(F.col("_hn") / split_over), F.lit(MAX_SPLITS))))
+    cond = [F.col(k) == F.col(f"_h_{i}") for i, k in enumerate(keys)] + [F.col("_b") == F.col("_hb")]
+    part = F.floor(_within(df, ts, unit) * F.coalesce("_hn", F.lit(1))
+                   / (UNIT_SECONDS[unit.upper()] * 1_000_000))
+    return raw.join(F.broadcast(hot), cond, "left").select(
+        *df.columns, (F.col("_b") * MAX_SPLITS + part).alias("_b"))
+
+
 def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
                *, unit: str = "HOUR", sums: dict[str, Column] | None = None,
                maxes: dict[str, Column] | None = None, gap: str | None = None,
-               last_where: dict[str, Column] | None = None, rn: str = "rn") -> DataFrame:
+               last_where: dict[str, Column] | None = None, rn: str = "rn",
+               split_over: int = SPLIT_OVER) -> DataFrame:
     """Scan each key's rows in ``(ts, *tiebreak)`` order.
 
     Adds ``rn`` (1-based position), one inclusive running sum per ``sums`` entry, one
@@ -71,7 +101,7 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
     last_where = last_where or {}
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
     df = df.dropna(subset=[*keys, ts])
-    b = df.withColumn("_b", _bucket(df, ts, unit))
+    b = _split_buckets(df, keys, ts, unit, split_over)
     for name, c in sums.items():
         b = b.withColumn(f"_sv_{name}", c)
     for name, c in maxes.items():

@@ -6,9 +6,20 @@ Column names and types match the Spark results.
 
 from __future__ import annotations
 
-from rivulet.functions.expr import BASIC_DATE, BASIC_HM, BASIC_HMS, ISO_PATTERN
 from rivulet.plans import catalog as C
 
+# ISO-8601 stamps, stated apart from the code under test: basic forms are rewritten to
+# extended ones, then one pattern reads date, time, fraction and (ignored) offset.
+REWRITES = [
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})", r"\1-\2-\3"),
+    (r"^([0-9]{4}-[0-9]{2}-[0-9]{2}.)([0-9]{2})([0-9]{2})([0-9]{2})", r"\1\2:\3:\4"),
+    (r"^([0-9]{4}-[0-9]{2}-[0-9]{2}.)([0-9]{2})([0-9]{2})([^:0-9]|$)", r"\1\2:\3\4"),
+]
+STAMP = (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
+         r"(?:.([01][0-9]|2[0-3])(?::([0-5][0-9])(?::([0-5][0-9]))?)?(?:[.,]([0-9]{1,6})[0-9]*)?"
+         r"(?:[+-](?:[01][0-9]|2[0-3])(?::[0-5][0-9](?::[0-5][0-9])?|[0-5][0-9](?:[0-5][0-9])?)?"
+         r"(?:[.,][0-9]+)?)?)?$")
+
 CTE = {
     "f1_comments": """SELECT CAST(doc_id AS VARCHAR) AS comment_id, source AS subreddit,
   CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('u', doc_id % 97) END AS author,
@@ -108,10 +119,9 @@ def _ts(text: str) -> str:
 def parse_naive_utc(x: str) -> str:
     """O10 in SQL: same grammar and canonical text as the Spark expression."""
     s = f"regexp_replace({x}, 'Z+$', '')"
-    for pattern, repl in (BASIC_DATE, BASIC_HMS, BASIC_HM):
-        r = repl.replace("{", "\\").replace("}", "")
-        s = f"regexp_replace({s}, '{pattern}', '{r}')"
-    p = ISO_PATTERN.replace("'", "''")
+    for pattern, repl in REWRITES:
+        s = f"regexp_replace({s}, '{pattern}', '{repl}')"
+    p = STAMP
     g = [f"regexp_extract({s}, '{p}', {i})" for i in range(1, 8)]
     part = [f"nullif({e}, '')" for e in g]
     canonical = (f"concat({g[0]}, '-', {g[1]}, '-', {g[2]}, ' ', coalesce({part[3]}, '00'), ':', "

@@ -61,3 +61,37 @@ def test_rows_without_time_or_key_are_not_counted(spark):
                                "stream_id string, seq long, ts timestamp_ntz")
     got = [(r.last_comment_id, r.n_processed) for r in checkpoint_every(df, n=1).collect()]
     assert got == [("1", 1)]
+
+
+def test_a_hot_hour_is_cut_by_its_measured_count(spark):
+    """90 % of the rows in one key and one hour: the scan stays exact and no (key, bucket)
+    holds more than twice the limit."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from rivulet.functions.scan import _split_buckets, keyed_scan
+    rnd = random.Random(1)
+    t0 = dt.datetime(2024, 1, 1, 7)
+    rows = [("hot", i, t0 + dt.timedelta(microseconds=rnd.randrange(3_600_000_000)), rnd.random() < 0.3)
+            for i in range(1800)]
+    rows += [(f"k{i % 5}", 5000 + i, t0 + dt.timedelta(minutes=rnd.randrange(3000)), rnd.random() < 0.3)
+             for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, seq long, ts timestamp_ntz, ok boolean")
+    sizes = [r["count"] for r in _split_buckets(df, ["k"], "ts", "HOUR", 100).groupBy("k", "_b").count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) == 2000
+    got = keyed_scan(df, ["k"], "ts", ["seq"], sums={"oks": F.col("ok").cast("long")}, gap="2 seconds",
+                     last_where={"last_ok": F.col("ok")}, split_over=100)
+    w = Window.partitionBy("k").orderBy("ts", "seq")
+    cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = (df.withColumn("rn", F.row_number().over(w)).withColumn("oks", F.sum(F.col("ok").cast("long")).over(cum))
+            .withColumn("last_ok", F.max(F.when(F.col("ok"), F.col("rn"))).over(cum))
+            .withColumn("prev_ts", F.lag("ts").over(w))
+            .withColumn("brk", F.coalesce(F.col("ts") > F.col("prev_ts") + F.expr("INTERVAL 2 SECONDS"),
+                                          F.lit(True)).cast("long"))
+            .withColumn("island", F.sum("brk").over(cum)))
+    cols = ["k", "seq", "rn", "oks", "last_ok", "prev_ts", "brk", "island"]
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(
+        map(tuple, want.select(*cols).collect()), key=str)

@@ -219,3 +219,34 @@ def test_ingest_log_feeds_the_flush(spark):
     r = durable_table(spark, f"{work}/table").collect()
     assert [(x.stream_id, x.last_comment_id, x.last_processed_at) for x in r] == [
         ("s-a", "0016", T0 + dt.timedelta(seconds=16))]
+
+
+def test_late_errors_are_the_side_output(spark):
+    from rivulet.streaming.state import late_errors
+    h = dt.timedelta(hours=1)
+    errs = spark.createDataFrame([("s", i, T0 + i * h) for i in range(6)],
+                                 "stream_id string, seq long, ts timestamp_ntz")
+    newest = spark.createDataFrame([(T0 + 4 * h,)], "newest timestamp_ntz")
+    assert sorted(r.seq for r in late_errors(errs, newest, "2 hours").collect()) == [0, 1]
+
+
+def test_no_private_work_folder_on_a_cluster():
+    import pytest
+
+    from rivulet.session import work_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        work_root(Session())

@@ -44,11 +44,12 @@ def shuffle_cleanup(spark: SparkSession):
             spark.conf.set(_CLEANUP, old)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, with_path: bool = False):
     """Write ``df`` to the shared work folder and read it back: lineage ends there, lost
-    executors don't matter, and the shuffle files that made it are freed."""
+    executors don't matter, and the shuffle files that made it are freed. ``with_path`` also
+    gives the folder, for a table that can go before the result is read."""
     with shuffle_cleanup(df.sparkSession):
-        return session.materialize(df, name)
+        return session.materialize(df, name, with_path)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

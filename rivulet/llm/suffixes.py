@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import binary_text, materialize, slices, text_bytes
+from rivulet.session import delete_path
 
 GRAM = 24               # bytes of an anchor
 CHUNK = 8 << 20         # bytes of text of a chunk, and of text a range answers for
@@ -465,7 +466,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       binary_text(text_col).alias("__t"), key.alias("__chunk"))
     anchors = src.select(F.col("__chunk").alias("chunk"), F.col("__t").alias("t")).mapInPandas(
         _send_anchors(min_len, parts), "bucket long, chunk long, hashes binary, twice binary")
-    sent = materialize(anchors, "suffix-anchors")
+    sent, folder = materialize(anchors, "suffix-anchors", with_path=True)
     leads = [bytes(r[0]) for r in sent.where("bucket < 0").orderBy("chunk", "hashes")
              .select("hashes", "chunk").limit(SAMPLE).select("hashes").collect()]
     leads = sorted(leads)
@@ -473,6 +474,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialize(sent.where("bucket >= 0").groupBy("bucket").applyInPandas(
         _shared_anchors, "chunk long, body binary"), "suffix-shared").select(
         "chunk", F.lit(0).alias("kind"), "body")
+    delete_path(docs.sparkSession, folder)  # nothing reads the unshared anchors any more
     stretches = src.select("__id", "__t", "__chunk").groupBy("__chunk").cogroup(
         shared.groupBy("chunk")).applyInArrow(
         _send_stretches(min_len, splitters), "bucket long, chunk long, body binary")

@@ -10,12 +10,12 @@ width, so they are picked by sliding minima and joined into the tree by a stack.
 1. The windows of two hash functions are intersected (an interval join within the document):
    what is left shares both min-hashes, and its key is their pair. BANDS such pairs of hash
    functions are used. A passage pair of similarity 0.8 shares a given key with probability
-   0.64 and none of five with less than 0.01, for each of its sub-passages.
+   0.64, and none of four with less than 0.02, for each of its sub-passages.
 2. Keys that only one document holds go no further (the exchange of ``suffixes``: a chunk of
    documents sends each key once).
 3. Overlapping windows with shared keys make up a document's candidate passages. Passages with
-   a common key are compared with the one of smallest number among them; those that fail there
-   are compared with all others of the key. So copies are never expanded into all pairs.
+   a common key are compared with the one of smallest document id among them; those that fail
+   there are compared with all others of their keys. So copies are never expanded into all pairs.
 4. A comparison finds the best matching stretch of both passages and verifies it: length,
    and exact Jaccard similarity of its shingles.
 """
@@ -33,7 +33,7 @@ from rivulet.llm.components import connected_components
 from rivulet.llm.suffixes import NO_ID, _member, _shared_anchors
 
 SHINGLE = 5
-BANDS = 5
+BANDS = 4
 CHUNK = 8 << 20
 SLICE = 1 << 20
 HELD = 4_000_000
@@ -209,7 +209,7 @@ def _send_keys(width: int, buckets: int):
 
 def _candidates(width: int):
     """A chunk: candidate passages (kind 0) and their shared keys (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("pid", pa.string()), ("doc", pa.int64()),
+    schema = pa.schema([("kind", pa.int32()), ("pid", pa.int64()), ("doc", pa.int64()),
                         ("start", pa.int64()), ("body", pa.binary())])
 
     def run(key, left, right):
@@ -246,9 +246,8 @@ def _candidates(width: int):
             edges = np.append(np.flatnonzero(new), len(l))
             for g in range(len(begin)):
                 d = int(doc[edges[g]])
-                # An id that sorts by document, then place.
                 at = int(begin[g] - s.begin[d])
-                pid = f"{ids[order[lo + d]] + (1 << 63):016x}{order[lo + d]:08x}{at:010x}"
+                pid = key[0].as_py() << 40 | len(out)
                 out.append((0, pid, ids[order[lo + d]], at, s.hash[begin[g]:end[g] + 1].tobytes()))
                 out.append((1, pid, ids[order[lo + d]], at,
                             np.unique(h[edges[g]:edges[g + 1]]).tobytes()))
@@ -293,7 +292,7 @@ def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
     return None
 
 
-_LINKS = ("a string, b string, doc_a long, doc_b long, similarity double, start_a long, "
+_LINKS = ("a long, b long, doc_a long, doc_b long, similarity double, start_a long, "
           "end_a long, start_b long, end_b long")
 
 
@@ -322,7 +321,7 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = materialize(keys.groupBy("bucket").applyInPandas(
         _shared_anchors, "chunk long, body binary"), "passages-shared")
     found = materialize(src.groupBy("__chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        _candidates(width), "kind int, pid string, doc long, start long, body binary"),
+        _candidates(width), "kind int, pid long, doc long, start long, body binary"),
         "passages-found")
     passages = found.where("kind = 0").select("pid", "doc", "start", "body")
 
@@ -333,9 +332,9 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                 "pid": np.repeat(pdf["pid"].to_numpy(), [len(x) for x in h]),
                                 "doc": np.repeat(pdf["doc"].to_numpy(), [len(x) for x in h])})
 
-    keyed = materialize(found.where("kind = 1").select("pid", "doc", "body").mapInPandas(
-        unpack, "key long, pid string, doc long"), "passages-keys")
-    head = keyed.groupBy("key").agg(F.min(F.struct("pid", "doc")).alias("head"))
+    keyed = found.where("kind = 1").select("pid", "doc", "body").mapInPandas(
+        unpack, "key long, pid long, doc long")
+    head = keyed.groupBy("key").agg(F.min(F.struct("doc", "pid")).alias("head"))
 
     def check(batches):
         for pdf in batches:
@@ -356,18 +355,20 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                               F.col("start").alias("at_b"), F.col("body").alias("body_b"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(check, _LINKS)
 
-    stars = (keyed.join(head, "key").where(F.col("doc") != F.col("head.doc"))
-             .select(F.col("head.pid").alias("a"), F.col("pid").alias("b")).distinct())
+    stars = materialize(keyed.join(head, "key").where(F.col("doc") != F.col("head.doc"))
+                        .select(F.col("head.pid").alias("a"), F.col("pid").alias("b")).distinct(),
+                        "passages-stars")
     first = materialize(verified(stars), "passages-first")
-    # Passages that fail against the head of a key meet all others of that key.
-    failed = (keyed.join(head, "key").where(F.col("doc") != F.col("head.doc"))
-              .join(first.select("a", "b"), (F.col("head.pid") == F.col("a"))
-                    & (F.col("pid") == F.col("b")), "left_anti")
-              .select("key", F.col("pid").alias("x"), F.col("doc").alias("dx"), "head.pid"))
-    rest = (failed.join(keyed.select("key", F.col("pid").alias("y"), F.col("doc").alias("dy")), "key")
-            .where("dx <> dy and y <> pid")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
+    # Passages that fail against the head of a key meet all others of their keys.
+    failed = materialize(stars.join(first.select("a", "b"), ["a", "b"], "left_anti")
+                         .select(F.col("b").alias("x")).distinct(), "passages-failed")
+    theirs = materialize(keyed.join(failed, F.col("pid") == F.col("x"))
+                         .select("key", "x", F.col("doc").alias("dx")), "passages-failed-keys")
+    rest = materialize(keyed.join(theirs, "key").where("doc <> dx")
+                       .select(F.least("x", "pid").alias("a"), F.greatest("x", "pid").alias("b"))
+                       .distinct(), "passages-rest")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.join(done, ["a", "b"], "left_anti")
     return first.unionByName(verified(rest)).drop("a", "b")
 
 

@@ -266,12 +266,58 @@ def _best_run(match: np.ndarray, odds: float) -> tuple[int, int]:
     return begin, end
 
 
+def _held(x: np.ndarray, starts: np.ndarray, width: int, codes: np.ndarray) -> np.ndarray:
+    """Which of the codes each run ``x[start:start + width]`` holds (0 or 1)."""
+    lo = starts[0]
+    hit = x[lo:starts[-1] + width, None] == codes
+    total = np.concatenate((np.zeros((1, len(codes)), dtype=np.int32),
+                            np.cumsum(hit, axis=0, dtype=np.int32)))
+    return (total[starts - lo + width] > total[starts - lo]).astype(np.float32)
+
+
+def _starts(match: np.ndarray, width: int, need: float) -> np.ndarray:
+    """Starts of the runs of ``width`` places with at least ``need`` matches."""
+    total = np.concatenate(([0], np.cumsum(match)))
+    return np.flatnonzero(total[width:] - total[:-width] >= need)
+
+
+def _best_windows(a: np.ndarray, b: np.ndarray, in_b: np.ndarray, similarity: float, width: int):
+    """As ``verify``, over all pairs of runs of exactly ``width`` shingles: the most similar of
+    the first stretch of ``a`` that has one."""
+    need = width * 2 * similarity / (1 + similarity) - 1
+    starts = _starts(in_b, width, need)
+    at = 0
+    while at < len(starts):
+        end = int(np.searchsorted(starts, starts[at] + width))
+        xs = starts[at:end]
+        at = end
+        codes = np.intersect1d(a[xs[0]:xs[-1] + width], b)
+        ys = _starts(np.isin(b, codes), width, need)
+        best = None
+        for lo in range(0, len(ys), 1024):
+            part = ys[lo:lo + 1024]
+            both = _held(a, xs, width, codes) @ _held(b, part, width, codes).T
+            p = np.array([len(np.unique(a[x:x + width])) for x in xs])
+            q = np.array([len(np.unique(b[y:y + width])) for y in part])
+            jaccard = both / (p[:, None] + q - both)
+            i, j = np.unravel_index(jaccard.argmax(), jaccard.shape)
+            # Divided anew: the matrix is in single precision.
+            value = int(both[i, j]) / int(p[i] + q[j] - both[i, j])
+            if value >= similarity and (best is None or value > best[0]):
+                best = value, int(xs[i]), int(xs[i]) + width, int(part[j]), int(part[j]) + width
+        if best:
+            return best
+    return None
+
+
 def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
     """(similarity, begin a, end a, begin b, end b) of well matching runs of two passages'
     shingles, or None if no tried run is long and similar enough.
 
     A run is the one of highest sum when a match counts 1 and a miss costs some odds: cheap
-    misses bridge a changed word, dear ones (up to none at all) cut off what matches loosely."""
+    misses bridge a changed word, dear ones (up to none at all) cut off what matches loosely.
+    Such a run neither starts nor ends on a miss, so it can be shorter than a passage that is
+    similar enough. If none of them fits, all runs of ``width`` shingles are tried."""
     in_b = np.isin(a, b)
     if in_b.sum() < width * 2 * similarity / (1 + similarity) - 1:  # too few in common
         return None
@@ -289,7 +335,7 @@ def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
         jaccard = both / (len(p) + len(q) - both)
         if jaccard >= similarity:
             return jaccard, x1, x2, y1, y2
-    return None
+    return _best_windows(a, b, in_b, similarity, width)
 
 
 _LINKS = ("a long, b long, doc_a long, doc_b long, similarity double, start_a long, "

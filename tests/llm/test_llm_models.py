@@ -218,6 +218,35 @@ def test_passages(spark, chunk):
         assert near_passages(docs.limit(0)).count() == 0
 
 
+def test_verify_finds_what_brute_force_finds():
+    """Passages of 47 to 56 shared words, edited anywhere (edges too), in unrelated text."""
+    from rivulet.llm.passages import verify
+    rng, width, linked = random.Random(5), 46, 0
+    for trial in range(250):
+        p = [rng.randrange(1 << 40) for _ in range(rng.randint(47, 56))]
+        q = list(p)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.choice([0, 1, 2, len(q) - 2, rng.randrange(len(q))])
+            q[k:k + 1] = [rng.randrange(1 << 40)] * rng.randint(0, 2)
+        a, b = ([rng.randrange(1 << 40) for _ in range(rng.randint(2, 30))] + x
+                + [rng.randrange(1 << 40) for _ in range(rng.randint(2, 30))] for x in (p, q))
+        if trial < 20:      # fifty words of which the second differs, and nothing else
+            a = [rng.randrange(1 << 40) for _ in range(50)]
+            b = a[:1] + [7] + a[2:]
+        a, b = (np.array([hash(tuple(x[k:k + 5])) for k in range(len(x) - 4)]).view(np.uint64)
+                for x in (a, b))
+        sets = [[set(x[k:k + width].tolist()) for k in range(len(x) - width + 1)] for x in (a, b)]
+        best = max((len(x & y) / len(x | y) for x in sets[0] for y in sets[1]), default=0)
+        got = verify(a, b, 0.8, width)
+        assert got or best < 0.8
+        if got:
+            j, x1, x2, y1, y2 = got
+            x, y = set(a[x1:x2].tolist()), set(b[y1:y2].tolist())
+            assert min(x2 - x1, y2 - y1) >= width and j == len(x & y) / len(x | y) >= 0.8
+            linked += 1
+    assert linked > 100
+
+
 def test_compact_windows_cover_every_run():
     """Each run of enough shingles lies in exactly one window around its least hash."""
     from rivulet.llm.passages import compact_windows

@@ -10,7 +10,7 @@ width, so they are picked by sliding minima and joined into the tree by a stack.
 1. The windows of two hash functions are intersected (an interval join within the document):
    what is left shares both min-hashes, and its key is their pair. BANDS such pairs of hash
    functions are used. A passage pair of similarity 0.8 shares a given key with probability
-   0.64, and none of four with less than 0.02, for each of its sub-passages.
+   0.64, and none of five with less than 0.01, for each of its sub-passages.
 2. Keys that only one document holds go no further (the exchange of ``suffixes``: a chunk of
    documents sends each key once).
 3. Overlapping windows with shared keys make up a document's candidate passages. Passages with
@@ -33,7 +33,7 @@ from rivulet.llm.components import connected_components
 from rivulet.llm.suffixes import NO_ID, _member, _shared_anchors
 
 SHINGLE = 5
-BANDS = 4
+BANDS = 5
 CHUNK = 8 << 20
 SLICE = 1 << 20
 HELD = 4_000_000

@@ -15,9 +15,10 @@ width, so they are picked by sliding minima and joined into the tree by a stack.
    documents sends each key once).
 3. Overlapping windows with shared keys make up a document's candidate passages. Passages with
    a common key are compared with the one of smallest document id among them; those that fail
-   there are compared with all others of their keys. So copies are never expanded into all pairs.
+   there, or are linked by other stretches than those of the key, are compared with all others
+   of their keys. So copies are never expanded into all pairs.
 4. A comparison finds the best matching stretch of both passages and verifies it: length,
-   and exact Jaccard similarity of its shingles.
+   and exact Jaccard similarity of its shingles. It goes on with what is left of both.
 """
 
 from __future__ import annotations
@@ -208,7 +209,8 @@ def _send_keys(width: int, buckets: int):
 
 
 def _candidates(width: int):
-    """A chunk: candidate passages (kind 0) and their shared keys (kind 1)."""
+    """A chunk: candidate passages (kind 0) and their shared keys (kind 1), each with
+    the two places of its window in the document."""
     schema = pa.schema([("kind", pa.int32()), ("pid", pa.int64()), ("doc", pa.int64()),
                         ("start", pa.int64()), ("body", pa.binary())])
 
@@ -236,7 +238,7 @@ def _candidates(width: int):
             l, r = np.maximum(l, c2 - 2 * width), np.minimum(r, c1 + 2 * width)
             doc = np.searchsorted(s.begin, c1, side="right") - 1
             by = np.lexsort((l, doc))
-            l, r, h, doc = l[by], r[by], h[by], doc[by]
+            l, r, h, doc, c1, c2 = l[by], r[by], h[by], doc[by], c1[by], c2[by]
             reach = np.maximum.accumulate(r)
             new = np.ones(len(l), dtype=bool)
             new[1:] = l[1:] > reach[:-1]
@@ -249,8 +251,10 @@ def _candidates(width: int):
                 at = int(begin[g] - s.begin[d])
                 pid = key[0].as_py() << 40 | len(out)
                 out.append((0, pid, ids[order[lo + d]], at, s.hash[begin[g]:end[g] + 1].tobytes()))
-                out.append((1, pid, ids[order[lo + d]], at,
-                            np.unique(h[edges[g]:edges[g + 1]]).tobytes()))
+                mine = slice(edges[g], edges[g + 1])
+                out.append((1, pid, ids[order[lo + d]], at, np.unique(np.stack(
+                    (h[mine].view(np.int64), c1[mine] - s.begin[d], c2[mine] - s.begin[d]), 1),
+                    axis=0).tobytes()))
         if not out:
             return schema.empty_table()
         return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
@@ -338,6 +342,41 @@ def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
     return _best_windows(a, b, in_b, similarity, width)
 
 
+def verify_all(a: np.ndarray, b: np.ndarray, similarity: float, width: int) -> list[tuple]:
+    """Results of ``verify`` until nothing fits what is left: first stretches of ``a`` against
+    the whole of ``b``, then those of ``b`` that no result holds against the whole of ``a``."""
+    need = width * 2 * similarity / (1 + similarity)
+
+    def search(x, y, todo):
+        found = []
+        while todo:
+            lo, hi = todo.pop()
+            got = verify(x[lo:hi], y, similarity, width) if hi - lo >= width else None
+            if got is None:
+                continue
+            j, x1, x2, y1, y2 = got
+            found.append((j, lo + x1, lo + x2, y1, y2))
+            # What matches goes. A run may hold some misses at either end, so neighbours keep
+            # as many places of it.
+            hit = lo + x1 + np.flatnonzero(np.isin(x[lo + x1:lo + x2], y[y1:y2]))
+            first, last = int(hit[0]), int(hit[-1])
+            slack = min(int(width - need) + 1, (last - first) // 2)
+            todo += [(lo, min(hi, first + slack)), (max(lo, last + 1 - slack), hi)]
+        return found
+
+    found = search(a, b, [(0, len(a))])
+    if not found:
+        return found
+    slack = int(width - need) + 1
+    left, at = [], 0
+    for y1, y2 in sorted(r[3:5] for r in found):
+        if y1 > at:
+            left.append((max(0, at - slack), min(len(b), y1 + slack)))
+        at = max(at, y2)
+    left.append((max(0, at - slack), len(b)))
+    return found + [(j, x1, x2, y1, y2) for j, y1, y2, x1, x2 in search(b, a, left)]
+
+
 _LINKS = ("a long, b long, doc_a long, doc_b long, similarity double, start_a long, "
           "end_a long, start_b long, end_b long")
 
@@ -350,7 +389,9 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are what ASCII white space parts, A-Z lower-cased. Each passage is linked to the one
     of smallest document id among those that share a key with it and are similar enough, and,
-    where the first of them is not, to all others that are. Null and empty texts, and texts of
+    where the first of them is not, to all others that are; every stretch that two compared
+    passages have in common is a link. Passages linked to the same one are not compared with
+    each other. Null and empty texts, and texts of
     fewer than ``min_words`` words, have no passages. Rows with a null id take no part; rows
     that share an id are one document and are not linked to each other. An empty table gives
     no links. Texts of any length are handled whole.
@@ -373,23 +414,23 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def unpack(batches):
         for pdf in batches:
-            h = [np.frombuffer(b, np.int64) for b in pdf["body"]]
-            yield pd.DataFrame({"key": np.concatenate(h) if h else [],
+            h = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in pdf["body"]]
+            rows = np.concatenate(h) if h else np.zeros((0, 3), np.int64)
+            yield pd.DataFrame({"key": rows[:, 0], "c1": rows[:, 1], "c2": rows[:, 2],
                                 "pid": np.repeat(pdf["pid"].to_numpy(), [len(x) for x in h]),
                                 "doc": np.repeat(pdf["doc"].to_numpy(), [len(x) for x in h])})
 
     keyed = found.where("kind = 1").select("pid", "doc", "body").mapInPandas(
-        unpack, "key long, pid long, doc long")
+        unpack, "key long, c1 long, c2 long, pid long, doc long")
     head = keyed.groupBy("key").agg(F.min(F.struct("doc", "pid")).alias("head"))
 
     def check(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                got = verify(np.frombuffer(r.body_a, np.uint64), np.frombuffer(r.body_b, np.uint64),
-                             similarity, width)
-                if got:
-                    j, x1, x2, y1, y2 = got
+                for j, x1, x2, y1, y2 in verify_all(np.frombuffer(r.body_a, np.uint64),
+                                                    np.frombuffer(r.body_b, np.uint64),
+                                                    similarity, width):
                     out.append((r.a, r.b, r.doc_a, r.doc_b, j, r.at_a + x1,
                                 r.at_a + x2 + SHINGLE - 1, r.at_b + y1, r.at_b + y2 + SHINGLE - 1))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _LINKS.split(", ")])
@@ -401,15 +442,24 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                               F.col("start").alias("at_b"), F.col("body").alias("body_b"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(check, _LINKS)
 
-    stars = materialize(keyed.join(head, "key").where(F.col("doc") != F.col("head.doc"))
-                        .select(F.col("head.pid").alias("a"), F.col("pid").alias("b")).distinct(),
-                        "passages-stars")
+    to_head = keyed.join(head, "key").where(F.col("pid") != F.col("head.pid"))
+    stars = materialize(to_head.where(F.col("doc") != F.col("head.doc"))
+                        .select(F.col("head.pid").alias("a"), F.col("pid").alias("b"))
+                        .distinct(), "passages-stars")
     first = materialize(verified(stars), "passages-first")
-    # Passages that fail against the head of a key meet all others of their keys.
+    # Passages that fail against the head of a key meet all others of their keys. Those that
+    # are linked to it, but by other stretches than the key's, meet all others of that key, and
+    # so do further passages of the head's own document.
     failed = materialize(stars.join(first.select("a", "b"), ["a", "b"], "left_anti")
                          .select(F.col("b").alias("x")).distinct(), "passages-failed")
+    spans = first.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "start_b", "end_b")
+    astray = (to_head.join(spans, (F.col("head.pid") == F.col("sa")) & (F.col("pid") == F.col("sb"))
+                           & (F.col("start_b") <= F.col("c1"))
+                           & (F.col("c2") <= F.col("end_b") - SHINGLE), "left_anti")
+              .select("key", F.col("pid").alias("x"), F.col("doc").alias("dx")))
     theirs = materialize(keyed.join(failed, F.col("pid") == F.col("x"))
-                         .select("key", "x", F.col("doc").alias("dx")), "passages-failed-keys")
+                         .select("key", "x", F.col("doc").alias("dx")).unionByName(astray)
+                         .distinct(), "passages-failed-keys")
     rest = materialize(keyed.join(theirs, "key").where("doc <> dx")
                        .select(F.least("x", "pid").alias("a"), F.greatest("x", "pid").alias("b"))
                        .distinct(), "passages-rest")
@@ -421,8 +471,9 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def passage_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_words: int = 50, similarity: float = 0.8) -> DataFrame:
     """One row per id: ``class_id`` (smallest id reachable over links, itself included),
-    ``n_links``, ``partner`` (smallest id at the other end of a link) and ``spans`` (word ranges
-    of its linked passages, merged, as start and end). An id without links is its own class."""
+    ``n_links`` (documents at the other end of a link of ``near_passages``), ``partner``
+    (smallest id at the other end of a link) and ``spans`` (word ranges of its linked passages,
+    merged, as start and end). An id without links is its own class."""
     links = materialize(near_passages(docs, id_col, text_col, min_words, similarity),
                         "passages-links")
     sides = links.select(F.col("doc_a").alias("d"), F.col("doc_b").alias("o"),

@@ -218,6 +218,39 @@ def test_passages(spark, chunk):
         assert near_passages(docs.limit(0)).count() == 0
 
 
+def test_all_passages_of_a_pair_are_linked(spark):
+    """Two passages close to each other are both found, in any order and number, and also
+    where only some of the documents that share the one share the other."""
+    from rivulet.llm.passages import near_passages, passage_groups
+    rng = random.Random(3)
+    text = lambda n: [f"{rng.randrange(1 << 40):x}" for _ in range(n)]
+    p, q, r, s = text(60), text(60), text(60), text(60)
+    other = list(s)                     # the head of some keys of s only: a looser copy
+    other[12], other[25], other[40] = text(3)
+    docs = {1: [p, q], 2: [p, q], 3: [q, p], 4: [p, q, p],
+            10: [r, other], 11: [r, s], 12: [r, s]}
+    far, t = text(400), text(60)
+    docs |= {20: [t, far, t], 21: [t]}
+    rows, places = [], {}
+    for i, parts in docs.items():
+        w = text(7)
+        for x in parts:
+            if x is not far:
+                places.setdefault(i, []).append((len(w), len(w) + len(x)))
+            w = w + x + text(20)
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {x["doc_id"]: [(y["start"], y["end"]) for y in x["spans"]]
+             for x in passage_groups(d).collect()}
+    for i in docs:
+        assert spans[i] == places[i] if i != 10 else spans[i] == places[i][:1]
+    links = {(x["doc_a"], x["start_a"], x["doc_b"], x["start_b"]) for x in near_passages(d).collect()}
+    at = {i: [x for x, _ in y] for i, y in places.items()}
+    assert {(1, at[1][0], 2, at[2][0]), (1, at[1][1], 2, at[2][1]), (1, at[1][0], 3, at[3][1]),
+            (1, at[1][1], 3, at[3][0]), (1, at[1][0], 4, at[4][0]), (1, at[1][0], 4, at[4][2]),
+            (11, at[11][1], 12, at[12][1])} <= links
+
+
 def test_passages_recall_near_the_threshold(spark):
     """1500 pairs of 50-word passages with one changed word (similarity 41/51): fewer than one
     in two hundred is missed."""

@@ -36,12 +36,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Text that repeats 50 bytes or more of a document with a smaller id goes; whole
     characters only. ``n_chars`` counts what stays. A document may end up empty; it stays."""
     from rivulet.llm.suffixes import remove_repeats
-    carry = [c for c in docs.columns if c != "text"]
-    out = (remove_repeats(docs, min_len=50, carry=carry, whole_chars=True)
-           .withColumn("text", F.col("kept").cast("string")))
+    # Numbered names, as a column of the documents may be called like one of the result.
+    number = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    carry = [number[c] for c in docs.columns if c != "text"]
+    out = remove_repeats(docs.toDF(*number.values()), number["doc_id"], number["text"],
+                         min_len=50, carry=carry, whole_chars=True)
+    text = F.col("kept").cast("string")
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(number[c])).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

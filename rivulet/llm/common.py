@@ -62,6 +62,31 @@ def binary_text(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
 
 
+def row_key(id_col: str, digest: Column) -> Column:
+    """A row's id and the digest of its text as one string; a null id differs from all others."""
+    return F.concat(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("")),
+                    F.lit(":"), digest)
+
+
+def drop_rows(docs: DataFrame, key: Column, fate: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns. ``fate`` holds (``__key``, ``kept``) of the
+    rows that go and, with ``kept``, of those that several rows have in common: one of them
+    stays. It is a written table and is read more than once."""
+    name = "__key"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    fate = fate.withColumnRenamed("__key", name)
+    marked = docs.withColumn(name, key)
+    stay = marked.join(fate.select(name), name, "left_anti").select(*docs.columns)
+    again = fate.where("kept").select(name)
+    if again.isEmpty():
+        return stay
+    order = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    one = marked.join(again, name, "left_semi").groupBy(name).agg(
+        F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("s"))
+    return stay.unionByName(one.select(*(F.col("s")[c].alias(c) for c in docs.columns)))
+
+
 def slices(texts, max_bytes: int):
     """(start, end) index ranges of consecutive texts of about ``max_bytes`` together; a
     longer text stands alone."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import ascii_lower
+from rivulet.llm.common import ascii_lower, drop_rows, materialize, row_key
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -24,9 +24,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id are kept or dropped alike; a null id stays only in a group without other ids.
     Other columns are not read. An empty table gives an empty result.
     """
+    return _rows(docs, id_col, text_col, keep).withColumnRenamed("__id", id_col)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
     pick = {"min": F.min, "max": F.max}[keep]
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("__id"), norm.alias("__text")).select(
+    rows = docs.select(F.col(id_col).alias("__id"), _norm(text_col).alias("__text")).select(
         "__id", "__text", F.unhex(F.md5("__text")).alias("__h128"),
         F.sha2("__text", 256).alias("text_sha256"))
     groups = (rows.groupBy("__h128", "text_sha256", "__text")
@@ -34,13 +37,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .drop("__text"))
     return (rows.select("__id", "__h128", "text_sha256")
             .join(groups, ["__h128", "text_sha256"])
-            .select(F.col("__id").alias(id_col), "keep_id", "group_size",
+            .select("__id", "keep_id", "group_size",
                     F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
+def _norm(text_col: str):
+    return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Rows that repeat an id stay or go alike."""
-    gone = (exact_groups(docs, id_col, text_col, keep).where(~F.col("kept"))
-            .select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of each group of equal texts, all columns: one with the smallest (largest) id,
+    a row without id only where no row has one. Rows are judged by id and text, so rows that
+    share an id or have none stay where their texts are the only ones of their kind."""
+    rows = _rows(docs, id_col, text_col, keep)
+    fate = materialize(
+        rows.groupBy(row_key("__id", F.col("text_sha256")).alias("__key"))
+        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        .where("not kept or n > 1").select("__key", "kept"), "exact-fate")
+    return drop_rows(docs, row_key(id_col, F.sha2(_norm(text_col), 256)), fate)

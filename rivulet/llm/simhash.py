@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import binary_text, materialize
+from rivulet.llm.common import binary_text, drop_rows, materialize, row_key
 from rivulet.llm.components import connected_components
 
 GOLAY = 0b101011100011  # generator polynomial of the binary Golay code (fixed value)
@@ -199,8 +199,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows whose id is the smallest of its component, all columns (and rows of null id)."""
-    gone = (simhash_groups(docs, id_col, text_col, shingle, max_bits)
-            .where(F.col(id_col) != F.col("component_id"))
-            .select(F.col(id_col).alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each component, all columns: the one with the smallest id, a row without id
+    only where no row has one. Rows are judged by id and text; rows without id link like any
+    other."""
+    if not 0 <= max_bits <= 10:
+        raise ValueError("max_bits must lie between 0 and 10")
+    key = row_key(id_col, F.md5(binary_text(text_col)))
+    src = docs.select(key.alias("__key"), F.col(text_col).alias("__t"))
+    fps = fingerprints(src, "__key", "__t", shingle)
+    rows = materialize(fps.groupBy("fp", "__key").agg(F.count(F.lit(1)).alias("n")), "simhash-fp")
+    number = F.expr("try_cast(substring(substring_index(__key, ':', 1), 2) as bigint)")
+    rows = rows.withColumn("id", number).withColumn("least", F.struct(
+        F.col("id").isNull().alias("none"), "id", "__key"))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("least").alias("least")), "simhash-nodes")
+    labels = connected_components(near_links(nodes.select("fp", F.col("fp").alias("rep")), max_bits))
+    classes = (nodes.join(labels, nodes["fp"] == labels["node"], "left")
+               .select("fp", "least", F.coalesce("component", "fp").alias("class")))
+    best = classes.groupBy("class").agg(F.min("least").alias("best"))
+    kept = classes.join(best, "class").select("fp", F.col("best.__key").alias("__best"))
+    fate = materialize(
+        rows.join(kept, "fp").select("__key", (F.col("__key") == F.col("__best")).alias("kept"), "n")
+        .where("not kept or n > 1").select("__key", "kept"), "simhash-fate")
+    return drop_rows(docs, key, fate)

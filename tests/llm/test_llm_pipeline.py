@@ -102,6 +102,34 @@ def test_run_equals_the_stages(spark, sf_dir):
             == sorted(tuple(r[k] for k in key) for r in docs.collect()))
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Stages judge rows, not ids, and take columns that are called like their own."""
+    import corpus_pipeline as cp
+    rng = random.Random(2)
+    a, b, c, d, e, f = (" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(60)) for _ in range(6))
+    near = a.rsplit(" ", 1)[0] + " other"
+    assert (simhash(a, 4) ^ simhash(near, 4)).bit_count() <= 4
+    cols = ["doc_id", "text", "n_bytes", "kept", "span_starts", "__key", "n_chars"]
+    rows = [(1, a), (None, a.upper()), (None, b), (None, c), (None, c), (7, a), (7, d),
+            (9, e), (9, e.upper()), (9, f)]
+    table = lambda rows: spark.createDataFrame(
+        [(i, t, 5, True, [1], "x", len(t)) for i, t in rows],
+        "doc_id long, text string, n_bytes int, kept boolean, span_starts array<int>, "
+        "__key string, n_chars long")
+    want = [(1, a), (7, d), (9, f), (None, b), (None, c)]
+    out = cp.exact_dedup(spark, table(rows), "")
+    got = sorted((str(r["doc_id"]), r["text"].lower()) for r in out.collect())
+    assert out.columns == cols and got == sorted((str(i), t) for i, t in [*want, (9, e)])
+    extra = [(None, near), (7, near), (8, d)]
+    out = cp.near_dedup(spark, table(rows + extra), "")
+    got = sorted((str(r["doc_id"]), r["text"].lower()) for r in out.collect())
+    assert out.columns == cols and got == sorted((str(i), t) for i, t in [*want, (9, e)])
+    out = cp.substring_dedup(spark, table([(1, a), (2, b + a)]), "")
+    assert out.columns == cols
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, a, 5, True, [1], "x", len(a)), (2, b, 5, True, [1], "x", len(b))]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as e
     names = set(e.queries())

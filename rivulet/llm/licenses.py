@@ -46,6 +46,29 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
     ("cc0", "cc0 1 0 universal public domain dedication", ["public domain dedication"]),
+    # Standard notices and names as they are written out.
+    ("apache-2.0", "apache license 2 0", ["apache license 2 0"]),
+    ("bsd", "bsd 2 clause license", ["bsd 2 clause"]),
+    ("bsd", "bsd 3 clause license", ["bsd 3 clause"]),
+    ("lgpl", "under the terms of the gnu library general public license",
+     ["library general public license"]),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license",
+     ["creative commons attribution 4 0"]),
+    ("cc-by", "licensed under a creative commons attribution 3 0 unported license",
+     ["creative commons attribution 3 0"]),
+    *((label, f"licensed under a creative commons attribution {words}",
+       [f"creative commons attribution {words}"])
+      for label, words in [("cc-by-nc", "noncommercial"), ("cc-by-nc", "non commercial"),
+                           ("cc-by-sa", "sharealike"), ("cc-by-sa", "share alike"),
+                           ("cc-by-nd", "noderivatives"), ("cc-by-nd", "noderivs"),
+                           ("cc-by-nd", "no derivatives")]),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2",
+     ["gnu general public license", "version 2"]),
+    *((f"gpl-{n}.0", f"under the terms of the gnu general public license {words} {n}".replace("v ", "v"),
+       ["gnu general public license", f"{words} {n}".replace("v ", "v")])
+      for n in (2, 3)
+      for words in ("v", "as published by the free software foundation version",
+                    "as published by the free software foundation either version")),
 ]
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP_CHARS = "".join(chr(c) for c in range(128) if not chr(c).isalnum() or chr(c).isupper())

@@ -178,6 +178,28 @@ def test_licenses(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_standard_license_notices(spark):
+    from rivulet.llm.licenses import scan, summary
+    gpl = ("it under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version {} of the License, or")
+    rows = {1: (gpl.format(3), "gpl-3.0"), 2: (gpl.format(2), "gpl-2.0"),
+            3: (gpl.format(2).replace("either ", ""), "gpl-2.0"), 4: ("Apache License 2.0", "apache-2.0"),
+            5: ("the GNU General Public License, version 2.", "gpl-2.0"),
+            6: ("GNU General Public License v3.0", "gpl-3.0"),
+            7: ("a Creative Commons Attribution 4.0 International License", "cc-by"),
+            8: ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+            9: ("Creative Commons Attribution-ShareAlike 3.0 Unported", "cc-by-sa"),
+            10: ("Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"),
+            11: ("BSD 3-Clause License", "bsd"),
+            12: ("GNU Library General Public License", "lgpl")}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in summary(scan(docs)).collect()}
+    for i, (_, label) in rows.items():
+        assert label in out[i]["labels"].split(","), i
+        assert 0 < out[i]["score"] <= 1
+    assert "gpl-3.0" not in out[2]["labels"] and "gpl-2.0" not in out[1]["labels"]
+
+
 def passages_rows():
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]

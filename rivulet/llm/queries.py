@@ -72,7 +72,26 @@ def op6_passages(spark: SparkSession, d: str) -> DataFrame:
     return passage_groups(table(spark, d, "documents"), min_words=50, similarity=0.8)
 
 
+def op11_resampling(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.resampling import resample
+    return resample(table(spark, d, "documents"), table(spark, d, "benchmark"), percent=25,
+                    min_words=20, buckets=10_000, max_run=2, seed=7)
+
+
+def op12_lexical(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.lexical import search
+    return search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=20)
+
+
+def op13_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.llm.decontam import contamination
+    return contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
+
+
 QUERIES = {
+    "op11_resampling": op11_resampling,
+    "op12_lexical": op12_lexical,
+    "op13_decontamination": op13_decontamination,
     "op6_passages": op6_passages,
     "op7_lm": op7_lm,
     "op4_topk": op4_topk,
@@ -86,7 +105,93 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
 }
 
+# Pieces of the SQL below: lower-case A-Z only, and the words of a text.
+_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz')")
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    # The checksum goes through the hex digits of a feature's bytes, low digit first, with a
+    # table of 16 entries made by the polynomial's rule.
+    "op11_resampling": f"""
+WITH RECURSIVE poly(n, c, k) AS (
+  SELECT n, n::BIGINT, 0 FROM range(16) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1
+  FROM poly WHERE k < 4),
+crc AS (SELECT list(c ORDER BY n) AS t FROM poly WHERE k = 4),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, false AS wanted, {_WORDS} AS w FROM documents
+  UNION ALL
+  SELECT row_number() OVER (), NULL, true, {_WORDS} FROM benchmark),
+runs AS (
+  SELECT wanted, r, unnest(list_concat(w, list_transform(range(1, len(w)),
+                           lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM texts),
+counted AS (SELECT wanted, r, feature, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           range(0, length(h)), lambda i: (instr('0123456789ABCDEF',
+             h[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) - 1)::BIGINT)),
+           lambda c, x: xor(c >> 4, t[(xor(c, x) & 15) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT feature, hex(encode(feature)) AS h
+        FROM (SELECT DISTINCT feature FROM counted)), crc),
+placed AS (SELECT wanted, r, bucket, sum(n)::BIGINT AS n
+           FROM counted JOIN hashed USING (feature) GROUP BY ALL),
+hist AS (SELECT b AS bucket, coalesce(sum(n) FILTER (NOT wanted), 0)::BIGINT AS s,
+                coalesce(sum(n) FILTER (wanted), 0)::BIGINT AS t
+         FROM range(10000) x(b) LEFT JOIN placed ON bucket = b GROUP BY b),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE
+           / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS g FROM hist),
+total AS (SELECT r, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS g
+          FROM placed JOIN gain USING (bucket) WHERE NOT wanted GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features,
+         coalesce((total.g - ((total.g % n) + n) % n) // n, 0) AS weight,
+         ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h
+  FROM texts LEFT JOIN total USING (r) WHERE NOT wanted),
+final AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM scored),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (words >= 20) OVER () * 25 // 100 AS drawn FROM final)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN words >= 20 AND place <= drawn THEN place END AS rank FROM ordered""",
+    "op12_lexical": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+sized AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+stat AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM sized),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+q AS (SELECT item_id, t, count(*)::BIGINT AS c
+      FROM (SELECT item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY ALL),
+weighted AS (SELECT item_id, t, c * floor(1000 * ln((2 * nn + 2)::DOUBLE
+               / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN df USING (t), stat),
+scored AS (
+  SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf)
+           // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM weighted JOIN tf USING (t) JOIN sized USING (r), stat GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op13_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS len FROM (SELECT item_id, {_WORDS} AS w
+      FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, len, array_to_string(w[j:j + len - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - len + 2)) AS j FROM i)),
+grams AS (SELECT r, p, len, array_to_string(w[p:p + len - 1], ' ') AS g
+          FROM (SELECT r, w, len, unnest(range(1, len(w) - len + 2)) AS p
+                FROM d, (SELECT DISTINCT len FROM win))),
+occ AS (SELECT r, p, len, item_id FROM grams JOIN win USING (len, g)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit
+        FROM (SELECT r, unnest(range(p, p + len)) AS q FROM occ) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM occ) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0

@@ -136,3 +136,57 @@ def test_streaming_timeline_with_string_ids(spark):
         assert q.exception() is None
     got = sorted(tuple(r) for r in read_timeline(spark, f"{work}/out").collect())
     assert got == one_by_one([tuple(r) for r in df.collect()])
+
+
+def _dense_attempts(spark, n, seed, step, fail):
+    """One stream holds most calls; several at one instant, failures in bursts or throughout."""
+    import random
+    rnd = random.Random(seed)
+    rows, t = [], 0
+    for i in range(n):
+        t += rnd.choice(step)
+        err = rnd.random() < (fail if (t // 500) % 2 else fail / 3)
+        rows.append((rnd.choice(["s-0"] * 6 + ["s-1", "s-2", f"x{i}"]), i,
+                     T0 + dt.timedelta(seconds=t),
+                     rnd.choice(["ConnectionError", "TooManyRequests", "RateLimitError"]) if err else None))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_hot_stream_in_segments_equals_the_rules(spark):
+    from rivulet.functions.segments import cut_keys, with_segment
+    cases = [(dict(), (0, 1, 3), .5), (dict(threshold=1, successes=3, recovery=7), (0, 1), .9),
+             (dict(recovery=10, cap=100), (1, 30, 200), .6),
+             (dict(threshold=3, successes=1, mult=1.5), (0, 0, 1), 1.0),
+             (dict(threshold=200), (1, 5), .95)]
+    for seed, (kw, step, fail) in enumerate(cases):
+        df = _dense_attempts(spark, 900, seed, step, fail).cache()
+        want = one_by_one([tuple(r) for r in df.collect()], **kw)
+        for parts in (9, 60):
+            got = sorted(tuple(r) for r in circuit.circuit_timeline(df, parts=parts, **kw).collect())
+            assert got == want, (kw, parts)
+        cuts = cut_keys(df, "stream_id", ["ts", "attempt_id"], 60)
+        n = with_segment(df, "stream_id", ["ts", "attempt_id"], cuts).where("stream_id = 's-0'") \
+            .groupBy("_seg").count().collect()
+        assert len(n) > 20 and max(r["count"] for r in n) < 60   # spread evenly
+        df.unpersist()
+
+
+def test_stored_states_before_segments(spark):
+    from pyspark.sql import functions as F
+    df = _dense_attempts(spark, 1200, 21, (0, 1, 20), .7).cache()
+    cut = F.lit("2024-01-01 01:00:00").cast("timestamp_ntz")
+    one = circuit.circuit_run(df.where(F.col("ts") < cut), parts=5)
+    states = one.where("attempt_id IS NULL")
+    assert states.count() == states.select("stream_id").distinct().count()
+    two = circuit.circuit_run(df.where(F.col("ts") >= cut), states, parts=30)
+    got = sorted(tuple(r) for part in (one, two)
+                 for r in part.where("attempt_id IS NOT NULL").select(*circuit.TIMELINE).collect())
+    assert got == one_by_one([tuple(r) for r in df.collect()])
+
+
+def test_large_ids_and_empty_input(spark):
+    big = (1 << 60) + 1
+    rows = [("s", big + i, T0 + dt.timedelta(seconds=i), None) for i in range(3)]
+    out = circuit.circuit_timeline(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.attempt_id for r in out) == [big, big + 1, big + 2]
+    assert circuit.circuit_timeline(spark.createDataFrame([], SCHEMA)).collect() == []

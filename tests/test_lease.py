@@ -75,3 +75,57 @@ def test_random_calls_equal_call_by_call(spark):
             assert by[r.subreddit] <= r.held_from     # one holder at a time
         by[r.subreddit] = r.held_until
     assert lease.lease_conflicts(calls).count() <= len(rows)
+
+
+def call_by_call(rows, ttl):
+    """(seq, granted, lease number, met holder, since, until) by the rules, one call at a time."""
+    out, held = [], {}
+    for c, i, n, ts, a in sorted(rows, key=lambda r: (r[0], r[3], r[2])):
+        h = held.setdefault(c, {"who": None, "since": None, "until": T0, "no": 0})
+        live = h["who"] is not None and ts < h["until"]
+        met = (h["who"], h["since"], h["until"]) if live else (None, None, None)
+        ok = not live if a == "acquire" else live and h["who"] == i and a in ("refresh", "release")
+        if ok and a == "acquire":
+            h.update(who=i, since=ts, no=h["no"] + 1)
+        if ok:
+            h["until"] = ts if a == "release" else ts + dt.timedelta(seconds=ttl)
+        out.append((n, ok, h["no"] if ok else None, *met))
+    return sorted(out)
+
+
+def test_hot_channel_in_segments_equals_call_by_call(spark):
+    cases = [(60, (0, 1, 5), 3, ["acquire", "refresh", "refresh", "release"]),
+             (60, (0, 0, 1), 6, ["acquire"] * 3 + ["refresh", "other"]),
+             (10, (1, 4, 30), 2, ["acquire", "refresh", "release"]),
+             (3600, (1, 10), 4, ["acquire", "refresh", "refresh"]),
+             (5, (0, 1), 200, ["acquire", "refresh", "release"])]
+    for seed, (ttl, step, who, what) in enumerate(cases):
+        rnd = random.Random(seed)
+        rows, t = [], 0
+        for n in range(900):
+            t += rnd.choice(step)
+            rows.append((rnd.choice(["hot"] * 6 + ["c1", f"x{n}"]), f"i{rnd.randrange(who)}", n, s(t),
+                         rnd.choice(what)))
+        log = spark.createDataFrame(rows, SCHEMA).cache()
+        want = call_by_call(rows, ttl)
+        for parts in (4, 9, 60):
+            calls = lease.lease_calls(log, ttl, parts=parts)
+            got = sorted((r.seq, r.granted, r.lease_no, r.holder_instance, r.held_since, r.held_until)
+                         for r in calls.collect())
+            assert got == want, (seed, parts)
+        log.unpersist()
+
+
+def test_leases_over_small_batches(spark):
+    rnd = random.Random(12)
+    rows = [("c", f"i{rnd.randrange(3)}", n, s(n * rnd.choice([1, 1, 2])),
+             rnd.choice(["acquire", "refresh", "release"])) for n in range(300)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        calls = lease.lease_calls(spark.createDataFrame(rows, SCHEMA), 5, parts=3)
+        got = sorted((r.seq, r.granted, r.lease_no, r.holder_instance, r.held_since, r.held_until)
+                     for r in calls.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == call_by_call(rows, 5)

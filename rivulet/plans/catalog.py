@@ -265,4 +265,6 @@ QUERIES.update({
     "flush_stream": _sq.flush_stream,
     "circuit_stream": _sq.circuit_stream,
     "error_lists_stream": _sq.error_lists_stream,
+    "live_lists_stream": _sq.live_lists_stream,
+    "lease_stream": _sq.lease_stream,
 })

@@ -518,6 +518,21 @@ FROM _every GROUP BY stream_id""")
     q["error_lists_stream"] = _with(["f2_errors"], _lists_cte("f2_errors"), """SELECT stream_id,
   list_start, last_push, expires_at, n_pushed, n_kept FROM _lists
 WHERE expires_at < (SELECT max(ts) - INTERVAL 1 HOUR FROM f2_errors)""")
+    mark = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM {})"
+    q["live_lists_stream"] = _with(["f2_errors"], _lists_cte(
+        "f2_errors", f"WHERE ts <= {mark.format('f2_errors')}"), f"""SELECT stream_id,
+  any_value(n_kept) AS error_count, string_agg(seq, ',' ORDER BY position) AS recent FROM (
+  SELECT t.stream_id, l.n_kept, t.seq, row_number() OVER (
+    PARTITION BY t.stream_id ORDER BY t.ts DESC, t.seq DESC) AS position
+  FROM _tagged t JOIN _lists l ON t.stream_id = l.stream_id AND t.list_no = l.list_no
+  WHERE l.expires_at >= {mark.format('f2_errors')})
+WHERE position <= 10 GROUP BY stream_id""")
+    q["lease_stream"] = _lease(f"""SELECT l.*, EXISTS (SELECT 1 FROM calls c
+    WHERE c.granted AND c.action = 'release' AND c.subreddit = l.subreddit
+      AND c.lease_no = l.lease_no)
+  OR l.lease_no < max(l.lease_no) OVER (PARTITION BY l.subreddit)
+  OR l.held_until <= {mark.format('calls')} AS ended
+FROM leases l""")
     q["flush_stream"] = _with(["f3_checkpoint_log", "f3_checkpoint_table"], flush_ctes,
                               "SELECT * FROM _t1")
     return q

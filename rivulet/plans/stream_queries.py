@@ -127,3 +127,38 @@ def error_lists_stream(spark: SparkSession, d: str) -> DataFrame:
         if q.exception():
             raise q.exception()
     return caller.read.parquet(f"{work}/out")
+
+
+def _two_runs(spark: SparkSession, df: DataFrame, cut, name: str, make) -> DataFrame:
+    """``make(source)`` as a query into Parquet files, run over two time-ordered chunks of
+    ``df`` with one checkpoint; what it wrote."""
+    caller, spark = spark, stream_session(spark)
+    work = new_work_dir(spark, name)
+    for i, chunk in enumerate(_two_chunks(df, "ts", cut)):
+        chunk.write.parquet(f"{work}/in/chunk={i}")
+        src = spark.readStream.schema(df.schema).parquet(f"{work}/in/*")
+        q = (make(src).writeStream.format("parquet").option("path", f"{work}/out")
+             .option("checkpointLocation", f"{work}/query").outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return caller.read.parquet(f"{work}/out")
+
+
+def live_lists_stream(spark: SparkSession, d: str) -> DataFrame:
+    """O21 and O22 on a stream: each stream's live list at the last watermark (the newest error
+    less an hour), from keyed state with timers."""
+    from rivulet.streaming.keyed import latest_lists
+    from rivulet.streaming.keyed import live_lists_stream as _stream
+    told = _two_runs(spark, fx.errors(spark, d), fx.ntz(FLUSH_CUT), "live-lists",
+                     lambda src: _stream(src, LIST_DELAY))
+    return latest_lists(told).where("error_count > 0")
+
+
+def lease_stream(spark: SparkSession, d: str) -> DataFrame:
+    """O31 on a stream: every lease in its latest form, ended by a call or by the watermark."""
+    from rivulet.plans.catalog import LEASE_TTL
+    from rivulet.streaming.keyed import latest_leases, leases_stream
+    return latest_leases(_two_runs(spark, fx.lease_log(spark, d), fx.ntz(FLUSH_CUT), "leases",
+                                   lambda src: leases_stream(src, LIST_DELAY, LEASE_TTL)))

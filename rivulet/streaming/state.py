@@ -1,10 +1,8 @@
-"""Streaming forms of the stateful operators.
+"""Streaming forms of the stateful operators (keyed state: ``streaming.keyed``).
 
-``run_circuit`` (O30): each micro-batch runs the batch operator over its attempts and the
-states stored by the batch before; the timeline rows and the new states are written under
-``batch_id=N``, so a replayed batch rewrites the same files. Within a micro-batch attempts
+``run_circuit`` (O30): a query over ``keyed.breaker_stream``. Within a micro-batch attempts
 apply in (ts, attempt_id) order, whatever order they arrived in; attempts of a later batch
-apply after it. A task holds one Arrow batch of rows, not a stream's whole micro-batch.
+apply after it.
 
 ``error_lists_stream`` (O20): session windows with the list TTL as gap over a watermarked
 event time; append mode emits a list once the watermark passes its expiry.
@@ -15,33 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.operators.circuit import TIMELINE, circuit_run
+from rivulet.operators.circuit import TIMELINE
 from rivulet.operators.errors import ERROR_LIST_MAX, ERROR_TTL
-
-
-def make_circuit_writer(out: str, **params):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = None
-        if batch_id > 0:
-            stored = spark.read.parquet(f"{out}/run/batch_id={batch_id - 1}").where(
-                F.col("attempt_id").isNull())
-        circuit_run(batch, stored, **params).write.mode("overwrite").parquet(
-            f"{out}/run/batch_id={batch_id}")
-    return write
+from rivulet.streaming.keyed import breaker_stream, event_time
 
 
 def run_circuit(attempts: DataFrame, out: str, checkpoint_dir: str, trigger: dict | None = None,
                 **params):
-    """O30 as a streaming query over ``attempts`` (a streaming DataFrame)."""
-    return (attempts.writeStream.foreachBatch(make_circuit_writer(out, **params))
-            .option("checkpointLocation", checkpoint_dir)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    """O30 as a streaming query over ``attempts`` (a streaming DataFrame). Breaker states are
+    keyed state (``keyed.breaker_stream``); the timeline rows go to Parquet files under
+    ``out/run``, each batch published once by the file sink's log."""
+    return (breaker_stream(attempts, **params).writeStream.format("parquet")
+            .option("path", f"{out}/run").option("checkpointLocation", checkpoint_dir)
+            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
 
 def read_timeline(spark: SparkSession, out: str) -> DataFrame:
     """The timeline rows written so far."""
-    return spark.read.parquet(f"{out}/run").where(F.col("attempt_id").isNotNull()).select(*TIMELINE)
+    return spark.read.parquet(f"{out}/run").select(*TIMELINE)
 
 
 def error_lists_stream(errors: DataFrame, delay: str, ttl: str = ERROR_TTL,
@@ -51,8 +40,7 @@ def error_lists_stream(errors: DataFrame, delay: str, ttl: str = ERROR_TTL,
     ``delay`` is how late an error may arrive and still count: Spark drops later ones, so the
     caller has to choose it (``late_errors`` finds them). Watermarks need a zoned timestamp, so
     the naive UTC time is read as UTC (no session zone involved)."""
-    ev = errors.withColumn("_ets", F.expr(
-        f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}))"))
+    ev = errors.withColumn("_ets", event_time(ts))
     g = (ev.withWatermark("_ets", delay)
          .groupBy(key, F.session_window("_ets", ttl).alias("w"))
          .agg(F.min(ts).alias("list_start"), F.max(ts).alias("last_push"),

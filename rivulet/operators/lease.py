@@ -247,9 +247,10 @@ def _lookup(state: dict | None, table: pd.DataFrame) -> dict:
     return out
 
 
-def lease_calls(log: DataFrame, ttl: int = LEASE_TTL_SECONDS, parts: int | None = None
-                ) -> DataFrame:
-    """Outcome of every call, in (ts, seq) order of its channel. Adds ``granted``, ``lease_no``
+def lease_calls(log: DataFrame, ttl: int = LEASE_TTL_SECONDS, parts: int | None = None,
+                after: str | None = None) -> DataFrame:
+    """Outcome of every call, in (ts, seq) order of its channel (calls of the action ``after``
+    come last at their time). Adds ``granted``, ``lease_no``
     (the lease that the call opened, kept or ended; null if denied), ``holder_instance``,
     ``held_since`` and ``held_until`` (the live lease that the call met, null if none).
 
@@ -260,10 +261,11 @@ def lease_calls(log: DataFrame, ttl: int = LEASE_TTL_SECONDS, parts: int | None
     depends on the calls before; a channel's calls are cut into segments by its share of all
     calls, which run beside each other (``functions.segments``)."""
     src = log.where("subreddit IS NOT NULL AND instance_id IS NOT NULL AND ts IS NOT NULL"
-                    ).select(*_COLUMNS)
+                    ).select(*_COLUMNS, (F.col("action").eqNullSafe(F.lit(after)) if after
+                                         else F.lit(False)).alias("last"))
     kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in _COLUMNS)
     return segmented_pass(
-        src, "subreddit", ["ts", "seq"], schema=f"{kinds}, granted boolean, lease_no long, "
+        src, "subreddit", ["ts", "last", "seq"], schema=f"{kinds}, granted boolean, lease_no long, "
         "holder_instance string, held_since timestamp_ntz, held_until timestamp_ntz",
         advance=_advance(ttl), state_schema=_STORED, table_schema=_TABLE,
         table=_table(ttl, to_arrow_schema(src.schema)), lookup=_lookup, parts=parts)

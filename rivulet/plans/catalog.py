@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import expr
 from rivulet.operators import checkpoints as ck
-from rivulet.operators import circuit, errors, lease, registry
+from rivulet.operators import asof, circuit, errors, lease, registry
 from rivulet.plans import fixtures as fx
 from rivulet.sources import io
 
@@ -216,6 +216,16 @@ def lease_holders(spark, d):
     return lease.holders(fx.lease_log(spark, d), fx.ntz(LEASE_AS_OF), LEASE_TTL)
 
 
+def error_count_at(spark, d):
+    """O21 at every event's time, asked of the stream of the next user."""
+    return asof.error_count_at(fx.errors(spark, d), fx.instants(spark, d))
+
+
+def lease_holders_at(spark, d):
+    """O32 at every event's time plus half a lease's life, asked of the event's channel."""
+    return asof.holders_at(fx.lease_log(spark, d), fx.lease_instants(spark, d), LEASE_TTL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "messages_valid": messages_valid,
     "messages_quarantine": messages_quarantine,
@@ -254,6 +264,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lease_intervals": lease_intervals,
     "lease_conflicts": lease_conflicts,
     "lease_holders": lease_holders,
+    "error_count_at": error_count_at,
+    "lease_holders_at": lease_holders_at,
 }
 
 from rivulet.plans import stream_queries as _sq  # noqa: E402

@@ -19,7 +19,8 @@ def ntz(text: str):
 
 
 def _u(c):
-    return F.concat(F.lit("u"), F.col(c).cast("string"))
+    c = F.col(c) if isinstance(c, str) else c
+    return F.concat(F.lit("u"), c.cast("string"))
 
 
 def comments(spark, sf_dir) -> DataFrame:
@@ -206,3 +207,17 @@ def lease_log(spark, sf_dir) -> DataFrame:
         F.col("event_id").alias("seq"), "ts",
         F.when(F.col("event_id") % 50 == 0, "release").when(F.col("event_id") % 3 == 0, "acquire")
          .otherwise("refresh").alias("action"))
+
+
+def instants(spark, sf_dir) -> DataFrame:
+    """every event's time, asked of the error list of the next user."""
+    return table(spark, sf_dir, "events").select(
+        _u(F.col("user_id") + 1).alias("stream_id"), F.col("ts").alias("at"),
+        F.col("event_id").alias("id"))
+
+
+def lease_instants(spark, sf_dir) -> DataFrame:
+    """Every event's time plus half an hour, asked of the event's channel."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("subreddit"),
+        (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("at"), F.col("event_id").alias("id"))

@@ -533,6 +533,24 @@ WHERE position <= 10 GROUP BY stream_id""")
   OR l.lease_no < max(l.lease_no) OVER (PARTITION BY l.subreddit)
   OR l.held_until <= {mark.format('calls')} AS ended
 FROM leases l""")
+    q["error_count_at"] = _with(["f2_errors"], _lists_cte("f2_errors"), """SELECT
+  concat('u', i.user_id + 1) AS stream_id, i.event_id AS id, i.ts AS at,
+  CASE WHEN i.ts <= max(t.ts) + INTERVAL 24 HOUR THEN least(100, count(*) FILTER (
+    WHERE t.list_no = (SELECT max(l.list_no) FROM _lists l
+      WHERE l.stream_id = concat('u', i.user_id + 1) AND l.list_start <= i.ts))) ELSE 0 END
+    AS error_count
+FROM events i LEFT JOIN _tagged t ON t.stream_id = concat('u', i.user_id + 1) AND t.ts <= i.ts
+GROUP BY i.user_id, i.event_id, i.ts""")
+    # What a channel's lease is at an instant: that of its last granted call until then.
+    q["lease_holders_at"] = _lease("""SELECT subreddit, id, moment AS at,
+  CASE WHEN moment < until THEN holder END AS instance_id,
+  CASE WHEN moment < until THEN since END AS held_since,
+  CASE WHEN moment < until THEN until END AS held_until
+FROM (SELECT i.event_type AS subreddit, i.event_id AS id, i.ts + INTERVAL 30 MINUTE AS moment,
+    arg_max(holder, rn) AS holder, arg_max(since, rn) AS since, arg_max(until, rn) AS until
+  FROM events i LEFT JOIN c ON c.subreddit = i.event_type AND c.rn > 0
+    AND c.ts <= i.ts + INTERVAL 30 MINUTE AND c.until IS NOT NULL
+  GROUP BY ALL)""")
     q["flush_stream"] = _with(["f3_checkpoint_log", "f3_checkpoint_table"], flush_ctes,
                               "SELECT * FROM _t1")
     return q

@@ -52,6 +52,23 @@ def encode_roundtrip(spark, d):
     return io.decode_message(spark.read.parquet(path), keep=["comment_id"])
 
 
+def avro_roundtrip(spark, d):
+    """O5 in Avro through storage: the binary records are written, read back and decoded."""
+    from rivulet.session import new_work_dir
+    good, _ = errors.split(_validated(spark, d))
+    path = f"{new_work_dir(spark, 'avro')}/values"
+    io.write_messages(good, path, "parquet", value_format="avro", keep=["comment_id"])
+    return io.decode_message(spark.read.parquet(path), fmt="avro", keep=["comment_id"])
+
+
+def avro_quarantine(spark, d):
+    """What the strict decoder says of values of which four in five are damaged."""
+    good, _ = errors.split(_validated(spark, d))
+    values = fx.damaged(io.encode_message(good, fmt="avro", keep=["comment_id"]))
+    return io.decode_message(values, fmt="avro", keep=["comment_id"], reasons=True).select(
+        "comment_id", "reason", F.col("text").isNull().alias("dropped"))
+
+
 def error_classified(spark, d):
     return expr.classify(fx.errors(spark, d)).drop("ts", "error_message")
 
@@ -230,6 +247,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "messages_valid": messages_valid,
     "messages_quarantine": messages_quarantine,
     "encode_roundtrip": encode_roundtrip,
+    "avro_roundtrip": avro_roundtrip,
+    "avro_quarantine": avro_quarantine,
     "error_classified": error_classified,
     "errors_append": errors_append,
     "errors_keep_last": errors_keep_last,
@@ -279,4 +298,7 @@ QUERIES.update({
     "error_lists_stream": _sq.error_lists_stream,
     "live_lists_stream": _sq.live_lists_stream,
     "lease_stream": _sq.lease_stream,
+    "ingest_published": _sq.ingest_published,
+    "ingest_errors": _sq.ingest_errors,
+    "checkpoint_stream": _sq.checkpoint_stream,
 })

@@ -221,3 +221,15 @@ def lease_instants(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("subreddit"),
         (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("at"), F.col("event_id").alias("id"))
+
+
+def damaged(values: DataFrame) -> DataFrame:
+    """F8: encoded values, by their comment's number mod 5: last byte gone, a byte more, a byte
+    in front, last byte replaced, whole."""
+    v = F.col("value")
+    k = F.col("comment_id").cast("bigint") % 5
+    most = F.substring(v, F.lit(1), F.octet_length(v) - 1)
+    return values.withColumn("value", F.when(k == 0, most)
+                             .when(k == 1, F.concat(v, F.unhex(F.lit("00"))))
+                             .when(k == 2, F.concat(F.unhex(F.lit("01")), v))
+                             .when(k == 3, F.concat(most, F.unhex(F.lit("FF")))).otherwise(v))

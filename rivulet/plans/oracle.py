@@ -502,6 +502,23 @@ WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until"""
     }
     q["ingest_stream"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, """SELECT
   stream_id, comment_id, subreddit, author_id, text, timestamp FROM _good""")
+    q["ingest_published"] = q["ingest_stream"]
+    q["ingest_errors"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, f"""SELECT
+  {_uuid("concat_ws('|', stream_id, comment_id)")} AS id, stream_id,
+  'CommentProcessingError' AS error_type, {REASONS} AS error_message, 0 AS retry_count,
+  1 AS is_recoverable, arrival_ts AS timestamp
+FROM _v WHERE bad_subreddit OR bad_author OR bad_text OR bad_timestamp""")
+    q["checkpoint_stream"] = """SELECT stream_id, seq, ts AS updated_at,
+  last_comment_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS last_processed_at FROM (
+  SELECT event_type AS stream_id, event_id::VARCHAR AS last_comment_id, ts,
+    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR) AS seq FROM events)
+WHERE seq % 10 = 0"""
+    q["avro_roundtrip"] = q["encode_roundtrip"]
+    q["avro_quarantine"] = _with(["f1_messages"], [("v", VALIDATED)], """SELECT comment_id,
+  CASE comment_id::BIGINT % 5 WHEN 0 THEN 'text cut off' WHEN 1 THEN 'bytes after the record'
+    WHEN 2 THEN 'negative length' WHEN 3 THEN 'text is not UTF-8' END AS reason,
+  comment_id::BIGINT % 5 < 4 AS dropped
+FROM v WHERE NOT (bad_subreddit OR bad_author OR bad_text OR bad_timestamp)""")
     every = ("_every", """SELECT stream_id, seq, updated_at, last_comment_id,
   strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS last_processed_at FROM (
   SELECT stream_id, comment_id AS last_comment_id, arrival_ts AS updated_at,

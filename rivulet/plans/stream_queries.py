@@ -162,3 +162,44 @@ def lease_stream(spark: SparkSession, d: str) -> DataFrame:
     from rivulet.streaming.keyed import latest_leases, leases_stream
     return latest_leases(_two_runs(spark, fx.lease_log(spark, d), fx.ntz(FLUSH_CUT), "leases",
                                    lambda src: leases_stream(src, LIST_DELAY, LEASE_TTL)))
+
+
+def _published(spark: SparkSession, d: str) -> str:
+    """The comments as a channel log of two segments, ingested after each was appended."""
+    from rivulet.streaming.published import run_published
+    work = new_work_dir(spark, "published")
+    comments = fx.comments(spark, d).select(*COMMENT.fieldNames())
+    lo, hi = comments.agg(F.min("arrival_ts"), F.max("arrival_ts")).first()
+    cut = (F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp_ntz")
+           if lo is not None else F.lit(None))
+    streams, checkpoints = fx.comment_streams(spark, d), fx.comment_checkpoints(spark, d)
+    for i, chunk in enumerate(_two_chunks(comments, "arrival_ts", cut)):
+        chunk.write.partitionBy("subreddit").parquet(f"{work}/in/segment={i}")
+        q = run_published(spark, f"{work}/in", f"{work}/out", f"{work}/query", streams,
+                          checkpoints, SESSION_START)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return work
+
+
+def ingest_published(spark: SparkSession, d: str) -> DataFrame:
+    """O27 through the data source and the publishing sink: the messages."""
+    from rivulet.streaming.published import published_messages
+    return published_messages(spark, f"{_published(spark, d)}/out").drop("arrival_ts")
+
+
+def ingest_errors(spark: SparkSession, d: str) -> DataFrame:
+    """O4 on the ingest's path: the error rows that were published with the messages."""
+    from rivulet.streaming.published import published_errors
+    return published_errors(spark, f"{_published(spark, d)}/out")
+
+
+def checkpoint_stream(spark: SparkSession, d: str) -> DataFrame:
+    """O24 on a stream: every 10th event of an event type, counted in keyed state."""
+    from rivulet.streaming.keyed import checkpoints_stream
+    messages = fx.table(spark, d, "events").select(
+        F.col("event_type").alias("stream_id"), F.col("event_id").cast("string").alias("comment_id"),
+        "ts", F.col("ts").alias("arrival_ts"))
+    return _two_runs(spark, messages, fx.ntz(FLUSH_CUT), "checkpoints",
+                     lambda src: checkpoints_stream(src, EVERY))

@@ -1,36 +1,21 @@
 """Sources and sinks: comment source (O1), message sink (O3), error sink (O4) and the
 message encoding (O5).
 
-Files (parquet/json) are the tested path. Kafka and Avro need the
-``spark-sql-kafka`` / ``spark-avro`` packages on the cluster; their absence raises a clear
-error instead of failing deep inside a query.
+Files (parquet/json) are the tested path. Kafka needs the ``spark-sql-kafka`` package on the
+cluster. Avro values are written and read by column expressions (``functions.avro``).
 """
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.schemas import COMMENT, MESSAGE, MESSAGE_AVRO_SCHEMA
+from rivulet.functions.avro import decode_record, encode_record
+from rivulet.schemas import COMMENT, MESSAGE
 
 MESSAGE_FIELDS = [f.name for f in MESSAGE.fields]
 
 
-class MissingPackage(RuntimeError):
-    pass
-
-
-@contextlib.contextmanager
-def _needs_avro():
-    """Only a missing package is reported as one; other errors pass."""
-    try:
-        yield
-    except TypeError as e:  # how py4j reports a JVM class that is not there
-        raise MissingPackage("Avro needs the spark-avro package") from e
-
-
 def read_comments(spark: SparkSession, path: str | None = None, fmt: str = "parquet",
                   streaming: bool = True, options: dict | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
@@ -76,25 +61,21 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def encode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = None) -> DataFrame:
-    """The four message fields -> one ``value`` column (JSON text or Avro bytes)."""
-    rec = F.struct(*[F.col(c) for c in MESSAGE_FIELDS])
-    if fmt == "avro":
-        from pyspark.sql.avro.functions import to_avro
-        with _needs_avro():
-            value = to_avro(rec, MESSAGE_AVRO_SCHEMA)
-    else:
-        value = F.to_json(rec)
+    """The four message fields -> one ``value`` column (JSON text, or with ``avro`` the
+    binary record of the declared schema)."""
+    fields = [F.col(c) for c in MESSAGE_FIELDS]
+    value = encode_record(fields) if fmt == "avro" else F.to_json(F.struct(*fields))
     return df.select(*(keep or []), value.alias("value"))
 
 
-def decode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = None) -> DataFrame:
-    """O5 inverse: ``value`` -> the four message fields."""
+def decode_message(df: DataFrame, fmt: str = "json", keep: list[str] | None = None,
+                   reasons: bool = False) -> DataFrame:
+    """O5 inverse: ``value`` -> the four message fields, null where a value is no message. For
+    ``avro``, ``reasons`` adds the column ``reason``: what is wrong with such a value."""
     if fmt == "avro":
-        from pyspark.sql.avro.functions import from_avro
-        with _needs_avro():
-            rec = from_avro(F.col("value"), MESSAGE_AVRO_SCHEMA)
-    else:
-        rec = F.from_json(F.col("value").cast("string"), MESSAGE)
+        out = decode_record(df.select(*(keep or []), "value"), "value", MESSAGE_FIELDS)
+        return out.select(*(keep or []), *MESSAGE_FIELDS, *(["reason"] if reasons else []))
+    rec = F.from_json(F.col("value").cast("string"), MESSAGE)
     return df.select(*(keep or []), rec.alias("m")).select(*(keep or []), "m.*")
 
 

@@ -1,4 +1,5 @@
-"""Keyed state on streams: breaker (O30), live error lists (O20 to O22) and leases.
+"""Keyed state on streams: breaker (O30), live error lists (O20 to O22), leases (O31, O32) and
+the checkpoint counter (O24).
 
 Each is a ``transformWithState`` operator: a micro-batch reads and writes the state of the keys
 that it touches, and of those whose timer the watermark has passed, however many keys there
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from rivulet.functions.expr import suggested_backoff
+from rivulet.functions.expr import iso_z, suggested_backoff
 from rivulet.operators import circuit, lease
 from rivulet.operators.errors import ERROR_LIST_MAX, ERROR_TTL, RECENT_LIMIT
 
@@ -306,3 +307,42 @@ def latest_leases(rows: DataFrame) -> DataFrame:
 def current_holders(rows: DataFrame, as_of) -> DataFrame:
     """O32 from the rows of ``leases_stream`` so far: who holds each channel at ``as_of``."""
     return latest_leases(rows).where((F.col("held_from") <= as_of) & (as_of < F.col("held_until")))
+
+
+# ---- O24
+
+class _Counter(StatefulProcessor):
+    def __init__(self, every: int):
+        self.every = every
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _gather(rows, ["arrival_ts", "comment_id"])
+        seen = self.count.get()[0] if self.count.exists() else 0
+        self.count.update((seen + len(pdf),))
+        due = pdf.iloc[self.every - 1 - seen % self.every::self.every]
+        if len(due):
+            seq = seen + 1 + due.index.to_numpy()
+            yield pd.DataFrame({"stream_id": [key[0]] * len(due), "seq": seq,
+                                "updated_at": due["arrival_ts"].to_numpy(),
+                                "last_comment_id": due["comment_id"].to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+def checkpoints_stream(messages: DataFrame, every: int) -> DataFrame:
+    """O24 on a streaming DataFrame of messages (``stream_id``, ``comment_id``, ``arrival_ts``):
+    every ``every``-th message of a stream, in the columns of the checkpoint log; ``seq`` is the
+    stream's count of messages. The counts are keyed state: a micro-batch touches the streams it
+    brings. Only ids and times go through the state operator, not the texts."""
+    use_keyed_state(messages.sparkSession)
+    rows = messages.where("stream_id IS NOT NULL AND arrival_ts IS NOT NULL").select(
+        "stream_id", "comment_id", "arrival_ts")
+    return rows.groupBy("stream_id").transformWithStateInPandas(
+        _Counter(every), "stream_id string, seq long, updated_at timestamp_ntz, "
+        "last_comment_id string", "Append", "None").select(
+        "stream_id", "seq", "updated_at", "last_comment_id",
+        iso_z(F.col("updated_at")).alias("last_processed_at"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.session import materialize
 
 UNIT_SECONDS = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60}
 SPLIT_OVER = 1_000_000   # rows of a (key, bucket) beyond which it is cut finer
@@ -66,18 +67,24 @@ def _within(df: DataFrame, ts: str, unit: str) -> Column:
 
 def _split_buckets(df: DataFrame, keys: list[str], ts: str, unit: str, split_over: int) -> DataFrame:
     """``df`` with ``_b``. A (key, bucket) of more than ``split_over`` rows is cut into equal
-    spans, as many as its count asks for. The counts are one partial aggregate, and those over
-    the limit number at most rows / split_over, which bounds what is broadcast."""
+    spans, as many as its count asks for. Where no bucket holds that many rows of all keys
+    together (a count by bucket alone, which moves one row per bucket and task) there is nothing
+    to cut. Otherwise the counts over the limit, at most rows / split_over, are written as a
+    table whose size decides how it is joined."""
     raw = df.withColumn("_b", _bucket(df, ts, unit))
-    hot = (raw.groupBy(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)],
-                       F.col("_b").alias("_hb")).agg(F.count(F.lit(1)).alias("_hn"))
-           .where(F.col("_hn") > split_over)
-           .withColumn("_hn", F.least(F.ceil(F.col("_hn") / split_over), F.lit(MAX_SPLITS))))
-    cond = [F.col(k) == F.col(f"_h_{i}") for i, k in enumerate(keys)] + [F.col("_b") == F.col("_hb")]
-    part = F.floor(_within(df, ts, unit) * F.coalesce("_hn", F.lit(1))
-                   / (UNIT_SECONDS[unit.upper()] * 1_000_000))
-    return raw.join(F.broadcast(hot), cond, "left").select(
-        *df.columns, (F.col("_b") * MAX_SPLITS + part).alias("_b"))
+    spans = F.lit(1)
+    if not raw.groupBy("_b").count().where(F.col("count") > split_over).isEmpty():
+        hot = materialize(
+            raw.groupBy(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)],
+                        F.col("_b").alias("_hb")).agg(F.count(F.lit(1)).alias("_hn"))
+            .where(F.col("_hn") > split_over)
+            .withColumn("_hn", F.least(F.ceil(F.col("_hn") / split_over), F.lit(MAX_SPLITS))),
+            "hot-buckets")
+        cond = [F.col(k) == F.col(f"_h_{i}") for i, k in enumerate(keys)]
+        raw = raw.join(hot, cond + [F.col("_b") == F.col("_hb")], "left")
+        spans = F.coalesce("_hn", F.lit(1))
+    part = F.floor(_within(df, ts, unit) * spans / (UNIT_SECONDS[unit.upper()] * 1_000_000))
+    return raw.select(*df.columns, (F.col("_b") * MAX_SPLITS + part).alias("_b"))
 
 
 def keyed_scan(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],

@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rivulet.session import materialize
 
@@ -30,39 +32,40 @@ SEGMENT_ROWS = 1_000_000  # rows of a segment, about, on inputs that have as man
 SAMPLES = 40              # sampled rows for each segment
 
 
-def cut_keys(df: DataFrame, key: str, order: list[str], parts: int | None = None,
-             segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Written table (key, ``_cuts``): where the keys that hold more than one part's share of
-    the rows are cut, ascending. At most ``parts`` cuts in all."""
-    narrow = df.select(key, *order)
-    n = narrow.count()
-    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                         -(-n // segment_rows))
-    fraction = min(1.0, SAMPLES * parts / max(n, 1))
-    per = max(1, round(fraction * n / parts))  # sampled rows of one segment
-    drawn = narrow.sample(fraction, seed=17) if fraction < 1 else narrow
-    cuts = F.transform(F.sequence(F.lit(per), F.size("_s") - 1, F.lit(per)),
-                       lambda i: F.get("_s", i))
-    return materialize(
-        drawn.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_s"))
-        .where(F.size("_s") > per).select(key, F.array_distinct(cuts).alias("_cuts")), "cuts")
-
-
-def with_segment(df: DataFrame, key: str, order: list[str], cuts: DataFrame,
-                 how: str = "left") -> DataFrame:
-    """``df`` with ``_segs``, the number of its key's cuts, and ``_seg``, how many of them are
-    at or before the row (binary search). ``how="inner"`` gives the rows of cut keys only."""
-    most = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 0
-    steps = [1 << k for k in reversed(range(most.bit_length()))]
-    at = F.struct(*order)
-    seg = F.lit(0)
-    if steps:
-        seg = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when(
-            F.get("_cuts", i + s - 1) <= at, i + s).otherwise(i))
-    # As many cuts as there are parts, see cut_keys: small whatever the input.
-    return (df.join(F.broadcast(cuts), key, how).withColumn("_seg", seg)
-            .withColumn("_segs", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")))
-            .drop("_cuts"))
+class Cuts:
+    """Where the keys that hold more than one part's share of the rows are cut: ``table`` (key,
+    ``_cuts`` ascending), at most ``parts`` cuts in all, and the most cuts of one key."""
+
+    def __init__(self, df: DataFrame, key: str, order: list[str], parts: int | None = None,
+                 segment_rows: int = SEGMENT_ROWS):
+        self.key, self.order = key, order
+        narrow = df.select(key, *order)
+        n = narrow.count()
+        parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                             -(-n // segment_rows))
+        fraction = min(1.0, SAMPLES * parts / max(n, 1))
+        per = max(1, round(fraction * n / parts))  # sampled rows of one segment
+        drawn = narrow.sample(fraction, seed=17) if fraction < 1 else narrow
+        cuts = F.transform(F.sequence(F.lit(per), F.size("_s") - 1, F.lit(per)),
+                           lambda i: F.get("_s", i))
+        self.table = materialize(
+            drawn.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_s"))
+            .where(F.size("_s") > per).select(key, F.array_distinct(cuts).alias("_cuts")), "cuts")
+        self.most = self.table.agg(F.max(F.size("_cuts"))).first()[0] or 0
+
+    def mark(self, df: DataFrame, how: str = "left") -> DataFrame:
+        """``df`` with ``_segs``, the number of its key's cuts, and ``_seg``, how many of them
+        are at or before the row (binary search). ``how="inner"``: only rows of cut keys."""
+        steps = [1 << k for k in reversed(range(self.most.bit_length()))]
+        at = F.struct(*self.order)
+        seg = F.lit(0)
+        if steps:
+            seg = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, s: F.when(
+                F.get("_cuts", i + s - 1) <= at, i + s).otherwise(i))
+        # As many cuts as there are parts: small whatever the input.
+        return (df.join(F.broadcast(self.table), self.key, how).withColumn("_seg", seg)
+                .withColumn("_segs", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")))
+                .drop("_cuts"))
 
 
 def _ordered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -135,8 +138,9 @@ def _replay(key: str, advance: Callable, close: Callable | None):
     return run
 
 
-def _whole_groups(key: str, table: Callable):
-    """``table(rows)`` for each (key, segment), which a task holds as a whole."""
+def _whole_groups(key: str, table: Callable, schema: pa.Schema):
+    """``table(rows)`` for each (key, segment), which a task holds as a whole. Nothing follows a
+    key's last segment, so that is only named."""
     def run(batches):
         held, parts = None, []
         for batch in batches:
@@ -144,11 +148,16 @@ def _whole_groups(key: str, table: Callable):
             starts = [*_starts(tab, key).tolist(), len(tab)]
             for a, b in zip(starts, starts[1:]):
                 name = _named(tab, key, a)
-                if parts and name != held:
-                    yield from table(pa.concat_tables(parts), held).to_batches()
-                    parts = []
-                held = name
-                parts.append(tab.slice(a, b - a))
+                if name != held:
+                    if parts:
+                        yield from table(pa.concat_tables(parts), held).to_batches()
+                    held, parts = name, []
+                    last = name[1] == tab.column("_segs")[a].as_py()
+                    if last:
+                        yield from pa.Table.from_pylist(
+                            [{key: name[0], "_seg": name[1], "piece": 0}], schema).to_batches()
+                if not last:
+                    parts.append(tab.slice(a, b - a))
         if parts:
             yield from table(pa.concat_tables(parts), held).to_batches()
     return run
@@ -174,10 +183,8 @@ def _looked_up(key: str, lookup: Callable, names: list[str]):
             for a, b in zip(starts, starts[1:]):
                 name = _named(tab, key, a)
                 if name != held:
-                    if pieces:
-                        state, pieces = after(), []
-                    if held is None or held[0] != name[0]:
-                        state = None
+                    state = after() if held is not None and held[0] == name[0] else None
+                    pieces = []
                     held = name
                     if state is not None:
                         out.append({**{c: None if pd.isna(v) else v for c, v in state.items()},
@@ -209,14 +216,15 @@ def segmented_pass(df: DataFrame, key: str, order: list[str], *, schema: str, ad
     fields = [c.split() for c in state_schema.split(", ")]
     names = [n for n, _ in fields]
     no_state = [F.lit(None).cast(t).alias(n) for n, t in fields]
-    cuts = cut_keys(df, key, order, parts, segment_rows)
+    cuts = Cuts(df, key, order, parts, segment_rows)
     columns = [key, *[c for c in df.columns if c != key], "_seg", "_segs"]
-    tables = _ordered(with_segment(df, key, order, cuts, "inner"), key, order).mapInArrow(
-        _whole_groups(key, table), f"{key} {kind}, _seg int, {table_schema}")
+    of_tables = T.StructType.fromDDL(f"{key} {kind}, _seg int, {table_schema}")
+    tables = _ordered(cuts.mark(df, "inner"), key, order).mapInArrow(
+        _whole_groups(key, table, to_arrow_schema(of_tables)), of_tables)
     if stored is not None:  # the first state of a cut key comes before its first table
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schema.fields
                  if f.name not in (key, "_seg", *names)]
-        tables = tables.unionByName(stored.join(F.broadcast(cuts.select(key)), key).select(
+        tables = tables.unionByName(stored.join(F.broadcast(cuts.table.select(key)), key).select(
             key, F.lit(-1).alias("_seg"), *names, *blank))
     # Where the segments of a cut key begin; as few rows as there are cuts.
     states = materialize(
@@ -224,11 +232,11 @@ def segmented_pass(df: DataFrame, key: str, order: list[str], *, schema: str, ad
             _looked_up(key, lookup, names), f"{key} {kind}, _seg int, {state_schema}"),
         "segment-states")
     begins = states.where("_seg > 0").join(
-        F.broadcast(cuts.select(key, F.size("_cuts").alias("_segs"))), key)
-    src = (with_segment(df, key, order, cuts).select(*columns, *no_state)
+        F.broadcast(cuts.table.select(key, F.size("_cuts").alias("_segs"))), key)
+    src = (cuts.mark(df).select(*columns, *no_state)
            .unionByName(begins.select(key, *empty, "_seg", "_segs", *names)))
     if stored is not None:
-        first = stored.join(F.broadcast(cuts), key, "left").select(
+        first = stored.join(F.broadcast(cuts.table), key, "left").select(
             key, *empty, F.lit(0).alias("_seg"),
             F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts")).alias("_segs"), *names)
         src = src.unionByName(first)

@@ -153,7 +153,7 @@ def _dense_attempts(spark, n, seed, step, fail):
 
 
 def test_hot_stream_in_segments_equals_the_rules(spark):
-    from rivulet.functions.segments import cut_keys, with_segment
+    from rivulet.functions.segments import Cuts
     cases = [(dict(), (0, 1, 3), .5), (dict(threshold=1, successes=3, recovery=7), (0, 1), .9),
              (dict(recovery=10, cap=100), (1, 30, 200), .6),
              (dict(threshold=3, successes=1, mult=1.5), (0, 0, 1), 1.0),
@@ -164,9 +164,8 @@ def test_hot_stream_in_segments_equals_the_rules(spark):
         for parts in (9, 60):
             got = sorted(tuple(r) for r in circuit.circuit_timeline(df, parts=parts, **kw).collect())
             assert got == want, (kw, parts)
-        cuts = cut_keys(df, "stream_id", ["ts", "attempt_id"], 60)
-        n = with_segment(df, "stream_id", ["ts", "attempt_id"], cuts).where("stream_id = 's-0'") \
-            .groupBy("_seg").count().collect()
+        cuts = Cuts(df, "stream_id", ["ts", "attempt_id"], 60)
+        n = cuts.mark(df).where("stream_id = 's-0'").groupBy("_seg").count().collect()
         assert len(n) > 20 and max(r["count"] for r in n) < 60   # spread evenly
         df.unpersist()
 

@@ -243,6 +243,64 @@ def lease_holders_at(spark, d):
     return asof.holders_at(fx.lease_log(spark, d), fx.lease_instants(spark, d), LEASE_TTL)
 
 
+def _tables(spark, d, streams=False):
+    """O6's tables, empty or with the registry of the fixtures."""
+    import uuid
+
+    from rivulet.session import new_work_dir
+    from rivulet.sources.bucketed import Tables
+    tables = Tables(spark, f"rivulet_{uuid.uuid4().hex[:8]}", 8, new_work_dir(spark, "tables"))
+    if streams:
+        tables.append("streams", fx.streams(spark, d))
+    return tables
+
+
+def table_lookup(spark, d):
+    """O15 on the bucketed registry."""
+    return _tables(spark, d, streams=True).lookup(fx.requests(spark, d).select("id", "subreddit"))
+
+
+def table_skip(spark, d):
+    """O16 on the bucketed checkpoint table."""
+    tables = _tables(spark, d)
+    tables.append("stream_checkpoints", fx.comment_checkpoints(spark, d))
+    return tables.skip(fx.comments(spark, d), "subreddit").select(
+        "comment_id", "subreddit", "arrival_ts")
+
+
+def table_upsert(spark, d):
+    """O17 and O28 on the bucketed checkpoint table: what it holds after the flush."""
+    tables = _tables(spark, d)
+    tables.append("stream_checkpoints", fx.checkpoint_table(spark, d))
+    merged = ck.merge_checkpoints(fx.checkpoint_log(spark, d))
+    tables.upsert(ck.flush_rows(merged, fx.ntz(NOW)), fx.ntz(NOW))
+    return tables.read("stream_checkpoints")
+
+
+def table_create(spark, d):
+    """O14 as a durable step: the registry after the claims."""
+    tables = _tables(spark, d, streams=True)
+    tables.create(fx.requests(spark, d))
+    return tables.read("streams").select("id", "subreddit", "status", "config")
+
+
+def table_sweep(spark, d):
+    """O33 and O18 as one call: what the tables hold afterwards, as (kind, id)."""
+    tables = _tables(spark, d, streams=True)
+    tables.append("stream_checkpoints", fx.registry_checkpoints(spark, d))
+    tables.sweep()
+    return (tables.read("streams").select(F.lit("stream").alias("kind"), "id")
+            .unionByName(tables.read("stream_checkpoints").select(
+                F.lit("checkpoint").alias("kind"), F.col("stream_id").alias("id"))))
+
+
+def table_errors(spark, d):
+    """Classified errors appended to the bucketed error table."""
+    tables = _tables(spark, d)
+    tables.append_errors(errors_append(spark, d))
+    return tables.read("stream_errors")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "messages_valid": messages_valid,
     "messages_quarantine": messages_quarantine,
@@ -283,6 +341,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lease_intervals": lease_intervals,
     "lease_conflicts": lease_conflicts,
     "lease_holders": lease_holders,
+    "table_lookup": table_lookup,
+    "table_skip": table_skip,
+    "table_upsert": table_upsert,
+    "table_create": table_create,
+    "table_sweep": table_sweep,
+    "table_errors": table_errors,
     "error_count_at": error_count_at,
     "lease_holders_at": lease_holders_at,
 }

@@ -15,10 +15,13 @@ SHOWCASE = {
     "errors_keep_last_dense": "top-100 per stream: partial WindowGroupLimit before the "
                               "exchange, so each hot stream ships at most 100 rows per partition",
     "streams_create": "first-wins per channel as a partial aggregate (min over a struct)",
-    "lease_conflicts": "one exchange and sort by channel, one ordered pass; no join",
+    "lease_conflicts": "one exchange and sort by (channel, segment), one pass of Arrow batches; "
+                       "the joins add the cuts and the segments' first states, both small",
     "start_position": "only doc_id and source are read (the text column is pruned); the "
                       "join side is chosen by measured size",
-    "circuit_timeline": "one exchange and sort by stream, one ordered pass of Arrow batches",
+    "circuit_timeline": "one exchange and sort by (stream, segment), one pass of Arrow batches",
+    "table_lookup": "bucketed registry: no Exchange on the table's side of the join",
+    "table_skip": "bucketed checkpoint table: no Exchange on the table's side of the join",
 }
 
 

@@ -502,6 +502,13 @@ WHERE held_from <= {_ts(C.LEASE_AS_OF)} AND {_ts(C.LEASE_AS_OF)} < held_until"""
     }
     q["ingest_stream"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, """SELECT
   stream_id, comment_id, subreddit, author_id, text, timestamp FROM _good""")
+    q["table_lookup"], q["table_skip"] = q["streams_lookup"], q["skip_processed"]
+    q["table_errors"] = q["errors_append"]
+    q["table_upsert"] = f"SELECT * EXCLUDE (change) FROM ({q['checkpoint_upsert']})"
+    q["table_create"] = _with(["f4_requests", "f4_streams"], [winners, created], """SELECT
+  id, subreddit, status, config FROM f4_streams
+UNION ALL SELECT id, subreddit, status, config FROM _created""")
+    q["table_sweep"] = f"SELECT * FROM ({q['streams_sweep_remaining']}) WHERE kind <> 'lease'"
     q["ingest_published"] = q["ingest_stream"]
     q["ingest_errors"] = _with(["f1_comments", "f1b_checkpoints"], ingest_ctes, f"""SELECT
   {_uuid("concat_ws('|', stream_id, comment_id)")} AS id, stream_id,

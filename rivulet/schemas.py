@@ -65,23 +65,26 @@ TABLE_BUCKETS = 16
 # The three durable tables (fixed values: their names and columns). Defaults and
 # uniqueness are enforced by the writers.
 DDL = {
-    "streams": """CREATE TABLE IF NOT EXISTS {db}.streams (
-        id STRING, subreddit STRING, status STRING, instance_id STRING, config STRING,
-        last_heartbeat TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ,
-        bucket INT) USING parquet PARTITIONED BY (bucket)""",
-    "stream_checkpoints": """CREATE TABLE IF NOT EXISTS {db}.stream_checkpoints (
-        id STRING, stream_id STRING, last_comment_id STRING, last_processed_at TIMESTAMP_NTZ,
-        updated_at TIMESTAMP_NTZ, bucket INT) USING parquet PARTITIONED BY (bucket)""",
-    "stream_errors": """CREATE TABLE IF NOT EXISTS {db}.stream_errors (
-        id STRING, stream_id STRING, error_type STRING, error_message STRING,
-        retry_count INT, is_recoverable INT, timestamp TIMESTAMP_NTZ,
-        bucket INT) USING parquet PARTITIONED BY (bucket)""",
+    "streams": """id STRING, subreddit STRING, status STRING, instance_id STRING,
+        config STRING, last_heartbeat TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ,
+        updated_at TIMESTAMP_NTZ""",
+    "stream_checkpoints": """id STRING, stream_id STRING, last_comment_id STRING,
+        last_processed_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ""",
+    "stream_errors": """id STRING, stream_id STRING, error_type STRING, error_message STRING,
+        retry_count INT, is_recoverable INT, timestamp TIMESTAMP_NTZ""",
 }
+# The column whose hash tells a row's bucket: what the table is looked up by.
+BUCKETED = {"streams": "subreddit", "stream_checkpoints": "stream_id", "stream_errors": "stream_id"}
 
 
-def create_tables(spark: SparkSession, db: str = "default") -> list[str]:
-    """Create the three tables if absent (running it twice is a no-op)."""
+def create_tables(spark: SparkSession, db: str = "default", buckets: int = TABLE_BUCKETS,
+                  location: str | None = None) -> list[str]:
+    """Create the three tables if absent (running it twice is a no-op), in ``buckets`` buckets;
+    ``location`` is a folder for their files."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
-    for text in DDL.values():
-        spark.sql(text.format(db=db))
+    for name, columns in DDL.items():
+        key = BUCKETED[name]
+        at = f"LOCATION '{location}/{name}'" if location else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.{name} ({columns}) USING parquet "
+                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS {at}")
     return [f"{db}.{name}" for name in DDL]

@@ -92,7 +92,7 @@ def test_create_tables_is_idempotent(spark):
     names = schemas.create_tables(spark, db)
     assert schemas.create_tables(spark, db) == names
     cols = [c.name for c in spark.catalog.listColumns(f"{db}.stream_checkpoints")]
-    assert cols == ["id", "stream_id", "last_comment_id", "last_processed_at", "updated_at", "bucket"]
+    assert cols == ["id", "stream_id", "last_comment_id", "last_processed_at", "updated_at"]
     spark.sql(f"DROP DATABASE {db} CASCADE")
 
 

@@ -13,10 +13,12 @@ width, so they are picked by sliding minima and joined into the tree by a stack.
    0.64, and none of five with less than 0.01, for each of its sub-passages.
 2. Keys that only one document holds go no further (the exchange of ``suffixes``: a chunk of
    documents sends each key once).
-3. Overlapping windows with shared keys make up a document's candidate passages. Passages with
-   a common key are compared with the one of smallest document id among them; those that fail
-   there, or are linked by other stretches than those of the key, are compared with all others
-   of their keys. So copies are never expanded into all pairs.
+3. Overlapping windows with shared keys make up a document's candidate passages. A key's rows
+   carry a byte for each shingle around its place. In order of document id, a row is compared
+   with the key's leaders so far by these alone, and is a leader itself unless nearly the same
+   as one: passages that share a key and little else go no further, before any text moves, and
+   copies meet their leader only. What is alike is compared in full; rows that are not linked
+   to their leader at the key's place are compared with all that are alike to that leader.
 4. A comparison finds the best matching stretch of both passages and verifies it: length,
    and exact Jaccard similarity of its shingles. It goes on with what is left of both.
 """
@@ -38,6 +40,9 @@ BANDS = 5
 CHUNK = 8 << 20
 SLICE = 1 << 20
 HELD = 4_000_000
+REACH = 22   # shingles to either side of a key's place that tell its surroundings
+FEW = 6      # shingles that one side has in common if a passage there is similar
+_KEY = np.dtype([("key", "<i8"), ("c1", "<i8"), ("c2", "<i8"), ("near", "u1", 2 * REACH + 1)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
@@ -208,6 +213,84 @@ def _send_keys(width: int, buckets: int):
     return run
 
 
+def _surroundings(s: Shingled, d: int, c: np.ndarray) -> np.ndarray:
+    """One byte (1 to 255) for each shingle up to REACH places before and after the places
+    ``c`` of text ``d``, 0 outside the text."""
+    at = c[:, None] + np.arange(-REACH, REACH + 1)
+    inside = (at >= s.begin[d]) & (at < s.begin[d + 1])
+    h = s.hash[np.clip(at, s.begin[d], s.begin[d + 1] - 1)]
+    return np.where(inside, (h >> np.uint64(33)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of surroundings ``a`` and ``b`` (one pair a row): whether a passage through the key's
+    place can be similar in both, and whether they are so alike that whatever is similar to the
+    one is alike to the other. ``a`` may be one row for all.
+
+    A passage of the least length reaches REACH places to one side at least. There it has few
+    shingles that the other lacks, so FEW in common is a bound that no similar pair is below;
+    loosely similar ones have the key's own shingles in common and little else."""
+    near, same = False, True
+    for side in (slice(0, REACH + 1), slice(REACH, 2 * REACH + 1)):
+        x, y = b[:, side], a[:, side]
+        common = ((x[:, :, None] == y[:, None, :]).any(axis=2) & (x > 0)).sum(axis=1)
+        near = near | (common >= FEW)
+        same = same & (common >= (x > 0).sum(axis=1) - FEW)
+    return near, near & same
+
+
+def _leaders(batches):
+    """Rows sorted by (key, doc, pid) -> pairs (key, a, b, ...) of a key's leaders with the rows
+    that are alike to them. A key's first row leads; each row meets the leaders so far and leads
+    from then on unless it is nearly the same as one of them. Copies thus meet their leader
+    only, rows that have no more than the key in common meet nobody."""
+    names = ("key", "pid", "doc", "c1", "c2")
+    held = None  # leaders of the last key
+    for batch in batches:
+        if not len(batch):
+            continue
+        col = {c: batch.column(c).to_numpy() for c in names}
+        near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.uint8).reshape(
+            -1, 2 * REACH + 1)
+        old = 0
+        if held is not None and held[0]["key"][0] == col["key"][0]:
+            old = len(held[1])
+            col = {c: np.concatenate((held[0][c], col[c])) for c in names}
+            near = np.concatenate((held[1], near))
+        n = len(near)
+        first = np.ones(n, dtype=bool)
+        first[1:] = col["key"][1:] != col["key"][:-1]
+        group = np.cumsum(first) - 1
+        left = np.arange(n)     # rows that still have to meet leaders
+        leads, out = [], []
+        while len(left):
+            g = group[left]
+            head = np.ones(len(left), dtype=bool)
+            head[1:] = g[1:] != g[:-1]
+            leader = left[head][np.cumsum(head) - 1]
+            leads.append(left[head])
+            rest = ~head
+            a, b = leader[rest], left[rest]
+            keep = np.ones(len(b), dtype=bool)
+            for lo in range(0, len(b), 4096):
+                x, y = a[lo:lo + 4096], b[lo:lo + 4096]
+                alike, same = _alike(near[x], near[y])
+                new = y >= old  # leaders of an earlier batch have met
+                keep[lo:lo + 4096] = ~(same & new)
+                alike = alike & new
+                out.append((x[alike], y[alike]))
+            left = b[keep]
+        if out:
+            a, b = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(col["key"][b]), pa.array(col["pid"][a]), pa.array(col["doc"][a]),
+                 pa.array(col["pid"][b]), pa.array(col["doc"][b]), pa.array(col["c1"][b]),
+                 pa.array(col["c2"][b])], names=["key", "a", "doc_a", "b", "doc_b", "c1", "c2"])
+        lead = np.sort(np.concatenate(leads))
+        lead = lead[group[lead] == group[-1]]
+        held = {c: col[c][lead] for c in names}, near[lead]
+
+
 def _candidates(width: int):
     """A chunk: candidate passages (kind 0) and their shared keys (kind 1), each with
     the two places of its window in the document."""
@@ -252,9 +335,13 @@ def _candidates(width: int):
                 pid = key[0].as_py() << 40 | len(out)
                 out.append((0, pid, ids[order[lo + d]], at, s.hash[begin[g]:end[g] + 1].tobytes()))
                 mine = slice(edges[g], edges[g + 1])
-                out.append((1, pid, ids[order[lo + d]], at, np.unique(np.stack(
-                    (h[mine].view(np.int64), c1[mine] - s.begin[d], c2[mine] - s.begin[d]), 1),
-                    axis=0).tobytes()))
+                own = np.unique(np.stack((h[mine].view(np.int64), c1[mine], c2[mine]), 1), axis=0)
+                rows = np.zeros(len(own), dtype=_KEY)
+                rows["key"], rows["c1"], rows["c2"] = own[:, 0], own[:, 1], own[:, 2]
+                rows["near"] = _surroundings(s, d, own[:, 1])
+                rows["c1"] -= s.begin[d]
+                rows["c2"] -= s.begin[d]
+                out.append((1, pid, ids[order[lo + d]], at, rows.tobytes()))
         if not out:
             return schema.empty_table()
         return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
@@ -285,7 +372,20 @@ def _starts(match: np.ndarray, width: int, need: float) -> np.ndarray:
     return np.flatnonzero(total[width:] - total[:-width] >= need)
 
 
-def _best_windows(a: np.ndarray, b: np.ndarray, in_b: np.ndarray, similarity: float, width: int):
+def _codes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both passages with small numbers for their shingles, and how many numbers there are."""
+    values, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    return code[:len(a)], code[len(a):], len(values)
+
+
+def _marked(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of the ``n`` numbers ``x`` holds."""
+    out = np.zeros(n, dtype=bool)
+    out[x] = True
+    return out
+
+
+def _best_windows(a, b, n: int, in_b: np.ndarray, similarity: float, width: int):
     """As ``verify``, over all pairs of runs of exactly ``width`` shingles: the most similar of
     the first stretch of ``a`` that has one."""
     need = width * 2 * similarity / (1 + similarity) - 1
@@ -295,8 +395,9 @@ def _best_windows(a: np.ndarray, b: np.ndarray, in_b: np.ndarray, similarity: fl
         end = int(np.searchsorted(starts, starts[at] + width))
         xs = starts[at:end]
         at = end
-        codes = np.intersect1d(a[xs[0]:xs[-1] + width], b)
-        ys = _starts(np.isin(b, codes), width, need)
+        shared = _marked(a[xs[0]:xs[-1] + width], n) & _marked(b, n)
+        codes = np.flatnonzero(shared)
+        ys = _starts(shared[b], width, need)
         best = None
         for lo in range(0, len(ys), 1024):
             part = ys[lo:lo + 1024]
@@ -315,6 +416,11 @@ def _best_windows(a: np.ndarray, b: np.ndarray, in_b: np.ndarray, similarity: fl
 
 
 def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
+    """``_verify`` of two passages' shingles."""
+    return _verify(*_codes(a, b), similarity, width)
+
+
+def _verify(a: np.ndarray, b: np.ndarray, n: int, similarity: float, width: int):
     """(similarity, begin a, end a, begin b, end b) of well matching runs of two passages'
     shingles, or None if no tried run is long and similar enough.
 
@@ -322,7 +428,7 @@ def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
     misses bridge a changed word, dear ones (up to none at all) cut off what matches loosely.
     Such a run neither starts nor ends on a miss, so it can be shorter than a passage that is
     similar enough. If none of them fits, all runs of ``width`` shingles are tried."""
-    in_b = np.isin(a, b)
+    in_b = _marked(b, n)[a]
     if in_b.sum() < width * 2 * similarity / (1 + similarity) - 1:  # too few in common
         return None
     base = similarity / (1 - similarity)
@@ -330,35 +436,35 @@ def verify(a: np.ndarray, b: np.ndarray, similarity: float, width: int):
         x1, x2 = _best_run(in_b, odds)
         if x2 - x1 < width:
             continue
-        y1, y2 = _best_run(np.isin(b, a[x1:x2]), odds)
-        x1, x2 = _best_run(np.isin(a, b[y1:y2]), odds)
+        y1, y2 = _best_run(_marked(a[x1:x2], n)[b], odds)
+        x1, x2 = _best_run(_marked(b[y1:y2], n)[a], odds)
         if min(x2 - x1, y2 - y1) < width:
             continue
-        p, q = np.unique(a[x1:x2]), np.unique(b[y1:y2])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        jaccard = both / (len(p) + len(q) - both)
+        p, q = _marked(a[x1:x2], n), _marked(b[y1:y2], n)
+        jaccard = int((p & q).sum()) / int((p | q).sum())
         if jaccard >= similarity:
             return jaccard, x1, x2, y1, y2
-    return _best_windows(a, b, in_b, similarity, width)
+    return _best_windows(a, b, n, in_b, similarity, width)
 
 
 def verify_all(a: np.ndarray, b: np.ndarray, similarity: float, width: int) -> list[tuple]:
     """Results of ``verify`` until nothing fits what is left: first stretches of ``a`` against
     the whole of ``b``, then those of ``b`` that no result holds against the whole of ``a``."""
     need = width * 2 * similarity / (1 + similarity)
+    a, b, n = _codes(a, b)
 
     def search(x, y, todo):
         found = []
         while todo:
             lo, hi = todo.pop()
-            got = verify(x[lo:hi], y, similarity, width) if hi - lo >= width else None
+            got = _verify(x[lo:hi], y, n, similarity, width) if hi - lo >= width else None
             if got is None:
                 continue
             j, x1, x2, y1, y2 = got
             found.append((j, lo + x1, lo + x2, y1, y2))
             # What matches goes. A run may hold some misses at either end, so neighbours keep
             # as many places of it.
-            hit = lo + x1 + np.flatnonzero(np.isin(x[lo + x1:lo + x2], y[y1:y2]))
+            hit = lo + x1 + np.flatnonzero(_marked(y[y1:y2], n)[x[lo + x1:lo + x2]])
             first, last = int(hit[0]), int(hit[-1])
             slack = min(int(width - need) + 1, (last - first) // 2)
             todo += [(lo, min(hi, first + slack)), (max(lo, last + 1 - slack), hi)]
@@ -387,11 +493,10 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Verified links between passages of different documents: ``doc_a``, ``doc_b``,
     ``similarity`` and the word ranges ``start_a`` .. ``end_b`` (ends exclusive).
 
-    Words are what ASCII white space parts, A-Z lower-cased. Each passage is linked to the one
-    of smallest document id among those that share a key with it and are similar enough, and,
-    where the first of them is not, to all others that are; every stretch that two compared
-    passages have in common is a link. Passages linked to the same one are not compared with
-    each other. Null and empty texts, and texts of
+    Words are what ASCII white space parts, A-Z lower-cased. Each passage is compared with the
+    leaders that it is alike to around a common key, and, where it is not linked to one there,
+    with all others alike to that leader; every stretch that two compared passages have in
+    common is a link. Passages linked to the same leader are not compared with each other. Null and empty texts, and texts of
     fewer than ``min_words`` words, have no passages. Rows with a null id take no part; rows
     that share an id are one document and are not linked to each other. An empty table gives
     no links. Texts of any length are handled whole.
@@ -413,16 +518,30 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passages = found.where("kind = 0").select("pid", "doc", "start", "body")
 
     def unpack(batches):
-        for pdf in batches:
-            h = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in pdf["body"]]
-            rows = np.concatenate(h) if h else np.zeros((0, 3), np.int64)
-            yield pd.DataFrame({"key": rows[:, 0], "c1": rows[:, 1], "c2": rows[:, 2],
-                                "pid": np.repeat(pdf["pid"].to_numpy(), [len(x) for x in h]),
-                                "doc": np.repeat(pdf["doc"].to_numpy(), [len(x) for x in h])})
-
-    keyed = found.where("kind = 1").select("pid", "doc", "body").mapInPandas(
-        unpack, "key long, c1 long, c2 long, pid long, doc long")
-    head = keyed.groupBy("key").agg(F.min(F.struct("doc", "pid")).alias("head"))
+        for batch in batches:
+            parts = [np.frombuffer(b, _KEY) for b in batch.column(2).to_pylist()]
+            if not parts:
+                continue
+            rows = np.concatenate(parts)
+            n = [len(x) for x in parts]
+            width_ = 2 * REACH + 1
+            at = np.arange(0, len(rows) * width_ + 1, width_, dtype=np.int32)
+            near = pa.Array.from_buffers(pa.binary(), len(rows), [
+                None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows["near"]))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(rows["key"])),
+                 pa.array(np.repeat(batch.column(0).to_numpy(), n)),
+                 pa.array(np.repeat(batch.column(1).to_numpy(), n)),
+                 pa.array(np.ascontiguousarray(rows["c1"])),
+                 pa.array(np.ascontiguousarray(rows["c2"])), near],
+                names=["key", "pid", "doc", "c1", "c2", "near"])
+
+    keyed = found.where("kind = 1").select("pid", "doc", "body").mapInArrow(
+        unpack, "key long, pid long, doc long, c1 long, c2 long, near binary")
+    # One shuffle of the keys: leaders and the rows alike to them.
+    stars = materialize(keyed.repartition("key").sortWithinPartitions("key", "doc", "pid").mapInArrow(
+        _leaders, "key long, a long, doc_a long, b long, doc_b long, c1 long, c2 long"),
+        "passages-stars")
 
     def check(batches):
         for pdf in batches:
@@ -442,29 +561,28 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                               F.col("start").alias("at_b"), F.col("body").alias("body_b"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(check, _LINKS)
 
-    to_head = keyed.join(head, "key").where(F.col("pid") != F.col("head.pid"))
-    stars = materialize(to_head.where(F.col("doc") != F.col("head.doc"))
-                        .select(F.col("head.pid").alias("a"), F.col("pid").alias("b"))
-                        .distinct(), "passages-stars")
-    first = materialize(verified(stars), "passages-first")
-    # Passages that fail against the head of a key meet all others of their keys. Those that
-    # are linked to it, but by other stretches than the key's, meet all others of that key, and
-    # so do further passages of the head's own document.
-    failed = materialize(stars.join(first.select("a", "b"), ["a", "b"], "left_anti")
-                         .select(F.col("b").alias("x")).distinct(), "passages-failed")
-    spans = first.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "start_b", "end_b")
-    astray = (to_head.join(spans, (F.col("head.pid") == F.col("sa")) & (F.col("pid") == F.col("sb"))
-                           & (F.col("start_b") <= F.col("c1"))
-                           & (F.col("c2") <= F.col("end_b") - SHINGLE), "left_anti")
-              .select("key", F.col("pid").alias("x"), F.col("doc").alias("dx")))
-    theirs = materialize(keyed.join(failed, F.col("pid") == F.col("x"))
-                         .select("key", "x", F.col("doc").alias("dx")).unionByName(astray)
-                         .distinct(), "passages-failed-keys")
-    rest = materialize(keyed.join(theirs, "key").where("doc <> dx")
-                       .select(F.least("x", "pid").alias("a"), F.greatest("x", "pid").alias("b"))
-                       .distinct(), "passages-rest")
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.join(done, ["a", "b"], "left_anti")
+    def pairs(df: DataFrame) -> DataFrame:
+        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    todo = materialize(pairs(stars.where("doc_a <> doc_b")), "passages-pairs")
+    first = materialize(verified(todo), "passages-first")
+    # A row that is not linked to its leader by a stretch that holds the key's place (or lies in
+    # the leader's own document) meets all others that are alike to that leader.
+    sides = first.select("a", "b", "start_b", "end_b").unionByName(
+        first.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("start_a").alias("start_b"),
+                     F.col("end_a").alias("end_b"))).select(
+        F.col("a").alias("sa"), F.col("b").alias("sb"), "start_b", "end_b")
+    astray = materialize(
+        stars.join(sides, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb"))
+                   & (F.col("start_b") <= F.col("c1")) & (F.col("c2") <= F.col("end_b") - SHINGLE),
+                   "left_anti")
+        .select("key", F.col("a").alias("lead"), F.col("b").alias("x"), F.col("doc_b").alias("dx"))
+        .distinct(), "passages-astray")
+    others = stars.select("key", F.col("a").alias("lead"), F.col("b").alias("y"),
+                          F.col("doc_b").alias("dy"))
+    rest = pairs(astray.join(others, ["key", "lead"]).where("dx <> dy").select(
+        F.col("x").alias("a"), F.col("y").alias("b")))
+    rest = materialize(rest.join(todo, ["a", "b"], "left_anti"), "passages-rest")
     return first.unionByName(verified(rest)).drop("a", "b")
 
 
@@ -473,7 +591,12 @@ def passage_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per id: ``class_id`` (smallest id reachable over links, itself included),
     ``n_links`` (documents at the other end of a link of ``near_passages``), ``partner``
     (smallest id at the other end of a link) and ``spans`` (word ranges of its linked passages,
-    merged, as start and end). An id without links is its own class."""
+    merged, as start and end). An id without links is its own class.
+
+    Null and empty texts have no passages and are their own class; rows without an id get no
+    row; rows that share an id are one document. Ties: classes and partners are smallest ids.
+    Texts of any length are read whole. An empty table gives an empty result; other columns are
+    not read, whatever their names."""
     links = materialize(near_passages(docs, id_col, text_col, min_words, similarity),
                         "passages-links")
     sides = links.select(F.col("doc_a").alias("d"), F.col("doc_b").alias("o"),

@@ -39,7 +39,7 @@ SHINGLE = 5
 BANDS = 5
 CHUNK = 8 << 20
 SLICE = 1 << 20
-HELD = 4_000_000
+HELD = 1_000_000
 REACH = 22   # shingles to either side of a key's place that tell its surroundings
 FEW = 6      # shingles that one side has in common if a passage there is similar
 _KEY = np.dtype([("key", "<i8"), ("c1", "<i8"), ("c2", "<i8"), ("near", "u1", 2 * REACH + 1)])

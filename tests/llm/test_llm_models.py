@@ -178,6 +178,45 @@ def test_licenses(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_labels_and_scores_equal_brute_force(spark):
+    """The method's own labels and scores: every template tried at every word."""
+    import math
+
+    from rivulet.llm.licenses import BASE, TEMPLATES, scan, summary
+    rng = random.Random(13)
+    notices = [t for _, t, _ in TEMPLATES]
+    rows = [(i, t) for i, t in LICENCES]
+    for i in range(60):
+        w = rng.choice(notices).split()
+        cut = w[rng.randrange(3):len(w) - rng.randrange(3)]
+        if rng.random() < .4:
+            cut[rng.randrange(len(cut))] = "other"
+        rows.append((200 + i, " ".join(["lead"] * rng.randrange(4) + cut + rng.choice(notices).split())))
+    texts = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for _, t in rows]
+    kinds = [(lab, p, [p]) for lab, p in BASE] + list(TEMPLATES)
+    known = {w for _, t, _ in kinds for w in t.split()}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in t for t in texts) + 1)) + 1e-3 for w in known}
+    want = Counter()
+    for (i, _), w in zip(rows, texts):
+        found = {}
+        for lab, template, phrases in kinds:
+            t = template.split()
+            keys = set()
+            for phrase in phrases:
+                p = phrase.split()
+                at = next(k for k in range(len(t)) if t[k:k + len(p)] == p)
+                keys |= set(range(at, at + len(p)))
+            for start in range(-len(t), len(w) + 1):
+                word = lambda k: w[start + k] if 0 <= start + k < len(w) else None
+                if all(word(k) == t[k] for k in keys):
+                    got = sum(idf[t[k]] for k in range(len(t)) if word(k) == t[k])
+                    score = min(1.0, got / sum(idf[x] for x in t))
+                    found[lab] = max(found.get(lab, 0), score)
+        want[(i, ",".join(sorted(found)), round(max(found.values(), default=0.0), 9))] += 1
+    out = summary(scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in out) == want
+
+
 def test_standard_license_notices(spark):
     from rivulet.llm.licenses import scan, summary
     gpl = ("it under the terms of the GNU General Public License as published by\n"
@@ -273,6 +312,47 @@ def test_all_passages_of_a_pair_are_linked(spark):
             (11, at[11][1], 12, at[12][1])} <= links
 
 
+def test_loose_boilerplate_in_a_third_of_the_documents(spark):
+    """Every third document holds a notice that is filled in differently each time, so that its
+    key phrases meet everywhere; only the planted copies are similar enough. Classes, partners
+    and spans equal what comparing all pairs of notices in full gives."""
+    from rivulet.llm import passages
+    rng = random.Random(31)
+    text = lambda n: [f"{rng.randrange(1 << 40):x}" for _ in range(n)]
+    notice = text(70)
+
+    def filled():
+        out = list(notice)
+        for at in range(3, 70, 9):      # eight words of their own, so about half the shingles
+            out[at] = text(1)[0]
+        return out
+
+    notices = {3 * i: filled() for i in range(40)}
+    for i in range(0, 20, 2):           # copies of some, one word changed
+        copy = list(notices[3 * i])
+        copy[30] = "changed"
+        notices[3 * (i + 60)] = copy
+    rows, at = [], {}
+    for i in sorted(set(range(120)) | set(notices)):
+        w = text(rng.randint(5, 40))
+        at[i] = len(w)
+        rows.append((i, " ".join(w + notices.get(i, []) + text(30))))
+    shingles = {i: {tuple(w[k:k + 5]) for k in range(66)} for i, w in notices.items()}
+    want = {(a, b) for a in notices for b in notices if a < b
+            and len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8}
+    assert want == {(3 * i, 3 * (i + 60)) for i in range(0, 20, 2)}
+    out = {r["doc_id"]: r for r in passages.passage_groups(
+        spark.createDataFrame([(*r, "x", 1) for r in rows],
+                              "doc_id long, text string, key string, node int")).collect()}
+    linked = {i: o for a, b in want for i, o in ((a, b), (b, a))}
+    assert set(out) == {i for i, _ in rows}
+    for i, r in out.items():
+        assert r["class_id"] == min(i, linked.get(i, i))
+        assert (r["n_links"], r["partner"]) == ((1, linked[i]) if i in linked else (0, None))
+        assert [(s["start"], s["end"]) for s in r["spans"]] == (
+            [(at[i], at[i] + 70)] if i in linked else [])
+
+
 def test_passages_recall_near_the_threshold(spark):
     """1500 pairs of 50-word passages with one changed word (similarity 41/51): fewer than one
     in two hundred is missed."""

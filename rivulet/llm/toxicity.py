@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import binary_text, fold, materialize
 
 MAX_TRAIN = 20_000     # labelled rows that fit the models
-MAX_TERMS = 400        # lexicon entries
+MAX_TERMS = 400        # lexicon entries, from 50 times as many candidates: size of the model
 MIN_CONTEXTS = 4       # different neighbours that a lexicon entry must be seen with
 MIN_SHARE = 0.9        # of its rows that must be toxic
 MIN_LIFT = 20          # times as likely in a toxic row as in a clean one
@@ -266,7 +266,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per input row: ``id_col``, ``held_out`` (crc32 of the id modulo ``folds`` is 0),
     ``score``, ``predicted`` (1 if score >= 0.5). Labels of held-out rows are never read. Empty
     and null texts get the score of a text without hits; repeated rows the same score each.
-    An empty table gives no rows, an empty label table the same low score for every row."""
+    Texts are read whole, however long, and ties in the lexicon go to the term that sorts first.
+    Rows without an id are scored, and never learned from. Other columns are not read, whatever
+    their names. An empty table gives no rows, an empty label table the same low score for every
+    row. The lexicon holds at most ``MAX_TERMS`` entries, a bound of the model like
+    ``MAX_TRAIN``: of more candidates those in most toxic rows are kept."""
     train = labels.where(fold(id_col, folds) != 0)
     model = fit(docs, train, id_col, text_col)
     return docs.select(id_col, (fold(id_col, folds) == 0).alias("held_out"),
@@ -276,6 +280,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                text_col: str = "text", folds: int = 5) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, all columns."""
+    """The rows of ``docs`` that score below 0.5, all columns. Nulls, long texts, ties, repeated
+    rows and empty tables as in ``toxicity``; every row is judged by its own text."""
     model = fit(docs, labels.where(fold(id_col, folds) != 0), id_col, text_col)
     return docs.where(scored(docs, model, text_col) < 0.5)

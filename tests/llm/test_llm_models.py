@@ -440,3 +440,58 @@ def test_top_k(spark):
     assert top_k(d.where("vec_id = 50")).count() == 0
     two = top_k(d.where("vec_id in (50, 51)")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in two] == [(50, 1, 51)]
+
+
+def brute_top(v, k=5):
+    """(query, rank, id, score) over whole-number vectors by id."""
+    return [(q, n + 1, c, -s) for q in sorted(v) if q % 50 == 0
+            for n, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:k])]
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.3])
+def test_top_k_prunes_clusters(spark, monkeypatch, spread):
+    """Clusters of differing lengths: the answer of a full search, from a part of the annuli."""
+    from rivulet.llm import topk
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (30, 16)) * rng.uniform(0.3, 2, (30, 1))
+    rows = {i: (centres[i % 30] + rng.normal(0, spread, 16)).astype(np.float32) for i in range(3000)}
+    rows[100] = np.zeros(16, dtype=np.float32)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()],
+                              "vec_id long, embedding array<float>")
+    seen, plain = [], topk._reached
+
+    def counted(rays, pages, slack):
+        out = plain(rays, pages, slack)
+        seen.append((out.select("query_id", "block").distinct().count(),
+                     pages.selectExpr("sum(size(annuli))").first()[0]))
+        return out
+
+    monkeypatch.setattr(topk, "_reached", counted)
+    got = [tuple(r) for r in topk.top_k(d).orderBy("query_id", "rank").collect()]
+    assert got == brute_top({i: np.floor(256 * x.astype(float)) for i, x in rows.items()})
+    pairs, annuli = seen[-1]
+    assert pairs < 0.5 * 60 * annuli
+
+
+def test_top_k_pages(spark, monkeypatch):
+    """Many annuli around one pivot, in pages of two."""
+    from rivulet.llm import topk
+    monkeypatch.setattr(topk, "PAGE", 1)
+    rng = np.random.default_rng(9)
+    rows = {i: rng.normal(0, 0.3, 4).astype(np.float32) for i in range(6000)}
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in rows.items()],
+                              "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.top_k(d, pivots=2).orderBy("query_id", "rank").collect()]
+    assert got == brute_top({i: np.floor(256 * x.astype(float)) for i, x in rows.items()})
+
+
+def test_top_k_query_of_two_vectors(spark):
+    from rivulet.llm.topk import top_k
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(0, 0.3, 4).astype(np.float32).tolist()) for i in range(51, 400)]
+    rows += [(50, [0.5, 0.0, 0.0, 0.0]), (50, [0.0, 0.5, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["score"]) for r in top_k(d).where("query_id = 50").orderBy("rank").collect()]
+    whole = [(i, np.floor(256 * np.array(x, dtype=np.float32).astype(float))) for i, x in rows]
+    want = sorted((-int(q @ v), i) for j, q in whole if j == 50 for i, v in whole if i != 50)[:5]
+    assert got == [(i, -s) for s, i in want]

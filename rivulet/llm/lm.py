@@ -5,11 +5,11 @@ own; the others fall into classes by their ending, within which a word has its s
 A log-bilinear model (Mnih and Hinton, 2007) over classes predicts each token from the two
 before it: the context vectors, each through a matrix of its place, are added and multiplied
 with every class's vector. It is trained in numpy with noise-contrastive estimation (Mnih and
-Teh, 2012): each task trains on all training tokens it reads, from the same start, and the
-parameters are averaged by tokens. Scores are normalised: because the model is bilinear, the
+Teh, 2012): each chunk of documents trains on all its training tokens, from the same start, and
+the parameters are averaged by tokens. Scores are normalised: because the model is bilinear, the
 normalisers of all contexts are one matrix product.
 
-Documents are handled in chunks by a hash of the id. A chunk sends each of its words once with
+Documents are handled in chunks by a hash of id and text. A chunk sends each of its words once with
 its count, words are summed by a hash of the word, and each chunk gets back the totals of its
 own words. Nothing that grows with the corpus is held in one task or on the driver.
 """
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ SAMPLE = 64         # noise tokens drawn for a batch
 BATCH = 8192        # distinct (context, token) events of a batch
 RATE = 0.15
 SMOOTH = 0.1
-SUMS = 64           # groups in which the tasks' parameters are added up
+SUMS = 64           # groups in which the chunks' parameters are added up
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -204,8 +203,11 @@ def _contexts(ids: np.ndarray, first: np.ndarray, start: int):
 
 
 def _learn(classes):
-    """Task: parameters trained on the training texts it reads, with their tokens."""
-    def run(batches):
+    """A chunk: parameters trained on its training texts, with their tokens. Events are counted
+    and sorted before training, so the order of the rows does not matter."""
+    schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())])
+
+    def run(key, rows):
         c, m = classes.value, classes.value.start + 1
         seen, known = [], {}
         keys = np.zeros(0, np.int64)
@@ -217,40 +219,41 @@ def _learn(classes):
             counts = np.bincount(place, np.concatenate([counts, *(n for _, n in seen)])).astype(np.int64)
             seen = []
 
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                ids, sizes = [], []
-                for t in pdf["__t"].iloc[at:at + 500]:
-                    words = words_of(t)
-                    for w in words:
-                        i = known.get(w)
-                        if i is None:
-                            i = c.of(w)
-                            if len(known) < 400_000:  # a memo, not a limit
-                                known[w] = i
-                        ids.append(i)
-                    ids.append(c.end)
-                    sizes.append(len(words) + 1)
-                ids = np.array(ids, dtype=np.int64)
-                first = np.cumsum(sizes) - np.array(sizes)
-                before, last = _contexts(ids, first, c.start)
-                seen.append(np.unique((before * m + last) * m + ids, return_counts=True))
-                if sum(len(k) for k, _ in seen) > 1_500_000:
-                    merge()
+        column = rows.column("__t")
+        for at in range(0, len(column), 500):
+            ids, sizes = [], []
+            for t in column.slice(at, 500).to_pylist():
+                words = words_of(t)
+                for w in words:
+                    i = known.get(w)
+                    if i is None:
+                        i = c.of(w)
+                        if len(known) < 400_000:  # a memo, not a limit
+                            known[w] = i
+                    ids.append(i)
+                ids.append(c.end)
+                sizes.append(len(words) + 1)
+            ids = np.array(ids, dtype=np.int64)
+            first = np.cumsum(sizes) - np.array(sizes)
+            before, last = _contexts(ids, first, c.start)
+            seen.append(np.unique((before * m + last) * m + ids, return_counts=True))
+            if sum(len(k) for k, _ in seen) > 1_500_000:
+                merge()
+        if not seen and not len(keys):
+            return schema.empty_table()
         if seen:
             merge()
-        if len(keys):
-            events = np.stack([keys // (m * m), keys // m % m, keys % m], axis=1)
-            task = TaskContext.get().partitionId()
-            flat = _pack(train(events, counts, c, task)) * counts.sum()
-            yield pd.DataFrame({"part": [task % SUMS], "n": [int(counts.sum())],
-                                "sums": [flat.tobytes()]})
+        events = np.stack([keys // (m * m), keys // m % m, keys % m], axis=1)
+        chunk = key[0].as_py()
+        flat = _pack(train(events, counts, c, chunk)) * counts.sum()
+        return pa.table([[chunk], [int(counts.sum())], [flat.tobytes()]], schema=schema)
     return run
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    flat = sum(np.frombuffer(s) for s in pdf["sums"])
-    return pd.DataFrame({"part": [0], "n": [int(pdf["n"].sum())], "sums": [flat.tobytes()]})
+def _add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the chunks' parameters, always added up in the same order."""
+    flat = sum(np.frombuffer(s) for s in pdf.sort_values("chunk")["sums"])
+    return pd.DataFrame({"part": [key[0]], "n": [int(pdf["n"].sum())], "sums": [flat.tobytes()]})
 
 
 # -- scoring -----------------------------------------------------------------------------
@@ -309,13 +312,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are one end token. Repeated rows count and are scored each; a null id
     counts as the empty text in the fold. Without training rows every count is zero and the
-    model stays at its start. An empty table gives no rows. Long texts are read whole.
+    model stays at its start. An empty table gives no rows. Long texts are read whole. Rows are
+    dealt out by id and text, so rows without an id don't meet in one task, and scores depend
+    neither on the files a table lies in nor on the order of its rows; the number of chunks
+    follows from the bytes of its texts.
     """
     spark = docs.sparkSession
     parts = max(1, -(-text_bytes(docs, text_col) // chunk_bytes))
     src = docs.select(id_col, (fold(id_col, folds) == 0).alias("__held"),
                       binary_text(text_col).alias("__t"),
-                      F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("__chunk"))
+                      F.pmod(F.xxhash64(F.col(id_col), binary_text(text_col)), F.lit(parts))
+                      .alias("__chunk"))
     counted = src.select("__held", "__t", "__chunk").groupBy("__chunk").applyInArrow(
         _count(parts), "bucket long, chunk long, words binary, counts binary")
     totals = materialize(counted.groupBy("bucket").applyInPandas(
@@ -338,10 +345,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       distinct, total, vocabulary)
 
     carried = spark.sparkContext.broadcast(classes)  # some hundred words
-    learned = (src.where(~F.col("__held")).select("__t")
-               .mapInPandas(_learn(carried), "part int, n long, sums binary"))
-    added = materialize(learned.groupBy("part").applyInPandas(
-        _add, "part int, n long, sums binary"), "lm-parameters").toPandas()  # SUMS rows at most
+    learned = src.where(~F.col("__held")).select("__chunk", "__t").groupBy("__chunk").applyInArrow(
+        _learn(carried), "chunk long, n long, sums binary")
+    added = materialize(learned.groupBy((F.col("chunk") % SUMS).alias("part")).applyInPandas(
+        _add, "part long, n long, sums binary"), "lm-parameters").toPandas()  # SUMS rows at most
+    added = added.sort_values("part")
     params = _start(classes)
     if len(added):
         flat = sum(np.frombuffer(s) for s in added["sums"]) / added["n"].sum()

@@ -495,3 +495,73 @@ def test_top_k_query_of_two_vectors(spark):
     whole = [(i, np.floor(256 * np.array(x, dtype=np.float32).astype(float))) for i, x in rows]
     want = sorted((-int(q @ v), i) for j, q in whole if j == 50 for i, v in whole if i != 50)[:5]
     assert got == [(i, -s) for s, i in want]
+
+
+def lm_docs():
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(common + [f"x{i}y{j}" for j in range(3)], k=rng.randint(0, 60)))
+             for i in range(500)]
+    rows = list(enumerate(texts)) + [(600, None), (601, ""), (None, "c1 C2"), (None, texts[7]),
+                                     (8, texts[8]), (602, "c3\tc4 \n" * 3000)]
+    return [(i, t, "x") for i, t in rows]
+
+
+def test_lm_scores_do_not_depend_on_layout(spark):
+    from rivulet.llm.lm import lm_scores
+    d = spark.createDataFrame(lm_docs(), "doc_id long, text string, words string")
+
+    def scores(df):
+        return sorted(map(tuple, lm_scores(df, chunk_bytes=8000).drop("base_score").na.fill(
+            -1, ["doc_id"]).collect()))
+
+    assert scores(d.coalesce(1)) == scores(d.orderBy(d["text"].desc()).repartition(7))
+
+
+def test_lm_score_against_plain_sums(spark):
+    """Training events counted and tokens scored one by one, with softmax in full."""
+    from rivulet.llm import lm
+    rows = lm_docs()
+    d = spark.createDataFrame(rows, "doc_id long, text string, words string")
+    got = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in
+                  lm.lm_scores(d, chunk_bytes=1 << 30).collect())
+
+    def held(i):
+        return zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+
+    tokens = [(i, (t or "").lower().split()) for i, t, _ in rows]
+    count = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    ends = sum(not held(i) for i, _ in tokens)
+    own = sorted(count, key=lambda w: (-count[w], w.encode()))[:lm.VOCABULARY]
+    rest, kinds = Counter(), Counter()
+    for w in set(count) - set(own):
+        rest[lm.ending(w.encode())] += count[w]
+        kinds[lm.ending(w.encode())] += 1
+    c = lm.Classes({w.encode(): k for k, w in enumerate(own)},
+                   np.array([count[w] for w in own] + [ends]
+                            + [rest[k] for k in range(lm.ENDINGS)], dtype=float),
+                   np.array([kinds[k] for k in range(lm.ENDINGS)]),
+                   sum(count.values()) + ends, len(count) + 1)
+    events = Counter()
+    sequences = []
+    for i, ws in tokens:
+        ids = [c.of(w.encode()) for w in ws] + [c.end]
+        sequences.append((i, ws, ids))
+        if not held(i):
+            for n, k in enumerate(ids):
+                events[(ids[n - 2] if n > 1 else c.start, ids[n - 1] if n else c.start, k)] += 1
+    keys = sorted(events)
+    p = lm.train(np.array(keys), np.array([events[k] for k in keys]), c, 0)
+    want = Counter()
+    for i, ws, ids in sequences:
+        total = 0.0
+        for n, k in enumerate(ids):
+            h = (p["r"][ids[n - 1] if n else c.start] @ p["c1"]
+                 + p["r"][ids[n - 2] if n > 1 else c.start] @ p["c2"])
+            z = p["q"] @ h + p["b"]
+            total += z[k] - z.max() - math.log(np.exp(z - z.max()).sum())
+            if k > c.end:
+                total += math.log((count[ws[n]] + lm.SMOOTH) / (
+                    c.tokens[k] + lm.SMOOTH * (c.distinct[k - c.end - 1] + 1)))
+        want[(i, len(ids), round(total / math.log(10), 6))] += 1
+    assert got == want

@@ -1,10 +1,12 @@
 """Exact duplicates: group by a 128-bit content hash, compare bytes inside the groups.
 
-DataFrame operations only. Texts are grouped on (MD5, SHA-256, bytes): the hash values deal
-rows out, the bytes as the last grouping key make equal texts meet and differing texts part
-even if a hash collides. Copies combine map-side, so a group that holds a third of all rows
-sends one row per input partition. Rows then look up their group by the two hashes; that join
-carries no text and its hot keys are splittable by adaptive execution.
+DataFrame operations only. Rows are first counted by their hash (MD5), which moves no text and
+combines map-side. Only rows whose hash occurs twice or more are then grouped on (MD5, SHA-256,
+bytes): the hash values deal rows out, the bytes as the last grouping key make equal texts meet
+and differing texts part even if a hash collides. Copies combine map-side here too, so a group
+that holds a third of all rows sends one row per input partition. Rows then look up their group
+by the two hashes, where they have one; that join carries no text and its hot keys are
+splittable by adaptive execution.
 """
 
 from __future__ import annotations
@@ -32,11 +34,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("__id"), _norm(text_col).alias("__text")).select(
         "__id", "__text", F.unhex(F.md5("__text")).alias("__h128"),
         F.sha2("__text", 256).alias("text_sha256"))
-    groups = (rows.groupBy("__h128", "text_sha256", "__text")
+    # Written, so that its size is known: while it is small, texts are filtered in place.
+    again = materialize(rows.groupBy("__h128").agg(F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").select("__h128"), "exact-again")
+    groups = (rows.join(again, "__h128", "left_semi").groupBy("__h128", "text_sha256", "__text")
               .agg(F.count(F.lit(1)).alias("group_size"), pick("__id").alias("keep_id"))
               .drop("__text"))
     return (rows.select("__id", "__h128", "text_sha256")
-            .join(groups, ["__h128", "text_sha256"])
+            .join(groups, ["__h128", "text_sha256"], "left")
+            .select("__id", F.when(F.col("group_size").isNull(), F.col("__id"))
+                    .otherwise(F.col("keep_id")).alias("keep_id"),
+                    F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+                    "text_sha256")
             .select("__id", "keep_id", "group_size",
                     F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +100,11 @@ def slices(texts, max_bytes: int):
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def free_memory() -> None:
+    """Give memory that a task no longer uses back to the system: a Python worker lives on for
+    later stages and would keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

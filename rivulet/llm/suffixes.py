@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import binary_text, materialize, slices, text_bytes
+from rivulet.llm.common import binary_text, free_memory, materialize, slices, text_bytes
 from rivulet.session import delete_path
 
 GRAM = 24               # bytes of an anchor
 CHUNK = 8 << 20         # bytes of text of a chunk, and of text a range answers for
-SLICE = 2 << 20         # bytes handled at once by array operations
-HELD = 4_000_000        # anchors that a task holds before it sends them
+SLICE = 256 << 10       # bytes handled at once by array operations: what a core's cache holds
+HELD = 1_000_000        # anchors that a task holds before it sends them
 SAMPLE = 20_000         # leading strings that the splitters are taken from, at most
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -169,34 +169,45 @@ def _chunk(ids: list, texts: list[bytes], shared: np.ndarray, min_len: int):
     return known, found
 
 
+def packed_hashes(held: list, buckets: int) -> pd.DataFrame:
+    """(bucket, chunk, hashes, twice) rows of ``held`` (chunk, document, hash) arrays, each hash
+    once a chunk; ``twice`` marks those of several documents."""
+    chunk, doc, h = (np.concatenate(x) for x in zip(*held))
+    bucket = (h % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+    # By hash, then twice in stable order by small numbers: by bucket, chunk and hash.
+    order = np.argsort(h)
+    order = order[np.argsort(chunk[order], kind="stable")]
+    order = order[np.argsort(bucket[order], kind="stable")]
+    bucket, chunk, doc, h = bucket[order], chunk[order], doc[order], h[order]
+    del order
+    part = np.ones(len(h), dtype=bool)
+    part[1:] = (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])
+    new = part.copy()
+    new[1:] |= h[1:] != h[:-1]
+    other = np.zeros(len(h), dtype=bool)
+    other[1:] = ~new[1:] & (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    twice = np.logical_or.reduceat(other, first)
+    bucket, chunk, h, part = bucket[first], chunk[first], h[first], part[first]
+    edges = np.append(np.flatnonzero(part), len(h))
+    spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return pd.DataFrame({"bucket": bucket[edges[:-1]].astype(np.int64),
+                         "chunk": chunk[edges[:-1]].astype(np.int64),
+                         "hashes": [h[x:y].tobytes() for x, y in spans],
+                         "twice": [np.packbits(twice[x:y]).tobytes() for x, y in spans]})
+
+
 def _send_anchors(min_len: int, buckets: int):
-    """Task of step 1: (bucket, chunk, hashes, twice) rows, each hash once a chunk and send;
-    ``twice`` marks those of several documents. Rows of bucket -1 hold sampled leads."""
-    def flush(held):
-        chunk, doc, h = (np.concatenate(x) for x in zip(*held))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc, h, chunk, bucket))
-        bucket, chunk, doc, h = bucket[order], chunk[order], doc[order], h[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
-        twice = doc[first] != doc[last]
-        bucket, chunk, h = bucket[first], chunk[first], h[first]
-        cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-        edges = np.concatenate(([0], cut, [len(h)]))
-        b = edges[:-1]
-        return pd.DataFrame({
-            "bucket": bucket[b], "chunk": chunk[b],
-            "hashes": [h[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])],
-            "twice": [np.packbits(twice[x:y]).tobytes() for x, y in zip(edges[:-1], edges[1:])]})
+    """Task of step 1: ``packed_hashes`` of the anchors, each hash once a chunk and send. Rows
+    of bucket -1 hold sampled leads."""
+    small = np.min_scalar_type(buckets)
 
     def run(batches):
         held, size, docs, leads = [], 0, 0, []
         for pdf in batches:
-            order = np.argsort(pdf["chunk"].to_numpy(), kind="stable")
-            texts = [pdf["t"].iat[i] for i in order]
-            chunks = pdf["chunk"].to_numpy()[order]
+            chunks = pdf["chunk"].to_numpy().astype(small)
+            order = np.argsort(chunks, kind="stable")
+            texts, chunks = pdf["t"].to_numpy()[order].tolist(), chunks[order]
             for lo, hi in slices(texts, SLICE):
                 a = Anchored(texts[lo:hi], min_len)
                 if not len(a.at):
@@ -209,14 +220,16 @@ def _send_anchors(min_len: int, buckets: int):
                            a.text[a.at[i]:a.at[i] + GRAM])
                           for i in range(0, len(a.at), max(1, len(a.at) // 16))]
                 if size >= HELD:
-                    yield flush(held)
+                    yield packed_hashes(held, buckets)
                     held, size = [], 0
         if held:
-            yield flush(held)
+            yield packed_hashes(held, buckets)
+            held = []
         if leads:
             leads = sorted(leads)[:SAMPLE // 16]
             yield pd.DataFrame({"bucket": -1, "chunk": [k for k, _ in leads],
                                 "hashes": [v for _, v in leads], "twice": b""})
+        free_memory()
     return run
 
 
@@ -258,6 +271,7 @@ def _send_stretches(min_len: int, splitters: list[bytes]):
     schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        free_memory()  # the last chunk's
         order, ids, texts, shared, _ = _load(left, right)
         if not texts or not len(shared):
             return schema.empty_table()
@@ -274,8 +288,10 @@ def _send_stretches(min_len: int, splitters: list[bytes]):
                 struct.pack("<q", len(rows)) + np.array(numbers, "<i4").tobytes()
                 + np.array(owners, "<i8").tobytes()
                 + np.array([len(c) for c in contents], "<i4").tobytes() + b"".join(contents), 1))
-        chunk = key[0].as_py()
-        return pa.table([list(by), [chunk] * len(by), out], schema=schema)
+        chunk, to = key[0].as_py(), list(by)
+        del known, by
+        free_memory()
+        return pa.table([to, [chunk] * len(to), out], schema=schema)
     return run
 
 
@@ -372,6 +388,7 @@ def _answer(min_len: int):
 def _cut(min_len: int, carry: list[str], whole_chars: bool):
     """Step 3, a chunk: what is left of each text, and the removed spans."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        free_memory()  # the last chunk's
         order, ids, texts, shared, answers = _load(left, right)
         known, found = _chunk(ids, texts, shared, min_len) if len(shared) else ({}, [()] * len(texts))
         # Answers by number: one id, or runs of (first window, id).
@@ -416,6 +433,8 @@ def _cut(min_len: int, carry: list[str], whole_chars: bool):
             starts.append([s for s, _ in spans])
             ends.append([e for _, e in spans])
         rows = left.take(pa.array(order, type=pa.int64()))
+        del known, found, reply
+        free_memory()
         return pa.table([rows.column(c) for c in carry]
                         + [pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()),
                            pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))],

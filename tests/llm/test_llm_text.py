@@ -332,3 +332,60 @@ def test_empty_tables(spark, empty):
                remove_repeats(empty), digests(empty, vocabulary("byte_bpe_50k.tiktoken")),
                pack(empty, vocabulary("byte_bpe_50k.json"))):
         assert df.count() == 0
+
+
+def _peak_mb(run) -> float:
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def _noise(n, size, letters, seed):
+    import pandas as pd
+    rng = np.random.default_rng(seed)
+    texts = [letters[rng.integers(0, len(letters), size)].tobytes() for _ in range(n)]
+    return pd.DataFrame({"chunk": np.arange(n) % 4, "t": texts})
+
+
+def test_packed_hashes():
+    from rivulet.llm.suffixes import packed_hashes
+    rng = np.random.default_rng(5)
+    held = [(rng.integers(0, 7, n).astype(np.uint8), rng.integers(0, 90, n),
+             rng.integers(0, 300, n).astype(np.uint64)) for n in (900, 1, 2000)]
+    want = {}
+    for part in held:
+        for chunk, doc, h in zip(*(x.tolist() for x in part)):
+            want.setdefault((h % 7, chunk), {}).setdefault(h, set()).add(doc)
+    got = packed_hashes(held, 7)
+    assert [*zip(got["bucket"], got["chunk"])] == sorted(want)
+    for bucket, chunk, hashes, twice in got.itertuples(index=False):
+        docs = want[bucket, chunk]
+        h = np.frombuffer(hashes, np.uint64).tolist()
+        assert h == sorted(docs)
+        bits = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(h)).tolist()
+        assert bits == [len(docs[x]) > 1 for x in h]
+
+
+def test_anchor_task_holds_little_memory():
+    from rivulet.llm.suffixes import _send_anchors
+    pdf = _noise(6000, 2000, np.frombuffer(b"abcdefghijklmnop", np.uint8), 1)
+    run = _send_anchors(50, 4)
+    assert _peak_mb(lambda: sum(len(x) for x in run(iter([pdf])))) < 90
+
+
+def test_array_operations_of_chunks_fit_the_cache():
+    from rivulet.llm.suffixes import _chunk
+    texts = _noise(3000, 2000, np.frombuffer(b"abcdefghijklmnop", np.uint8), 2)["t"].tolist()
+    none = np.zeros(0, np.uint64)
+    assert _peak_mb(lambda: _chunk(list(range(len(texts))), texts, none, 50)) < 40
+
+
+def test_key_task_holds_little_memory():
+    from rivulet.llm.passages import _send_keys
+    pdf = _noise(300, 4000, np.frombuffer(b"abcdefg  ", np.uint8), 3)
+    run = _send_keys(46, 4)
+    assert _peak_mb(lambda: sum(len(x) for x in run(iter([pdf])))) < 25

@@ -40,6 +40,7 @@ GRAM = 24               # bytes of an anchor
 CHUNK = 8 << 20         # bytes of text of a chunk, and of text a range answers for
 SLICE = 256 << 10       # bytes handled at once by array operations: what a core's cache holds
 HELD = 1_000_000        # anchors that a task holds before it sends them
+LEAD = 8192             # anchors for each leading string that is sampled
 SAMPLE = 20_000         # leading strings that the splitters are taken from, at most
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than any other
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -218,7 +219,7 @@ def _send_anchors(min_len: int, buckets: int):
                 size += len(a.at)
                 leads += [(int(a.hash[i]) * 0x9E3779B97F4A7C15 % (1 << 63),
                            a.text[a.at[i]:a.at[i] + GRAM])
-                          for i in range(0, len(a.at), max(1, len(a.at) // 16))]
+                          for i in range(0, len(a.at), LEAD)]
                 if size >= HELD:
                     yield packed_hashes(held, buckets)
                     held, size = [], 0

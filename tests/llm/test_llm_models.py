@@ -403,6 +403,41 @@ def test_verify_finds_what_brute_force_finds():
     assert linked > 100
 
 
+def test_candidates_of_repeated_lines_are_small():
+    """A line that a text repeats 300 times gives its keys a few times, not 300 times each, and
+    the passages of a chunk come in more than one batch."""
+    import pyarrow as pa
+
+    from rivulet.llm.passages import _KEY, Shingled, _candidates, _windows
+    rng = random.Random(4)
+    line = [f"{rng.randrange(1 << 40):x}" for _ in range(60)]
+    text = " ".join(line * 300).encode()
+    shared = np.unique(_windows(Shingled([text]), 46)[4])
+    out = _candidates(46)((pa.scalar(3),), pa.table({"__id": [5, 9, 7], "__t": [text] * 3}),
+                          pa.table({"body": [shared.tobytes()]}))
+    assert out["doc"].to_pylist() == [5, 7, 9] and len(out.to_batches()) > 1
+    assert len(set(out["pid"].to_pylist())) == 3
+    for body in out["keys"].to_pylist():
+        rows = np.frombuffer(body, _KEY)
+        assert set(rows["key"].tolist()) == set(shared.view(np.int64).tolist())
+        assert len(rows) < 5 * len(shared)
+
+
+def test_short_shared_lines_are_told_apart_early():
+    """Passages that share no stretch as long as a fitting one needs give no result, those that
+    do are found, also where the shared places are cut by many changes."""
+    from rivulet.llm.passages import verify
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 1 << 60, 300, dtype=np.uint64)
+    b = rng.integers(1, 1 << 60, 300, dtype=np.uint64)
+    for at in (0, 100, 200):
+        b[at:at + 27] = a[at:at + 27]
+    assert verify(a, b, 0.8, 46) is None
+    b = np.insert(a[100:191], 45, rng.integers(1, 1 << 60, 16, dtype=np.uint64))
+    j, x1, x2, y1, y2 = verify(a, b, 0.8, 46)
+    assert j >= 0.8 and x2 - x1 >= 46 and y2 - y1 >= 46
+
+
 def test_compact_windows_cover_every_run():
     """Each run of enough shingles lies in exactly one window around its least hash."""
     from rivulet.llm.passages import compact_windows

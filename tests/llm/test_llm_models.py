@@ -438,6 +438,72 @@ def test_short_shared_lines_are_told_apart_early():
     assert j >= 0.8 and x2 - x1 >= 46 and y2 - y1 >= 46
 
 
+def test_windows_of_a_repeated_word_take_little_memory():
+    """One word over and over: all its places are least ones, and no two of different functions
+    share a window of their own, so memory grows with the text, not its square."""
+    import tracemalloc
+
+    from rivulet.llm.passages import Shingled, _windows
+    s = Shingled([b"word " * 6000])
+    tracemalloc.start()
+    try:
+        found = _windows(s, 46)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found[4]) and peak < 64 << 20
+
+
+@pytest.mark.parametrize("values", [4, 1 << 60])
+def test_joint_windows_are_those_of_all_pairs(values):
+    from rivulet.llm.passages import _joint, compact_windows
+    rng = np.random.default_rng(3)
+    begin = np.array([0, 60, 64, 64, 150, 200])
+    f1, f2 = rng.integers(1, values, (2, 200), dtype=np.uint64)
+    one, two = compact_windows(f1, begin, 8), compact_windows(f2, begin, 8)
+    expected = []
+    for l1, c1, r1 in zip(*one):
+        for l2, c2, r2 in zip(*two):
+            if l2 <= c1 <= r2 and l1 <= c2 <= r1 and min(r1, r2) - max(l1, l2) >= 7:
+                expected.append((max(l1, l2), min(c1, c2), max(c1, c2), min(r1, r2)))
+    assert list(zip(*_joint(one, two, f1, f2, 8)[:4])) == expected
+
+
+def test_parts_of_keys_hold_each_row_once():
+    import pyarrow as pa
+
+    from rivulet.llm.passages import _KEY, keys_of
+    rng = np.random.default_rng(5)
+    bodies = []
+    for n in (3, 0, 40):
+        rows = np.zeros(n, dtype=_KEY)
+        rows["key"], rows["c1"] = rng.integers(-1 << 62, 1 << 62, n), np.arange(n)
+        rows["near"] = rng.integers(0, 256, rows["near"].shape)
+        bodies.append(rows.tobytes())
+    batch = pa.RecordBatch.from_pydict({"pid": [7, 8, 9], "doc": [1, 2, 3], "long": [1, 0, 1]})
+    whole = pa.Table.from_batches([keys_of(batch, bodies)]).to_pylist()
+    parts = [keys_of(batch, bodies, i, 3).to_pylist() for i in range(3)]
+    assert len(whole) == 43 and all(parts)
+    order = lambda r: (r["pid"], r["c1"])
+    assert sorted(sum(parts, []), key=order) == sorted(whole, key=order)
+    assert {(r["pid"], r["doc"], r["long"]) for r in whole} == {(7, 1, 1), (9, 3, 1)}
+
+
+def test_surroundings_that_are_equal_are_alike_as_by_comparison():
+    from rivulet.llm.passages import FEW, REACH, _alike
+    rng = np.random.default_rng(6)
+    a = rng.integers(1, 5, (300, 2 * REACH + 1)).astype(np.uint8)
+    a[:100, :REACH - 3] = a[:100, REACH + 4:] = 0    # next to nothing around the place
+    b = a.copy()
+    b[::3] = rng.integers(1, 5, b[::3].shape)
+    near, same = _alike(a, b)
+    for i in range(len(a)):
+        there = [b[i, x][b[i, x] > 0] for x in (slice(REACH + 1), slice(REACH, None))]
+        common = [np.isin(t, x).sum() for t, x in zip(there, (a[i, :REACH + 1], a[i, REACH:]))]
+        assert near[i] == (max(common) >= FEW)
+        assert same[i] == (near[i] and all(c >= len(t) - FEW for c, t in zip(common, there)))
+
+
 def test_compact_windows_cover_every_run():
     """Each run of enough shingles lies in exactly one window around its least hash."""
     from rivulet.llm.passages import compact_windows

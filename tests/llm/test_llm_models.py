@@ -403,6 +403,108 @@ def test_verify_finds_what_brute_force_finds():
     assert linked > 100
 
 
+def test_one_lookup_for_many_passages_gives_what_pairs_give(monkeypatch):
+    """Edited copies, copies, short, empty and strange passages against one, some shingles twice."""
+    from rivulet.llm import passages
+    rng = np.random.default_rng(12)
+    fresh = lambda n: rng.integers(1, 1 << 60, n, dtype=np.uint64)
+    linked = 0
+    for trial in range(40):
+        b = fresh(rng.integers(46, 260))
+        if trial % 3 == 0:
+            b[rng.integers(0, len(b), 20)] = b[0]
+        many = [b.copy(), fresh(0), fresh(20), b[:30], fresh(300), np.concatenate((b, b))]
+        for _ in range(25):
+            parts = [fresh(rng.integers(0, 40))]
+            for _ in range(rng.integers(1, 4)):
+                lo = rng.integers(0, len(b))
+                part = b[lo:lo + rng.integers(5, 120)].copy()
+                if rng.random() < 0.5:
+                    part[rng.integers(0, len(part), rng.integers(0, 8))] = fresh(1)
+                parts += [part, fresh(rng.integers(0, 30))]
+            many.append(np.concatenate(parts))
+        want = [passages.verify_all(a, b, 0.8, 46) for a in many]
+        assert passages.verify_each(many, b, 0.8, 46) == want
+        linked += sum(map(bool, want))
+    assert linked > 200
+    assert passages.verify_each([b], b[:0], 0.8, 46) == [[]]
+
+    # A short line in common, or just one stretch: nothing is searched.
+    b = fresh(300)
+    many = [np.concatenate((fresh(50), b[lo:lo + n], fresh(60))) for lo in (0, 90) for n in (8, 70)]
+    monkeypatch.setattr(passages, "_all_runs", None)
+    assert passages.verify_each(many, b, 0.8, 46) == [
+        [], [(1.0, 50, 120, 0, 70)], [], [(1.0, 50, 120, 90, 160)]]
+
+
+def test_distinct_shingles_of_runs():
+    from rivulet.llm.passages import _distinct
+    rng = np.random.default_rng(2)
+    for n, values in ((9, 3), (60, 5), (60, 50), (60, 1), (8, 4)):
+        x = rng.integers(0, values, n)
+        assert _distinct(x, 8).tolist() == [len(set(x[i:i + 8])) for i in range(n - 7)]
+
+
+@pytest.mark.parametrize("most", [2, 64, 1 << 20])
+def test_rows_that_are_far_meet_the_rows_of_their_leader(most):
+    """By pairs one after the other or by a product of matrices; no pair twice, none that has met
+    as leader and row."""
+    from rivulet.llm.passages import _unmet
+    rng = np.random.default_rng(4)
+    dropped = 0
+    for trial in range(60):
+        n = int(rng.integers(1, 400))
+        key = np.sort(rng.integers(-2, 2, n))
+        lead = rng.integers(0, 8, n) * 7
+        row = np.where(rng.random(n) < 0.3, lead + 7, rng.integers(0, 30, n) * 7 + 1)
+        doc, far = row // 3, rng.random(n) < (0.3, 0, 1)[trial % 3]
+        got = list(zip(*(x.tolist() for x in _unmet(key, lead, row, doc, far, most))))
+        rows = list(zip(*(x.tolist() for x in (key, lead, row, doc, far))))
+        met = {(min(r[1:3]), max(r[1:3])) for r in rows}
+        want = {(min(x[2], y[2]), max(x[2], y[2])) for x in rows if x[4] for y in rows
+                if x[:2] == y[:2] and x[3] != y[3]}
+        assert len(got) == len(set(got)) and want - met <= set(got) <= want
+        dropped += len(want - set(got))
+    assert dropped
+
+
+@pytest.mark.parametrize("sizes", [[3] * 20, [1] * 60, [60], [40, 1, 19]])
+def test_tables_hold_all_rows_of_their_keys(sizes):
+    import pyarrow as pa
+
+    from rivulet.llm.passages import _keys_together
+    key = np.sort(np.random.default_rng(sizes[0]).integers(-4, 4, 60) ** 3)
+    ends = np.cumsum(sizes)
+    batches = [pa.RecordBatch.from_pydict({"key": key[e - n:e], "x": np.arange(e - n, e)})
+               for n, e in zip(sizes, ends)]
+    for rows in (1, 10, 100):
+        tables = list(_keys_together(iter(batches), rows))
+        assert sum((t["x"].to_pylist() for t in tables), []) == list(range(60))
+        keys = [set(t["key"].to_pylist()) for t in tables]
+        assert all(keys) and sum(map(len, keys)) == len(set(key.tolist()))
+
+
+def test_passages_of_one_kind_keep_their_own_places(spark):
+    """Copies of two documents, and of these with a changed word: what is found once for their
+    shingles is told of each of them."""
+    from rivulet.llm.passages import near_passages
+    rng = random.Random(8)
+    text = lambda n: [f"{rng.randrange(1 << 40):x}" for _ in range(n)]
+    p = text(60)
+    q = p[:30] + ["changed"] + p[31:]
+    rows = [(i, " ".join(x)) for i, x in enumerate([p, p, q, q, p])]
+    rows += [(9, "a b c " + rows[2][1]), (5, " ".join(text(90)))]
+    links = near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = dict(rows)
+    ends = {r["doc_a"] for r in links} | {r["doc_b"] for r in links}
+    assert ends == {0, 1, 2, 3, 4, 9}
+    for r in links:
+        a, b = (words[r[f"doc_{x}"]].split()[r[f"start_{x}"]:r[f"end_{x}"]] for x in "ab")
+        x, y = ({tuple(s[k:k + 5]) for k in range(len(s) - 4)} for s in (a, b))
+        assert len(a) >= 50 and len(x & y) / len(x | y) == r["similarity"] >= 0.8
+    assert len(links) == len({tuple(r) for r in links})
+
+
 def test_candidates_of_repeated_lines_are_small():
     """A line that a text repeats 300 times gives its keys a few times, not 300 times each, and
     the passages of a chunk come in more than one batch."""

@@ -322,9 +322,10 @@ def _table(rule: Rule, backoffs: list[int], kinds: pa.Schema):
                     add(way, trial_end + (good + n) * width + k, 0, False)
                 else:
                     opened(way, failure, int(longer[k, kind[failure]]), 1, failure == 0)
-        # Open: runs of calls with the same result, for each backoff.
-        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])
-                               & (t <= t[0] + rule.cap * 1_000_000))
+        # Open: runs of calls with the same result, for each backoff. The longest backoff ends by
+        # the cap after the first call; the next call may come later than that.
+        final = min(int(np.searchsorted(t, t[0] + rule.cap * 1_000_000)), n - 1)
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]) & (t <= t[final]))
         for k, b in enumerate(backoffs):
             x = first * width + k
             new = np.append(True, (np.diff(step[x]) != 0) | (np.diff(fails[x]) != 0)

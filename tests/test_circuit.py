@@ -96,6 +96,24 @@ def test_timeline_equals_the_rules_call_by_call(spark):
         assert got == one_by_one(rows, **kw)
 
 
+def test_open_segment_whose_next_call_comes_after_the_cap():
+    """The backoff in front of a segment ends between two calls that are further apart than the
+    cap: the later one is let through."""
+    import pandas as pd
+    import pyarrow as pa
+    rule = circuit.Rule(5, 60, 2, 2.0, 100)
+    table = circuit._table(rule, rule.backoffs(), pa.schema([("stream_id", pa.string())]))
+    second = 1_000_000
+    rows = pa.table({"ts": pa.array([10 * second, 900 * second], pa.timestamp("us")),
+                     "failed": [False, False], "suggested": pa.array([5, 5], pa.int64())})
+    pieces = table(rows, ("s", 1)).to_pandas(integer_object_nulls=True)
+    before = {"stored_state": "open", "stored_failures": 5, "stored_good": 0,
+              "stored_backoff": 100, "stored_opened": 9 * second}
+    after = circuit._lookup(rule)(before, pieces)
+    assert (after["stored_state"], after["stored_failures"], after["stored_good"]) == ("half_open", 0, 1)
+    assert after["stored_backoff"] == 100 and pd.isna(after["stored_opened"])
+
+
 def test_state_is_carried_over_batch_boundaries(spark):
     df = _random_attempts(spark, n=1500, seed=3)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
